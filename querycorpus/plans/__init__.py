@@ -1,5 +1,5 @@
 """Queries bound to the given tables, by area. ``QUERIES`` and ``ORACLES`` share their keys."""
 
-from querycorpus.plans import profiling
+from querycorpus.plans import comparing, profiling, querylog
 
-AREAS = [profiling]
+AREAS = [profiling, comparing, querylog]

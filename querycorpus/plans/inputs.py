@@ -70,8 +70,36 @@ INPUTS = {
     """,
 }
 
+# Query texts by template number; ~ stands for a single quote.
+TEMPLATES = [
+    "SELECT p_name FROM part WHERE p_size = {size}",
+    "SELECT DISTINCT p.p_name AS name, count(*) FROM part AS p JOIN lineitem AS l ON p.p_partkey = l.l_partkey"
+    " WHERE p.p_brand = ~{brand}~ AND l.l_quantity > {size} GROUP BY p.p_name HAVING count(*) > 2"
+    " ORDER BY count(*) DESC, p.p_name LIMIT {size}",
+    "SELECT p_name FROM part WHERE p_partkey IN (SELECT l_partkey FROM lineitem WHERE l_quantity BETWEEN 1 AND {size})"
+    " OR p_name LIKE ~%{name}%~",
+    "SELECT n_name FROM nation UNION SELECT r_name FROM region WHERE r_name IS NOT NULL",
+    "SELECT * FROM part, supplier WHERE p_size NOT IN ({size}, 7) AND NOT s_acctbal < 10",
+    "SELECT max(p_retailprice) - min(p_retailprice) AS spread FROM part WHERE p_name = ~FROM {name}~ ORDER BY spread",
+    "this is no query about {name}",
+    "SELECT s.s_name FROM supplier s LEFT JOIN nation n ON s.s_nationkey = n.n_nationkey WHERE EXISTS (SELECT l_suppkey"
+    " FROM lineitem WHERE l_suppkey = s.s_suppkey AND l_quantity > (SELECT avg(l_quantity) FROM lineitem))"
+    " AND n.n_name NOT LIKE ~NATION_{size}~",
+    "WITH big AS (SELECT p_partkey, p_name FROM part WHERE p_size >= {size}) SELECT big.p_name FROM big ORDER BY big.p_name LIMIT 5",
+    "SELECT p_nam FROM parts WHERE p_sizes = {size}",
+    "select p_brand, sum(p_size) from part group by p_brand order by p_brand asc",
+]
+_CASES = " ".join(f"WHEN {i} THEN '{t}'" for i, t in enumerate(TEMPLATES))
+INPUTS["query_log"] = f"""
+        SELECT p_partkey AS query_id, 'star' AS db_id, CAST(p_partkey % {len(TEMPLATES)} AS INT) AS template,
+               replace(replace(replace(replace(CASE p_partkey % {len(TEMPLATES)} {_CASES} END,
+                 '{{name}}', p_name), '{{brand}}', p_brand), '{{size}}', CAST(p_size AS STRING)), '~', chr(39)) AS sql
+        FROM part
+    """
+
 # What each input reads: given tables or other inputs.
 NEEDS = {
+    "query_log": ["part"],
     "catalog_names": ["part"],
     "catalog": ["catalog_names"],
     "constraints": ["catalog"],
