@@ -10,9 +10,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from querycorpus.functions.arrays import held
 from querycorpus.functions.text import edit_similarity
 from querycorpus.operators.sqltokens import (
-    held,
     is_alias,
     is_column,
     is_function,
@@ -337,7 +337,7 @@ def operator_of(t: Column) -> Column:
 
 
 def operator_entries(tokens: Column, move_on: bool = False) -> Column:
-    """``array<struct<path, depth, clause, type, member>>`` in text order.
+    """``array<struct<path, depth, arm, clause, type, member>>`` in text order.
 
     Chains of one logical operator count once, as one condition with many parts. With ``move_on``
     the ON conditions of joins count as WHERE conditions.
@@ -360,6 +360,7 @@ def operator_entries(tokens: Column, move_on: bool = False) -> Column:
         lambda t: F.struct(
             t["path"].alias("path"),
             t["depth"].alias("depth"),
+            t["arm"].alias("arm"),
             clause(t).alias("clause"),
             operator_of(t)["type"].alias("type"),
             operator_of(t)["member"].alias("member"),
@@ -440,7 +441,7 @@ def sizes(log: DataFrame) -> DataFrame:
     base = tokenized(log).withColumn("items", outer_select_items(F.col("tokens"))).withColumn(
         "_ops", operator_entries(F.col("tokens"))
     )
-    conditions = F.filter("_ops", lambda o: (o["path"] == "/0/") & (o["clause"] == "where") & ~o["type"].isin("Ag", "Ar", "J"))
+    conditions = F.filter("_ops", lambda o: (o["path"] == "/0/") & (o["arm"] == 0) & (o["clause"] == "where") & ~o["type"].isin("Ag", "Ar", "J"))
     return base.select(
         *log.columns,
         F.when(~F.exists("items", lambda x: x == "*"), F.size("items")).alias("columns_num"),
@@ -547,7 +548,7 @@ def filter_values(log: DataFrame, columns: DataFrame | None = None) -> DataFrame
     base = _with_tables(log)
 
     def entry(t: Column) -> Column:
-        listed = F.get("_low", t["opener"] - 1) == "in"
+        listed = (t["plain"] > 0) & (F.get("_low", t["opener"] - 1) == "in")
         negated = F.get("_low", t["opener"] - 2) == "not"
         direct = t["b1"].isin(*FILTER_OPERATORS)
         not_like = (t["b1"] == "like") & (t["b2"] == "not")
@@ -654,13 +655,18 @@ def repaired_names(log: DataFrame, columns: DataFrame) -> DataFrame:
     """Replace unknown table and column names by the most similar known name of the database.
 
     Each distinct unknown name of a database is matched once. Equal similarity goes to the smaller
-    name. Whole name parts are replaced, literals are left alone.
+    name. Whole name parts are replaced; literals and names declared in the query are left alone.
     """
-    base = _with_tables(log)
+    declared = F.transform(
+        F.filter("tokens", lambda t: is_name(t) & ((t["b1"] == "as") | (t["clause"] == "with") & (t["n1"] == "as"))),
+        lambda t: F.lower(unquoted(t["tok"])),
+    )
+    base = _with_tables(log).withColumn("_declared", declared)
     entries = F.concat(
         F.transform("_tables", lambda e: F.struct(F.lit("table").alias("kind"), e["name"].alias("name"))),
         F.transform("_columns", lambda c: F.struct(F.lit("column").alias("kind"), c["column"].alias("name"))),
     )
+    entries = held(F.col("_declared"), F.filter(entries, lambda e: ~F.array_contains("_declared", F.lower(e["name"]))))
     names = base.select("db_id", F.explode(entries).alias("e")).select("db_id", "e.kind", "e.name").distinct()
     known = (
         columns.select("db_id", F.lit("table").alias("kind"), F.col("table_name").alias("known"))

@@ -16,6 +16,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from querycorpus.functions.arrays import held, pinned
+
 # Token forms, and the words that are not names.
 LITERAL = r"'[^']*+(?:''[^']*+)*+'"
 QUOTED = r'"[^"]*+"|`[^`]*+`'
@@ -179,11 +181,11 @@ def tokenized(log: DataFrame, sql: str = "sql") -> DataFrame:
             ).cast(_SCOPE_TYPE)
         ).alias("scopes"),
     )
-    pieces = log.withColumn("_cut", cut(F.col(sql)))
+    pieces = pinned(log, "_cut", cut(F.col(sql)))
     places = F.sequence(F.lit(0), F.size("_cut") - 1)
     stray = F.exists("_cut", lambda p: p["tok"].isin("'", '"', "`"))
     could = F.col(sql).isNotNull() & _at(F.col("_cut"), F.lit(0)).isin("select", "with") & ~stray
-    folded = pieces.withColumn("_f", F.when(could, F.aggregate(places, start, _step(F.col("_cut")))))
+    folded = pinned(pieces, "_f", F.when(could, F.aggregate(places, start, _step(F.col("_cut")))))
     whole = ~F.col("_f.bad") & (F.size("_f.stack") == 0)
     return (
         folded.withColumn("tokens", F.when(whole, F.col("_f.out")))
@@ -192,15 +194,6 @@ def tokenized(log: DataFrame, sql: str = "sql") -> DataFrame:
     )
 
 
-def held(array: Column, result: Column) -> Column:
-    """``result`` where ``array`` is present.
-
-    Naming the array a second time keeps Catalyst from inlining its definition into a lambda of
-    ``result``, which would compute it once per element.
-    """
-    return F.when(F.size(array) >= 0, result)
-
-
 def is_literal(t: Column) -> Column:
     return t["tok"].startswith("'") | t["tok"].rlike(r"^\d")
 

@@ -1,5 +1,5 @@
 """Queries bound to the given tables, by area. ``QUERIES`` and ``ORACLES`` share their keys."""
 
-from querycorpus.plans import comparing, profiling, querylog
+from querycorpus.plans import comparing, corpora, profiling, querylog, tabletext
 
-AREAS = [profiling, comparing, querylog]
+AREAS = [profiling, comparing, querylog, tabletext, corpora]

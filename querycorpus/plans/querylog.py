@@ -17,7 +17,8 @@ N = len(TEMPLATES)
 
 
 def _log(spark, sf_dir):
-    return given(spark, sf_dir, "query_log")
+    """The log spread over all cores: a small table arrives as one file and one task."""
+    return given(spark, sf_dir, "query_log").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
 def _columns(spark, sf_dir):

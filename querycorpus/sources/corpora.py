@@ -61,7 +61,7 @@ def csv_records(text: Column) -> Column:
 
 def csv_fields(record: Column) -> Column:
     """Fields of one CSV record with quotes removed."""
-    raw = F.regexp_extract_all(record, F.lit(r'(?:^|,)("(?:[^"]++|"")*+"|[^,]*+)'), F.lit(1))
+    raw = F.regexp_extract_all(F.concat(F.lit(","), record), F.lit(r',("(?:[^"]++|"")*+"|[^,]*+)'), F.lit(1))
     return F.transform(
         raw,
         lambda f: F.when(
