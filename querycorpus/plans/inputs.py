@@ -97,9 +97,32 @@ INPUTS["query_log"] = f"""
         FROM part
     """
 
+# One question per part with its name misspelt, possessive, capital or plural.
+INPUTS["questions"] = """
+        SELECT p_partkey AS question_id,
+               'Show the ' || CASE p_size % 4 WHEN 0 THEN replace(p_name, 'i', '') WHEN 1 THEN p_name || chr(39) || 's'
+                 WHEN 2 THEN upper(p_name) ELSE p_name || 's' END || ' parts of ' || p_brand || ' in ' || p_type || '?' AS question
+        FROM part
+    """
+INPUTS["stored_values"] = """
+        SELECT DISTINCT 'part' AS table_name, 'p_name' AS column_name, p_name AS value FROM part
+        UNION ALL SELECT DISTINCT 'part', 'p_label', p_name FROM part
+        UNION ALL SELECT DISTINCT 'part', 'p_brand', p_brand FROM part
+        UNION ALL SELECT DISTINCT 'part', 'p_type', p_type FROM part
+        UNION ALL SELECT DISTINCT 'nation', 'n_code', n_name FROM nation
+    """
+INPUTS["sql_pairs"] = """
+        SELECT query_id AS pair_id, template, sql AS prediction,
+               CASE template WHEN 0 THEN sql || ' ORDER BY p_name DESC LIMIT 3' WHEN 2 THEN replace(sql, ' OR ', ' AND ') ELSE sql END AS target
+        FROM query_log
+    """
+
 # What each input reads: given tables or other inputs.
 NEEDS = {
     "query_log": ["part"],
+    "questions": ["part"],
+    "stored_values": ["part", "nation"],
+    "sql_pairs": ["query_log"],
     "catalog_names": ["part"],
     "catalog": ["catalog_names"],
     "constraints": ["catalog"],

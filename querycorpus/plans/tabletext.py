@@ -64,7 +64,7 @@ def _csv(spark, sf_dir):
     """Lines of each order as CSV text with an index field and quoted texts."""
     row = F.struct(
         "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_returnflag",
-        F.date_format("l_shipdate", "yyyy-MM-dd").alias("d"),
+        F.date_format("l_shipdate", "dd/MM/yyyy").alias("d"),
     )
     lines = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.sort_array(F.collect_list(row)).alias("x"))
     text = F.transform(
@@ -114,10 +114,10 @@ _NUM = "CASE WHEN {c} = floor({c}) THEN CAST(CAST({c} AS BIGINT) AS VARCHAR) ELS
 _FIELDS = [
     ("line", "CAST(l_linenumber AS VARCHAR)", "NUMERIC"), ("quantity", _NUM.format(c="l_quantity"), "NUMERIC"),
     ("price", _NUM.format(c="l_extendedprice"), "NUMERIC"), ("flag", "l_returnflag || ', \"x\"'", "STRING"),
-    ("shipped", "strftime(l_shipdate, '%Y-%m-%d')", "DATE"),
+    ("shipped", "strftime(l_shipdate, '%d/%m/%Y')", "DATE"),
 ]
 _CELLS = " || ".join(f"'<cell> ' || {v} || ' <col_header> {n} </col_header> </cell> '" for n, v, _ in _FIELDS)
-_FO = "ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_returnflag, l_shipdate"
+_FO = "ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_returnflag, strftime(l_shipdate, '%d/%m/%Y')"
 _RANKED = f"(SELECT *, row_number() OVER (PARTITION BY l_orderkey {_FO}) - 1 AS r FROM lineitem)"
 _COMPACT = " || ".join(
     f"'<col' || CAST(5 * r + {i} AS VARCHAR) || '> {n} | {t} | ' || {v} || ' '" for i, (n, v, t) in enumerate(_FIELDS)

@@ -66,7 +66,7 @@ class ResultStore:
         self.root = root
 
     def path(self, db_id: str, sql: str) -> str:
-        key = hashlib.sha256(f"{db_id}\x00{sql}".encode()).hexdigest()
+        key = hashlib.sha256(f"{db_id}\n{sql}".encode()).hexdigest()
         return f"{self.root}/{key}"
 
     def get(self, spark: SparkSession, db_id: str, sql: str) -> DataFrame | None:
@@ -82,4 +82,4 @@ class ResultStore:
 
 def result_keys(log: DataFrame) -> DataFrame:
     """The store key of every (db_id, sql) of a log, as a column."""
-    return log.withColumn("result_key", F.sha2(F.concat_ws("\x00", "db_id", "sql"), 256))
+    return log.withColumn("result_key", F.sha2(F.concat_ws("\n", "db_id", "sql"), 256))
