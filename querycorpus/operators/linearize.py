@@ -18,8 +18,20 @@ from querycorpus.sources.corpora import csv_fields, csv_records
 # Forms of numbers and of dates in cells.
 NUMBER = r"(?i)^\s*[+-]?(?:(?:\d+\.?\d*|\.\d+)(?:e[+-]?\d+)?|nan|inf|infinity)\s*$"
 DATE_FORMATS = [
-    "yyyy-MM-dd", "yyyy-MM-dd HH:mm:ss", "yyyy/MM/dd", "dd/MM/yyyy", "MM/dd/yyyy", "dd-MM-yyyy",
-    "MMMM d, yyyy", "MMM d, yyyy", "d MMMM yyyy", "d MMM yyyy", "MMMM yyyy", "MMM yyyy", "HH:mm:ss", "HH:mm",
+    ("yyyy-MM-dd", r"^\d{4}-\d\d-\d\d$"),
+    ("yyyy-MM-dd HH:mm:ss", r"^\d{4}-\d\d-\d\d \d\d:\d\d:\d\d$"),
+    ("yyyy/MM/dd", r"^\d{4}/\d\d/\d\d$"),
+    ("dd/MM/yyyy", r"^\d\d/\d\d/\d{4}$"),
+    ("MM/dd/yyyy", r"^\d\d/\d\d/\d{4}$"),
+    ("dd-MM-yyyy", r"^\d\d-\d\d-\d{4}$"),
+    ("MMMM d, yyyy", r"^[A-Z][a-z]+ \d\d?, \d{4}$"),
+    ("MMM d, yyyy", r"^[A-Z][a-z]{2} \d\d?, \d{4}$"),
+    ("d MMMM yyyy", r"^\d\d? [A-Z][a-z]+ \d{4}$"),
+    ("d MMM yyyy", r"^\d\d? [A-Z][a-z]{2} \d{4}$"),
+    ("MMMM yyyy", r"^[A-Z][a-z]+ \d{4}$"),
+    ("MMM yyyy", r"^[A-Z][a-z]{2} \d{4}$"),
+    ("HH:mm:ss", r"^\d\d:\d\d:\d\d$"),
+    ("HH:mm", r"^\d\d:\d\d$"),
 ]
 
 
@@ -193,8 +205,8 @@ def csv_result_text(df: DataFrame, use_query: bool = False) -> DataFrame:
 def cell_type(value: Column) -> Column:
     """NUMERIC, DATE or STRING by the look of a cell; dates by a stated list of forms."""
     number = F.replace(value, F.lit(",")).rlike(NUMBER) | F.translate(value, " -", "").rlike(NUMBER)
-    date = reduce(lambda a, b: F.coalesce(a, b), [F.try_to_timestamp(value, F.lit(p)) for p in DATE_FORMATS])
-    return F.when(number, "NUMERIC").when(date.isNotNull(), "DATE").otherwise("STRING")
+    dated = [value.rlike(shape) & F.try_to_timestamp(value, F.lit(form)).isNotNull() for form, shape in DATE_FORMATS]
+    return F.when(number, "NUMERIC").when(reduce(lambda a, b: a | b, dated), "DATE").otherwise("STRING")
 
 
 def compact_text(text: Column) -> Column:

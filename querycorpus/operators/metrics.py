@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from querycorpus.functions.arrays import pinned
+from querycorpus.functions.scale import cut_lineage
 from querycorpus.operators import sqltext as X
 from querycorpus.operators.sqltokens import tokenized
 
@@ -23,14 +25,15 @@ def jaccard(a: Column, b: Column) -> Column:
 
 
 def paired_log(pairs: DataFrame) -> DataFrame:
-    """Both texts of every pair as a log; ``query_id`` keeps them apart."""
+    """Both texts of every pair as a log of tokens, computed once; ``query_id`` keeps them apart."""
     sides = F.array(
         F.struct(F.lit("pred").alias("side"), F.col("prediction").alias("sql")),
         F.struct(F.lit("target").alias("side"), F.col("target").alias("sql")),
     )
-    return pairs.select("pair_id", F.explode(sides).alias("s")).select(
+    log = pairs.select("pair_id", F.explode(sides).alias("s")).select(
         "pair_id", "s.side", F.concat_ws(":", "pair_id", "s.side").alias("query_id"), F.lit("").alias("db_id"), "s.sql"
     )
+    return cut_lineage(tokenized(log))
 
 
 def scopes_of(log: DataFrame) -> DataFrame:
@@ -137,8 +140,8 @@ def match_means(scores: DataFrame, by: list[str] = ()) -> DataFrame:
 # --- BLEU ------------------------------------------------------------------------------
 
 
-def _ngram_counts(df: DataFrame, keys: list[str], words: str, max_n: int) -> DataFrame:
-    """Occurrences per (keys, n, n-gram)."""
+def _ngrams(words: Column, max_n: int) -> Column:
+    """``array<struct<n, g>>`` of all n-grams up to ``max_n``."""
     def grams(n: int) -> Column:
         last = F.size(words) - n + 1
         starts = F.when(last >= 1, F.sequence(F.lit(1), last)).otherwise(F.array().cast("array<int>"))
@@ -146,47 +149,48 @@ def _ngram_counts(df: DataFrame, keys: list[str], words: str, max_n: int) -> Dat
             starts, lambda i: F.struct(F.lit(n).alias("n"), F.array_join(F.slice(words, i, F.lit(n)), " ").alias("g"))
         )
 
-    spread = df.select(*keys, F.explode(F.concat(*[grams(n) for n in range(1, max_n + 1)])).alias("x"))
-    return spread.groupBy(*keys, "x.n", "x.g").agg(F.count(F.lit(1)).alias("c"))
+    return F.concat(*[grams(n) for n in range(1, max_n + 1)])
 
 
 def corpus_bleu(df: DataFrame, max_n: int = 4) -> DataFrame:
     """Corpus BLEU of ``id, prediction, refs``: one row with the score and its parts.
 
     Words are split at spaces, there is no smoothing, and the closest reference length counts (the
-    shorter on a tie).
+    shorter on a tie). Only the texts are shuffled, by ``id``: all groupings after that lie inside
+    this partitioning, so the n-grams never travel.
     """
     def words(c: Column) -> Column:
         return F.filter(F.split(F.trim(c), r"\s+"), lambda w: w != "")
 
-    pred = df.select("id", words(F.col("prediction")).alias("w"))
-    refs = df.select("id", F.posexplode("refs").alias("r", "text")).select("id", "r", words(F.col("text")).alias("w"))
-    p = _ngram_counts(pred, ["id"], "w", max_n)
-    most = _ngram_counts(refs, ["id", "r"], "w", max_n).groupBy("id", "n", "g").agg(F.max("c").alias("most"))
-    matched = p.join(most, ["id", "n", "g"], "left").agg(
-        *[F.coalesce(F.sum(F.when(F.col("n") == n, F.least("c", F.coalesce("most", F.lit(0))))), F.lit(0)).alias(f"m{n}") for n in range(1, max_n + 1)]
+    texts = F.concat(F.array("prediction"), F.coalesce("refs", F.array().cast("array<string>")))
+    spread = df.select("id", F.posexplode(texts).alias("r", "text")).repartition("id")
+    split = pinned(spread.select("id", "r", "text"), "w", words(F.col("text")))
+    grams = split.select("id", "r", F.explode(_ngrams(F.col("w"), max_n)).alias("x"))
+    counts = grams.groupBy("id", "r", "x.n", "x.g").agg(F.count(F.lit(1)).alias("c"))
+    clipped = counts.groupBy("id", "n", "g").agg(
+        F.max(F.when(F.col("r") == 0, F.col("c"))).alias("mine"), F.max(F.when(F.col("r") > 0, F.col("c"))).alias("most")
+    )
+    sums = clipped.where("mine IS NOT NULL").groupBy("n").agg(
+        F.sum(F.least("mine", F.coalesce("most", F.lit(0)))).alias("hit"), F.sum("mine").alias("all")
+    )
+    precision = sums.agg(
+        *[F.coalesce(F.max(F.when(F.col("n") == n, F.col("hit") / F.col("all"))), F.lit(0.0)).alias(f"precision_{n}") for n in range(1, max_n + 1)]
     )
     n_pred = F.size(words(F.col("prediction")))
-    lengths = F.transform("refs", lambda t: F.size(words(t)))
     closest = F.array_min(
-        F.transform(lengths, lambda x: F.struct(F.abs(x - n_pred).alias("gap"), x.alias("len")))
+        F.transform("refs", lambda t: F.struct(F.abs(F.size(words(t)) - F.col("_n")).alias("gap"), F.size(words(t)).alias("len")))
     )["len"]
-    totals = df.agg(
-        F.sum(n_pred).alias("pred_len"),
-        F.sum(closest).alias("ref_len"),
-        *[F.sum(F.greatest(n_pred - n + 1, F.lit(0))).alias(f"t{n}") for n in range(1, max_n + 1)],
-    )
-    both = matched.crossJoin(totals)  # one row each
-    precisions = [F.when(F.col(f"t{n}") > 0, F.col(f"m{n}") / F.col(f"t{n}")).otherwise(0.0) for n in range(1, max_n + 1)]
+    totals = pinned(df, "_n", n_pred).agg(F.sum("_n").alias("pred_len"), F.sum(closest).alias("ref_len"))
+    both = precision.crossJoin(totals)  # one row each
+    precisions = [F.col(f"precision_{n}") for n in range(1, max_n + 1)]
     penalty = F.when(F.col("pred_len") > F.col("ref_len"), 1.0).otherwise(
         F.when(F.col("pred_len") > 0, F.exp(1 - F.col("ref_len") / F.col("pred_len"))).otherwise(0.0)
     )
     mean_log = sum(F.log(p) for p in precisions) / max_n
-    positive = F.least(*precisions) > 0
     return both.select(
-        F.when(positive, penalty * F.exp(mean_log)).otherwise(0.0).alias("bleu"),
+        F.when(F.least(*precisions) > 0, penalty * F.exp(mean_log)).otherwise(0.0).alias("bleu"),
         penalty.alias("brevity_penalty"),
         "pred_len",
         "ref_len",
-        *[q.alias(f"precision_{i + 1}") for i, q in enumerate(precisions)],
+        *precisions,
     )

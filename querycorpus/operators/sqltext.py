@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from querycorpus.functions.arrays import held
+from querycorpus.functions.scale import cut_lineage
 from querycorpus.functions.text import edit_similarity
 from querycorpus.operators.sqltokens import (
     is_alias,
@@ -19,6 +20,7 @@ from querycorpus.operators.sqltokens import (
     is_literal,
     is_name,
     names_table,
+    own_columns,
     owner_of,
     table_entries,
     tokenized,
@@ -180,7 +182,7 @@ def select_list(log: DataFrame) -> DataFrame:
         ),
     )
     return items.select(
-        *log.columns,
+        *own_columns(log),
         "items",
         F.exists("items", lambda x: x == "*").alias("has_star"),
         F.exists("items", lambda x: x.contains(".*")).alias("has_prefixed_star"),
@@ -198,7 +200,7 @@ def outer_features(log: DataFrame) -> DataFrame:
 
     limit = F.try_element_at(F.filter("tokens", lambda t: (t["b1"] == "limit") & (t["depth"] == 0)), F.lit(-1))["tok"]
     return tokenized(log).select(
-        *log.columns,
+        *own_columns(log),
         any_of("group").alias("has_group_by"),
         any_of("order").alias("has_order_by"),
         limit.try_cast("bigint").alias("limit_value"),
@@ -209,7 +211,7 @@ def outer_tables(log: DataFrame) -> DataFrame:
     """Tables of the outer FROM clause in order, with their aliases."""
     entries = F.filter(table_entries(F.col("tokens")), lambda e: (e["depth"] == 0) & (e["arm"] == 0))
     return tokenized(log).select(
-        *log.columns,
+        *own_columns(log),
         F.transform(entries, lambda e: F.struct(e["name"].alias("name"), e["alias"].alias("alias"))).alias("tables"),
     )
 
@@ -227,7 +229,7 @@ def structure(log: DataFrame) -> DataFrame:
     Components: clause names per arm, ``nesting_<clause>`` per subquery, and the set operator.
     """
     base = tokenized(log).where("tokens IS NOT NULL")
-    with_scopes = base.select(*log.columns, "tokens", "scopes", F.posexplode("scopes").alias("n", "scope"))
+    with_scopes = base.select(*own_columns(log), "tokens", "scopes", F.posexplode("scopes").alias("n", "scope"))
     mine = F.filter("tokens", lambda t: t["path"] == F.col("scope.path"))
     arms = F.greatest(F.coalesce(F.array_max(F.transform(mine, lambda t: t["arm"])), F.lit(0)), F.lit(0))
     directions = F.filter("tokens", _is_order_end)
@@ -265,7 +267,7 @@ def structure(log: DataFrame) -> DataFrame:
         .withColumn("_dirs", F.filter(directions, lambda t: t["path"] == F.col("scope.path")))
         .withColumn("arms", arms)
         .select(
-            *log.columns,
+            *own_columns(log),
             F.col("scope.depth").alias("depth"),
             F.col("n").alias("scope_id"),
             F.size(F.filter("scopes", lambda s: (s["depth"] == F.col("scope.depth")) & (F.array_position("scopes", s) <= F.col("n")))).alias("sibling"),
@@ -292,7 +294,7 @@ def _order_suffix(arm: Column) -> Column:
 
 def nesting_depth(log: DataFrame) -> DataFrame:
     deepest = F.array_max(F.transform("scopes", lambda s: s["depth"]))
-    return tokenized(log).select(*log.columns, deepest.alias("depth"), (F.size("scopes") - 1).alias("subqueries"))
+    return tokenized(log).select(*own_columns(log), deepest.alias("depth"), (F.size("scopes") - 1).alias("subqueries"))
 
 
 # --- operators --------------------------------------------------------------------------
@@ -362,24 +364,33 @@ def operator_entries(tokens: Column, move_on: bool = False) -> Column:
             t["depth"].alias("depth"),
             t["arm"].alias("arm"),
             clause(t).alias("clause"),
-            operator_of(t)["type"].alias("type"),
-            operator_of(t)["member"].alias("member"),
+            operator_of(t).alias("op"),
             (t["low"].isin("and", "or") & ~t["range_and"] & chained(t)).alias("again"),
         ),
     )
-    return held(tokens, F.filter(found, lambda o: o["member"].isNotNull() & ~o["again"]))
+    kept = F.filter(found, lambda o: o["op"].isNotNull() & ~o["again"])
+    return held(
+        tokens,
+        F.transform(
+            kept,
+            lambda o: F.struct(
+                o["path"].alias("path"), o["depth"].alias("depth"), o["arm"].alias("arm"), o["clause"].alias("clause"),
+                o["op"]["type"].alias("type"), o["op"]["member"].alias("member"),
+            ),
+        ),
+    )
 
 
 def operators(log: DataFrame) -> DataFrame:
     """One row per operator occurrence: depth, scope, clause, type, member."""
     base = tokenized(log).where("tokens IS NOT NULL")
-    return base.select(*log.columns, F.explode(operator_entries(F.col("tokens"))).alias("o")).select(
-        *log.columns, "o.depth", F.col("o.path").alias("scope"), "o.clause", "o.type", "o.member"
+    return base.select(*own_columns(log), F.explode(operator_entries(F.col("tokens"))).alias("o")).select(
+        *own_columns(log), "o.depth", F.col("o.path").alias("scope"), "o.clause", "o.type", "o.member"
     )
 
 
 def operator_counts(log: DataFrame) -> DataFrame:
-    return operators(log).groupBy(*log.columns, "clause", "type", "member").agg(F.count(F.lit(1)).alias("n"))
+    return operators(log).groupBy(*own_columns(log), "clause", "type", "member").agg(F.count(F.lit(1)).alias("n"))
 
 
 # --- categories and sizes -----------------------------------------------------------------
@@ -430,7 +441,7 @@ def categories(log: DataFrame) -> DataFrame:
         for kind in ("structure", "operators")
         for form in ("name", "binary", "counter")
     ]
-    return base.select(*log.columns, *cols).withColumn("category", F.concat("structure_name", F.lit("-"), "operators_name"))
+    return base.select(*own_columns(log), *cols).withColumn("category", F.concat("structure_name", F.lit("-"), "operators_name"))
 
 
 def sizes(log: DataFrame) -> DataFrame:
@@ -443,7 +454,7 @@ def sizes(log: DataFrame) -> DataFrame:
     )
     conditions = F.filter("_ops", lambda o: (o["path"] == "/0/") & (o["arm"] == 0) & (o["clause"] == "where") & ~o["type"].isin("Ag", "Ar", "J"))
     return base.select(
-        *log.columns,
+        *own_columns(log),
         F.when(~F.exists("items", lambda x: x == "*"), F.size("items")).alias("columns_num"),
         F.when(F.col("tokens").isNotNull(), F.size(conditions)).alias("conditions_num"),
     )
@@ -511,8 +522,8 @@ def variables(log: DataFrame) -> DataFrame:
         ),
     )
     entries = F.concat(tables, columns, values, aliases)
-    return base.select(*log.columns, F.explode(entries).alias("v")).select(
-        *log.columns, "v.depth", "v.scope", "v.kind", "v.table_name", "v.name"
+    return base.select(*own_columns(log), F.explode(entries).alias("v")).select(
+        *own_columns(log), "v.depth", "v.scope", "v.kind", "v.table_name", "v.name"
     )
 
 
@@ -530,10 +541,10 @@ def column_equivalences(log: DataFrame) -> DataFrame:
         ),
         lambda p: p["a"].isNotNull() & p["b"].isNotNull() & (p["a"] != p["b"]),
     )
-    both = base.withColumn("_at", at).select(*log.columns, held(F.col("_at"), pairs).alias("_p"))
+    both = base.withColumn("_at", at).select(*own_columns(log), held(F.col("_at"), pairs).alias("_p"))
     ways = F.concat("_p", F.transform("_p", lambda p: F.struct(p["b"].alias("a"), p["a"].alias("b"))))
-    return both.select(*log.columns, F.explode(F.array_distinct(ways)).alias("e")).select(
-        *log.columns, F.col("e.a").alias("column"), F.col("e.b").alias("equals")
+    return both.select(*own_columns(log), F.explode(F.array_distinct(ways)).alias("e")).select(
+        *own_columns(log), F.col("e.a").alias("column"), F.col("e.b").alias("equals")
     )
 
 
@@ -569,12 +580,13 @@ def filter_values(log: DataFrame, columns: DataFrame | None = None) -> DataFrame
     found = F.transform(F.filter("tokens", is_literal), entry)
     rows = (
         base.withColumn("_low", F.transform("tokens", lambda t: t["low"]))
-        .select(*log.columns, "_tables", held(F.col("_columns"), F.filter(found, lambda v: v["column"].isNotNull())).alias("_v"))
-        .select(*log.columns, "_tables", F.explode(F.array_distinct("_v")).alias("v"))
-        .select(*log.columns, "_tables", "v.*")
+        .select(*own_columns(log), "_tables", held(F.col("_columns"), F.filter(found, lambda v: v["column"].isNotNull())).alias("_v"))
+        .select(*own_columns(log), "_tables", F.explode(F.array_distinct("_v")).alias("v"))
+        .select(*own_columns(log), "_tables", "v.*")
     )
     if columns is None:
         return rows.drop("_tables")
+    rows = cut_lineage(rows)
     named = rows.where("table_name IS NOT NULL").drop("_tables")
     bare = rows.where("table_name IS NULL").drop("table_name")
     known = columns.select(
@@ -584,7 +596,7 @@ def filter_values(log: DataFrame, columns: DataFrame | None = None) -> DataFrame
     spread = bare.withColumn("_tl", F.explode_outer(tables)).withColumn("_cl", F.lower("column"))
     settled = (
         spread.join(known, ["db_id", "_tl", "_cl"], "left")
-        .groupBy(*log.columns, "column", "operator", "value")
+        .groupBy(*own_columns(log), "column", "operator", "value")
         .agg(F.min("_t").alias("table_name"))
     )
     return named.unionByName(settled)
@@ -603,8 +615,8 @@ def references(log: DataFrame) -> DataFrame:
     )
     outputs = F.transform(F.filter("tokens", lambda t: is_name(t) & (t["b1"] == "as")), lambda t: F.lower(unquoted(t["tok"])))
     return base.select(
-        *log.columns, used.alias("used"), outputs.alias("outputs"), F.explode(F.array_distinct(entries)).alias("r")
-    ).select(*log.columns, "used", "outputs", "r.table_name", "r.column")
+        *own_columns(log), used.alias("used"), outputs.alias("outputs"), F.explode(F.array_distinct(entries)).alias("r")
+    ).select(*own_columns(log), "used", "outputs", "r.table_name", "r.column")
 
 
 def validity(log: DataFrame, columns: DataFrame) -> DataFrame:
@@ -614,7 +626,7 @@ def validity(log: DataFrame, columns: DataFrame) -> DataFrame:
     by AS in the query count as known columns.
     """
     key = ["query_id"]
-    refs = references(log)
+    refs = cut_lineage(references(log))
     known_tables = columns.select("db_id", F.lower("table_name").alias("table_name")).distinct().withColumn("_ok", F.lit(True))
     known = columns.select("db_id", F.lower("table_name").alias("table_name"), F.lower("column").alias("column")).distinct()
     table_refs = refs.where("column IS NULL").join(known_tables, ["db_id", "table_name"], "left")
@@ -635,7 +647,7 @@ def validity(log: DataFrame, columns: DataFrame) -> DataFrame:
         .groupBy(*key)
         .agg(F.bool_and(F.coalesce("_ok", F.lit(False))).alias("is_valid"))
     )
-    return log.join(checked, key, "left").withColumn("is_valid", F.coalesce("is_valid", F.lit(False)))
+    return log.select(*own_columns(log)).join(checked, key, "left").withColumn("is_valid", F.coalesce("is_valid", F.lit(False)))
 
 
 def first_valid(questions: DataFrame, columns: DataFrame) -> DataFrame:
@@ -661,6 +673,7 @@ def repaired_names(log: DataFrame, columns: DataFrame) -> DataFrame:
         F.filter("tokens", lambda t: is_name(t) & ((t["b1"] == "as") | (t["clause"] == "with") & (t["n1"] == "as"))),
         lambda t: F.lower(unquoted(t["tok"])),
     )
+    log = cut_lineage(tokenized(log))
     base = _with_tables(log).withColumn("_declared", declared)
     entries = F.concat(
         F.transform("_tables", lambda e: F.struct(F.lit("table").alias("kind"), e["name"].alias("name"))),
@@ -700,6 +713,6 @@ def repaired_names(log: DataFrame, columns: DataFrame) -> DataFrame:
         ).otherwise(t["tok"])
 
     return joined.select(
-        *log.columns,
+        *own_columns(log),
         F.when(F.col("fixes").isNull(), F.col("sql")).otherwise(rewritten(F.col("tokens"), new)).alias("repaired"),
     )

@@ -46,24 +46,31 @@ SET_OPERATORS = ["union", "intersect", "except"]
 
 
 def cut(sql: Column) -> Column:
-    """``array<struct<gap, tok>>``: tokens with the whitespace before them, without semicolons."""
+    """``array<struct<gap, tok, low>>``: tokens with the whitespace before them, without semicolons."""
     found = F.regexp_extract_all(sql, F.lit(PIECE), F.lit(0))
     split = F.transform(
         found,
         lambda p: F.struct(
-            F.regexp_extract(p, r"^\s*", 0).alias("gap"), F.regexp_replace(p, r"^\s+", "").alias("tok")
+            F.regexp_extract(p, r"^\s*", 0).alias("gap"),
+            F.ltrim(F.regexp_replace(p, r"^\s+", "")).alias("tok"),
+            F.lower(F.regexp_replace(p, r"^\s+", "")).alias("low"),
         ),
     )
     return F.filter(split, lambda p: p["tok"] != ";")
 
 
-def is_one_of(c: Column, words: list[str]) -> Column:
-    return c.isin(*words)
+def with_neighbours(pieces: Column) -> Column:
+    """Every token beside the two before and the three after it."""
+    def near(i: Column, step: int) -> Column:
+        return F.coalesce(F.get(pieces, i + step)["low"], F.lit(""))
 
-
-def _at(tokens: Column, i: Column) -> Column:
-    """Lower-case token at a zero-based place, empty outside the text."""
-    return F.lower(F.coalesce(F.get(tokens, i)["tok"], F.lit("")))
+    return F.transform(
+        pieces,
+        lambda p, i: F.struct(
+            i.cast("int").alias("i"), p["gap"].alias("gap"), p["tok"].alias("tok"), p["low"].alias("low"),
+            near(i, -2).alias("b2"), near(i, -1).alias("b1"), near(i, 1).alias("n1"), near(i, 2).alias("n2"), near(i, 3).alias("n3"),
+        ),
+    )
 
 
 def _place(path, depth, arm, clause, plain, opener, between) -> Column:
@@ -86,10 +93,10 @@ _TOKEN_TYPE = (
 _SCOPE_TYPE = "struct<path:string,depth:int,clause:string,parent:string>"
 
 
-def _step(tokens: Column):
-    def step(state: Column, i: Column) -> Column:
+def _step():
+    def step(state: Column, piece: Column) -> Column:
         now, stack = state["now"], state["stack"]
-        piece, low, nxt = F.get(tokens, i), _at(tokens, i), _at(tokens, i + 1)
+        i, low, nxt = piece["i"], piece["low"], piece["n1"]
         opens, closes = low == "(", low == ")"
         scope_opens = opens & nxt.isin("select", "with")
         inner_path = F.concat(now["path"], state["next"].cast("string"), F.lit("/"))
@@ -122,7 +129,7 @@ def _step(tokens: Column):
         # A closing parenthesis belongs to the place outside it, like the opening one.
         shown = F.when(closes, popped).when(opens, now).otherwise(moved)
         emitted = F.struct(
-            i.cast("int").alias("i"),
+            i.alias("i"),
             piece["gap"].alias("gap"),
             piece["tok"].alias("tok"),
             low.alias("low"),
@@ -133,11 +140,11 @@ def _step(tokens: Column):
             shown["plain"].alias("plain"),
             shown["opener"].alias("opener"),
             range_and.alias("range_and"),
-            _at(tokens, i - 2).alias("b2"),
-            _at(tokens, i - 1).alias("b1"),
+            piece["b2"].alias("b2"),
+            piece["b1"].alias("b1"),
             nxt.alias("n1"),
-            _at(tokens, i + 2).alias("n2"),
-            _at(tokens, i + 3).alias("n3"),
+            piece["n2"].alias("n2"),
+            piece["n3"].alias("n3"),
         )
         scope = F.struct(
             inner_path.alias("path"),
@@ -165,7 +172,12 @@ def _step(tokens: Column):
 
 
 def tokenized(log: DataFrame, sql: str = "sql") -> DataFrame:
-    """Add ``tokens`` and ``scopes`` (root first); both null where the text is not readable."""
+    """Add ``tokens`` and ``scopes`` (root first); both null where the text is not readable.
+
+    A log that has them already is returned as it is.
+    """
+    if "tokens" in log.columns:
+        return log
     start = F.struct(
         _place(F.lit("/0/"), F.lit(0), F.lit(0), F.lit("none"), F.lit(0), F.lit(-1), F.lit(False)).cast(_PLACE_TYPE).alias("now"),
         F.array().cast(f"array<{_PLACE_TYPE}>").alias("stack"),
@@ -182,18 +194,23 @@ def tokenized(log: DataFrame, sql: str = "sql") -> DataFrame:
         ).alias("scopes"),
     )
     pieces = pinned(log, "_cut", cut(F.col(sql)))
-    places = F.sequence(F.lit(0), F.size("_cut") - 1)
+    pieces = pinned(pieces, "_near", with_neighbours(F.col("_cut")))
     stray = F.exists("_cut", lambda p: p["tok"].isin("'", '"', "`"))
-    could = F.col(sql).isNotNull() & _at(F.col("_cut"), F.lit(0)).isin("select", "with") & ~stray
-    folded = pinned(pieces, "_f", F.when(could, F.aggregate(places, start, _step(F.col("_cut")))))
+    could = F.col(sql).isNotNull() & F.coalesce(F.get("_cut", F.lit(0))["low"], F.lit("")).isin("select", "with") & ~stray
+    folded = pinned(pieces, "_f", F.when(could, F.aggregate("_near", start, _step())))
     whole = ~F.col("_f.bad") & (F.size("_f.stack") == 0)
     return (
         folded.withColumn("tokens", F.when(whole, F.col("_f.out")))
         .withColumn("scopes", F.when(whole, F.col("_f.scopes")))
-        .drop("_f", "_cut")
+        .drop("_f", "_cut", "_near")
     )
 
 
+def own_columns(log: DataFrame) -> list[str]:
+    """Columns of the log without the token columns."""
+    return [c for c in log.columns if c not in ("tokens", "scopes")]
+
+
 def is_literal(t: Column) -> Column:
     return t["tok"].startswith("'") | t["tok"].rlike(r"^\d")
 

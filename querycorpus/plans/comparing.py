@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from querycorpus.functions.scale import scratch_path
+from querycorpus.functions.scale import cut_lineage, scratch_path
 from querycorpus.operators import compare as C
 from querycorpus.plans.inputs import table, views
 from querycorpus.sources.sinks import ResultStore
@@ -84,7 +84,7 @@ def result_pairs(spark, sf_dir):
         rows.alias("target_rows"),
         "target_cols",
     )
-    return cells, pairs
+    return cut_lineage(cells), pairs
 
 
 def result_verdicts(spark, sf_dir):
