@@ -17,7 +17,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType
 
@@ -36,8 +36,9 @@ def with_row_index(df: DataFrame, name: str = "row_idx") -> DataFrame:
     marked = cut_lineage(df.withColumn("_m", F.monotonically_increasing_id()))
     part = F.shiftright("_m", 33)
     sizes = marked.groupBy(part.alias("_p")).agg(F.count(F.lit(1)).alias("_n"))
-    earlier = sizes.alias("a").join(sizes.alias("b"), F.col("b._p") < F.col("a._p"), "left")
-    shift = earlier.groupBy(F.col("a._p").alias("_p")).agg(F.coalesce(F.sum("b._n"), F.lit(0)).alias("_shift"))
+    # One row per partition, so this window is as long as the input has partitions.
+    before = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    shift = sizes.select("_p", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_shift"))
     inside = F.col("_m") - F.shiftleft(F.shiftright("_m", 33), 33)
     joined = marked.withColumn("_p", part).join(shift, "_p")
     return joined.withColumn(name, (inside + F.col("_shift")).cast("long")).drop("_m", "_p", "_shift")

@@ -74,40 +74,50 @@ def _piece_bounds(i: Column, length: Column, pieces: Column) -> tuple[Column, Co
     return start, (F.floor((i + 1) * length / pieces) - start).cast("int")
 
 
-def similar_pairs(spans: DataFrame, values: DataFrame, theta: float = THRESHOLD, measure: str = "levenshtein") -> DataFrame:
-    """``span, norm, score`` for distinct spans and normalized values with score >= theta."""
-    score = MEASURES[measure]
-    sized = values.select("norm", F.length("norm").alias("_l")).where("_l > 0")
+def similar_pairs(
+    spans: DataFrame,
+    values: DataFrame,
+    theta: float = THRESHOLD,
+    measure: str = "levenshtein",
+    same_first: bool = True,
+    within: list[str] = (),
+) -> DataFrame:
+    """``span, norm, score`` for distinct spans and normalized values with score >= theta.
+
+    ``within`` are columns both sides must share (a database, say); ``same_first`` asks for the same
+    first letter.
+    """
+    score, within = MEASURES[measure], list(within)
+
+    def first(c: str) -> Column:
+        return (F.substring(c, 1, 1) if same_first else F.lit("")).alias("_first")
+
+    sized = values.select(*within, "norm", F.length("norm").alias("_l")).distinct().where("_l > 0")
     sized = sized.withColumn("_d", _budget(F.col("_l"), theta, measure))
-    parts = sized.select("norm", "_l", "_d", F.explode(F.sequence(F.lit(0), F.col("_d"))).alias("_i"))
+    parts = sized.select(*within, "norm", "_l", "_d", F.explode(F.sequence(F.lit(0), F.col("_d"))).alias("_i"))
     start, size = _piece_bounds(F.col("_i"), F.col("_l"), F.col("_d") + 1)
     value_keys = parts.select(
-        "norm",
-        F.substring("norm", 1, 1).alias("_first"),
-        "_l",
-        "_i",
-        F.substring("norm", start + 1, size).alias("_piece"),
+        *within, "norm", first("norm"), "_l", "_i", F.substring("norm", start + 1, size).alias("_piece")
     )
     ratio = theta if measure == "levenshtein" else theta / (2 - theta)
     length = F.length("span")
     span_lengths = F.sequence(
         F.greatest(F.lit(1), F.floor(length * ratio - 1e-9).cast("int")), F.ceil(length / F.lit(ratio) + 1e-9).cast("int")
     )
-    asked = spans.select("span").distinct().where(F.length("span") > 0)
-    grown = asked.select("span", F.explode(span_lengths).alias("_l")).withColumn("_d", _budget(F.col("_l"), theta, measure))
+    asked = spans.select(*within, "span").distinct().where(F.length("span") > 0)
+    grown = asked.select(*within, "span", F.explode(span_lengths).alias("_l")).withColumn(
+        "_d", _budget(F.col("_l"), theta, measure)
+    )
     grown = grown.where(F.abs(F.length("span") - F.col("_l")) <= F.col("_d"))
-    grown = grown.select("span", "_l", "_d", F.explode(F.sequence(F.lit(0), F.col("_d"))).alias("_i"))
+    grown = grown.select(*within, "span", "_l", "_d", F.explode(F.sequence(F.lit(0), F.col("_d"))).alias("_i"))
     start, size = _piece_bounds(F.col("_i"), F.col("_l"), F.col("_d") + 1)
     grown = grown.withColumn("_at", start).withColumn("_size", size)
-    grown = grown.select("span", "_l", "_i", "_size", F.explode(F.sequence(F.col("_at") - F.col("_d"), F.col("_at") + F.col("_d"))).alias("_at"))
+    nearby = F.explode(F.sequence(F.col("_at") - F.col("_d"), F.col("_at") + F.col("_d")))
+    grown = grown.select(*within, "span", "_l", "_i", "_size", nearby.alias("_at"))
     span_keys = grown.where((F.col("_at") >= 0) & (F.col("_at") + F.col("_size") <= F.length("span"))).select(
-        "span",
-        F.substring("span", 1, 1).alias("_first"),
-        "_l",
-        "_i",
-        F.substring("span", F.col("_at") + 1, F.col("_size")).alias("_piece"),
+        *within, "span", first("span"), "_l", "_i", F.substring("span", F.col("_at") + 1, F.col("_size")).alias("_piece")
     ).distinct()
-    candidates = span_keys.join(value_keys, ["_first", "_l", "_i", "_piece"]).select("span", "norm").distinct()
+    candidates = span_keys.join(value_keys, [*within, "_first", "_l", "_i", "_piece"]).select(*within, "span", "norm").distinct()
     return candidates.withColumn("score", score(F.col("norm"), F.col("span"))).where(F.col("score") >= theta - 1e-9)
 
 

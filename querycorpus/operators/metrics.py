@@ -173,15 +173,21 @@ def corpus_bleu(df: DataFrame, max_n: int = 4) -> DataFrame:
     sums = clipped.where("mine IS NOT NULL").groupBy("n").agg(
         F.sum(F.least("mine", F.coalesce("most", F.lit(0)))).alias("hit"), F.sum("mine").alias("all")
     )
-    precision = sums.agg(
-        *[F.coalesce(F.max(F.when(F.col("n") == n, F.col("hit") / F.col("all"))), F.lit(0.0)).alias(f"precision_{n}") for n in range(1, max_n + 1)]
-    )
     n_pred = F.size(words(F.col("prediction")))
     closest = F.array_min(
         F.transform("refs", lambda t: F.struct(F.abs(F.size(words(t)) - F.col("_n")).alias("gap"), F.size(words(t)).alias("len")))
     )["len"]
-    totals = pinned(df, "_n", n_pred).agg(F.sum("_n").alias("pred_len"), F.sum(closest).alias("ref_len"))
-    both = precision.crossJoin(totals)  # one row each
+    lengths = pinned(df, "_n", n_pred).agg(F.lit(0).alias("n"), F.sum(closest).alias("hit"), F.sum("_n").alias("all"))
+
+    def of(n: int, c: Column) -> Column:
+        return F.max(F.when(F.col("n") == n, c))
+
+    share = F.col("hit") / F.nullif(F.col("all"), F.lit(0))
+    both = sums.unionByName(lengths).agg(
+        of(0, F.col("all")).alias("pred_len"),
+        of(0, F.col("hit")).alias("ref_len"),
+        *[F.coalesce(of(n, share), F.lit(0.0)).alias(f"precision_{n}") for n in range(1, max_n + 1)],
+    )
     precisions = [F.col(f"precision_{n}") for n in range(1, max_n + 1)]
     penalty = F.when(F.col("pred_len") > F.col("ref_len"), 1.0).otherwise(
         F.when(F.col("pred_len") > 0, F.exp(1 - F.col("ref_len") / F.col("pred_len"))).otherwise(0.0)

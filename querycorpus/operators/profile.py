@@ -192,16 +192,20 @@ def orphan_counts(tables: dict[str, DataFrame], relations: list[tuple[str, str,
 # --- values ---------------------------------------------------------------------------
 
 
+def long_values(df: DataFrame, table_name: str, columns: list[str] | None = None) -> DataFrame:
+    """A table as rows ``table_name, column, value``, nested columns left out."""
+    cols = columns or [f.name for f in df.schema if f.dataType.simpleString().split("<")[0] not in ("array", "map", "struct")]
+    texts = df.select(*[F.col(c).cast("string").alias(c) for c in cols]).unpivot([], cols, "column", "value")
+    return texts.select(F.lit(table_name).alias("table_name"), "column", "value")
+
+
 def value_counts(df: DataFrame, table_name: str, columns: list[str] | None = None) -> DataFrame:
     """Distinct values per column with their counts, in one pass over the table.
 
     Counting happens before the shuffle, so a value that fills a column travels once per task.
     """
-    cols = columns or [f.name for f in df.schema if f.dataType.simpleString().split("<")[0] not in ("array", "map", "struct")]
-    long = df.select(*[F.col(c).cast("string").alias(c) for c in cols]).unpivot([], cols, "column", "value")
-    return long.groupBy("column", "value").agg(F.count(F.lit(1)).alias("n")).select(
-        F.lit(table_name).alias("table_name"), "column", "value", "n"
-    )
+    long = long_values(df, table_name, columns)
+    return long.groupBy("table_name", "column", "value").agg(F.count(F.lit(1)).alias("n"))
 
 
 def sample_values(counts: DataFrame, n: int) -> DataFrame:
@@ -225,16 +229,23 @@ def shown_values(values: Column, n: int, threshold: int | None = None) -> Column
     return first if threshold is None else F.when(F.size(values) <= threshold, values).otherwise(first)
 
 
+def profile_tables(tables: dict[str, DataFrame], n_values: int = 20) -> DataFrame:
+    """Type, distinct and null counts, key flag and samples for every column of the tables.
+
+    The columns of all tables are counted in one grouping, whose result serves both parts.
+    """
+    long = reduce(DataFrame.union, [long_values(df, name) for name, df in tables.items()])
+    counts = long.groupBy("table_name", "column", "value").agg(F.count(F.lit(1)).alias("n"))
+    spark = next(iter(tables.values())).sparkSession
+    types = [(t, f.name, f.dataType.simpleString().upper()) for t, df in tables.items() for f in df.schema]
+    types = spark.createDataFrame(types, "table_name string, column string, data_type string")
+    key = ["table_name", "column"]
+    # As many rows as the schemas have columns.
+    return column_statistics(counts).join(sample_values(counts, n_values), key, "left").join(F.broadcast(types), key)
+
+
 def profile_table(df: DataFrame, table_name: str, n_values: int = 20) -> DataFrame:
-    """Type, distinct and null counts, key flag and samples for every column of a table."""
-    counts = value_counts(df, table_name)
-    types = {f.name: f.dataType.simpleString().upper() for f in df.schema}
-    names = F.create_map(*[F.lit(x) for kv in types.items() for x in kv])
-    return (
-        column_statistics(counts)
-        .join(sample_values(counts, n_values), ["table_name", "column"], "left")
-        .withColumn("data_type", names[F.col("column")])
-    )
+    return profile_tables({table_name: df}, n_values)
 
 
 # --- editing a catalog -----------------------------------------------------------------

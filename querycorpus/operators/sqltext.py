@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from querycorpus.functions.arrays import held
 from querycorpus.functions.scale import cut_lineage
 from querycorpus.functions.text import edit_similarity
+from querycorpus.operators.linking import similar_pairs
 from querycorpus.operators.sqltokens import (
     is_alias,
     is_column,
@@ -38,6 +39,7 @@ COMPARISONS = {">": "gt", ">=": "gte", "<": "lt", "<=": "lte", "=": "eq", "==":
 ARITHMETIC = {"-": "sub", "+": "add", "*": "mul", "/": "div"}
 UNARY_FUNCTIONS = ["length", "any", "all", "exists"]
 BINARY_FUNCTIONS = ["date_part", "date_sub", "string_to_array"]
+NEAR_NAME = 0.7
 FILTER_OPERATORS = ["=", "!=", "<>", "<", "<=", ">", ">=", "like"]
 
 
@@ -666,7 +668,8 @@ def first_valid(questions: DataFrame, columns: DataFrame) -> DataFrame:
 def repaired_names(log: DataFrame, columns: DataFrame) -> DataFrame:
     """Replace unknown table and column names by the most similar known name of the database.
 
-    Each distinct unknown name of a database is matched once. Equal similarity goes to the smaller
+    Each distinct unknown name of a database is matched once: first by the similarity join, which
+    finds every known name within ``NEAR_NAME``; only names like none of them meet all names. Equal similarity goes to the smaller
     name. Whole name parts are replaced; literals and names declared in the query are left alone.
     """
     declared = F.transform(
@@ -687,7 +690,14 @@ def repaired_names(log: DataFrame, columns: DataFrame) -> DataFrame:
         .distinct()
     )
     unknown = names.join(known.withColumnRenamed("known", "name"), ["db_id", "kind", "name"], "left_anti")
-    scored = unknown.join(known, ["db_id", "kind"]).withColumn("score", edit_similarity(F.lower("name"), F.lower("known")))
+    scope = ["db_id", "kind"]
+    names_of = known.select(*scope, "known", F.lower("known").alias("norm"))
+    unknown = cut_lineage(unknown.withColumn("span", F.lower("name")))
+    near = similar_pairs(unknown, names_of, NEAR_NAME, same_first=False, within=scope)
+    close = unknown.join(near, [*scope, "span"]).join(names_of, [*scope, "norm"])
+    far = unknown.join(close.select(*scope, "name"), [*scope, "name"], "left_anti").join(names_of, scope)
+    far = far.withColumn("score", edit_similarity(F.col("span"), F.col("norm")))
+    scored = close.select(*scope, "name", "known", "score").unionByName(far.select(*scope, "name", "known", "score"))
     fixes = scored.groupBy("db_id", "kind", "name").agg(
         F.min_by("known", F.struct((-F.col("score")).alias("s"), "known")).alias("fixed")
     )

@@ -71,12 +71,16 @@ def result_pairs(spark, sf_dir):
             FROM ({_cells_sql()}) WHERE NOT (c.v = 8 AND c.side = 'pred' AND c_custkey = last_key)"""
     )
     sizes = table(spark, sf_dir, "customer").groupBy("c_nationkey").agg(F.count(F.lit(1)).alias("n"))
-    variants = spark.createDataFrame(
-        [(v, o, len(p.split()), len(t.split())) for v, (o, p, t, _) in VARIANTS.items()],
-        "v int, order_matters boolean, pred_cols int, target_cols int",
+    variants = F.array(
+        *[
+            F.struct(
+                F.lit(v).alias("v"), F.lit(o).alias("order_matters"), F.lit(len(p.split())).alias("pred_cols"), F.lit(len(t.split())).alias("target_cols")
+            )
+            for v, (o, p, t, _) in VARIANTS.items()
+        ]
     )
     rows = F.when(F.col("v") == 10, 0).otherwise(F.col("n"))
-    pairs = sizes.crossJoin(F.broadcast(variants)).select(
+    pairs = sizes.select("*", F.inline(variants)).select(
         (F.col("v") * 100 + F.col("c_nationkey")).cast("long").alias("pair_id"),
         "order_matters",
         F.when(F.col("v") == 8, F.col("n") - 1).otherwise(rows).alias("pred_rows"),

@@ -87,10 +87,10 @@ def written_report(spark, sf_dir):
     rows = table(spark, sf_dir, "labels")
     totals = rows.agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("quality"), 6).alias("quality"))
     W.write_report(spark.createDataFrame([("labels", 1)], "corpus string, version int"), rows, totals, path)
-    kept = spark.read.parquet(f"{path}/rows").agg(F.count(F.lit(1)).alias("rows"), F.sum("toxic").alias("toxic"))
+    kept = spark.read.parquet(f"{path}/rows").agg(F.count(F.lit(1)).alias("n"), F.sum("toxic").alias("toxic"))
     config = spark.read.schema("corpus string, version int").json(f"{path}/config")
-    # One row each.
-    return kept.crossJoin(spark.read.schema("n long, quality double").json(f"{path}/totals")).crossJoin(config)
+    back = spark.read.schema("n long, quality double").json(f"{path}/totals").join(kept, "n")
+    return back.withColumn("version", F.lit(1)).join(config, "version").select(F.col("n").alias("rows"), "toxic", "n", "quality", "corpus", "version")
 
 
 def json_outputs(spark, sf_dir):

@@ -31,8 +31,7 @@ KEYS = {
 
 def star_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Flagship: every column of the star schema with type, counts, key flag and samples."""
-    parts = [P.profile_table(table(spark, sf_dir, t), t, 3) for t in STAR]
-    return reduce(DataFrame.unionByName, parts).select(
+    return P.profile_tables({t: table(spark, sf_dir, t) for t in STAR}, 3).select(
         "table_name",
         "column",
         "data_type",
@@ -235,19 +234,19 @@ def schema_one_line(spark, sf_dir):
         .where(F.col("column").startswith("hot"))
         .select("db_id", "table_name", "column", F.array(F.lit("v1"), F.upper("column")).alias("values"))
     )
-    return T.one_line(given(spark, sf_dir, "catalog"), _fks(spark, sf_dir), with_db_id=True, links=links)
+    return T.one_line(given(spark, sf_dir, "catalog"), _fks(spark, sf_dir), with_db_id=True, links=links).drop("part")
 
 
 def schema_compact(spark, sf_dir):
-    return T.schema_text(_described(spark, sf_dir), "compact", fks=_fks(spark, sf_dir), n_values=1, threshold=1)
+    return T.schema_text(_described(spark, sf_dir), "compact", fks=_fks(spark, sf_dir), n_values=1, threshold=1).drop("part")
 
 
 def schema_ddl(spark, sf_dir):
-    return T.schema_text(_described(spark, sf_dir), "ddl", fks=_fks(spark, sf_dir), n_values=2)
+    return T.schema_text(_described(spark, sf_dir), "ddl", fks=_fks(spark, sf_dir), n_values=2).drop("part")
 
 
 def schema_m_schema(spark, sf_dir):
-    return T.schema_text(_described(spark, sf_dir), "m-schema", fks=_fks(spark, sf_dir), n_values=2)
+    return T.schema_text(_described(spark, sf_dir), "m-schema", fks=_fks(spark, sf_dir), n_values=2).drop("part")
 
 
 def value_text(spark, sf_dir):
