@@ -77,23 +77,42 @@ def same_cell(p: Column, t: Column, atol: float, rtol: float) -> Column:
 
 
 def _hash_sum(*parts: Column) -> Column:
-    """Order-free fingerprint of the rows: a sum that map tasks combine, two hashes wide."""
-    wide = [F.sum(F.xxhash64(F.lit(seed), *parts).cast("decimal(20,0)")) for seed in (1, 2)]
-    return F.concat_ws("/", *[w.cast("string") for w in wide])
+    """Order-free fingerprint of rows: sums of 24-bit slices of two hashes, 96 bits in all.
 
+    Long sums combine on the map side and cannot overflow below 2**39 rows.
+    """
+    mask, sums = F.lit((1 << 24) - 1).cast("long"), []
+    for seed in (1, 2):
+        h = F.xxhash64(F.lit(seed), *parts)
+        sums += [F.sum(h.bitwiseAND(mask)), F.sum(F.shiftright(h, 24).bitwiseAND(mask))]
+    return F.concat_ws("/", *[x.cast("string") for x in sums])
 
-def _positionally_equal(cells: DataFrame, pairs: DataFrame, atol: float, rtol: float) -> DataFrame:
-    """Pairs of one width whose cells agree at every place: one grouping by place, one by pair."""
-    value = F.struct("num", "str")
-    spot = cells.groupBy("pair_id", "row_idx", "col_idx").agg(
-        F.max(F.when(F.col("side") == "pred", value)).alias("p"),
-        F.max(F.when(F.col("side") == "target", value)).alias("t"),
-    )
-    agreeing = spot.groupBy("pair_id").agg(
-        F.count(F.when(same_cell(F.col("p"), F.col("t"), atol, rtol), True)).alias("_ok"), F.count(F.lit(1)).alias("_n")
+
+def _positionally_equal(cells: DataFrame, pairs: DataFrame, candidates: DataFrame, atol: float, rtol: float) -> DataFrame:
+    """Pairs of one width whose cells agree at every place.
+
+    Columns that agree exactly are known by their fingerprints; only number columns that may agree
+    within the tolerance are compared cell by cell.
+    """
+    same_place = candidates.where("pc = tc")
+    diagonal = same_place.groupBy("pair_id").agg(
+        F.count(F.lit(1)).alias("_n"),
+        F.bool_and("placed").alias("_all"),
+        F.bool_and(F.col("placed") | (F.col("n_num") > 0)).alias("_near"),
     )
-    same_shape = pairs.where("pred_cols = target_cols AND pred_rows = target_rows")
-    return agreeing.join(same_shape, "pair_id").where("_ok = _n AND _n = pred_rows * pred_cols").select("pair_id")
+    shaped = pairs.where("pred_cols = target_cols").join(diagonal, "pair_id").where("_n = pred_cols")
+    sure = shaped.where("_all").select("pair_id")
+    maybe = shaped.where("_near AND NOT _all").select("pair_id")
+    columns = same_place.where("NOT placed").join(maybe, "pair_id", "left_semi").select("pair_id", F.col("pc").alias("col_idx"))
+    if columns.isEmpty():
+        return sure
+    mine = cells.join(columns, ["pair_id", "col_idx"], "left_semi")
+    spot = ["pair_id", "row_idx", "col_idx"]
+    p = mine.where("side = 'pred'").select(*spot, F.struct("num", "str").alias("p"))
+    t = mine.where("side = 'target'").select(*spot, F.struct("num", "str").alias("t"))
+    ok = F.coalesce(same_cell(F.col("p"), F.col("t"), atol, rtol), F.lit(False)) & F.col("t").isNotNull()
+    near = p.join(t, spot, "left").groupBy("pair_id").agg(F.bool_and(ok).alias("_ok")).where("_ok")
+    return sure.unionByName(near.select("pair_id"))
 
 
 def column_summaries(cells: DataFrame) -> DataFrame:
@@ -135,6 +154,7 @@ def _candidates(summaries: DataFrame, pairs: DataFrame, atol: float, rtol: float
         F.col("t_col_idx").alias("tc"),
         F.col("p_placed_hash").alias("p_same"),
         F.col("t_placed_hash").alias("t_same"),
+        (F.col("p_placed_hash") == F.col("t_placed_hash")).alias("placed"),
         exact.alias("exact"),
     )
 
@@ -290,21 +310,21 @@ def compare_results(
     rows_differ = F.col("pred_rows") != F.col("target_rows")
     alike = pairs.where(~both_empty & ~rows_differ)
     mine = cells.join(alike.select("pair_id"), "pair_id", "left_semi")
-    equal = cut_lineage(_positionally_equal(mine, alike, atol, rtol))
+    candidates = cut_lineage(_candidates(column_summaries(mine), alike, atol, rtol))
+    equal = cut_lineage(_positionally_equal(cells, alike, candidates, atol, rtol))
     open_pairs = alike.join(equal, "pair_id", "left_anti")
-    left = cells.join(open_pairs.select("pair_id"), "pair_id", "left_semi")
 
-    candidates = cut_lineage(_candidates(column_summaries(left), open_pairs, atol, rtol))
+    candidates = candidates.join(equal, "pair_id", "left_anti")
     doubtful = candidates.where("NOT exact AND n_num > 0")
     sure = candidates.where("exact")
     if not doubtful.isEmpty():
-        checked = _verified(left, doubtful, atol, rtol)
+        checked = _verified(cells, doubtful, atol, rtol)
         sure = sure.unionByName(doubtful.join(checked, ["pair_id", "pc", "tc"], "left_semi"))
     widths = open_pairs.select("pair_id", "pred_cols", "target_cols")
     edges = cut_lineage(sure.join(widths, "pair_id"))
     full = cut_lineage(_full_mappings(edges))
     whole = full.where("order_matters").select("pair_id").union(
-        _jointly_equal(left, full.where("NOT order_matters"), atol, rtol)
+        _jointly_equal(cells, full.where("NOT order_matters"), atol, rtol)
     )
 
     label = (
