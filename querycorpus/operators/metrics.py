@@ -163,7 +163,9 @@ def corpus_bleu(df: DataFrame, max_n: int = 4) -> DataFrame:
         return F.filter(F.split(F.trim(c), r"\s+"), lambda w: w != "")
 
     texts = F.concat(F.array("prediction"), F.coalesce("refs", F.array().cast("array<string>")))
-    spread = df.select("id", F.posexplode(texts).alias("r", "text")).repartition("id")
+    # A stated number of partitions keeps the small text shuffle from being merged into few tasks.
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spread = df.select("id", F.posexplode(texts).alias("r", "text")).repartition(parts, "id")
     split = pinned(spread.select("id", "r", "text"), "w", words(F.col("text")))
     grams = split.select("id", "r", F.explode(_ngrams(F.col("w"), max_n)).alias("x"))
     counts = grams.groupBy("id", "r", "x.n", "x.g").agg(F.count(F.lit(1)).alias("c"))
