@@ -5,7 +5,8 @@ from __future__ import annotations
 import os
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from querycorpus.functions.scale import scratch_path
 
@@ -38,3 +39,22 @@ class Memo(dict):
             self.clear()
         self[word] = value
         return value
+
+
+def remainder(modulus: int) -> Column:
+    """crc32 of doc_id as text, modulo; null without doc_id."""
+    return F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(modulus)).cast("int")
+
+
+def labelled(docs: DataFrame, marks: DataFrame, label: str, modulus: int, held_out: int, keep: bool, max_rows: int) -> DataFrame:
+    """(doc_id, text, y) of at most about ``max_rows`` labelled documents on the learning side, chosen by a hash of doc_id.
+
+    ``keep``: learn from rows whose remainder differs from ``held_out``, else from those that equal it. Labels of a repeated doc_id
+    are averaged (a draw gives none); null labels are left out. The chosen labels are the only broadcast side: ``max_rows`` small rows.
+    """
+    y = F.avg(F.col(label).cast("double"))
+    side = remainder(modulus) != held_out if keep else remainder(modulus) == held_out
+    chosen = marks.where(F.col(label).isin(0, 1) & side).groupBy(F.col("doc_id").cast("long").alias("_id")).agg(y.alias("_y")).where("_y <> 0.5")
+    chosen = chosen.select("_id", (F.col("_y") > 0.5).cast("int").alias("y")).orderBy(F.xxhash64("_id"), "_id").limit(max_rows)
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    return texts.join(F.broadcast(chosen), F.col("doc_id") == F.col("_id")).select("doc_id", "text", "y")

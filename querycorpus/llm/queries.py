@@ -1,7 +1,7 @@
 """The registered queries of this folder and their DuckDB counterparts."""
 
-from querycorpus.llm import bpe, embedding_dedup, exact_dedup, line_dedup, minhash_dedup, packing, sharding
+from querycorpus.llm import bpe, embedding_dedup, exact_dedup, line_dedup, minhash_dedup, packing, quality, sharding, toxicity
 
-MODULES = [packing, embedding_dedup, line_dedup, exact_dedup, minhash_dedup, bpe, sharding]
+MODULES = [packing, embedding_dedup, line_dedup, toxicity, exact_dedup, minhash_dedup, bpe, quality, sharding]
 QUERIES = {name: query for module in MODULES for name, query in module.QUERIES.items()}
 ORACLES = {name: sql for module in MODULES for name, sql in module.ORACLES.items()}
