@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from querycorpus.llm.common import Memo, documents
+from querycorpus.llm.common import Memo, documents, per_worker
 
 #: White space as the vocabulary's splitter sees it.
 SPACE = "\t-\r \x85\xa0  -     　"
@@ -170,15 +170,9 @@ class Encoder:
         return b"".join(out).decode("utf-8", errors="replace")
 
 
-_ENCODERS: dict[str, Encoder] = {}
-
-
 def encoder_of(model: str) -> Encoder:
     """One encoder per vocabulary and worker."""
-    key = hashlib.sha256(model.encode()).hexdigest()
-    if key not in _ENCODERS:
-        _ENCODERS[key] = Encoder(model)
-    return _ENCODERS[key]
+    return per_worker(f"encoder {hash(model)}", lambda: Encoder(model))
 
 
 def vocabulary_text(spark: SparkSession, path: str) -> Broadcast:

@@ -41,6 +41,18 @@ class Memo(dict):
         return value
 
 
+_WORKER: dict[str, object] = {}
+
+
+def per_worker(key: str, make: Callable):
+    """An object with memos that the tasks of one Python worker share; the last few are held."""
+    if key not in _WORKER:
+        while len(_WORKER) > 2:
+            _WORKER.pop(next(iter(_WORKER)))
+        _WORKER[key] = make()
+    return _WORKER[key]
+
+
 def remainder(modulus: int) -> Column:
     """crc32 of doc_id as text, modulo; null without doc_id."""
     return F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(modulus)).cast("int")

@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from querycorpus.llm.common import Memo, documents, written
+from querycorpus.llm.common import Memo, documents, per_worker, written
 from querycorpus.llm.components import components
 
 ODD = np.array([0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB], np.uint64)
@@ -81,7 +81,7 @@ class Sketcher:
 
 def _sketches(words: int, bands: int, rows: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sketcher = Sketcher(words, bands, rows)
+        sketcher = per_worker(f"sketcher {words} {bands} {rows}", lambda: Sketcher(words, bands, rows))
         for batch in batches:
             sizes, first, second, keys, ends = [], [], [], [], [0]
             for text in batch["text"].to_pylist():
@@ -104,7 +104,7 @@ def _sketches(words: int, bands: int, rows: int):
 
 def _sets(words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sketcher = Sketcher(words, 1, 1)
+        sketcher = per_worker(f"sketcher {words} 1 1", lambda: Sketcher(words, 1, 1))
         for batch in batches:
             sets = [sketcher.shingles(text).tobytes() for text in batch["text"].to_pylist()]
             yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(sets, pa.binary())], ["node", "shingles"])

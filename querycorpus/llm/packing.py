@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from querycorpus.llm.bpe import vocabulary_text
-from querycorpus.llm.common import Memo, documents, written
+from querycorpus.llm.common import Memo, documents, per_worker, written
 
 #: Words of these letters and marks are split here; others go to the tokenizer as they are.
 COMMON = re.compile("[a-zA-ZÀ-ÖØ-öø-ÿ0-9.,;:!?-]+")
@@ -57,7 +57,7 @@ def _tokenized(model, window: int, end: int, keep_ids: bool):
     (its rarest words, as a rule), by which tails with common subjects come into one shard."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = Words(model.value)
+        words = per_worker(f"words {hash(model.value)}", lambda: Words(model.value))
         for batch in batches:
             out: list[tuple] = []
             for doc_id, text in zip(batch["doc_id"].to_pylist(), batch["text"].to_pylist(), strict=True):

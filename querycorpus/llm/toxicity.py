@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from querycorpus.llm.common import Memo, documents, labelled, labels, remainder
+from querycorpus.llm.common import Memo, documents, labelled, labels, per_worker, remainder
 
 MARKS = string.punctuation + "“”„«»‘’…–—¡¿"
 STEMS = (4, 5, 6)
@@ -75,7 +75,8 @@ class Vectors:
 
 def _document_frequencies(terms: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vectors, total, rows = Vectors(terms), np.zeros(len(terms), np.int64), 0
+        vectors = per_worker(f"vectors {hash((*terms,))}", lambda: Vectors(terms))
+        total, rows = np.zeros(len(terms), np.int64), 0
         for batch in batches:
             rows += batch.num_rows
             for text in batch["text"].to_pylist():
@@ -87,12 +88,13 @@ def _document_frequencies(terms: list[str]):
 
 
 class BlockMaxIndex:
-    """Postings of labelled examples in blocks of neighbours in the order of their heaviest terms; each term knows the greatest weight it
+    """Postings of labelled examples in blocks, ordered by their heaviest telling terms and the weight of the rest; each term knows the greatest weight it
     has in a block. A block is opened only if the sum of these bounds can reach the k-th best similarity found so far."""
 
     def __init__(self, examples: list[tuple[np.ndarray, np.ndarray]], width: int, block: int = 32) -> None:
-        lead = [int(t[w.argmax()]) if len(t) else width for t, w in examples]
-        self.order = np.lexsort((np.arange(len(examples)), lead))
+        lead = [int(t[w[:-1].argmax()]) if len(t) > 1 else width for t, w in examples]
+        rest = [float(w[-1]) if len(w) else 0.0 for _, w in examples]
+        self.order = np.lexsort((np.arange(len(examples)), rest, lead))
         self.size = len(examples)
         sizes = [len(t) for t, _ in examples]
         owner = np.repeat(self.places(), sizes)
@@ -120,21 +122,29 @@ class BlockMaxIndex:
         bounds = np.bincount(self.run_block[runs], self.run_max[runs] * query, self.blocks)
         waiting = np.argsort(-bounds, kind="stable")
         waiting = waiting[: np.count_nonzero(bounds)]
-        scores, floor, step = np.zeros(self.size), 0.0, 4
+        scores, top, floor, step = np.zeros(self.size), np.zeros(0), 0.0, 4
+        blocks, open_now = self.run_block[runs], np.zeros(self.blocks, bool)
         while len(waiting) and bounds[waiting[0]] >= floor - 1e-12:
             some, waiting = waiting[:step], waiting[step:]
             some = some[bounds[some] >= floor - 1e-12]
             step *= 2
             self.opened += len(some)
-            chosen = np.isin(self.run_block[runs], some)
-            first, last = self.run_start[runs[chosen]], self.run_end[runs[chosen]]
-            lengths = last - first
+            open_now[some] = True
+            chosen = open_now[blocks]
+            open_now[some] = False
+            first = self.run_start[runs[chosen]]
+            lengths = self.run_end[runs[chosen]] - first
             at = np.repeat(first - np.r_[0, np.cumsum(lengths)[:-1]], lengths) + np.arange(lengths.sum())
-            np.add.at(scores, self.owner[at], self.weight[at] * np.repeat(query[chosen], lengths))
+            owners = self.owner[at]
+            np.add.at(scores, owners, self.weight[at] * np.repeat(query[chosen], lengths))
             if leave_out >= 0:
                 scores[leave_out] = 0
-            if np.count_nonzero(scores) >= k:
-                floor = np.partition(scores, -k)[-k]
+            # The scores of an opened block are final.
+            top = np.append(top, scores[np.unique(owners)])
+            if len(top) > k:
+                top = np.partition(top, -k)[-k:]
+            if len(top) == k:
+                floor = top.min()
         found = np.flatnonzero(scores)
         best = found[np.lexsort((found, -scores[found]))[:k]]
         return self.order[best], scores[best]
@@ -163,7 +173,8 @@ class ToxicityModel:
     def start(self) -> None:
         if "index" not in self.__dict__:
             self.__dict__["index"] = BlockMaxIndex(self.examples, len(self.terms) + 1)
-            self.__dict__["vectors"] = Vectors(self.terms, self.idf, self.rest)
+            make = lambda: Vectors(self.terms, self.idf, self.rest)
+            self.__dict__["vectors"] = per_worker(f"vectors {hash((*self.terms, self.rest))}", make)
             self.__dict__["plain"] = None
 
     def vote(self, near: np.ndarray, similarity: np.ndarray, prior: float = 5.0) -> float:
@@ -245,10 +256,21 @@ def learn_toxicity(docs: DataFrame, marks: DataFrame, max_rows: int = 12_000, k:
 
 
 def scorer(model: ToxicityModel | None):
-    """A column function: text to (score, neighbours). Without a model nothing is known against a text: 0."""
+    """A column function: text to score. Without a model nothing is known against a text: 0."""
+
+    @F.pandas_udf("double")
+    def score(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for some in texts:
+            yield pd.Series([model.evidence(text)[0] if model else 0.0 for text in some], dtype="float64")
+
+    return score
+
+
+def explainer(model: ToxicityModel | None):
+    """A column function: text to (score, neighbours), the evidence."""
 
     @F.pandas_udf("score double, neighbours array<struct<doc_id:long,similarity:double,toxic:int>>")
-    def score(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    def explained(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for some in texts:
             scores, evidence = [], []
             for text in some:
@@ -257,34 +279,31 @@ def scorer(model: ToxicityModel | None):
                 evidence.append([{"doc_id": model.ids[i], "similarity": float(s), "toxic": int(model.toxic[i])} for i, s in zip(near, similarity, strict=True)])
             yield pd.DataFrame({"score": scores, "neighbours": pd.Series(evidence, dtype=object)})
 
-    return score
+    return explained
 
 
-def score_toxicity(docs: DataFrame, marks: DataFrame, threshold: float = 0.5, **settings) -> DataFrame:
-    """Score every whole text: doc_id, held_out, score (0 to 1, higher: label 1 likelier), predicted, neighbours (the evidence).
+def score_toxicity(docs: DataFrame, marks: DataFrame, threshold: float = 0.5, evidence: bool = True, **settings) -> DataFrame:
+    """Score every whole text: doc_id, held_out, score (0 to 1, higher: label 1 likelier), predicted and, with ``evidence``, neighbours.
 
     A text's terms are its words and their beginnings, limited to those that tell toxic examples from others; it is compared with all
     indexed examples. Null or empty text, or one without such terms: no neighbours, the calibrated base rate. A null doc_id counts as held out.
     Rows with one doc_id are scored each by its own text. Without labels: 0; with one class: its smoothed share. Other columns are not read.
     """
-    score = scorer(learn_toxicity(docs, marks, **settings))
-    scored = docs.select(F.col("doc_id").cast("long").alias("doc_id"), score(F.col("text").cast("string")).alias("found"))
-    return scored.select(
-        "doc_id",
-        F.coalesce(remainder(5) == 0, F.lit(True)).alias("held_out"),
-        F.col("found.score").alias("score"),
-        (F.col("found.score") >= threshold).cast("int").alias("predicted"),
-        F.col("found.neighbours").alias("neighbours"),
-    )
+    model = learn_toxicity(docs, marks, **settings)
+    text = F.col("text").cast("string")
+    found = explainer(model)(text) if evidence else F.struct(scorer(model)(text).alias("score"))
+    scored = docs.select(F.col("doc_id").cast("long").alias("doc_id"), found.alias("found")).select("doc_id", "found.*")
+    held_out = F.coalesce(remainder(5) == 0, F.lit(True))
+    return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"), *(["neighbours"] if evidence else []))
 
 
 def drop_toxic(docs: DataFrame, marks: DataFrame, threshold: float = 0.5, **settings) -> DataFrame:
     """The rows of ``docs``, with all their columns, whose text scores below ``threshold``."""
-    return docs.where(scorer(learn_toxicity(docs, marks, **settings))(F.col("text").cast("string"))["score"] < threshold)
+    return docs.where(scorer(learn_toxicity(docs, marks, **settings))(F.col("text").cast("string")) < threshold)
 
 
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return score_toxicity(documents(spark, sf_dir), labels(spark, sf_dir)).drop("neighbours")
+    return score_toxicity(documents(spark, sf_dir), labels(spark, sf_dir), evidence=False)
 
 
 QUERIES = {"op4_toxicity": op4_toxicity}
