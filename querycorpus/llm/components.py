@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -12,7 +13,7 @@ def _large_star(edges: DataFrame) -> DataFrame:
     """Tie every larger neighbour of a node to the smallest node of its neighbourhood."""
     both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("least"))
-    return both.where("b > a").join(least, "a").where("b <> least").select(F.col("b").alias("a"), F.col("least").alias("b")).distinct()
+    return both.where("b > a").join(least, "a").where("b <> least").select(F.col("b").alias("a"), F.col("least").alias("b"))
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
@@ -22,6 +23,17 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return moved.unionByName(least.withColumnRenamed("least", "b")).distinct()
 
 
+def local_roots(near: np.ndarray) -> np.ndarray:
+    """Least member of each row's component in a small symmetric link matrix."""
+    root = np.arange(len(near))
+    while True:
+        least = np.minimum(root, np.where(near, root[None, :], len(near)).min(1, initial=len(near)))
+        least = least[least]
+        if (least == root).all():
+            return root
+        root = least
+
+
 def components(links: DataFrame, max_rounds: int = 50) -> DataFrame:
     """``(node, component)`` for every node of ``links(a, b)``; a component is its smallest node.
 

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from querycorpus.llm.common import written
-from querycorpus.llm.components import components
+from querycorpus.llm.components import components, local_roots
 
 NODE = ["label", "rep", "h"]
 
@@ -56,17 +56,6 @@ def _table_keys(centre: np.ndarray, rotations: list[np.ndarray], bits: int, tabl
     return run
 
 
-def _roots(near: np.ndarray) -> np.ndarray:
-    """Least member of each row's component in a small symmetric link matrix."""
-    root = np.arange(len(near))
-    while True:
-        least = np.minimum(root, np.where(near, root[None, :], len(near)).min(1, initial=len(near)))
-        least = least[least]
-        if (least == root).all():
-            return root
-        root = least
-
-
 def _compared(similarity: float):
     """Rows come sorted by bucket and block pair. For each, compare all vectors of the two blocks at once; give a row for each
     vector with links: how many it has that are first met in this table, and the root of its links here. Never pairs."""
@@ -91,7 +80,7 @@ def _compared(similarity: float):
             one += start
             first = ~(keys[one, :table] == keys[two, :table]).any(1)
             np.add.at(counts, one[first], rows["copies"][two[first]])
-        rep, root = rows["rep"], _roots(near)
+        rep, root = rows["rep"], local_roots(near)
         return [(rows["label"][k], rep[k], rows["h"][k], counts[k], rep[root[k]]) for k in np.flatnonzero(near.any(1))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

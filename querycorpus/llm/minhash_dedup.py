@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from querycorpus.llm.common import Memo, documents, per_worker, written
-from querycorpus.llm.components import components
+from querycorpus.llm.components import components, local_roots
 
 ODD = np.array([0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB], np.uint64)
 
@@ -133,47 +133,118 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(one, "a").join(two, "b").select("a", "b", "one", "two").mapInArrow(_linked(percent), "a long, b long").distinct()
 
 
-def _fit(n: str, m: str, percent: int):
-    """Sets can reach the threshold only if the smaller is large enough."""
-    return 100 * F.least(n, m) >= percent * F.greatest(n, m)
+def _shingles_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        sets = [np.frombuffer(x, np.int64) for x in batch["shingles"].to_pylist()]
+        nodes = np.repeat(batch["node"].to_numpy(), [len(x) for x in sets])
+        yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(np.concatenate(sets) if sets else nodes)], ["node", "shingle"])
+
+
+def _compared(percent: int):
+    """Rows come sorted by family and block pair. All sets of two blocks are compared at once; each node with links gets the root
+    of its links here. Never pairs."""
+
+    def block(rows: pa.Table) -> list[tuple[int, int]]:
+        sets = [np.frombuffer(x, np.uint64) for x in rows["shingles"].to_pylist()]
+        sizes, nodes, own = np.array([len(x) for x in sets]), rows["node"].to_numpy(), rows["block"].to_numpy()
+        names, column, uses = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+        shared = uses > 1
+        number = np.cumsum(shared) - 1
+        keep = shared[column]
+        row, column = np.repeat(np.arange(len(sets)), sizes)[keep], number[column[keep]]
+        order = np.argsort(column, kind="stable")
+        row, column = row[order], column[order]
+        both = np.zeros((len(sets), len(sets)), np.float32)
+        for start in range(0, int(shared.sum()), 4096):
+            a, b = np.searchsorted(column, [start, start + 4096])
+            part = np.zeros((len(sets), 4096), np.float32)
+            part[row[a:b], column[a:b] - start] = 1
+            both += part @ part.T
+        near = 100 * both >= percent * (sizes[:, None] + sizes[None, :] - both)
+        np.fill_diagonal(near, False)
+        if rows["i"][0] != rows["j"][0]:
+            near &= own[:, None] != own[None, :]
+        root = local_roots(near)
+        return [(int(nodes[k]), int(nodes[root[k]])) for k in np.flatnonzero(root != np.arange(len(root)))]
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def put(found: list[tuple[int, int]]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.int64()) for k in (0, 1)], ["a", "b"])
+
+        held: list[pa.RecordBatch] = []
+        last = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            names = np.stack([batch[c].to_numpy() for c in ("family", "i", "j")], 1)
+            starts = [0, *(np.flatnonzero((names[1:] != names[:-1]).any(1)) + 1).tolist(), batch.num_rows]
+            found: list[tuple[int, int]] = []
+            for a, b in zip(starts[:-1], starts[1:], strict=True):
+                if tuple(names[a]) != last and held:
+                    found += block(pa.Table.from_batches(held))
+                    held = []
+                last = tuple(names[a])
+                held.append(batch.slice(a, b - a))
+            yield put(found)
+        if held:
+            yield put(block(pa.Table.from_batches(held)))
+
+    return run
 
-def _links(texts: DataFrame, nodes: DataFrame, again: DataFrame, words: int, percent: int) -> DataFrame:
+
+def _rest(starred: DataFrame, linked: DataFrame, sets: DataFrame, percent: int, block_shingles: int) -> DataFrame | None:
+    """Links that the stars have missed: of members that are not linked with the centre of their bucket.
+
+    A node with too many shingles that no other node here holds can't be linked with any and goes. Buckets that still have unlinked
+    members are joined to families by their members; a family's sets are compared in pairs of blocks inside the tasks.
+    """
+    apart = written(starred.where("rep <> centre").join(linked.select(F.col("a").alias("rep"), F.col("b").alias("centre")), ["rep", "centre"], "left_anti")
+                    .join(linked.select(F.col("a").alias("centre"), F.col("b").alias("rep")), ["rep", "centre"], "left_anti").select("key", "rep"), "unlinked_members")
+    here = written(starred.join(apart.select("key").distinct(), "key", "left_semi").select("key", "rep", "n"), "open_members")
+    nodes = here.groupBy("rep").agg(F.max("n").alias("n"))
+    several = sets.groupBy(F.col("node").alias("rep")).agg(F.count(F.lit(1)).alias("texts")).where("texts > 1")  # of a repeated doc_id
+    held = sets.join(nodes.select(F.col("rep").alias("node")), "node", "left_semi").mapInArrow(_shingles_of, "node long, shingle long")
+    private = held.groupBy("shingle").agg(F.count(F.lit(1)).alias("uses"), F.min("node").alias("rep")).where("uses = 1").groupBy("rep").agg(F.count(F.lit(1)).alias("private"))
+    shared = F.col("n") - F.coalesce("private", F.lit(0))
+    able = nodes.join(private, "rep", "left").join(several, "rep", "left").where(F.col("texts").isNotNull() | (100 * shared >= percent * F.col("n")))
+    able = written(able.select("rep", "n"), "able_members")
+    keys = apart.join(able, "rep", "left_semi").select("key").distinct()
+    here = here.join(keys, "key", "left_semi").join(able.select("rep"), "rep", "left_semi")
+    hubs = here.groupBy("key").agg(F.min("rep").alias("hub"), F.count(F.lit(1)).alias("size")).where("size > 1")
+    ties = written(here.join(hubs, "key").where("rep <> hub").select(F.col("rep").alias("a"), F.col("hub").alias("b")).distinct(), "family_ties")
+    if ties.isEmpty():
+        return None
+    families = components(ties).select(F.col("component").alias("family"), F.col("node").alias("rep")).join(able, "rep")
+    blocks = families.groupBy("family").agg(F.ceil(F.sum("n") / block_shingles).cast("long").alias("blocks"))
+    placed = families.join(blocks, "family").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")))
+    placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    placed = placed.select("family", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", F.col("rep").alias("node"))
+    group = ["family", "i", "j"]
+    full = placed.join(sets, "node").select(*group, "block", "node", "shingles").repartition(*group).sortWithinPartitions(*group)
+    return full.mapInArrow(_compared(percent), "a long, b long")
+
+
+def _links(texts: DataFrame, nodes: DataFrame, again: DataFrame, words: int, percent: int, block_shingles: int) -> DataFrame:
     """Components of ``nodes(rep, n, keys)`` as (node, component); ``again`` holds links known beforehand."""
     entries = nodes.select("rep", "n", F.explode("keys").alias("key"))
     sizes = entries.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
     members = written(entries.join(sizes, "key"), "bucket_members")
     weights = members.groupBy("rep").agg(F.sum("size").alias("weight"))
     # The centre of a bucket is the member that meets the most others over all buckets: the source of a family of copies.
-    centres = members.join(weights, "rep").groupBy("key").agg(F.max_by(F.struct("rep", "n"), F.struct("weight", -F.col("rep"))).alias("centre"))
-    pairs = members.join(centres, "key").where("rep <> centre.rep").where(_fit("n", "centre.n", percent))
-    pairs = pairs.select(F.greatest("rep", "centre.rep").alias("a"), F.least("rep", "centre.rep").alias("b")).distinct()
+    centres = members.join(weights, "rep").groupBy("key").agg(F.max_by(F.struct("rep", "n"), F.struct("weight", -F.col("rep"))).alias("c"))
+    starred = members.join(centres, "key").select("key", "rep", "n", F.col("c.rep").alias("centre"), F.col("c.n").alias("m"))
+    starred = written(starred, "starred_members")
+    fits = 100 * F.least("n", "m") >= percent * F.greatest("n", "m")  # else the sizes alone rule the link out
+    pairs = starred.where("rep <> centre").where(fits).select(F.greatest("rep", "centre").alias("a"), F.least("rep", "centre").alias("b")).distinct()
     wanted = members.select(F.col("rep").alias("doc_id")).distinct()
     sets = written(texts.join(wanted, "doc_id", "left_semi").mapInArrow(_sets(words), "node long, shingles binary"), "shingle_sets")
-    tested = written(pairs, "tested_pairs")
-    linked = written(_confirmed(tested, sets, percent).unionByName(again), "links")
-    step, width = 1, 5
-    while True:
-        # Buckets whose members are not all in one component yet: more members become centres, 32 times as many each
-        # time, until each one has been. So no link of two members that share a bucket is lost.
-        found = written(components(linked), "components")
-        placed = members.join(found.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-        state = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"))
-        still = placed.join(state.where("low <> high").select("key"), "key").withColumn("rest", F.ceil(F.log2("size")) - width * step)
-        still = written(still.where(F.col("rest") > -width), "open_members")
-        if still.isEmpty():
-            return found
-        chosen = still.where((F.col("rest") <= 0) | (F.pmod(F.xxhash64("key", "rep"), F.pow(F.lit(2.0), F.col("rest")).cast("long")) == 0))
-        chosen = chosen.select("key", F.col("rep").alias("other"), F.col("n").alias("m"), F.col("component").alias("its"))
-        pairs = still.join(chosen, "key").where("component <> its").where(_fit("n", "m", percent))
-        pairs = pairs.select(F.greatest("rep", "other").alias("a"), F.least("rep", "other").alias("b")).distinct().join(tested, ["a", "b"], "left_anti")
-        pairs = written(pairs, "tested_pairs")
-        tested = tested.unionByName(pairs)
-        linked = linked.unionByName(written(_confirmed(pairs, sets, percent), "links"))
-        step += 1
-
-
-def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, bins: int = 256, miss: float = 1e-6) -> DataFrame:
+    linked = written(_confirmed(pairs, sets, percent), "links")
+    rest = _rest(starred, linked, sets, percent, block_shingles)
+    linked = linked.unionByName(again)
+    return components(linked if rest is None else linked.unionByName(rest))
+
+
+def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, bins: int = 256, miss: float = 1e-6, block_shingles: int = 150_000) -> DataFrame:
     """Link texts whose sets of ``words``-word shingles have a Jaccard similarity of ``percent`` / 100 or more, and group them.
 
     Returns per row: doc_id, n_shingles, component_id (smallest doc_id reachable by links), kept (doc_id = component_id).
@@ -181,8 +252,9 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, bins: in
 
     1. Documents of equal sets become one node.
     2. A node's signature (at most ``bins`` bins) is cut into bands; a pair at the threshold shares no band with a chance of at most ``miss``.
-    3. Members of a bucket are compared with the bucket's centre only, on their full sets; where that leaves a bucket in
-       several components, more members become centres until all have been.
+    3. Members of a bucket are compared with the bucket's centre only, on their full sets. So that no link between two members is lost
+       where one of them is not linked with the centre, the members of such buckets are compared in blocks of about ``block_shingles``
+       shingles inside the tasks; no pairs leave them.
     4. Links are closed to components.
 
     * Null, empty or blank text: no shingles, linked with nothing. Fewer words than a shingle: the whole sequence is one.
@@ -199,7 +271,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, bins: in
     mapped = written(mapped.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("rep", "doc_id")).alias("rep")), "mapped")
     again = mapped.where("doc_id <> rep").join(mapped.where("doc_id = rep").select("doc_id").distinct(), "doc_id", "left_semi")
     again = again.select(F.col("doc_id").alias("a"), F.col("rep").alias("b")).distinct()
-    found = _links(texts, nodes, again, words, percent).withColumnRenamed("node", "rep")
+    found = _links(texts, nodes, again, words, percent, block_shingles).withColumnRenamed("node", "rep")
     out = mapped.join(found, "rep", "left").withColumn("component_id", F.coalesce("component", "rep"))
     return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
 
