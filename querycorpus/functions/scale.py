@@ -2,8 +2,7 @@
 
 A single key may hold a third of all rows, so nothing here gathers a group of
 unknown size in one task: ranks come from a range partitioning whose order has a
-unique tie-break, lists are cut into chunks of bounded length, top-k is limited
-on the map side, and broadcast hints follow a row count.
+unique tie-break, and top-k is limited on the map side.
 """
 
 from __future__ import annotations
@@ -15,9 +14,6 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-BROADCAST_ROWS = 200_000
-LIST_ROWS = 10_000
-
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder named by ``spark.checkpoint.dir``; a temporary one only in local mode."""
@@ -43,15 +39,6 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def broadcast_within(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Hint a broadcast only after counting at most ``max_rows`` rows.
-
-    Beyond that the frame is returned as it is and the join shuffles (AQE splits skew).
-    """
-    within = df.limit(max_rows + 1).count() <= max_rows
-    return F.broadcast(df) if within else df
-
-
 def top_k(df: DataFrame, group: list[str], order: list[Column], k: int) -> DataFrame:
     """First ``k`` rows per group as column ``rank``.
 
@@ -84,46 +71,3 @@ def global_position(df: DataFrame, group: list[str], order: list[Column], name:
     return joined.select(
         *[inside[c] for c in df.columns], (F.col("_i") + F.col("_shift")).cast("long").alias(name)
     )
-
-
-def chunked_lists(
-    df: DataFrame,
-    group: list[str],
-    order: list[str],
-    values: list[str],
-    max_rows: int = LIST_ROWS,
-) -> DataFrame:
-    """Ordered lists per group, cut into chunks of about ``max_rows`` items.
-
-    Groups up to ``max_rows`` rows give one row (``chunk`` 0). A larger group gives several,
-    its rows spread by the hash of ``order`` (unique in the group), so no task holds it whole.
-    """
-    sizes = df.groupBy(*group).agg(F.count(F.lit(1)).alias("_n"))
-    big = sizes.where(F.col("_n") > max_rows).select(
-        *group, F.ceil(F.col("_n") / F.lit(max_rows)).cast("long").alias("_chunks")
-    )
-    with_chunk = df.join(big, group, "left").withColumn(
-        "chunk",
-        F.when(
-            F.col("_chunks").isNotNull(), F.pmod(F.xxhash64(*order), F.col("_chunks"))
-        ).otherwise(F.lit(0).cast("long")),
-    )
-    items = F.sort_array(F.collect_list(F.struct(*order, *[v for v in values if v not in order])))
-    listed = with_chunk.groupBy(*group, "chunk").agg(items.alias("_items"))
-    return listed.select(*group, "chunk", *[F.col("_items")[v].alias(v) for v in values])
-
-
-def ordered_chunks(
-    df: DataFrame, group: list[str], order: list[Column], max_rows: int = LIST_ROWS, name: str = "part"
-) -> DataFrame:
-    """Add ``part``: 0 for groups up to ``max_rows`` rows, else consecutive runs of that length.
-
-    Text aggregated per (group, part) stays bounded, and the parts in order give the whole.
-    """
-    sizes = df.groupBy(*group).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > max_rows).select(*group)
-    if sizes.isEmpty():
-        return df.withColumn(name, F.lit(0).cast("long"))
-    sizes = cut_lineage(sizes)
-    small = df.join(sizes, group, "left_anti").withColumn(name, F.lit(0).cast("long"))
-    large = global_position(df.join(sizes, group, "left_semi"), group, order, name)
-    return small.unionByName(large.withColumn(name, F.floor(F.col(name) / max_rows).cast("long")))

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from querycorpus.functions.arrays import held, pinned
-from querycorpus.functions.scale import LIST_ROWS, chunked_lists
+from querycorpus.functions.scale import global_position
 from querycorpus.functions.text import mark_names, md5_bucket
 
 # Aggregates and comparisons of structured queries, by number.
@@ -18,31 +18,32 @@ STRUCTURED_AGGREGATES = ["", "MAX", "MIN", "COUNT", "SUM", "AVG"]
 STRUCTURED_COMPARISONS = ["=", ">", "<", "OP"]
 
 
-def grouped_by_query(
-    df: DataFrame, keys: list[str], order: list[str], max_rows: int = LIST_ROWS
-) -> DataFrame:
-    """One row per (query, database): every other column as an ordered list, with its number of
-    distinct values; a list of equal values is reduced to one.
+def grouped_by_query(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """Collapse the rows of each (query, database): ``keys, column, n_distinct, place, value``.
 
-    A group beyond ``max_rows`` comes as several rows (``chunk``), so no task holds it whole.
+    Every other column whose values are all equal in its group gives one row, place 0; other columns give one row
+    per row of the group, in ``order``. Values are text; a null is a value like any other. Both decisions are made by
+    aggregation over the whole group and places by range partitioning, so a group of any size has this one form.
     """
     rest = [c for c in df.columns if c not in keys]
-    listed = chunked_lists(df, keys, order, rest, max_rows)
-    out = [*keys, "chunk"]
-    for c in rest:
-        distinct = F.array_distinct(c)
-        out += [F.when(F.size(distinct) == 1, distinct).otherwise(F.col(c)).alias(c), F.size(distinct).alias(f"{c}_distinct")]
-    return listed.select(*out)
-
-
-def datapoints(grouped: DataFrame, question: str, sql: str, db_id: str = "db_id") -> DataFrame:
-    """First question of a group as the main one, the others as alternatives."""
-    return grouped.select(
-        F.try_element_at(F.col(question), F.lit(1)).alias("nl_query"),
-        F.slice(question, F.lit(2), F.greatest(F.size(question) - 1, F.lit(0))).alias("nl_query_alt"),
-        F.col(sql).alias("sql_query"),
-        F.col(db_id).alias("db_id"),
-    )
+    placed = global_position(df, keys, [F.col(c) for c in [*order, *rest]], "place")
+    cells = F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("value")) for c in rest]))
+    cells = placed.select(*keys, "place", cells.alias("_c")).select(*keys, "place", "_c.column", "_c.value")
+    counts = cells.select(*keys, "column", "value").distinct().groupBy(*keys, "column").agg(F.count(F.lit(1)).alias("n_distinct"))
+    counts = counts.select(*[F.col(k).alias(f"_{k}") for k in [*keys, "column"]], "n_distinct")
+    same = reduce(Column.__and__, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in [*keys, "column"]])
+    joined = cells.join(counts, same).where((F.col("n_distinct") > 1) | (F.col("place") == 0))
+    return joined.select(*keys, "column", "n_distinct", "place", "value")
+
+
+def datapoints(df: DataFrame, question: str, sql: str, db_id: str, order: list[str]) -> DataFrame:
+    """One row per question of each (query, database): the first question of the whole group is ``nl_query`` of all its
+    rows; ``nl_query_alt`` is the question at ``place`` 1, 2, .. and null at place 0, the row of the main question."""
+    placed = global_position(df, [sql, db_id], [F.col(c) for c in [*order, question]], "place")
+    first = placed.groupBy(F.col(sql).alias("_sql"), F.col(db_id).alias("_db")).agg(F.min_by(question, "place").alias("nl_query"))
+    joined = placed.join(first, placed[sql].eqNullSafe(F.col("_sql")) & placed[db_id].eqNullSafe(F.col("_db")))
+    alternative = F.when(F.col("place") > 0, F.col(question))
+    return joined.select("nl_query", F.col(sql).alias("sql_query"), F.col(db_id).alias("db_id"), "place", alternative.alias("nl_query_alt"))
 
 
 def renamed_split(df: DataFrame, names: dict[str, str] | None = None) -> DataFrame:

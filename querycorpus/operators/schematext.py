@@ -1,7 +1,7 @@
 """Schemas as text in four forms.
 
 Each form is two ordered aggregations: column texts per table, then table texts per
-database. A list is as long as a table is wide or a database has tables.
+database. A list is as long as a table is wide or a database has tables: the text of a database is one value at every size.
 """
 
 from __future__ import annotations
@@ -9,12 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from querycorpus.functions.scale import LIST_ROWS, ordered_chunks
 from querycorpus.operators.profile import shown_values
 
-# Most tables or keys whose texts are joined in one row.
-MAX_ENTRIES = LIST_ROWS
-
 # Longest shown sample value.
 VALUE_LENGTH = 30
 
@@ -30,13 +26,17 @@ def _in_order(columns: DataFrame) -> DataFrame:
 
 
 def value_texts(values: Column, data_type: Column) -> Column:
-    """Values as they are shown: texts quoted and cut after 30 characters, numbers bare."""
+    """Values as they are shown: texts quoted and cut after 30 characters, numbers bare. Quotes of both kinds, backslashes,
+    line ends and tabs are escaped."""
     numeric = F.upper(data_type).rlike("^(TINY|SMALL|BIG)?INT|^INTEGER|^DOUBLE|^FLOAT|^REAL|^DECIMAL|^NUMERIC")
 
     def shown(v: Column) -> Column:
         cut = F.when(F.length(v) > VALUE_LENGTH, F.concat(F.substring(v, 1, VALUE_LENGTH), F.lit("..."))).otherwise(v)
         quote = F.when(cut.contains("'") & ~cut.contains('"'), F.lit('"')).otherwise(F.lit("'"))
-        inner = F.when(quote == "'", F.replace(cut, F.lit("'"), F.lit("\\'"))).otherwise(cut)
+        inner = cut
+        for mark, escape in (("\\", "\\\\"), ("\n", "\\n"), ("\r", "\\r"), ("\t", "\\t")):
+            inner = F.replace(inner, F.lit(mark), F.lit(escape))
+        inner = F.when(quote == "'", F.replace(inner, F.lit("'"), F.lit("\\'"))).otherwise(inner)
         return F.when(numeric, v).otherwise(F.concat(quote, inner, quote))
 
     return F.transform(values, shown)
@@ -72,38 +72,13 @@ def _pair(equals: str) -> Column:
 
 
 def _assemble(tables: DataFrame, table_text: Column, separator: str, fks: DataFrame | None, pair: Column, head: str, line: str) -> DataFrame:
-    """``db_id, part, schema_text``: table texts, then the foreign keys.
-
-    A database of up to ``MAX_ENTRIES`` tables and keys gives one row, part 0. A larger one gives
-    several: its table texts in order and then its keys, each row bounded.
-    """
-    order = ["table_ordinal", "table_name"]
-    texts = tables.select("db_id", *order, table_text.alias("_text"))
-    key_order = ["table_name", "column", "foreign_table", "foreign_column"]
-    keys = None if fks is None else fks.select("db_id", *key_order, pair.alias("_text"))
-    counted = texts.select("db_id") if keys is None else texts.select("db_id").union(keys.select("db_id"))
-    large = not counted.groupBy("db_id").count().where(F.col("count") > MAX_ENTRIES).limit(1).isEmpty()
-    if large:
-        texts = ordered_chunks(texts, ["db_id"], [F.col(o) for o in order], MAX_ENTRIES)
-        keys = None if keys is None else ordered_chunks(keys, ["db_id"], [F.col(o) for o in key_order], MAX_ENTRIES)
-    else:
-        texts = texts.withColumn("part", F.lit(0).cast("long"))
-        keys = None if keys is None else keys.withColumn("part", F.lit(0).cast("long"))
-    body = texts.groupBy("db_id", "part").agg(_ordered(order, F.col("_text"), separator).alias("schema_text"))
-    if keys is None:
+    """``db_id, schema_text``: one row per database, whatever its size: table texts, then the foreign keys."""
+    body = tables.groupBy("db_id").agg(_ordered(["table_ordinal", "table_name"], table_text, separator).alias("schema_text"))
+    if fks is None:
         return body
-    listed = keys.groupBy("db_id", "part").agg(_ordered(key_order, F.col("_text"), line).alias("_keys"))
-    if large:
-        last = body.groupBy("db_id").agg((F.max("part") + 1).alias("_last"))
-        after = listed.join(last, "db_id").select(
-            "db_id",
-            (F.col("part") + F.col("_last")).alias("part"),
-            F.when(F.col("part") == 0, F.concat(F.lit(head), "_keys")).otherwise(F.concat(F.lit(line), "_keys")).alias("schema_text"),
-        )
-        return body.unionByName(after)
-    joined = body.join(listed.drop("part"), "db_id", "left")
+    keys = fks.groupBy("db_id").agg(_ordered(["table_name", "column", "foreign_table", "foreign_column"], pair, line).alias("_keys"))
     text = F.concat("schema_text", F.coalesce(F.concat(F.lit(head), F.col("_keys")), F.lit("")))
-    return joined.select("db_id", "part", text.alias("schema_text"))
+    return body.join(keys, "db_id", "left").select("db_id", text.alias("schema_text"))
 
 
 def one_line(
@@ -144,8 +119,7 @@ def one_line(
     table_text = F.concat("table_name", F.lit(opening), "_columns", F.lit(closing))
     out = _assemble(tables, table_text, table_separator, fks, _pair(" = "), table_separator, relation_separator)
     if with_db_id:
-        named_text = F.concat("db_id", F.lit(db_separator), "schema_text")
-        out = out.withColumn("schema_text", F.when(F.col("part") == 0, named_text).otherwise(F.col("schema_text")))
+        out = out.withColumn("schema_text", F.concat("db_id", F.lit(db_separator), "schema_text"))
     return out
 
 
@@ -236,7 +210,7 @@ def m_schema(
     table_text = F.concat(F.lit("# Table: "), "table_name", note, F.lit("\n[\n"), "_columns", F.lit("\n]"))
     out = _assemble(tables, table_text, "\n", fks, _pair("="), "\n【Foreign keys】\n", "\n")
     titled = F.concat(F.lit("【DB_ID】 "), "db_id", F.lit("\n【Schema】\n"), "schema_text")
-    return out.withColumn("schema_text", F.when(F.col("part") == 0, titled).otherwise(F.col("schema_text")))
+    return out.withColumn("schema_text", titled)
 
 
 FORMS = {"compact": compact, "ddl": ddl, "m-schema": m_schema}

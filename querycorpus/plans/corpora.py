@@ -14,21 +14,17 @@ def _pipe(c):
 
 def grouped_rows(spark, sf_dir):
     rows = table(spark, sf_dir, "events").select(
-        F.col("event_type").alias("query"), F.col("props").alias("db_id"), "event_id", "user_id", F.length("props").alias("width")
-    )
-    return D.grouped_by_query(rows, ["query", "db_id"], ["event_id"]).select(
-        "query", "db_id", _pipe("user_id").alias("users"), "user_id_distinct", _pipe("width").alias("widths")
+        F.col("event_type").alias("query"), F.length("props").cast("string").alias("db_id"), "event_id", "user_id", F.length("props").alias("width")
     )
+    return D.grouped_by_query(rows, ["query", "db_id"], ["event_id"])
 
 
 def grouped_datapoints(spark, sf_dir):
     rows = table(spark, sf_dir, "events").select(
         F.col("event_type").alias("query"), F.col("props").alias("db_id"), F.col("event_id").cast("string").alias("question"),
-        F.col("event_id").alias("place"),
-    )
-    return D.datapoints(D.grouped_by_query(rows, ["query", "db_id"], ["place"]), "question", "query").select(
-        "nl_query", F.concat_ws("|", "nl_query_alt").alias("others"), "sql_query", "db_id"
+        F.col("event_id").alias("at"),
     )
+    return D.datapoints(rows, "question", "query", "db_id", ["at"])
 
 
 def hashed_split(spark, sf_dir):
@@ -81,9 +77,8 @@ def _asked(spark, sf_dir):
     turns = table(spark, sf_dir, "conversations").withColumn("qid", F.col("conv_id") * 1000 + F.col("turn"))
     questions = turns.select("qid", "conv_id", "turn", F.col("text").alias("nl_query"), F.upper("role").alias("schema_text"))
     earlier = turns.select("conv_id", F.col("turn").alias("rank"), F.col("text").alias("shown"), F.col("role").alias("sql_query"))
-    examples = questions.join(earlier, "conv_id").where("rank < turn AND rank >= turn - 2").select(
-        "qid", "rank", F.col("shown").alias("nl_query"), "sql_query", "schema_text"
-    )
+    wanted = questions.withColumn("rank", F.explode(F.array(F.col("turn") - 2, F.col("turn") - 1)))
+    examples = wanted.join(earlier, ["conv_id", "rank"]).select("qid", "rank", F.col("shown").alias("nl_query"), "sql_query", "schema_text")
     return D.with_examples(questions, examples, "qid", with_schema=True)
 
 
@@ -181,12 +176,15 @@ def _typo(word, i):
 _CAP = "upper(substr({0}, 1, 1)) || substr({0}, 2)"
 
 ORACLES = {
-    "grouped_rows": """SELECT event_type AS query, props AS db_id,
-        CASE WHEN count(DISTINCT user_id) = 1 THEN CAST(any_value(user_id) AS VARCHAR) ELSE string_agg(CAST(user_id AS VARCHAR), '|' ORDER BY event_id) END AS users,
-        CAST(count(DISTINCT user_id) AS INT) AS user_id_distinct, CAST(length(props) AS VARCHAR) AS widths FROM events GROUP BY event_type, props""",
-    "grouped_datapoints": """SELECT CAST(min(event_id) AS VARCHAR) AS nl_query,
-        coalesce(string_agg(CASE WHEN k > 1 THEN CAST(event_id AS VARCHAR) END, '|' ORDER BY event_id), '') AS others, event_type AS sql_query, props AS db_id
-        FROM (SELECT *, row_number() OVER (PARTITION BY event_type, props ORDER BY event_id) AS k FROM events) GROUP BY event_type, props""",
+    "grouped_rows": """WITH e AS (SELECT event_type AS query, CAST(length(props) AS VARCHAR) AS db_id, event_id, user_id, length(props) AS width,
+            row_number() OVER (PARTITION BY event_type, length(props) ORDER BY event_id) - 1 AS place FROM events),
+        c AS (SELECT query, db_id, place, 'event_id' AS "column", CAST(event_id AS VARCHAR) AS value FROM e
+              UNION ALL SELECT query, db_id, place, 'user_id', CAST(user_id AS VARCHAR) FROM e UNION ALL SELECT query, db_id, place, 'width', CAST(width AS VARCHAR) FROM e),
+        n AS (SELECT query, db_id, "column", count(DISTINCT value) AS n_distinct FROM c GROUP BY ALL)
+        SELECT query, db_id, "column", n_distinct, place, value FROM c JOIN n USING (query, db_id, "column") WHERE n_distinct > 1 OR place = 0""",
+    "grouped_datapoints": """SELECT CAST(first_value(event_id) OVER w AS VARCHAR) AS nl_query, event_type AS sql_query, props AS db_id,
+        row_number() OVER w - 1 AS place, CASE WHEN row_number() OVER w > 1 THEN CAST(event_id AS VARCHAR) END AS nl_query_alt
+        FROM events WINDOW w AS (PARTITION BY event_type, props ORDER BY event_id)""",
     "hashed_split": """SELECT c_custkey, CASE WHEN CAST('0x' || substr(md5('s' || c_custkey), 1, 8) AS BIGINT) % 10000 < 8000 THEN 'train' ELSE 'test' END AS split
         FROM customer""",
     "structured_queries": """SELECT p_partkey, 'SELECT ' || CASE p_size % 6 WHEN 0 THEN h WHEN 1 THEN 'MAX(' || h || ')' WHEN 2 THEN 'MIN(' || h || ')'

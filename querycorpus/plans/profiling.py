@@ -234,26 +234,26 @@ def schema_one_line(spark, sf_dir):
         .where(F.col("column").startswith("hot"))
         .select("db_id", "table_name", "column", F.array(F.lit("v1"), F.upper("column")).alias("values"))
     )
-    return T.one_line(given(spark, sf_dir, "catalog"), _fks(spark, sf_dir), with_db_id=True, links=links).drop("part")
+    return T.one_line(given(spark, sf_dir, "catalog"), _fks(spark, sf_dir), with_db_id=True, links=links)
 
 
 def schema_compact(spark, sf_dir):
-    return T.schema_text(_described(spark, sf_dir), "compact", fks=_fks(spark, sf_dir), n_values=1, threshold=1).drop("part")
+    return T.schema_text(_described(spark, sf_dir), "compact", fks=_fks(spark, sf_dir), n_values=1, threshold=1)
 
 
 def schema_ddl(spark, sf_dir):
-    return T.schema_text(_described(spark, sf_dir), "ddl", fks=_fks(spark, sf_dir), n_values=2).drop("part")
+    return T.schema_text(_described(spark, sf_dir), "ddl", fks=_fks(spark, sf_dir), n_values=2)
 
 
 def schema_m_schema(spark, sf_dir):
-    return T.schema_text(_described(spark, sf_dir), "m-schema", fks=_fks(spark, sf_dir), n_values=2).drop("part")
+    return T.schema_text(_described(spark, sf_dir), "m-schema", fks=_fks(spark, sf_dir), n_values=2)
 
 
 def value_text(spark, sf_dir):
     """Sample values of every document source as text, long ones cut."""
     docs = table(spark, sf_dir, "documents").select(F.concat_ws("/", "source", "lang").alias("column"), F.col("text").alias("value"))
     counts = docs.groupBy("column", "value").agg(F.count(F.lit(1)).alias("n")).withColumn("table_name", F.lit("documents"))
-    listed = P.sample_values(counts.where(~F.col("value").rlike("['\"\\\\\\n\\t\\r]")), 3)
+    listed = P.sample_values(counts, 3)
     return listed.select("column", T.value_sequence(F.col("values"), F.lit("STRING")).alias("text"))
 
 
@@ -505,8 +505,11 @@ ORACLES = {
             FROM t LEFT JOIN f USING (db_id) GROUP BY t.db_id""",
     ),
     "value_text": """
-        WITH v AS (SELECT DISTINCT source || '/' || lang AS c, text FROM documents WHERE NOT regexp_matches(text, '[''"\\\\\\n\\t\\r]')),
-        r AS (SELECT c, text, row_number() OVER (PARTITION BY c ORDER BY text) AS k FROM v)
-        SELECT c AS "column", 'values : ' || string_agg('''' || CASE WHEN length(text) > 30 THEN text[:30] || '...' ELSE text END || '''', ' , ' ORDER BY k) AS text
-        FROM r WHERE k <= 3 GROUP BY c""",
+        WITH v AS (SELECT DISTINCT source || '/' || lang AS c, text FROM documents),
+        r AS (SELECT c, text, row_number() OVER (PARTITION BY c ORDER BY text) AS k FROM v),
+        s AS (SELECT c, k, CASE WHEN length(text) > 30 THEN text[:30] || '...' ELSE text END AS t FROM r WHERE k <= 3),
+        e AS (SELECT c, k, replace(replace(replace(replace(t, chr(92), chr(92) || chr(92)), chr(10), chr(92) || 'n'), chr(13), chr(92) || 'r'), chr(9), chr(92) || 't') AS x,
+                     CASE WHEN contains(t, chr(39)) AND NOT contains(t, chr(34)) THEN chr(34) ELSE chr(39) END AS q FROM s)
+        SELECT c AS "column", 'values : ' || string_agg(q || CASE WHEN q = chr(39) THEN replace(x, chr(39), chr(92) || chr(39)) ELSE x END || q, ' , ' ORDER BY k) AS text
+        FROM e GROUP BY c""",
 }

@@ -21,29 +21,8 @@ def test_global_position_numbers_a_hot_group(spark):
     assert got == want
 
 
-def test_chunked_lists_keep_every_row(spark):
-    df = spark.range(1000).select(F.when(F.col("id") < 900, "hot").otherwise("cold").alias("g"), "id")
-    lists = scale.chunked_lists(df, ["g"], ["id"], ["id"], max_rows=100).collect()
-    assert sorted(i for r in lists for i in r["id"]) == list(range(1000))
-    assert len([r for r in lists if r["g"] == "hot"]) > 1 and len([r for r in lists if r["g"] == "cold"]) == 1
-    assert all(r["id"] == sorted(r["id"]) and len(r["id"]) < 200 for r in lists)
-
-
-def test_ordered_chunks_cut_in_order(spark):
-    df = spark.range(100).select(F.lit("a").alias("g"), "id")
-    parts = scale.ordered_chunks(df, ["g"], [F.col("id")], 30).collect()
-    assert all(r["part"] == r["id"] // 30 for r in parts)
-    assert {r["part"] for r in scale.ordered_chunks(df, ["g"], [F.col("id")]).collect()} == {0}
-
-
 def test_top_k_limits_before_the_shuffle(spark):
     df = spark.range(100).select((F.col("id") % 3).alias("g"), "id")
     top = scale.top_k(df, ["g"], [F.desc("id")], 2)
     assert "WindowGroupLimit" in plan(top)
     assert {(r["g"], r["id"]) for r in top.collect()} == {(0, 99), (0, 96), (1, 97), (1, 94), (2, 98), (2, 95)}
-
-
-def test_broadcast_only_below_the_bound(spark):
-    df = spark.range(100)
-    assert "broadcast" in plan(scale.broadcast_within(df, 100)).lower()
-    assert "broadcast" not in plan(scale.broadcast_within(df, 99)).lower()

@@ -164,10 +164,27 @@ def test_precision_padding_and_typos(spark):
         D.run_steps(df, [("no_step", {})])
 
 
-def test_large_groups_come_in_chunks(spark):
-    df = spark.range(50).select(F.lit("q").alias("query"), F.lit("d").alias("db_id"), "id")
-    rows = D.grouped_by_query(df, ["query", "db_id"], ["id"], max_rows=10).collect()
-    assert len(rows) > 1 and sorted(i for r in rows for i in r["id"]) == list(range(50))
+def test_a_group_of_any_size_is_decided_as_a_whole(spark):
+    """Far more rows than the former bound of 10,000 in one group, with one odd value near the end."""
+    n = 25_000
+    df = spark.range(n).repartition(7).select(
+        F.lit("q").alias("query"), F.lit("d").alias("db_id"), "id", F.concat(F.lit("question "), F.col("id")).alias("question"),
+        F.lit("same").alias("same"), F.when(F.col("id") == n - 3, "odd").otherwise("even").alias("almost"), F.lit(None).cast("string").alias("none"),
+    )
+    rows = D.grouped_by_query(df, ["query", "db_id"], ["id"])
+    found = {r["column"]: (r["rows"], r["n_distinct"]) for r in rows.groupBy("column", "n_distinct").agg(F.count(F.lit(1)).alias("rows")).collect()}
+    assert found == {"id": (n, n), "question": (n, n), "same": (1, 1), "almost": (n, 2), "none": (1, 1)}
+    assert rows.where("column = 'id' AND value <> place").isEmpty()
+    points = D.datapoints(df, "question", "query", "db_id", ["id"])
+    assert [r["nl_query"] for r in points.select("nl_query").distinct().collect()] == ["question 0"]
+    assert points.where("nl_query_alt IS NULL").count() == 1 and points.where("nl_query_alt = concat('question ', place)").count() == n - 1
+
+
+def test_value_texts_are_escaped(spark):
+    values = ["it's", 'say "x"', "both ' and \"", "a\\b\nc\td\re", "x" * 31]
+    df = spark.createDataFrame([(values,)], "v array<string>")
+    text = df.select(T.value_sequence(F.col("v"), F.lit("STRING"))).first()[0]
+    assert text == "values : " + " , ".join(repr(v if len(v) <= 30 else v[:30] + "...") for v in values)
 
 
 def test_catalog_rules(spark):
