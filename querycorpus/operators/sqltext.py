@@ -23,6 +23,7 @@ from querycorpus.operators.sqltokens import (
     names_table,
     own_columns,
     owner_of,
+    signed,
     table_entries,
     tokenized,
     unquoted,
@@ -197,10 +198,16 @@ def select_list(log: DataFrame) -> DataFrame:
 
 def outer_features(log: DataFrame) -> DataFrame:
     """Does the outer query group or sort, and its LIMIT (null if none or not readable)."""
+    arms = F.exists("tokens", lambda t: (t["clause"] == "setop") & (t["depth"] == 0))
+
+    def outer(t: Column) -> Column:
+        # Inside the parentheses of one arm of several, a clause is that arm's own.
+        return (t["depth"] == 0) & (t["plain"] == 0) & ((t["opener"] == -1) | ~arms)
+
     def any_of(word: str) -> Column:
-        return F.exists("tokens", lambda t: (t["low"] == word) & (t["depth"] == 0) & (t["plain"] == 0))
+        return F.exists("tokens", lambda t: (t["low"] == word) & outer(t))
 
-    limit = F.try_element_at(F.filter("tokens", lambda t: (t["b1"] == "limit") & (t["depth"] == 0)), F.lit(-1))["tok"]
+    limit = F.try_element_at(F.filter("tokens", lambda t: (t["b1"] == "limit") & outer(t)), F.lit(-1))["tok"]
     return tokenized(log).select(
         *own_columns(log),
         any_of("group").alias("has_group_by"),
@@ -513,7 +520,7 @@ def variables(log: DataFrame) -> DataFrame:
         F.filter("tokens", lambda t: is_literal(t) & (t["clause"] != "limit")),
         lambda t: F.struct(
             t["depth"].alias("depth"), t["path"].alias("scope"), F.lit("values").alias("kind"),
-            F.lit(None).cast("string").alias("table_name"), F.regexp_replace(t["tok"], "^'|'$", "").alias("name"),
+            F.lit(None).cast("string").alias("table_name"), F.regexp_replace(signed(t), "^'|'$", "").alias("name"),
         ),
     )
     aliases = F.transform(
@@ -563,12 +570,14 @@ def filter_values(log: DataFrame, columns: DataFrame | None = None) -> DataFrame
     def entry(t: Column) -> Column:
         listed = (t["plain"] > 0) & (F.get("_low", t["opener"] - 1) == "in")
         negated = F.get("_low", t["opener"] - 2) == "not"
-        direct = t["b1"].isin(*FILTER_OPERATORS)
+        minus = signed(t) != t["tok"]
+        before = F.when(minus, t["b2"]).otherwise(t["b1"])
+        direct = before.isin(*FILTER_OPERATORS)
         not_like = (t["b1"] == "like") & (t["b2"] == "not")
-        at = F.when(direct, t["i"] - F.when(not_like, 3).otherwise(2)).when(
+        at = F.when(direct, t["i"] - F.when(not_like | minus, 3).otherwise(2)).when(
             listed & ~t["b1"].isin("=", "<", ">"), t["opener"] - F.when(negated, 3).otherwise(2)
         )
-        op = F.when(direct, F.when(not_like, "not like").otherwise(t["b1"])).when(
+        op = F.when(direct, F.when(not_like, "not like").otherwise(before)).when(
             listed, F.when(negated, "not in").otherwise("in")
         )
         col = F.try_element_at(F.filter("_columns", lambda c: c["i"] == at), F.lit(1))
@@ -576,7 +585,7 @@ def filter_values(log: DataFrame, columns: DataFrame | None = None) -> DataFrame
             col["table"].alias("table_name"),
             col["column"].alias("column"),
             op.alias("operator"),
-            F.replace(F.regexp_replace(t["tok"], "^'|'$", ""), F.lit("''"), F.lit("'")).alias("value"),
+            F.replace(F.regexp_replace(signed(t), "^'|'$", ""), F.lit("''"), F.lit("'")).alias("value"),
         )
 
     found = F.transform(F.filter("tokens", is_literal), entry)

@@ -3,7 +3,7 @@
 A log is ``(query_id, db_id, sql)``. Each text is cut by one regular expression and annotated by
 one fold over its tokens, all inside its own row: a log of any size needs no shuffle for this, and
 copies of one text cost no more than other rows. There is no grammar: a text counts as readable if
-it opens with SELECT or WITH and its parentheses and quotes close; others give null.
+it opens with SELECT or WITH (also inside parentheses) and its parentheses and quotes close; others give null.
 
 Token fields: ``i`` position, ``gap`` whitespace before, ``tok`` text, ``low`` lower case, ``path`` scope path (``/0/2/``),
 ``depth`` of the scope, ``arm`` of a set operator, ``clause``, ``plain`` parentheses opened in the
@@ -23,8 +23,15 @@ LITERAL = r"'[^']*+(?:''[^']*+)*+'"
 QUOTED = r'"[^"]*+"|`[^`]*+`'
 NAME = rf"(?:[A-Za-z_]\w*+|{QUOTED})"
 WORD = rf"{NAME}(?:\.(?:{NAME}|\*))*+"
-TOKEN = rf"{LITERAL}|{WORD}|\d++(?:\.\d++)?+|<=|>=|<>|!=|\|\||==|\S"
-PIECE = rf"\s*+(?:{TOKEN})"
+NUMBER = r"(?:\d++(?:\.\d*+)?+|\.\d++)(?:[eE][+-]?\d++)?+"
+# A cast belongs to its type: one token that is no name.
+CAST = (
+    r"::\s*+[A-Za-z_]\w*+(?:\s++(?:precision|varying)(?!\w))?+(?:\s*+\(\s*+\d++(?:\s*+,\s*+\d++)?+\s*+\))?+(?:\s++with(?:out)?\s++time\s++zone(?!\w))?+(?:\[\])?+"
+)
+TOKEN = rf"{LITERAL}|{WORD}|{NUMBER}|{CAST}|<=|>=|<>|!=|\|\||==|\S"
+# Comments count as white space between tokens.
+GAP = r"(?:\s|--[^\n]*+|/\*(?:[^*]|\*(?!/))*+\*/)*+"
+PIECE = rf"{GAP}(?:{TOKEN}|$)"
 
 KEYWORDS = """
     all and any as asc between by case cast cross current_date current_timestamp date desc distinct else end escape
@@ -51,12 +58,12 @@ def cut(sql: Column) -> Column:
     split = F.transform(
         found,
         lambda p: F.struct(
-            F.regexp_extract(p, r"^\s*", 0).alias("gap"),
-            F.ltrim(F.regexp_replace(p, r"^\s+", "")).alias("tok"),
-            F.lower(F.regexp_replace(p, r"^\s+", "")).alias("low"),
+            F.regexp_extract(p, f"^{GAP}", 0).alias("gap"),
+            F.regexp_replace(p, f"^{GAP}", "").alias("tok"),
+            F.lower(F.regexp_replace(p, f"^{GAP}", "")).alias("low"),
         ),
     )
-    return F.filter(split, lambda p: p["tok"] != ";")
+    return F.filter(split, lambda p: ~p["tok"].isin(";", ""))
 
 
 def with_neighbours(pieces: Column) -> Column:
@@ -98,7 +105,9 @@ def _step():
         now, stack = state["now"], state["stack"]
         i, low, nxt = piece["i"], piece["low"], piece["n1"]
         opens, closes = low == "(", low == ")"
-        scope_opens = opens & nxt.isin("select", "with")
+        # Parentheses around an arm of the outer query open no scope: (SELECT ..) UNION (SELECT ..).
+        around = opens & (now["depth"] == 0) & (now["plain"] == 0) & now["clause"].isin("none", "setop") & nxt.isin("select", "with", "(")
+        scope_opens = opens & ~around & nxt.isin("select", "with")
         inner_path = F.concat(now["path"], state["next"].cast("string"), F.lit("/"))
         popped = F.coalesce(F.get(stack, F.size(stack) - 1), now)
 
@@ -124,8 +133,14 @@ def _step():
         entered = F.when(
             scope_opens,
             _place(inner_path, now["depth"] + 1, F.lit(0), F.lit("select"), F.lit(0), i, F.lit(False)),
-        ).otherwise(_place(now["path"], now["depth"], now["arm"], now["clause"], now["plain"] + 1, i, F.lit(False)))
-        after = F.when(opens, entered).when(closes, popped).otherwise(moved)
+        ).otherwise(
+            _place(now["path"], now["depth"], now["arm"], now["clause"], now["plain"] + F.when(around, 0).otherwise(1), i, F.lit(False))
+        )
+        left = _place(
+            popped["path"], popped["depth"], F.when(popped["path"] == now["path"], now["arm"]).otherwise(popped["arm"]), popped["clause"],
+            popped["plain"], popped["opener"], popped["between"],
+        )
+        after = F.when(opens, entered).when(closes, left).otherwise(moved)
         # A closing parenthesis belongs to the place outside it, like the opening one.
         shown = F.when(closes, popped).when(opens, now).otherwise(moved)
         emitted = F.struct(
@@ -196,7 +211,8 @@ def tokenized(log: DataFrame, sql: str = "sql") -> DataFrame:
     pieces = pinned(log, "_cut", cut(F.col(sql)))
     pieces = pinned(pieces, "_near", with_neighbours(F.col("_cut")))
     stray = F.exists("_cut", lambda p: p["tok"].isin("'", '"', "`"))
-    could = F.col(sql).isNotNull() & F.coalesce(F.get("_cut", F.lit(0))["low"], F.lit("")).isin("select", "with") & ~stray
+    first = F.try_element_at(F.filter("_cut", lambda p: p["tok"] != "("), F.lit(1))["low"]
+    could = F.col(sql).isNotNull() & F.coalesce(first, F.lit("")).isin("select", "with") & ~stray
     folded = pinned(pieces, "_f", F.when(could, F.aggregate("_near", start, _step())))
     whole = ~F.col("_f.bad") & (F.size("_f.stack") == 0)
     return (
@@ -212,7 +228,20 @@ def own_columns(log: DataFrame) -> list[str]:
 
 
 def is_literal(t: Column) -> Column:
-    return t["tok"].startswith("'") | t["tok"].rlike(r"^\d")
+    return t["tok"].startswith("'") | t["tok"].rlike(r"^\.?\d")
+
+
+def signed(t: Column) -> Column:
+    """The text of a literal with the minus before it, where that is a sign and no subtraction."""
+    starts = (t["b2"] == "") | t["b2"].isin(*KEYWORDS) | t["b2"].rlike("^[^\\w\"'`)]")
+    return F.when((t["b1"] == "-") & starts & ~t["tok"].startswith("'"), F.concat(F.lit("-"), t["tok"])).otherwise(t["tok"])
+
+
+def _type_word(t: Column) -> Column:
+    """Words that name a type or a unit where they stand: EXTRACT(year FROM ..), INTERVAL '1' day, CAST(.. AS double precision), timestamp '..'."""
+    unit = (t["b1"] == "(") & (t["b2"] == "extract") | (t["b2"] == "interval")
+    second = t["low"].isin("precision", "varying") & t["b1"].isin("double", "character") | t["low"].isin("without", "time", "zone") & t["b1"].isin("timestamp", "time", "with", "without")
+    return unit | second | t["low"].isin("timestamp", "time") & t["n1"].startswith("'")
 
 
 def is_name(t: Column) -> Column:
@@ -242,7 +271,7 @@ def table_alias(t: Column) -> Column:
 def is_alias(t: Column) -> Column:
     """A name right after AS, or right after a table or a closed subquery of the FROM clause."""
     after_name = (t["clause"] == "from") & ~t["b1"].isin("from", "join", ",", "(", "")
-    return (t["b1"] == "as") | after_name
+    return (t["b1"] == "as") & (t["plain"] == 0) | after_name
 
 
 def table_entries(tokens: Column) -> Column:
@@ -272,10 +301,10 @@ def owner_of(prefix: Column, path: Column, tables: Column) -> Column:
 def is_column(t: Column) -> Column:
     """A name in a place where a column may stand."""
     in_list = t["clause"].isin("select", "where", "groupby", "having", "orderby", "on")
-    return is_name(t) & in_list & ~is_function(t) & (t["b1"] != "as") & ~_bare_alias(t) & ~t["tok"].endswith(".*")
+    return is_name(t) & in_list & ~is_function(t) & (t["b1"] != "as") & ~_bare_alias(t) & ~t["tok"].endswith(".*") & ~_type_word(t)
 
 
 def _bare_alias(t: Column) -> Column:
     """A second name in a row in the SELECT list is an alias without AS."""
-    operand = t["b1"].rlike("^[a-z_\"`0-9']|^\\)$") & ~t["b1"].isin(*KEYWORDS)
+    operand = t["b1"].rlike("^[a-z_\"`0-9'.:]|^\\)$") & ~t["b1"].isin(*KEYWORDS)
     return (t["clause"] == "select") & (t["plain"] == 0) & operand

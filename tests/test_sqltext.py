@@ -70,3 +70,28 @@ def test_validity_and_repair(spark):
 def test_token_step_needs_no_shuffle(spark):
     plan = X.categories(log(spark, "SELECT 1"))._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan and "Python" not in plan
+
+
+def test_real_logs_invent_no_names(spark):
+    """Comments, casts, units, exponents, signs and parentheses around arms."""
+    texts = [
+        "SELECT a::int, b::double precision FROM t WHERE x > 1e5 AND y = .5 AND z = -1 -- pick b",
+        "SELECT EXTRACT(YEAR FROM d) /* c FROM u */ FROM t WHERE d > timestamp '2020-01-01' + INTERVAL '1' DAY",
+        "(SELECT a FROM t ORDER BY a LIMIT 3) UNION (SELECT b FROM u) ORDER BY 1 LIMIT 7",
+        "(SELECT a FROM t) UNION (SELECT b FROM u)",
+        "SELECT a - 1 FROM t WHERE n = 'x -- no comment' AND m IN (-3, 4) AND k BETWEEN -2 AND 5;",
+        'SELECT sum(x) OVER (PARTITION BY g ORDER BY h) AS w, CASE WHEN p > 1.5e-3 THEN \'q\' ELSE r END FROM "my t"',
+        "SELECT CAST(a AS double precision) FROM t -- end",
+    ]
+    log = spark.createDataFrame([(i, "d", t) for i, t in enumerate(texts)], "query_id long, db_id string, sql string")
+    found = {}
+    for r in X.variables(log).collect():
+        found.setdefault((r["query_id"], r["kind"]), set()).add(r["name"])
+    columns = [set("abxyz"), {"d"}, {"a", "b"}, {"a", "b"}, set("anmk"), set("xghpr"), {"a"}]
+    values = [{"1e5", ".5", "-1"}, {"2020-01-01", "1"}, {"1"}, None, {"1", "x -- no comment", "-3", "4", "-2", "5"}, {"1.5e-3", "q"}, None]
+    assert [found.get((i, "columns")) for i in range(7)] == columns and [found.get((i, "values")) for i in range(7)] == values
+    assert {k: v for k, v in found.items() if k[1] == "aliases"} == {(5, "aliases"): {"w"}}
+    outer = {r["query_id"]: (r["has_order_by"], r["limit_value"]) for r in X.outer_features(log).collect()}
+    assert outer == {i: (i == 2, 7 if i == 2 else None) for i in range(7)}
+    filters = {(r["query_id"], r["column"], r["operator"], r["value"]) for r in X.filter_values(log).collect()}
+    assert {(0, "z", "=", "-1"), (0, "x", ">", "1e5"), (4, "m", "in", "-3"), (4, "n", "=", "x -- no comment")} <= filters
