@@ -31,9 +31,10 @@ RTOL = 1e-5
 CELLS = "pair_id long, side string, row_idx long, col_idx int, num double, str string"
 
 
-def with_row_index(df: DataFrame, name: str = "row_idx") -> DataFrame:
-    """Number rows from 0 in their present order, with one count per partition and no sort."""
-    marked = cut_lineage(df.withColumn("_m", F.monotonically_increasing_id()))
+def with_row_index(df: DataFrame, name: str = "row_idx", place: str | None = None) -> DataFrame:
+    """Number rows from 0 with one count per partition and no sort: in their present order, or in that of ``place``, a column
+    of ``monotonically_increasing_id`` that was stored with the rows."""
+    marked = cut_lineage(df.withColumn("_m", F.monotonically_increasing_id())) if place is None else df.withColumnRenamed(place, "_m")
     part = F.shiftright("_m", 33)
     sizes = marked.groupBy(part.alias("_p")).agg(F.count(F.lit(1)).alias("_n"))
     # One row per partition, so this window is as long as the input has partitions.
@@ -44,11 +45,13 @@ def with_row_index(df: DataFrame, name: str = "row_idx") -> DataFrame:
     return joined.withColumn(name, (inside + F.col("_shift")).cast("long")).drop("_m", "_p", "_shift")
 
 
-def result_cells(df: DataFrame, pair_id: int, side: str) -> DataFrame:
-    """A query result as cells; every cell is null, a number or a text."""
-    indexed = with_row_index(df.toDF(*[f"c{i}" for i in range(len(df.columns))]), "_row")
+def result_cells(df: DataFrame, pair_id: int, side: str, place: str | None = None) -> DataFrame:
+    """A query result as cells; every cell is null, a number or a text. ``place`` names the column that holds the row order, if it was stored."""
+    fields = [f for f in df.schema if f.name != place]
+    names = [*[f"c{i}" for i in range(len(fields))], *([place] if place else [])]
+    indexed = with_row_index(df.toDF(*names), "_row", place)
     cells = []
-    for i, field in enumerate(df.schema):
+    for i, field in enumerate(fields):
         c = F.col(f"c{i}")
         numeric = isinstance(field.dataType, NumericType)
         number = F.nanvl(c.cast("double"), F.lit(None).cast("double")) if numeric else F.lit(None).cast("double")
@@ -380,16 +383,20 @@ def run_pairs(
 ) -> tuple[DataFrame, DataFrame]:
     """Run the two queries of every ``(pair_id, db_id, prediction, target)``.
 
-    Each query is a Spark job of its own whose result is kept in ``store``; only times, widths
-    and error texts come to the driver. Returns the cells of all results and one row per pair.
+    Each distinct query is a Spark job of its own whose result is kept in ``store`` with its row order; the cells of all
+    results go to one table below it, which is read once. Only times, widths and error texts come to the driver.
+    Returns the cells of all results and one row per pair.
     """
     import time
+    import uuid
 
     from pyspark.errors import PySparkException
 
     from querycorpus.operators.runsql import run_query
 
-    frames, meta = [], []
+    meta = []
+    path = f"{store.root}/cells-{uuid.uuid4().hex}"
+    spark.createDataFrame([], CELLS).write.parquet(path)
     for pair_id, db_id, pred, target in items:
         times, widths, error = {}, {}, None
         for side, sql in (("target", target), ("pred", pred)):
@@ -398,24 +405,22 @@ def run_pairs(
                 continue
             started = time.time()
             try:
-                result = store.get_or_run(spark, db_id, sql, lambda sql=sql: run_query(spark, sql, limit))
+                store.keep(spark, db_id, sql, lambda sql=sql: run_query(spark, sql, limit))
+                result = store.get_placed(spark, db_id, sql)
             except (PySparkException, ValueError) as failure:
                 error = error or f"{side}: {str(failure).splitlines()[0]}"
                 continue
             times[side] = time.time() - started
-            widths[side] = len(result.columns)
-            frames.append(result_cells(result, pair_id, side))
+            widths[side] = len(result.columns) - 1
+            result_cells(result, pair_id, side, store.ROW).write.mode("append").parquet(path)
         meta.append(
             (pair_id, pred, target, widths.get("pred"), widths.get("target"), times.get("target"), times.get("pred"), error)
         )
-    cells = spark.createDataFrame([], CELLS)
-    for frame in frames:
-        cells = cells.unionByName(frame)
     schema = (
         "pair_id long, prediction string, target string, pred_cols int, target_cols int,"
         " target_exec_time double, pred_exec_time double, exec_error string"
     )
-    return cut_lineage(cells), spark.createDataFrame(meta, schema)
+    return spark.read.schema(CELLS).parquet(path), spark.createDataFrame(meta, schema)
 
 
 def execution_scores(cells: DataFrame, runs: DataFrame, loose: bool = False) -> DataFrame:

@@ -120,12 +120,16 @@ QUERY_PAIRS = [
     (None, "SELECT c_custkey FROM customer", None),
     ("SELECT c_custkey, c_acctbal + 1 AS b FROM customer", "SELECT c_custkey, c_acctbal AS b FROM customer", "columns_intersect"),
     ("SELECT s_suppkey AS error FROM supplier", "SELECT s_suppkey FROM supplier", "equal"),
+    ("SELECT l_orderkey, l_linenumber FROM lineitem ORDER BY l_orderkey DESC, l_linenumber", "SELECT l_orderkey, l_linenumber FROM lineitem ORDER BY l_orderkey DESC, l_linenumber",
+     "equal"),
+    ("SELECT l_orderkey, l_linenumber FROM lineitem ORDER BY l_orderkey, l_linenumber", "SELECT l_orderkey, l_linenumber FROM lineitem ORDER BY l_orderkey DESC, l_linenumber",
+     "different"),
 ]
 
 
 def executed_scores(spark, sf_dir):
-    """Run ten query pairs over the whole tables and score them."""
-    views(spark, sf_dir, ["customer", "nation", "orders", "part", "supplier"])
+    """Run query pairs over the whole tables and score them."""
+    views(spark, sf_dir, ["customer", "lineitem", "nation", "orders", "part", "supplier"])
     store = ResultStore(scratch_path(spark, "results"))
     cells, runs = C.run_pairs(spark, [(i, "star", p, t) for i, (p, t, _) in enumerate(QUERY_PAIRS)], store)
     return C.execution_scores(cells, runs).select(

@@ -5,17 +5,17 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Callable
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from querycorpus.functions.scale import cut_lineage
+
 
 def read_if_complete(spark: SparkSession, path: str) -> DataFrame | None:
-    """The Parquet table at ``path``, or None if no finished write is there."""
-    try:
-        return spark.read.parquet(path)
-    except AnalysisException:
-        return None
+    """The Parquet table at ``path``, or None if nothing or no finished write is there. A folder that can't be read is an error."""
+    marker = spark._jvm.org.apache.hadoop.fs.Path(path, "_SUCCESS")
+    there = marker.getFileSystem(spark._jsc.hadoopConfiguration()).exists(marker)
+    return spark.read.parquet(path) if there else None
 
 
 def cached_splits(spark: SparkSession, path: str, build: Callable[[], DataFrame]) -> DataFrame:
@@ -45,6 +45,7 @@ def append_unique(rows: DataFrame, path: str, key: str, stored_keys: str = "erro
     ``stored_keys="skip"`` its row is left out.
     """
     spark = rows.sparkSession
+    rows = cut_lineage(rows)  # checked, compared and written from one computation
     if not rows.groupBy(key).count().where("count > 1").limit(1).isEmpty():
         raise ValueError(f"column {key} must be unique in the rows to append")
     stored = read_if_complete(spark, path)
@@ -60,7 +61,13 @@ def append_unique(rows: DataFrame, path: str, key: str, stored_keys: str = "erro
 
 
 class ResultStore:
-    """Query results kept as Parquet under the hash of (database, SQL). Errors are never kept."""
+    """Query results kept as Parquet under the hash of (database, SQL), with their row order. Errors are never kept.
+
+    Files of a table come back in any order, so each row is stored with its place (``ROW``): a number that rises with
+    the order of the result, taken before the write without a shuffle.
+    """
+
+    ROW = "_row"
 
     def __init__(self, root: str) -> None:
         self.root = root
@@ -69,15 +76,28 @@ class ResultStore:
         key = hashlib.sha256(f"{db_id}\n{sql}".encode()).hexdigest()
         return f"{self.root}/{key}"
 
-    def get(self, spark: SparkSession, db_id: str, sql: str) -> DataFrame | None:
+    def get_placed(self, spark: SparkSession, db_id: str, sql: str) -> DataFrame | None:
+        """The kept rows in no order; their last column is their place."""
         return read_if_complete(spark, self.path(db_id, sql))
 
+    def get(self, spark: SparkSession, db_id: str, sql: str) -> DataFrame | None:
+        """The kept result in its own order."""
+        kept = self.get_placed(spark, db_id, sql)
+        return None if kept is None else kept.orderBy(self.ROW).drop(self.ROW)
+
+    def keep(self, spark: SparkSession, db_id: str, sql: str, run: Callable[[], DataFrame]) -> None:
+        """Run and store the query unless it is there."""
+        if self.get_placed(spark, db_id, sql) is None:
+            result = run()
+            if self.ROW in result.columns:
+                raise ValueError(f"a result column may not be called {self.ROW}")
+            # Repeated column names can't be stored; the second and later ones get their place.
+            names = [c if c not in result.columns[:i] else f"{c}_{i}" for i, c in enumerate(result.columns)]
+            result.toDF(*names).withColumn(self.ROW, F.monotonically_increasing_id()).write.mode("overwrite").parquet(self.path(db_id, sql))
+
     def get_or_run(self, spark: SparkSession, db_id: str, sql: str, run: Callable[[], DataFrame]) -> DataFrame:
-        kept = self.get(spark, db_id, sql)
-        if kept is None:
-            run().write.mode("overwrite").parquet(self.path(db_id, sql))
-            kept = self.get(spark, db_id, sql)
-        return kept
+        self.keep(spark, db_id, sql, run)
+        return self.get(spark, db_id, sql)
 
 
 def result_keys(log: DataFrame) -> DataFrame:

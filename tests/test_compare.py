@@ -1,3 +1,5 @@
+import os
+
 import itertools
 import random
 
@@ -98,3 +100,18 @@ def test_twin_columns_and_empty_results(spark):
     ]
     got = verdicts(spark, cases)
     assert [got[i] for i in range(6)] == ["equal", "equal", "columns_intersect", "equal", "equal", "different"]
+
+
+def test_kept_results_hold_their_order(spark, tmp_path):
+    """An ordered result of several files of different sizes comes back in its order, and equal ordered queries score equal."""
+    store = C.ResultStore(str(tmp_path))
+    sql = "SELECT id, repeat('x', CAST(id % 40 AS INT)) AS pad FROM range(3000000) ORDER BY id DESC"
+    kept = store.get_or_run(spark, "d", sql, lambda: spark.sql(sql))
+    files = [f for f in os.listdir(store.path("d", sql)) if f.startswith("part-")]
+    assert len(files) > 1 and kept.columns == ["id", "pad"]
+    assert [r["id"] for r in kept.limit(5).collect()] == list(range(2999999, 2999994, -1))
+    placed = C.with_row_index(store.get_placed(spark, "d", sql), "at", store.ROW)
+    assert placed.where("at + id <> 2999999").isEmpty()
+    short = sql.replace("3000000", "300000")
+    cells, runs = C.run_pairs(spark, [(1, "d", short, short), (2, "d", short.replace(" DESC", ""), short), (3, "d", "SELECT 1 AS a, 2 AS a", "SELECT 1, 2")], store)
+    assert {r["pair_id"]: r["verdict"] for r in C.execution_scores(cells, runs).collect()} == {1: "equal", 2: "different", 3: "equal"}
