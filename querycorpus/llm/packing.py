@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import json
 import math
+import os
 import re
 import zlib
 from collections.abc import Iterator
@@ -18,34 +20,75 @@ from tokenizers import Tokenizer
 from querycorpus.llm.bpe import vocabulary_text
 from querycorpus.llm.common import Memo, documents, per_worker, written
 
-#: Words of these letters and marks are split here; others go to the tokenizer as they are.
-COMMON = re.compile("[a-zA-ZÀ-ÖØ-öø-ÿ0-9.,;:!?-]+")
-PIECES = re.compile("[a-zA-ZÀ-ÖØ-öø-ÿ]+|[0-9]|[.,;:!?-]+")
+#: The vocabulary's splitter for texts of Latin-1 letters: \xaa \xb5 \xba and \xc0 on are letters, \xb2 \xb3 \xb9 \xbc-\xbe numbers.
+_LETTER, _NUMBER, _SPACE = "a-z\xaa\xb5\xba\xdf-\xf6\xf8-\xff", "0-9\xb2\xb3\xb9\xbc-\xbe", "\t-\r \x85\xa0"
+PIECES = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTER}]+|[{_NUMBER}]|[^{_SPACE}{_LETTER}{_NUMBER}]+")
+WIDER = re.compile("[^\x00-\xff]|<\\|")
 PLACED = "doc_id long, start long, length long, crc long, doc_tokens long, rare long, second long, ids binary"
 PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids binary"
 
 
 class Words:
-    """Ids of whole texts by the tokenizer, word by word. Words between blanks are tokenized apart from each other by
-    this kind of vocabulary (white space is dropped, no token spans it), so each distinct word is tokenized once per worker."""
+    """Ids of whole texts by the tokenizer. This kind of vocabulary drops white space and no token spans it, so texts are cut into pieces
+    and each distinct piece is tokenized once per worker, many in one call: every piece ends with a token that closes a word.
+    Texts of other letters, or with special tokens, are cut at blanks only and their words tokenized whole."""
 
-    def __init__(self, model: str) -> None:
+    def __init__(self, model: str, limit: int = 450_000) -> None:
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         self.tokenizer = Tokenizer.from_str(model)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.pieces = Memo(self._ids, 400_000)
-        self.words = Memo(self._word, 800_000)
+        self.limit = limit
+        self.pieces: dict[str, bytes] = {}
+        self.words = Memo(self._ids, 50_000)
+        spec = json.loads(model)["model"]
+        self.closing = np.zeros(self.tokenizer.get_vocab_size(with_added_tokens=True) + 1, bool)
+        suffix = spec.get("end_of_word_suffix") or "\0"
+        self.closing[[i for name, i in spec["vocab"].items() if name.endswith(suffix)]] = True
 
     def _ids(self, piece: str) -> bytes:
         return np.array(self.tokenizer.encode(piece, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def _word(self, word: str) -> bytes:
-        if COMMON.fullmatch(word):
-            return b"".join(map(self.pieces.__getitem__, PIECES.findall(word.lower())))
-        return self._ids(word)
-
-    def __call__(self, text: str) -> np.ndarray:
-        return np.frombuffer(b"".join(map(self.words.__getitem__, text.replace("\n", " ").split(" "))), "<u4")
+    def _learn(self, missing: list[str], line: int = 500) -> None:
+        for start in range(0, len(missing), 40 * line):
+            some = missing[start : start + 40 * line]
+            lines = [" ".join(some[k : k + line]) for k in range(0, len(some), line)]
+            ids = np.array([i for e in self.tokenizer.encode_batch_fast(lines, add_special_tokens=False) for i in e.ids], "<u4")
+            ends = (np.flatnonzero(self.closing[ids]) + 1) * 4
+            if len(ends) == len(some) and ends[-1] == 4 * len(ids):
+                data, ends = ids.tobytes(), ends.tolist()
+                self.pieces.update(zip(some, (data[a:b] for a, b in zip([0, *ends], ends, strict=False)), strict=True))
+            else:
+                self.pieces.update((p, self._ids(p)) for p in some)
+
+    def many(self, texts: list[str | None]) -> Iterator[np.ndarray]:
+        """The ids of each text, in groups of a few million letters."""
+        group: list[list[str] | str] = []
+        missing: set[str] = set()
+        held = 0
+        for text in texts:
+            text = text or ""
+            if WIDER.search(text):
+                group.append(text)
+            else:
+                group.append(PIECES.findall(text.lower()))
+                missing.update(group[-1])
+            held += len(text)
+            if held > 2_000_000:
+                yield from self._flushed(group, missing)
+                group, missing, held = [], set(), 0
+        yield from self._flushed(group, missing)
+
+    def _flushed(self, group: list[list[str] | str], needed: set[str]) -> Iterator[np.ndarray]:
+        if len(self.pieces) > self.limit:
+            self.pieces.clear()
+        self._learn([p for p in needed if p not in self.pieces])
+        for entry in group:
+            if isinstance(entry, str):
+                found = map(self.words.__getitem__, entry.replace("\n", " ").split(" "))
+            else:
+                found = map(self.pieces.__getitem__, entry)
+            yield np.frombuffer(b"".join(found), "<u4")
 
 
 def crc32(ids: np.ndarray) -> int:
@@ -60,8 +103,8 @@ def _tokenized(model, window: int, end: int, keep_ids: bool):
         words = per_worker(f"words {hash(model.value)}", lambda: Words(model.value))
         for batch in batches:
             out: list[tuple] = []
-            for doc_id, text in zip(batch["doc_id"].to_pylist(), batch["text"].to_pylist(), strict=True):
-                ids = np.append(words(text or ""), np.uint32(end)).astype("<u4")
+            for doc_id, found in zip(batch["doc_id"].to_pylist(), words.many(batch["text"].to_pylist()), strict=True):
+                ids = np.append(found, np.uint32(end)).astype("<u4")
                 n = len(ids)
                 for start in range(0, n, window):
                     piece = ids[start : start + window]
