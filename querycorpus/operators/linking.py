@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from querycorpus.functions.scale import top_k
 from querycorpus.functions.text import edit_similarity, indel_similarity
 
-# English words that are no values (in alphabetical order), words that need a perfect
+# English words that are no values, words that need a perfect
 # score, and names too common to link.
 STOP_WORDS = """
     a about above after again against ain all am an and any are aren aren't as at be because been before being below
@@ -78,7 +78,7 @@ def similar_pairs(
     spans: DataFrame,
     values: DataFrame,
     theta: float = THRESHOLD,
-    measure: str = "levenshtein",
+    measure: str = "indel",
     same_first: bool = True,
     within: list[str] = (),
 ) -> DataFrame:
@@ -112,7 +112,9 @@ def similar_pairs(
     grown = grown.select(*within, "span", "_l", "_d", F.explode(F.sequence(F.lit(0), F.col("_d"))).alias("_i"))
     start, size = _piece_bounds(F.col("_i"), F.col("_l"), F.col("_d") + 1)
     grown = grown.withColumn("_at", start).withColumn("_size", size)
-    nearby = F.explode(F.sequence(F.col("_at") - F.col("_d"), F.col("_at") + F.col("_d")))
+    # The letters before a kept piece shift by s and those after it by (gap - s), together within the budget.
+    gap = F.length("span") - F.col("_l")
+    nearby = F.explode(F.sequence(F.col("_at") + F.ceil((gap - F.col("_d")) / 2).cast("int"), F.col("_at") + F.floor((gap + F.col("_d")) / 2).cast("int")))
     grown = grown.select(*within, "span", "_l", "_i", "_size", nearby.alias("_at"))
     span_keys = grown.where((F.col("_at") >= 0) & (F.col("_at") + F.col("_size") <= F.length("span"))).select(
         *within, "span", first("span"), "_l", "_i", F.substring("span", F.col("_at") + 1, F.col("_size")).alias("_piece")
@@ -122,7 +124,7 @@ def similar_pairs(
 
 
 def value_matches(
-    questions: DataFrame, values: DataFrame, theta: float = THRESHOLD, measure: str = "levenshtein"
+    questions: DataFrame, values: DataFrame, theta: float = THRESHOLD, measure: str = "indel"
 ) -> DataFrame:
     """Best match of every value found in a question: ``question_id, table_name, column, value, score, size``.
 

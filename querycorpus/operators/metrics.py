@@ -67,16 +67,23 @@ def operator_elements(log: DataFrame, scopes: DataFrame) -> DataFrame:
 
 
 def variable_elements(log: DataFrame, scopes: DataFrame) -> DataFrame:
-    """Columns, tables and values; columns set equal in either query share one name."""
+    """Columns, tables and values; columns set equal in either query, directly or through others, share one name."""
     rows = X.variables(log).where("kind <> 'aliases'").drop("depth")
     name = F.when(F.col("kind") == "columns", F.lower(F.concat_ws(".", "table_name", "name"))).otherwise(F.col("name"))
     named = rows.select("pair_id", "side", "scope", "kind", name.alias("name"))
-    classes = (
-        X.column_equivalences(log)
-        .select("pair_id", F.lower("column").alias("name"), F.lower("equals").alias("equals"))
-        .groupBy("pair_id", "name")
-        .agg(F.min("equals").alias("_least"))
-        .withColumn("kind", F.lit("columns"))
+    pairs = X.column_equivalences(log).groupBy("pair_id").agg(
+        F.collect_set(F.struct(F.lower("column").alias("a"), F.lower("equals").alias("b"))).alias("pairs")
+    )
+
+    def joined(classes: Column, p: Column) -> Column:
+        """Merge the classes that hold an end of the pair, so that a = b and b = c make one class of three."""
+        meets = lambda c: F.array_contains(c, p["a"]) | F.array_contains(c, p["b"])
+        one = F.array_distinct(F.flatten(F.concat(F.array(F.array(p["a"], p["b"])), F.filter(classes, meets))))
+        return F.concat(F.filter(classes, lambda c: ~meets(c)), F.array(one))
+
+    merged_classes = F.aggregate("pairs", F.array().cast("array<array<string>>"), joined)
+    classes = pairs.select("pair_id", F.explode(merged_classes).alias("_class")).select(
+        "pair_id", F.array_min("_class").alias("_least"), F.explode("_class").alias("name"), F.lit("columns").alias("kind")
     )
     merged = named.join(classes, ["pair_id", "kind", "name"], "left")
     merged = merged.withColumn("name", F.least("name", F.coalesce("_least", "name")))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import uuid
 from functools import reduce
 
 from pyspark.errors import PySparkException
@@ -119,14 +120,42 @@ def filled_templates(templates: DataFrame, values: DataFrame) -> DataFrame:
     )
 
 
-def audit_queries(spark: SparkSession, queries: list[str], max_queries: int = 10_000) -> DataFrame:
-    """Status of each query: ``rows``, ``empty`` or ``error``.
+def audit_templates(spark: SparkSession, templates: list[tuple[int, str]], values: DataFrame) -> DataFrame:
+    """Status of every filling of every template: ``template_id, filled, status`` with ``rows``, ``empty`` or ``error``.
 
-    Each query is a distributed job of its own that fetches at most one row; the loop is as
-    long as the list of queries a user hands over, which is checked.
+    ``values`` holds ``(template_id, marks)`` with one map per filling, as many as there may be. A template runs once for all its
+    fillings: its marks become columns of the values, and fillings for which the query has a row are found by a semi-join.
+    Marks stand for values, bare or inside quotes. A template whose marks stand elsewhere, or whose query can't be joined so
+    (a LIMIT or aggregate around a mark, say), is refused; ``audit_queries`` runs such texts one by one.
     """
-    if len(queries) > max_queries:
-        raise ValueError(f"at most {max_queries} queries per audit")
+    out = []
+    for template_id, sql in templates:
+        names = sorted(set(re.findall(r"\{(.*?)\}", sql)))
+        own = values.where(F.col("template_id") == template_id).select("marks", fill_marks(F.lit(sql), F.col("marks")).alias("filled")).dropDuplicates(["filled"])
+        try:
+            require_read_only(re.sub(r"\{.*?\}", "x", sql))
+            spark.sql(re.sub(r"\{.*?\}", "0", sql))
+        except (PySparkException, ValueError):
+            out.append(own.select(F.lit(template_id).alias("template_id"), "filled", F.lit("error").alias("status")))
+            continue
+        view = f"_fillings_{uuid.uuid4().hex}"
+        own.select("filled", *[F.col("marks")[n].alias(f"_mark_{i}") for i, n in enumerate(names)]).createOrReplaceTempView(view)
+        body = sql.rstrip().rstrip(";")
+        for i, n in enumerate(names):
+            body = re.sub(rf"'([^']*)\{{{re.escape(n)}\}}([^']*)'", rf"concat('\1', {view}._mark_{i}, '\2')", body)
+            body = body.replace(f"{{{n}}}", f"{view}._mark_{i}")
+        try:
+            found = spark.sql(f"SELECT filled FROM {view} WHERE EXISTS ({body})").withColumn("status", F.lit("rows"))
+        except PySparkException as error:
+            raise ValueError(f"template {template_id} can't run for all its fillings at once: {str(error).splitlines()[0]}") from error
+        rows = own.select("filled").join(found, "filled", "left")
+        out.append(rows.select(F.lit(template_id).alias("template_id"), "filled", F.coalesce("status", F.lit("empty")).alias("status")))
+    return reduce(DataFrame.unionByName, out)
+
+
+def audit_queries(spark: SparkSession, queries: list[str]) -> DataFrame:
+    """Status of each query: ``rows``, ``empty`` or ``error``. Each query is a distributed job of its own that fetches at most
+    one row, so this is for lists as long as a user writes; templates with many fillings go to ``audit_templates``."""
     found = []
     for sql in queries:
         try:

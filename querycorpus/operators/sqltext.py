@@ -154,16 +154,35 @@ def without_select_aliases(tokens: Column) -> Column:
     return rewritten(tokens, new)
 
 
-def with_select_column(tokens: Column, column: str) -> Column:
+def with_select_column(tokens: Column, column: str | Column) -> Column:
     """Append a column to the outer SELECT list."""
+    added = F.concat(F.lit(", "), F.lit(column) if isinstance(column, str) else column)
+
     def new(t: Column) -> Column:
         first_from = (t["low"] == "from") & _outer(t) & (t["plain"] == 0)
         text = F.concat(t["gap"], t["tok"])
-        return F.when(first_from, F.concat(F.lit(f", {column}"), text)).otherwise(text)
+        return F.when(first_from, F.concat(added, text)).otherwise(text)
 
     return F.array_join(F.transform(tokens, new), "")
 
 
+def with_companion_column(log: DataFrame, table: str, trigger: str, key: str) -> DataFrame:
+    """Add ``with_key``: the text with ``key`` appended to its SELECT list where the outer query reads ``table``, shows a column
+    whose name holds ``trigger``, and does not show the key yet. The key takes the prefix of the first trigger column that has one.
+    Other texts stay as they are; unreadable ones give null."""
+    found = outer_tables(tokenized(log)) if "tables" not in log.columns else log
+    base = tokenized(found).withColumn("_items", outer_select_items(F.col("tokens")))
+    own = F.filter("tables", lambda e: e["name"] == table)
+    alias = F.coalesce(F.try_element_at(own, F.lit(1))["alias"], F.lit(table))
+    shown = F.exists("_items", lambda x: x.contains(trigger))
+    there = F.exists("_items", lambda x: (x == key) | (x == F.concat(alias, F.lit(f".{key}"))) | (x == f"{table}.{key}"))
+    prefix = F.regexp_extract(F.coalesce(F.try_element_at(F.filter("_items", lambda x: x.contains(f".{trigger}")), F.lit(1)), F.lit("")), r"^([^.\s(]+)\.", 1)
+    text = F.when(prefix == "", F.lit(key)).otherwise(F.concat(prefix, F.lit(f".{key}")))
+    wanted = (F.size(own) > 0) & shown & ~there
+    out = base.withColumn("with_key", F.when(F.col("tokens").isNull(), F.lit(None)).when(wanted, with_select_column(F.col("tokens"), text)).otherwise(F.col("sql")))
+    return out.select(*own_columns(log), "with_key")
+
+
 def select_list(log: DataFrame) -> DataFrame:
     """Items of the outer SELECT list, star forms, and what each alias stands for."""
     items = tokenized(log).withColumn("items", outer_select_items(F.col("tokens")))
@@ -702,7 +721,7 @@ def repaired_names(log: DataFrame, columns: DataFrame) -> DataFrame:
     scope = ["db_id", "kind"]
     names_of = known.select(*scope, "known", F.lower("known").alias("norm"))
     unknown = cut_lineage(unknown.withColumn("span", F.lower("name")))
-    near = similar_pairs(unknown, names_of, NEAR_NAME, same_first=False, within=scope)
+    near = similar_pairs(unknown, names_of, NEAR_NAME, "levenshtein", same_first=False, within=scope)
     close = unknown.join(near, [*scope, "span"]).join(names_of, [*scope, "norm"])
     far = unknown.join(close.select(*scope, "name"), [*scope, "name"], "left_anti").join(names_of, scope)
     far = far.withColumn("score", edit_similarity(F.col("span"), F.col("norm")))

@@ -61,6 +61,11 @@ def sql_select_edits(spark, sf_dir):
     )
 
 
+def sql_companion_key(spark, sf_dir):
+    """The key of the parts added where their name is selected."""
+    return X.with_companion_column(_log(spark, sf_dir), "part", "p_name", "p_partkey").select("query_id", "with_key")
+
+
 def sql_select_list(spark, sf_dir):
     listed = X.select_list(_log(spark, sf_dir))
     named = F.transform("aliases", lambda a: F.concat_ws("=", a["alias"], a["stands_for"]))
@@ -141,7 +146,7 @@ def sql_repaired(spark, sf_dir):
 QUERIES = {
     f.__name__: f
     for f in [
-        sql_lowercase, sql_text_edits, sql_explicit_order, sql_without_table_aliases, sql_select_edits, sql_select_list,
+        sql_lowercase, sql_text_edits, sql_explicit_order, sql_without_table_aliases, sql_select_edits, sql_companion_key, sql_select_list,
         sql_outer_features, sql_outer_tables, sql_structure, sql_nesting, sql_operators, sql_variables, sql_values,
         sql_equivalences, sql_categories, sql_sizes, sql_filter_values, sql_validity, sql_first_valid, sql_repaired,
     ]
@@ -312,6 +317,12 @@ ORACLES = {
     "sql_without_table_aliases": f"SELECT p_partkey AS query_id, {_by_template(_NO_TABLE_ALIAS)} AS text FROM part",
     "sql_select_edits": f"""SELECT p_partkey AS query_id, {_by_template(_NO_SELECT_ALIAS)} AS without_aliases,
         {_by_template(_all(_extra))} AS with_column FROM part""",
+    "sql_companion_key": with_inputs(
+        ["query_log"],
+        """SELECT query_id, CASE template WHEN 1 THEN replace(sql, ' FROM part AS', ', p.p_partkey FROM part AS') WHEN 6 THEN NULL
+             WHEN 0 THEN replace(sql, ' FROM part', ', p_partkey FROM part') WHEN 2 THEN replace(sql, ' FROM part', ', p_partkey FROM part') ELSE sql END AS with_key
+           FROM query_log""",
+    ),
     "sql_select_list": _join(LISTS, "items, has_star, aliases", "items, has_star, aliases"),
     "sql_outer_features": _join(
         FEATURES, "g, o", f"g AS has_group_by, o AS has_order_by, CASE WHEN t = 1 THEN CAST(p_size AS BIGINT) WHEN t = 8 THEN 5 END AS limit_value"

@@ -11,7 +11,7 @@ from querycorpus.plans.inputs import given, table, with_inputs
 
 def _links(spark, sf_dir):
     values = K.pick_list(given(spark, sf_dir, "stored_values"))
-    return K.best_links(K.value_matches(given(spark, sf_dir, "questions"), values))
+    return K.best_links(K.value_matches(given(spark, sf_dir, "questions"), values, measure="levenshtein"))
 
 
 def value_links(spark, sf_dir):
@@ -27,9 +27,9 @@ def nested_value_links(spark, sf_dir):
 
 
 def indel_links(spark, sf_dir):
-    """Links by the insert/delete measure, which no SQL engine here offers; tested by brute force."""
+    """Links by the insert/delete ratio, the default measure."""
     values = K.pick_list(given(spark, sf_dir, "stored_values"))
-    found = K.value_matches(given(spark, sf_dir, "questions"), values, measure="indel")
+    found = K.value_matches(given(spark, sf_dir, "questions"), values)
     return K.best_links(found).select("question_id", "table_name", "column", "value", "rank", F.round("score", 6).alias("score"))
 
 
@@ -98,6 +98,23 @@ _MATCHED = f"""words AS (SELECT question_id, list_filter(string_split_regex(lowe
                CAST(max_by(length(span), score * 1000 + length(span)) AS INT) AS size
              FROM scored WHERE score >= 0.85 AND (score = 1 OR (value <> upper(value) AND column_name NOT LIKE '%name%')) GROUP BY ALL),
     links AS (SELECT *, row_number() OVER (PARTITION BY question_id, table_name, column_name ORDER BY score DESC, size DESC, value) AS rank FROM kept)"""
+# The longest common subsequence by rows of its table, one per letter of a value; the edit distance is never greater than the number
+# of insertions and deletions, so it rules most pairs out beforehand.
+_INDEL = f"""words AS (SELECT question_id, list_filter(string_split_regex(lower(question), '[''"()`,.?! ]+'), lambda w: w <> '') AS w FROM questions),
+    spans AS (SELECT DISTINCT question_id, array_to_string(w[s:s + n - 1], ' ') AS span FROM words, range(1, 21) a(s), range(1, 7) b(n)
+              WHERE s + n - 1 <= len(w)),
+    pairs AS (SELECT norm, span FROM (SELECT DISTINCT lower(trim(value)) AS norm FROM stored_values), (SELECT DISTINCT span FROM spans)
+              WHERE left(span, 1) = left(norm, 1) AND levenshtein(norm, span) <= 0.15 * (length(norm) + length(span)) + 1e-9
+                AND length(span) > 1 AND NOT regexp_matches(span, '^[0-9]+$') AND span NOT IN ({_STOP}) AND norm NOT IN ({_STOP})),
+    tables AS (SELECT norm, span, list_reduce(list_transform(string_split(norm, ''), lambda c: [unicode(c)]),
+                 lambda above, c: list_reduce(list_transform(range(1, length(span) + 1), lambda j: [CAST(j AS INT)]),
+                   lambda line, j: list_append(line, CASE WHEN unicode(span[j[1]]) = c[1] THEN above[j[1]] + 1 ELSE greatest(above[j[1] + 1], line[j[1]]) END), [0]),
+                 list_transform(range(0, length(span) + 1), lambda j: 0)) AS bottom FROM pairs),
+    scored AS (SELECT norm, span, 2.0 * bottom[-1] / (length(norm) + length(span)) AS score FROM tables),
+    kept AS (SELECT question_id, table_name, column_name, value, max(score) AS score, CAST(max_by(length(span), score * 1000 + length(span)) AS INT) AS size
+             FROM scored JOIN spans USING (span) JOIN stored_values ON lower(trim(value)) = norm
+             WHERE score >= 0.85 - 1e-9 AND (score = 1 OR (value <> upper(value) AND column_name NOT LIKE '%name%')) GROUP BY ALL),
+    links AS (SELECT *, row_number() OVER (PARTITION BY question_id, table_name, column_name ORDER BY score DESC, size DESC, value) AS rank FROM kept)"""
 _LISTS = """r AS (SELECT p_partkey AS idx,
       CASE WHEN p_size % 5 = 0 THEN ['part.p_size.' || p_size, 'part.p_rate.' || CAST(p_retailprice AS VARCHAR) || '%'] WHEN p_size % 5 = 1 THEN CAST([] AS VARCHAR[])
            ELSE ['part.p_name.' || p_name, 'part.p_brand.' || p_brand, 'part.p_size.' || p_size] END AS gt,
@@ -133,6 +150,11 @@ ORACLES = {
         f"""WITH {_MATCHED} SELECT question_id, table_name, column_name AS "column", value, CAST(rank AS INT) AS rank, size, round(score, 6) AS score
             FROM links WHERE rank <= 2""",
     ),
+    "indel_links": with_inputs(
+        ["questions", "stored_values"],
+        f"""WITH {_INDEL} SELECT question_id, table_name, column_name AS "column", value, CAST(rank AS INT) AS rank, round(score, 6) AS score
+            FROM links WHERE rank <= 2""",
+    ),
     "nested_value_links": with_inputs(
         ["questions", "stored_values"],
         f"""WITH {_MATCHED} SELECT question_id, CAST(count(DISTINCT table_name) AS INT) AS tables,

@@ -67,3 +67,13 @@ def test_errors_are_never_kept(spark, tmp_path):
     assert store.get(spark, "d", "q") is None
     store.get_or_run(spark, "d", "q", lambda: spark.range(3))
     assert store.get(spark, "d", "q").count() == 3 and store.get(spark, "other", "q") is None
+
+
+def test_templates_run_once_for_all_fillings(spark):
+    spark.range(50).selectExpr("id", "concat('n', id) AS name").createOrReplaceTempView("audited")
+    values = spark.range(12_000).selectExpr("map('n', concat('n', id), 'k', CAST(id AS STRING)) AS marks", "explode(array(1, 2, 3, 4)) AS template_id")
+    templates = [(1, "SELECT id FROM audited WHERE name = '{n}' AND id < 20"), (2, "SELECT id FROM audited WHERE id = {k} OR name LIKE '%{n}0%'"), (3, "SELECT nope FROM audited"), (4, "DROP TABLE {n}")]
+    got = {(r["template_id"], r["status"]): r["n"] for r in Q.audit_templates(spark, templates, values).groupBy("template_id", "status").agg(F.count("*").alias("n")).collect()}
+    assert got == {(1, "rows"): 20, (1, "empty"): 11_980, (2, "rows"): 50, (2, "empty"): 11_950, (3, "error"): 1, (4, "error"): 12_000}
+    with pytest.raises(ValueError, match="all its fillings at once"):
+        Q.audit_templates(spark, [(1, "SELECT id FROM audited ORDER BY id LIMIT {k}")], values)

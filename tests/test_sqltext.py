@@ -95,3 +95,12 @@ def test_real_logs_invent_no_names(spark):
     assert outer == {i: (i == 2, 7 if i == 2 else None) for i in range(7)}
     filters = {(r["query_id"], r["column"], r["operator"], r["value"]) for r in X.filter_values(log).collect()}
     assert {(0, "z", "=", "-1"), (0, "x", ">", "1e5"), (4, "m", "in", "-3"), (4, "n", "=", "x -- no comment")} <= filters
+
+
+def test_companion_column(spark):
+    texts = [
+        "SELECT title FROM result", "SELECT r.title, x FROM result r JOIN t ON r.a = t.a", "SELECT title, id FROM result", "SELECT r.title, r.id FROM result AS r",
+        "SELECT title FROM other", "SELECT a FROM result", "(SELECT", "SELECT title FROM (SELECT title FROM result) AS q",
+    ]
+    got = [r["with_key"] for r in X.with_companion_column(log(spark, *texts), "result", "title", "id").orderBy("query_id").collect()]
+    assert got == ["SELECT title, id FROM result", "SELECT r.title, x, r.id FROM result r JOIN t ON r.a = t.a", *texts[2:6], None, texts[7]]

@@ -219,3 +219,10 @@ def test_schema_texts(spark):
     )
     with pytest.raises(ValueError):
         T.schema_text(columns, "other")
+
+
+def test_equivalent_columns_close_over_chains(spark):
+    target = "SELECT a.x FROM a JOIN b ON a.x = b.x JOIN c ON b.x = c.x"
+    log = M.paired_log(spark.createDataFrame([(1, target.replace("SELECT a.x", "SELECT c.x"), target)], "pair_id long, prediction string, target string"))
+    names = {r["element"].rsplit("/", 1)[0] for r in M.variable_elements(log, M.scopes_of(log)).collect() if r["element"].startswith("columns")}
+    assert names == {"columns/a.x"}
