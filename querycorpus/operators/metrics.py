@@ -148,12 +148,15 @@ def match_means(scores: DataFrame, by: list[str] = ()) -> DataFrame:
 
 
 def _ngrams(words: Column, max_n: int) -> Column:
-    """``array<struct<n, g>>`` of all n-grams up to ``max_n``."""
+    """``array<struct<n, g, h>>`` of all n-grams up to ``max_n``, as two independent 64-bit hashes of their words."""
     def grams(n: int) -> Column:
         last = F.size(words) - n + 1
         starts = F.when(last >= 1, F.sequence(F.lit(1), last)).otherwise(F.array().cast("array<int>"))
         return F.transform(
-            starts, lambda i: F.struct(F.lit(n).alias("n"), F.array_join(F.slice(words, i, F.lit(n)), " ").alias("g"))
+            starts,
+            lambda i: F.struct(
+                F.lit(n).alias("n"), F.xxhash64(F.slice(words, i, F.lit(n))).alias("g"), F.xxhash64(F.lit(7), F.slice(words, i, F.lit(n))).alias("h")
+            ),
         )
 
     return F.concat(*[grams(n) for n in range(1, max_n + 1)])
@@ -175,8 +178,8 @@ def corpus_bleu(df: DataFrame, max_n: int = 4) -> DataFrame:
     spread = df.select("id", F.posexplode(texts).alias("r", "text")).repartition(parts, "id")
     split = pinned(spread.select("id", "r", "text"), "w", words(F.col("text")))
     grams = split.select("id", "r", F.explode(_ngrams(F.col("w"), max_n)).alias("x"))
-    counts = grams.groupBy("id", "r", "x.n", "x.g").agg(F.count(F.lit(1)).alias("c"))
-    clipped = counts.groupBy("id", "n", "g").agg(
+    counts = grams.groupBy("id", "r", "x.n", "x.g", "x.h").agg(F.count(F.lit(1)).alias("c"))
+    clipped = counts.groupBy("id", "n", "g", "h").agg(
         F.max(F.when(F.col("r") == 0, F.col("c"))).alias("mine"), F.max(F.when(F.col("r") > 0, F.col("c"))).alias("most")
     )
     sums = clipped.where("mine IS NOT NULL").groupBy("n").agg(

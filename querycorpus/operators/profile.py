@@ -12,7 +12,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from querycorpus.functions.scale import global_position, top_k
+from querycorpus.functions.scale import cut_lineage, global_position, top_k
 from querycorpus.functions.text import simple_name, without_last_s
 from querycorpus.sources.sinks import read_if_complete
 
@@ -232,10 +232,10 @@ def shown_values(values: Column, n: int, threshold: int | None = None) -> Column
 def profile_tables(tables: dict[str, DataFrame], n_values: int = 20) -> DataFrame:
     """Type, distinct and null counts, key flag and samples for every column of the tables.
 
-    The columns of all tables are counted in one grouping, whose result serves both parts.
+    The columns of all tables are counted in one grouping, written once and read by both parts: one scan per table.
     """
     long = reduce(DataFrame.union, [long_values(df, name) for name, df in tables.items()])
-    counts = long.groupBy("table_name", "column", "value").agg(F.count(F.lit(1)).alias("n"))
+    counts = cut_lineage(long.groupBy("table_name", "column", "value").agg(F.count(F.lit(1)).alias("n")))
     spark = next(iter(tables.values())).sparkSession
     types = [(t, f.name, f.dataType.simpleString().upper()) for t, df in tables.items() for f in df.schema]
     types = spark.createDataFrame(types, "table_name string, column string, data_type string")

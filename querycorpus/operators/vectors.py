@@ -9,6 +9,8 @@ and each group returns only k rows per query.
 
 from __future__ import annotations
 
+import hashlib
+import re
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -17,7 +19,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from querycorpus.functions.scale import cut_lineage, top_k
-from querycorpus.functions.text import md5_bucket
 from querycorpus.sources.sinks import append_unique, read_if_complete
 
 MAX_PIVOTS = 256
@@ -31,13 +32,28 @@ SLACK = 1e-7
 
 
 def hashed_vector(text: Column, dims: int = 32) -> Column:
-    """Counts of hashed words with unit length; an empty text gives zeros."""
-    words = F.filter(F.split(F.lower(text), r"\W+"), lambda w: w != "")
-    buckets = F.transform(words, lambda w: md5_bucket(w, dims))
-    counts = F.transform(
-        F.sequence(F.lit(0), F.lit(dims - 1)), lambda i: F.size(F.filter(buckets, lambda b: b == i)).cast("double")
-    )
-    return counts
+    """Counts of hashed words; an empty or null text gives zeros. Words are runs of ASCII letters, digits and _; a word's place is
+    its md5 (the first 8 hex digits) modulo ``dims``, looked up once per word and worker."""
+    split = re.compile("[^a-z0-9_]+")
+    places: dict[str, int] = {}
+
+    def place(word: str) -> int:
+        if word not in places:
+            if len(places) > 500_000:
+                places.clear()
+            places[word] = int(hashlib.md5(word.encode()).hexdigest()[:8], 16) % dims
+        return places[word]
+
+    @F.pandas_udf("array<double>")
+    def counted(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for some in texts:
+            words = [[w for w in split.split((t or "").lower()) if w] for t in some]
+            rows = np.repeat(np.arange(len(words)), [len(w) for w in words])
+            at = np.fromiter((place(w) for ws in words for w in ws), np.int64, len(rows))
+            table = np.bincount(rows * dims + at, minlength=len(words) * dims).reshape(len(words), dims)
+            yield pd.Series(list(table.astype(np.float64)))
+
+    return counted(text)
 
 
 def unit_vector(v: Column) -> Column:

@@ -51,8 +51,11 @@ def encoded_sentences(spark, sf_dir):
     encoded = V.encode_items(items, "doc_id", "sentences", dims=16)
     norm = F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x * x)
     checked = encoded.withColumn("_n", F.round(norm, 4))
+    # The places of the vectors count too: each component by its number.
+    weighted = F.aggregate(F.transform("embedding", lambda x, i: x.cast("double") * (i + 1)), F.lit(0.0), lambda a, x: a + x)
     return checked.groupBy("doc_id").agg(
-        F.count(F.lit(1)).alias("sentences"), F.count(F.when(F.col("_n") == 1, True)).alias("unit"), F.count(F.when(F.col("_n") == 0, True)).alias("empty")
+        F.count(F.lit(1)).alias("sentences"), F.count(F.when(F.col("_n") == 1, True)).alias("unit"), F.count(F.when(F.col("_n") == 0, True)).alias("empty"),
+        F.round(F.sum(weighted), 2).alias("weighted"),
     )
 
 
@@ -80,15 +83,18 @@ def _knn(k, extra=""):
       FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, item_id) AS rank FROM s) WHERE rank <= {k}"""
 
 
-_WORD = r"regexp_matches(s, '\w')"
 ORACLES = {
     "nearest_vectors": _knn(5),
     "nearest_same_label": _knn(5, "AND q.label = e.label"),
     "similar_examples": _knn(3, "AND q.label = e.label"),
     "stored_vectors": """SELECT vec_id, CASE WHEN vec_id % 3 <> 0 OR vec_id % 2 = 0 THEN CAST(len(embedding) AS INT) END AS dims,
         CASE WHEN vec_id % 3 <> 0 OR vec_id % 2 = 0 THEN label END AS label, true AS filled FROM embeddings""",
-    "encoded_sentences": f"""SELECT doc_id, count(*) AS sentences, count(*) FILTER ({_WORD}) AS unit, count(*) FILTER (NOT {_WORD}) AS empty
-        FROM (SELECT doc_id, unnest(string_split(text, '.')) AS s FROM documents) GROUP BY doc_id""",
+    "encoded_sentences": """WITH s AS (SELECT doc_id, unnest(string_split(text, '.')) AS s, unnest(range(len(string_split(text, '.')))) AS place FROM documents),
+        w AS (SELECT doc_id, place, unnest(list_filter(string_split_regex(lower(s), '[^a-z0-9_]+'), lambda x: x <> '')) AS word FROM s),
+        c AS (SELECT doc_id, place, CAST('0x' || substr(md5(word), 1, 8) AS BIGINT) % 16 AS k, count(*) AS n FROM w GROUP BY ALL),
+        v AS (SELECT doc_id, place, sum((k + 1) * n) / sqrt(sum(n * n)) AS weighted FROM c GROUP BY ALL)
+        SELECT doc_id, count(*) AS sentences, count(weighted) AS unit, count(*) - count(weighted) AS empty, round(coalesce(sum(weighted), 0.0), 2) AS weighted
+        FROM s LEFT JOIN v USING (doc_id, place) GROUP BY doc_id""",
     "regrouped_sentences": "SELECT conv_id * 1000 + turn AS id, CAST(len(string_split(text, '.')) AS INT) AS n, 8 AS dims FROM conversations",
     "reduced_vectors": "SELECT vec_id, 8 AS dims FROM embeddings",
 }
