@@ -193,16 +193,38 @@ def _verified(cells: DataFrame, doubtful: DataFrame, atol: float, rtol: float) -
     )
 
 
-def _mappings_of(edges: pd.DataFrame) -> Iterator[tuple[list[int], list[int], bool]]:
+def _pair_prints(cells: DataFrame, edges: DataFrame) -> DataFrame:
+    """Fingerprints of two columns together, row by row: ``pair_id, side, c, d, print``, both ways round.
+
+    Only for pairs of results in which a column has several exact partners and the order does not matter.
+    """
+    free = edges.where("exact AND NOT order_matters")
+    several = free.groupBy("pair_id", "pc").count().where("count > 1").select("pair_id").distinct()
+    free = free.join(several, "pair_id", "left_semi")
+    involved = free.select("pair_id", F.lit("pred").alias("side"), F.col("pc").alias("col_idx")).union(free.select("pair_id", F.lit("target"), "tc")).distinct()
+    rows = (
+        cells.join(several, "pair_id", "left_semi")
+        .join(involved, ["pair_id", "side", "col_idx"], "left_semi")
+        .groupBy("pair_id", "side", "row_idx")
+        .agg(F.collect_list(F.struct("col_idx", F.xxhash64("num", "str").alias("h"))).alias("v"))
+    )
+    pairs = F.flatten(F.transform("v", lambda a: F.transform("v", lambda b: F.struct(a["col_idx"].alias("c"), b["col_idx"].alias("d"), a["h"].alias("x"), b["h"].alias("y")))))
+    both = rows.select("pair_id", "side", F.explode(F.filter(pairs, lambda p: p["c"] != p["d"])).alias("p"))
+    return both.groupBy("pair_id", "side", "p.c", "p.d").agg(_hash_sum(F.col("p.x"), F.col("p.y")).cast("string").alias("print"))
+
+
+def _mappings_of(edges: pd.DataFrame, prints: dict[tuple[str, int, int], str]) -> Iterator[tuple[list[int], list[int], bool]]:
     """All ways to give every column of the narrower side a partner of its own.
 
-    Columns that are equal row by row stand for each other, so only one of their orders is tried.
+    Columns that are equal row by row stand for each other, so only one of their orders is tried. Two columns go only to two
+    partners that have the same values together (``prints``), which leaves few ways even where all columns hold equal values.
     """
     first = edges.iloc[0]
     flip = first["pred_cols"] > first["target_cols"]
     need = int(min(first["pred_cols"], first["target_cols"]))
     near, far = ("tc", "pc") if flip else ("pc", "tc")
     near_same, far_same = ("t_same", "p_same") if flip else ("p_same", "t_same")
+    near_side, far_side = ("target", "pred") if flip else ("pred", "target")
     options: dict[int, list[int]] = {}
     for a, b in zip(edges[near], edges[far]):
         options.setdefault(int(a), []).append(int(b))
@@ -221,6 +243,13 @@ def _mappings_of(edges: pd.DataFrame) -> Iterator[tuple[list[int], list[int], bo
         for b in sorted(options[order[i]]):
             if b in taken or kind_far[b] in tried:
                 continue
+            together = (
+                (prints.get((near_side, a, order[i])), prints.get((far_side, used[a], b)))
+                for a in used
+                if exact[a, used[a]] and exact[order[i], b]
+            )
+            if any(x is not None and y is not None and x != y for x, y in together):
+                continue
             tried.add(kind_far[b])
             twin = [used[a] for a in used if kind_near[a] == kind_near[order[i]]]
             if twin and any(b < other for other in twin) and all(o in options[order[i]] for o in twin):
@@ -236,21 +265,23 @@ def _mappings_of(edges: pd.DataFrame) -> Iterator[tuple[list[int], list[int], bo
         yield (b, a, n_exact) if flip else (a, b, n_exact)
 
 
-def _enumerate(edges: pd.DataFrame) -> pd.DataFrame:
+def _enumerate(edges: pd.DataFrame, prints: pd.DataFrame) -> pd.DataFrame:
+    known = {(s, int(c), int(d)): x for s, c, d, x in zip(prints["side"], prints["c"], prints["d"], prints["print"])}
     rows = [
         (edges["pair_id"].iloc[0], i, p, t, n, bool(edges["order_matters"].iloc[0]))
-        for i, (p, t, n) in enumerate(_mappings_of(edges))
+        for i, (p, t, n) in enumerate(_mappings_of(edges, known) if len(edges) else [])
     ]
     return pd.DataFrame(rows, columns=["pair_id", "mapping", "p_cols", "t_cols", "n_exact", "order_matters"])
 
 
-def _full_mappings(edges: DataFrame) -> DataFrame:
+def _full_mappings(edges: DataFrame, cells: DataFrame) -> DataFrame:
     """Mappings of all columns of the narrower side, exact pairs first.
 
     The groups hold column pairs, not rows: as many as two result widths allow.
     """
+    prints = _pair_prints(cells, edges).select(F.col("pair_id").alias("of"), "side", "c", "d", "print")
     schema = "pair_id long, mapping int, p_cols array<int>, t_cols array<int>, n_exact int, order_matters boolean"
-    return edges.groupBy("pair_id").applyInPandas(_enumerate, schema)
+    return edges.groupBy("pair_id").cogroup(prints.groupBy("of")).applyInPandas(_enumerate, schema)
 
 
 def _jointly_equal(cells: DataFrame, mappings: DataFrame, atol: float, rtol: float) -> DataFrame:
@@ -325,7 +356,7 @@ def compare_results(
         sure = sure.unionByName(doubtful.join(checked, ["pair_id", "pc", "tc"], "left_semi"))
     widths = open_pairs.select("pair_id", "pred_cols", "target_cols")
     edges = cut_lineage(sure.join(widths, "pair_id"))
-    full = cut_lineage(_full_mappings(edges))
+    full = cut_lineage(_full_mappings(edges, mine))
     whole = full.where("order_matters").select("pair_id").union(
         _jointly_equal(cells, full.where("NOT order_matters"), atol, rtol)
     )
