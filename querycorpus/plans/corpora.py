@@ -132,8 +132,9 @@ def padded_predictions(spark, sf_dir):
         F.collect_set(F.when(F.col("l_discount") < 0.05, part)).alias("truth"), F.collect_set(part).alias("pred")
     )
     padded = D.predictions_of_precision(F.col("truth"), F.col("pred"), 0.5, F.col("l_orderkey"))
+    added = F.array_except("p", "truth")  # in the order drawn
     return lists.withColumn("p", padded).select(
-        "l_orderkey", F.size("p").alias("n"), F.size(F.array_except("truth", "p")).alias("n_lost"), F.size(F.array_except("p", "pred")).alias("n_new")
+        "l_orderkey", F.size("p").alias("n"), F.size(F.array_except("truth", "p")).alias("n_lost"), F.concat_ws("|", added).alias("added")
     )
 
 
@@ -212,8 +213,11 @@ ORACLES = {
         best AS (SELECT * FROM lex WHERE synonym <> word QUALIFY row_number() OVER (PARTITION BY word ORDER BY s DESC, synonym) = 1)
         SELECT p_partkey, 'Show ' || {_CAP.format('synonym')} || ' ' || {_CAP.format("split_part(p_name, ' ', 2)")} || ', the one' AS question
         FROM part JOIN best ON word = split_part(p_name, ' ', 1)""",
-    "padded_predictions": """SELECT l_orderkey, CAST(least(p, t + greatest(2 * t - t, 0)) AS INT) AS n, 0 AS n_lost, 0 AS n_new FROM (
-        SELECT l_orderkey, count(DISTINCT l_partkey) AS p, count(DISTINCT CASE WHEN l_discount < 0.05 THEN l_partkey END) AS t FROM lineitem GROUP BY l_orderkey)""",
+    "padded_predictions": """WITH o AS (SELECT l_orderkey, l_partkey, bool_or(l_discount < 0.05) AS true_one FROM lineitem GROUP BY ALL),
+        r AS (SELECT *, count(*) FILTER (true_one) OVER (PARTITION BY l_orderkey) AS t,
+                     row_number() OVER (PARTITION BY l_orderkey, true_one ORDER BY md5('0|' || l_orderkey || '|' || l_partkey)) AS k FROM o)
+        SELECT l_orderkey, CAST(count(*) FILTER (true_one OR k <= t) AS INT) AS n, 0 AS n_lost,
+               coalesce(string_agg(CAST(l_partkey AS VARCHAR), '|' ORDER BY k) FILTER (NOT true_one AND k <= t), '') AS added FROM r GROUP BY l_orderkey""",
     "placeholder_pairs": """WITH pairs AS (SELECT DISTINCT p_brand AS b, p_type AS t FROM part WHERE p_size > 25)
         SELECT b AS placeholder, t AS companion FROM pairs UNION ALL SELECT t, b FROM pairs
         UNION ALL SELECT DISTINCT p_brand, NULL FROM part WHERE p_brand NOT IN (SELECT b FROM pairs)""",

@@ -40,7 +40,7 @@ def gzipped_jsonl(spark, sf_dir):
     path = scratch_path(spark, "gz")
     table(spark, sf_dir, "documents").select("doc_id", "text").write.option("compression", "gzip").json(path)
     rows = S.read_large_jsonl(spark, path, "doc_id long, text string", 8)
-    return rows.select("doc_id", F.length("text").alias("n"))
+    return rows.select("doc_id", F.length("text").alias("n"), F.md5("text").alias("digest"))
 
 
 def streamed_jsonl(spark, sf_dir):
@@ -143,7 +143,7 @@ _CELLS = [("c_custkey", 1), ("c_name", 0), ("c_nationkey", 1), ("c_acctbal", 1),
 ORACLES = {
     "json_array_corpus": "SELECT conv_id, turn, role, text, s AS split FROM conversations, (VALUES ('train'), ('dev')) v(s)",
     "jsonl_corpus": "SELECT conv_id, turn, text, role AS split FROM conversations",
-    "gzipped_jsonl": "SELECT doc_id, CAST(length(text) AS INT) AS n FROM documents",
+    "gzipped_jsonl": "SELECT doc_id, CAST(length(text) AS INT) AS n, md5(text) AS digest FROM documents",
     "streamed_jsonl": "SELECT event_type, count(*) AS n, round(sum(value), 2) AS total FROM events GROUP BY event_type",
     "csv_tables": "SELECT event_id, event_type, value, props, true AS has_file FROM events",
     "pooled_corpora": """SELECT 'turns.' || role AS corpus, role AS split, count(*) AS n, 0 AS n_ids, CAST(sum(length(text)) AS BIGINT) AS chars
