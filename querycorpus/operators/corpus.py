@@ -176,6 +176,9 @@ def run_steps(df: DataFrame, steps: list[tuple[str, dict]]) -> DataFrame:
 INSTRUCTIONS = "Write one {database_type} query that answers the question, using only this schema:\n\n{database_schema}\n"
 EXAMPLES = "### Examples:\n{examples}\n"
 QUESTION = "### Input:\n{nl_query}\n"
+# The layout of one shown example.
+EXAMPLE = "#{number}.\n\n{schema}NL Question:\n{nl_query}\n\nSQL Query:\n{sql_query}\n\n"
+EXAMPLE_SCHEMA = "Database Schema: {schema_text}\n"
 
 
 def _filled(template: str, values: dict[str, Column]) -> Column:
@@ -198,6 +201,7 @@ def prompts(
     instructions: str = INSTRUCTIONS,
     examples: str = EXAMPLES,
     question: str = QUESTION,
+    example: str = EXAMPLE,
 ) -> DataFrame:
     """Add ``prompt``: instructions with the schema, numbered examples, the question."""
     values = {
@@ -207,11 +211,10 @@ def prompts(
     }
 
     def one(e: Column, i: Column) -> Column:
-        schema = F.concat(F.lit("Database Schema: "), e["schema_text"], F.lit("\n")) if with_schema else F.lit("")
-        return F.concat(
-            F.lit("#"), i.cast("string"), F.lit(".\n\n"), schema, F.lit("NL Question:\n"), e["nl_query"],
-            F.lit("\n\nSQL Query:\n"), e["sql_query"], F.lit("\n\n"),
-        )
+        shown = {"number": i.cast("string"), "nl_query": e["nl_query"], "sql_query": e["sql_query"]}
+        if with_schema:
+            shown["schema"] = _filled(EXAMPLE_SCHEMA, {"schema_text": e["schema_text"]})
+        return _filled(example, {"schema": F.lit("")} | shown)
 
     parts = [_filled(instructions, values)]
     if few_shot:
