@@ -45,10 +45,10 @@ _WORKER: dict[str, object] = {}
 
 
 def per_worker(key: str, make: Callable):
-    """An object with memos that the tasks of one Python worker share; the last few are held."""
+    """An object with memos that the tasks of one Python worker share. Only the last one is held, so that the stages of a
+    pipeline don't add up in the memory of a worker."""
     if key not in _WORKER:
-        while len(_WORKER) > 2:
-            _WORKER.pop(next(iter(_WORKER)))
+        _WORKER.clear()
         _WORKER[key] = make()
     return _WORKER[key]
 

@@ -36,7 +36,7 @@ class Sketcher:
 
     def __init__(self, words: int, bands: int, rows: int) -> None:
         self.words, self.bands, self.rows, self.bins = words, bands, rows, bands * rows
-        self.hashes = Memo(lambda w: xxhash.xxh3_64_digest(w), 500_000)
+        self.hashes = Memo(lambda w: xxhash.xxh3_64_digest(w), 250_000)
         self.starts = np.array([-(-(b << 64) // self.bins) for b in range(self.bins)], np.uint64)
         self.stops = np.append(self.starts[1:] - np.uint64(1), np.uint64(2**64 - 1))
         self.probes = np.random.default_rng(11).integers(0, self.bins, (16 * self.bins, self.bins))

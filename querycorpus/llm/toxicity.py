@@ -53,11 +53,14 @@ class Vectors:
     word is ``rest``. So two vectors are near when their texts have the same terms at about the same density, however long they are."""
 
     def __init__(self, terms: list[str], idf: np.ndarray | None = None, rest: float = 1.0) -> None:
-        self.number, self.idf, self.rest = {t: i for i, t in enumerate(terms)}, idf, rest
-        self.words = Memo(self._word, 800_000)
+        self.idf, self.rest = idf, rest
+        number = {t: i for i, t in enumerate(terms)}
 
-    def _word(self, word: str) -> bytes:
-        return np.array([self.number[t] for t in terms_of(word) if t in self.number], "<u4").tobytes()
+        def found(word: str) -> bytes:
+            return np.array([number[t] for t in terms_of(word) if t in number], "<u4").tobytes()
+
+        # The counting and the scoring of the same terms share one memo of words.
+        self.words = per_worker(f"terms {hash((*terms,))}", lambda: Memo(found, 250_000))
 
     def counts(self, text: str | None) -> tuple[np.ndarray, np.ndarray, int]:
         """(terms, their counts, number of words)"""
@@ -75,8 +78,7 @@ class Vectors:
 
 def _document_frequencies(terms: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vectors = per_worker(f"vectors {hash((*terms,))}", lambda: Vectors(terms))
-        total, rows = np.zeros(len(terms), np.int64), 0
+        vectors, total, rows = Vectors(terms), np.zeros(len(terms), np.int64), 0
         for batch in batches:
             rows += batch.num_rows
             for text in batch["text"].to_pylist():
@@ -173,8 +175,7 @@ class ToxicityModel:
     def start(self) -> None:
         if "index" not in self.__dict__:
             self.__dict__["index"] = BlockMaxIndex(self.examples, len(self.terms) + 1)
-            make = lambda: Vectors(self.terms, self.idf, self.rest)
-            self.__dict__["vectors"] = per_worker(f"vectors {hash((*self.terms, self.rest))}", make)
+            self.__dict__["vectors"] = Vectors(self.terms, self.idf, self.rest)
             self.__dict__["plain"] = None
 
     def vote(self, near: np.ndarray, similarity: np.ndarray, prior: float = 5.0) -> float:
