@@ -22,8 +22,19 @@ from querycorpus.llm.common import Memo, documents, per_worker, written
 
 #: The vocabulary's splitter for texts of Latin-1 letters: \xaa \xb5 \xba and \xc0 on are letters, \xb2 \xb3 \xb9 \xbc-\xbe numbers.
 _LETTER, _NUMBER, _SPACE = "a-z\xaa\xb5\xba\xdf-\xf6\xf8-\xff", "0-9\xb2\xb3\xb9\xbc-\xbe", "\t-\r \x85\xa0"
-PIECES = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTER}]+|[{_NUMBER}]|[^{_SPACE}{_LETTER}{_NUMBER}]+")
-WIDER = re.compile("[^\x00-\xff]|<\\|")
+PIECES = re.compile(f"[{_LETTER}]+|[{_NUMBER}]|'(?:[stmd]|re|ve|ll)|[^{_SPACE}{_LETTER}{_NUMBER}]+")
+
+
+def plain(text: str) -> bool:
+    """Whether the text has Latin-1 letters only and nothing that could be a special token."""
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return False
+    return "<|" not in text
+
+
+MAX_SHARDS = 20_000
 PLACED = "doc_id long, start long, length long, crc long, doc_tokens long, rare long, second long, ids binary"
 PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids binary"
 
@@ -33,7 +44,7 @@ class Words:
     and each distinct piece is tokenized once per worker, many in one call: every piece ends with a token that closes a word.
     Texts of other letters, or with special tokens, are cut at blanks only and their words tokenized whole."""
 
-    def __init__(self, model: str, limit: int = 450_000) -> None:
+    def __init__(self, model: str, limit: int = 350_000) -> None:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         self.tokenizer = Tokenizer.from_str(model)
         self.tokenizer.no_truncation()
@@ -64,31 +75,28 @@ class Words:
     def many(self, texts: list[str | None]) -> Iterator[np.ndarray]:
         """The ids of each text, in groups of a few million letters."""
         group: list[list[str] | str] = []
-        missing: set[str] = set()
         held = 0
         for text in texts:
             text = text or ""
-            if WIDER.search(text):
-                group.append(text)
-            else:
-                group.append(PIECES.findall(text.lower()))
-                missing.update(group[-1])
+            group.append(PIECES.findall(text.lower()) if plain(text) else text)
             held += len(text)
             if held > 2_000_000:
-                yield from self._flushed(group, missing)
-                group, missing, held = [], set(), 0
-        yield from self._flushed(group, missing)
+                yield from self._flushed(group)
+                group, held = [], 0
+        yield from self._flushed(group)
 
-    def _flushed(self, group: list[list[str] | str], needed: set[str]) -> Iterator[np.ndarray]:
+    def _flushed(self, group: list[list[str] | str]) -> Iterator[np.ndarray]:
         if len(self.pieces) > self.limit:
             self.pieces.clear()
-        self._learn([p for p in needed if p not in self.pieces])
-        for entry in group:
-            if isinstance(entry, str):
-                found = map(self.words.__getitem__, entry.replace("\n", " ").split(" "))
-            else:
-                found = map(self.pieces.__getitem__, entry)
-            yield np.frombuffer(b"".join(found), "<u4")
+        known = [None if isinstance(entry, str) else list(map(self.pieces.get, entry)) for entry in group]
+        missing = {p for entry, ids in zip(group, known, strict=True) if ids and None in ids for p, x in zip(entry, ids, strict=True) if x is None}
+        self._learn(list(missing))
+        for entry, ids in zip(group, known, strict=True):
+            if ids is None:
+                ids = map(self.words.__getitem__, entry.replace("\n", " ").split(" "))
+            elif None in ids:
+                ids = [self.pieces[p] if x is None else x for p, x in zip(entry, ids, strict=True)]
+            yield np.frombuffer(b"".join(ids), "<u4")
 
 
 def crc32(ids: np.ndarray) -> int:
@@ -277,7 +285,8 @@ def pack_documents(
     frequencies = tails.select("ids", "length").mapInArrow(_document_frequencies, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).toPandas()
     table = np.zeros(int(frequencies["token"].max() if len(frequencies) else 0) + 1, np.float64)
     table[frequencies["token"].to_numpy(np.int64)] = frequencies["n"].to_numpy(np.float64)
-    shards = max(1, math.ceil(count / shard_tails))
+    # A shard streams its tails block by block, so beyond MAX_SHARDS tasks shards grow instead of their number.
+    shards = max(1, min(MAX_SHARDS, math.ceil(count / shard_tails)))
     order = ["rare", "second", "doc_id", "start"]
     placed = tokens.repartitionByRange(shards, *order).sortWithinPartitions(*order)
     pack = _packed(spark.sparkContext.broadcast(table), count, (total or 1) / max(count, 1), window, end, terms, block_tails, keep_ids)
