@@ -1,5 +1,6 @@
 import random
 import re
+import textwrap
 import zlib
 
 import cases
@@ -141,3 +142,27 @@ def test_licenses_match_brute_force(spark):
     assert "Python" not in plan and "Arrow" not in plan
     with pytest.raises(ValueError, match="two words"):
         licenses.scan_licenses(cases.frame(spark, rows), {"x": "one"})
+
+
+WARRANTY = (
+    'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, '
+    "FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, "
+    "WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."
+)
+
+
+def test_licenses_within_lines_and_across_them(spark):
+    wrapped = textwrap.fill(licenses.TEMPLATES["mit-grant"], 78)
+    mit = f"MIT License\n\nCopyright (c) 2020 Example Inc.\n\n{wrapped}\n\nThe above copyright notice and this permission notice shall be included in all\ncopies or substantial portions of the Software.\n\n" + textwrap.fill(WARRANTY, 78)
+    prose = "We hope that the reader of this page finds the way to the river and back. " * 20
+    rows = [
+        (1, mit), (2, "Copyright (c) 2020 Example Inc. All rights reserved."), (3, prose + "This project is Released under the MIT License. " + prose),
+        (4, prose + textwrap.fill(licenses.TEMPLATES["apache-2.0-header"], 30) + "\n" + prose), (5, prose), (6, "Released under the MIT License.\n" + prose + "released under the\nMIT license"),
+        (7, prose + "All rights reserved. " + prose + "\nAll rights\nreserved.\n"), (8, "x.\n" + licenses.TEMPLATES["gpl-3.0-header"] + " All rights reserved.\n" + prose),
+    ]
+    got = {(r["doc_id"], r["license"]): (round(r["similarity"], 6), r["n_units"], r["first_place"]) for r in licenses.scan_licenses(cases.frame(spark, rows)).collect()}
+    assert got.pop((8, "gpl-3.0-header"))[1:] == (1, 1) and got.pop((8, "lgpl-2.1-header"))[1:] == (1, 1)
+    assert got == {
+        (1, "mit-grant"): (1.0, 1, 4), (2, "all-rights-reserved"): (1.0, 1, 0), (3, "mit-notice"): (1.0, 1, 0), (4, "apache-2.0-header"): (1.0, 1, 0),
+        (6, "mit-notice"): (1.0, 2, 0), (7, "all-rights-reserved"): (1.0, 2, 0), (8, "all-rights-reserved"): (1.0, 1, 1),
+    }
