@@ -40,6 +40,52 @@ def table_plan(rows: int, similarity: float, miss: float) -> tuple[int, int]:
     return bits, max(1, math.ceil(math.log(miss) / math.log(1 - same)))
 
 
+def equal_bits(sample: np.ndarray, labels: np.ndarray, similarity: float, pairs: int = 2000, seed: int = 7) -> list[np.ndarray]:
+    """For each label the chance of an equal sign bit, after centring, of pairs at exactly the similarity: a vector of the sample and a
+    partner turned towards another vector of its label, or anywhere."""
+    unit = sample / np.linalg.norm(sample, axis=1, keepdims=True)
+    centre, rng, out = unit.mean(0), np.random.default_rng(seed), []
+    for label in np.unique(labels):
+        own = unit[labels == label]
+        one, two = own[rng.integers(0, len(own), pairs)], own[rng.integers(0, len(own), pairs)]
+        two = np.where(np.arange(pairs)[:, None] % 2 == 0, two, rng.normal(size=one.shape))
+        across = two - (two * one).sum(1, keepdims=True) * one
+        size = np.linalg.norm(across, axis=1, keepdims=True)
+        ok = size[:, 0] > 1e-9
+        one, across = one[ok], across[ok] / size[ok]
+        partner = similarity * one + math.sqrt(max(0.0, 1 - similarity**2)) * across
+        a, b = one - centre, partner - centre
+        norms = np.linalg.norm(a, axis=1) * np.linalg.norm(b, axis=1)
+        cosine = np.divide((a * b).sum(1), norms, out=np.zeros(len(a)), where=norms > 0)
+        if len(cosine):
+            out.append(1 - np.arccos(np.clip(cosine, -1, 1)) / math.pi)
+    return out
+
+
+def centred_plan(rows: int, equal: list[np.ndarray], similarity: float, miss: float) -> tuple[int, int]:
+    """(bits, tables): ``table_plan`` where centring leaves the angles as they are, else as many tables as the pairs of the worst label need.
+    Shorter keys need fewer tables but fill their buckets; the cheapest of both is taken, down to no bits: one bucket, all compared."""
+    bits, tables = table_plan(rows, similarity, miss)
+
+    def missed(width: int, count: int) -> float:
+        return max(float(((1 - p**width) ** count).mean()) for p in equal)
+
+    if not equal or missed(bits, tables) <= miss:
+        return bits, tables
+    plans = []
+    for width in range(bits, 0, -1):
+        low, high = 1, 1
+        while high < 1 << 20 and missed(width, high) > miss:
+            low, high = high, high * 2
+        while low < high:
+            half = (low + high) // 2
+            low, high = (low, half) if missed(width, half) <= miss else (half + 1, high)
+        if missed(width, high) <= miss:
+            plans.append((high * (1 + rows / 2**width / 256), -width, high))
+    _, width, count = min([*plans, (1 + rows / 256, 0, 1)])
+    return -width, count
+
+
 def _table_keys(centre: np.ndarray, rotations: list[np.ndarray], bits: int, tables: int):
     turned = np.hstack(rotations)[:, : bits * tables]
     powers = 1 << np.arange(bits, dtype=np.int64)
@@ -128,7 +174,8 @@ def near_vectors(vectors: DataFrame, similarity: float = 0.98, miss: float = 0.0
        most about 2 x ``block_rows`` vectors; a link is counted in the first table where its ends meet. Only counts and roots leave a task.
     4. Roots are closed to components.
 
-    A link at exactly the similarity is missed with a chance of about ``miss``; closer ones less.
+    A link at exactly the similarity is missed with a chance of about ``miss``; closer ones less. Centring widens the angles of vectors with a
+    common direction, so bits and tables are planned by the angles of sample pairs after it, for the label with the worst.
 
     * Label null, vector null, empty or zero, with null, NaN or infinite components, or of another length than most: linked with
       nothing, its own component. A row without vec_id has a null component and is kept.
@@ -142,9 +189,10 @@ def near_vectors(vectors: DataFrame, similarity: float = 0.98, miss: float = 0.0
         return rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
     usable = usable.where(F.size("embedding") == lengths[0]["d"]).withColumn("h", F.xxhash64("embedding"))
     nodes = usable.groupBy("label", "h", "embedding").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("copies"))
-    bits, tables = table_plan(lengths[0]["count"], similarity, miss)
-    sample = usable.select("vec_id", "embedding").orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample_rows).collect()
-    centre, rotations = learn_rotations(np.array([r["embedding"] for r in sample], np.float64), math.ceil(bits * tables / lengths[0]["d"]))
+    sample = usable.select("vec_id", "label", "embedding").orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample_rows).collect()
+    known = np.array([r["embedding"] for r in sample], np.float64)
+    bits, tables = centred_plan(lengths[0]["count"], equal_bits(known, np.array([r["label"] for r in sample]), similarity), similarity, miss)
+    centre, rotations = learn_rotations(known, max(1, math.ceil(bits * tables / lengths[0]["d"])))
     schema = "label long, h long, embedding array<float>, rep long, copies long, keys array<long>"
     coded = written(nodes.mapInArrow(_table_keys(centre, rotations, bits, tables), schema), "vector_codes")
 

@@ -108,3 +108,26 @@ def test_vectors_of_odd_tables(spark):
     assert embedding_dedup.near_vectors(cases.empty(spark, kind)).count() == 0
     got = embedding_dedup.near_vectors(cases.frame(spark, [(1, [1.0, 2.0], 0), (1, [1.0, 2.0], 0), (None, [1.0, 2.0], 0), (4, [2.0, 4.0], 0)], kind)).collect()
     assert sorted((str(r["vec_id"]), r["n_links"], str(r["component_id"]), r["kept"]) for r in got) == [("1", 2, "1", True), ("1", 2, "1", True), ("4", 2, "1", False), ("None", 0, "None", True)]
+
+
+@pytest.mark.parametrize("common", [0.0, 0.5, 0.9])
+def test_vectors_with_a_common_direction(spark, common):
+    """Pairs at the threshold are found whatever the mean: sqrt(common) is its length."""
+    rng, d, n = np.random.default_rng(12), 64, 1500
+    mean = rng.normal(size=d)
+    mean *= np.sqrt(common) / np.linalg.norm(mean)
+    own = rng.normal(size=(n, d))
+    one = mean + np.sqrt(1 - common) * own / np.linalg.norm(own, axis=1, keepdims=True)
+    one /= np.linalg.norm(one, axis=1, keepdims=True)
+    other = rng.normal(size=(n, d))
+    other -= (other * one).sum(1, keepdims=True) * one
+    cosine = 0.98001
+    two = cosine * one + np.sqrt(1 - cosine**2) * other / np.linalg.norm(other, axis=1, keepdims=True)
+    x = np.vstack([one, two]).astype(np.float32).astype(np.float64)
+    size = np.linalg.norm(x, axis=1)
+    near = x @ x.T / np.outer(size, size) >= 0.98
+    np.fill_diagonal(near, False)
+    assert near.sum() >= 2 * n * 0.99
+    df = spark.createDataFrame([(i, v.tolist(), 0) for i, v in enumerate(x)], "vec_id long, embedding array<float>, label int")
+    found = sum(r["n_links"] for r in embedding_dedup.near_vectors(df).collect())
+    assert 0.994 * near.sum() <= found <= near.sum()
