@@ -160,7 +160,10 @@ def _compared(percent: int):
             part = np.zeros((len(sets), 4096), np.float32)
             part[row[a:b], column[a:b] - start] = 1
             both += part @ part.T
-        near = 100 * both >= percent * (sizes[:, None] + sizes[None, :] - both)
+        near = np.zeros(both.shape, bool)
+        for start in range(0, len(sets), 256):
+            strip = both[start : start + 256].astype(np.int64)
+            near[start : start + 256] = 100 * strip >= percent * (sizes[start : start + 256, None] + sizes[None, :] - strip)
         np.fill_diagonal(near, False)
         if rows["i"][0] != rows["j"][0]:
             near &= own[:, None] != own[None, :]
@@ -192,7 +195,7 @@ def _compared(percent: int):
     return run
 
 
-def _rest(starred: DataFrame, linked: DataFrame, sets: DataFrame, percent: int, block_shingles: int) -> DataFrame | None:
+def _rest(starred: DataFrame, linked: DataFrame, sets: DataFrame, percent: int, block_shingles: int, block_texts: int) -> DataFrame | None:
     """Links that the stars have missed: of members that are not linked with the centre of their bucket.
 
     A node with too many shingles that no other node here holds can't be linked with any and goes. Buckets that still have unlinked
@@ -214,8 +217,10 @@ def _rest(starred: DataFrame, linked: DataFrame, sets: DataFrame, percent: int,
     ties = written(here.join(hubs, "key").where("rep <> hub").select(F.col("rep").alias("a"), F.col("hub").alias("b")).distinct(), "family_ties")
     if ties.isEmpty():
         return None
-    families = components(ties).select(F.col("component").alias("family"), F.col("node").alias("rep")).join(able, "rep")
-    blocks = families.groupBy("family").agg(F.ceil(F.sum("n") / block_shingles).cast("long").alias("blocks"))
+    # A repeated doc_id brings all its texts into a block, so it counts with all of them.
+    families = components(ties).select(F.col("component").alias("family"), F.col("node").alias("rep")).join(able, "rep").join(several, "rep", "left")
+    parts = F.greatest(F.ceil(F.sum("n") / block_shingles), F.ceil(F.sum(F.coalesce("texts", F.lit(1))) / block_texts))
+    blocks = families.groupBy("family").agg(parts.cast("long").alias("blocks"))
     placed = families.join(blocks, "family").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")))
     placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     placed = placed.select("family", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", F.col("rep").alias("node"))
@@ -224,7 +229,7 @@ def _rest(starred: DataFrame, linked: DataFrame, sets: DataFrame, percent: int,
     return full.mapInArrow(_compared(percent), "a long, b long")
 
 
-def _links(texts: DataFrame, nodes: DataFrame, again: DataFrame, words: int, percent: int, block_shingles: int) -> DataFrame:
+def _links(texts: DataFrame, nodes: DataFrame, again: DataFrame, words: int, percent: int, block_shingles: int, block_texts: int) -> DataFrame:
     """Components of ``nodes(rep, n, keys)`` as (node, component); ``again`` holds links known beforehand."""
     entries = nodes.select("rep", "n", F.explode("keys").alias("key"))
     sizes = entries.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
@@ -239,12 +244,14 @@ def _links(texts: DataFrame, nodes: DataFrame, again: DataFrame, words: int, per
     wanted = members.select(F.col("rep").alias("doc_id")).distinct()
     sets = written(texts.join(wanted, "doc_id", "left_semi").mapInArrow(_sets(words), "node long, shingles binary"), "shingle_sets")
     linked = written(_confirmed(pairs, sets, percent), "links")
-    rest = _rest(starred, linked, sets, percent, block_shingles)
+    rest = _rest(starred, linked, sets, percent, block_shingles, block_texts)
     linked = linked.unionByName(again)
     return components(linked if rest is None else linked.unionByName(rest))
 
 
-def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, bins: int = 256, miss: float = 1e-6, block_shingles: int = 150_000) -> DataFrame:
+def near_duplicates(
+    docs: DataFrame, words: int = 5, percent: int = 80, bins: int = 256, miss: float = 1e-6, block_shingles: int = 150_000, block_texts: int = 1024
+) -> DataFrame:
     """Link texts whose sets of ``words``-word shingles have a Jaccard similarity of ``percent`` / 100 or more, and group them.
 
     Returns per row: doc_id, n_shingles, component_id (smallest doc_id reachable by links), kept (doc_id = component_id).
@@ -254,7 +261,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, bins: in
     2. A node's signature (at most ``bins`` bins) is cut into bands; a pair at the threshold shares no band with a chance of at most ``miss``.
     3. Members of a bucket are compared with the bucket's centre only, on their full sets. So that no link between two members is lost
        where one of them is not linked with the centre, the members of such buckets are compared in blocks of about ``block_shingles``
-       shingles inside the tasks; no pairs leave them.
+       shingles and ``block_texts`` texts at most, on average, inside the tasks; no pairs leave them.
     4. Links are closed to components.
 
     * Null, empty or blank text: no shingles, linked with nothing. Fewer words than a shingle: the whole sequence is one.
@@ -271,7 +278,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, bins: in
     mapped = written(mapped.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("rep", "doc_id")).alias("rep")), "mapped")
     again = mapped.where("doc_id <> rep").join(mapped.where("doc_id = rep").select("doc_id").distinct(), "doc_id", "left_semi")
     again = again.select(F.col("doc_id").alias("a"), F.col("rep").alias("b")).distinct()
-    found = _links(texts, nodes, again, words, percent, block_shingles).withColumnRenamed("node", "rep")
+    found = _links(texts, nodes, again, words, percent, block_shingles, block_texts).withColumnRenamed("node", "rep")
     out = mapped.join(found, "rep", "left").withColumn("component_id", F.coalesce("component", "rep"))
     return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
 

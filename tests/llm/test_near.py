@@ -131,3 +131,31 @@ def test_vectors_with_a_common_direction(spark, common):
     df = spark.createDataFrame([(i, v.tolist(), 0) for i, v in enumerate(x)], "vec_id long, embedding array<float>, label int")
     found = sum(r["n_links"] for r in embedding_dedup.near_vectors(df).collect())
     assert 0.994 * near.sum() <= found <= near.sum()
+
+
+def test_blocks_are_bounded_by_texts(spark, monkeypatch):
+    """A family of short texts fills few shingles, but many rows of the comparison."""
+    rng = random.Random(6)
+    stream = [cases.words(rng, 1) for _ in range(700)]
+    rows = [(i, " ".join(stream[2 * i : 2 * i + 20])) for i in range(300)]
+    sizes = []
+    whole = minhash_dedup._compared
+
+    def watched(percent):
+        run = whole(percent)
+
+        def checked(batches):
+            def passed():
+                for batch in batches:
+                    places = list(zip(*(batch[c].to_pylist() for c in ("family", "i", "j")), strict=True))
+                    assert max((places.count(p) for p in set(places)), default=0) <= 120
+                    yield batch
+
+            yield from run(passed())
+
+        sizes.append(percent)
+        return checked
+
+    monkeypatch.setattr(minhash_dedup, "_compared", watched)
+    got = minhash_dedup.near_duplicates(cases.frame(spark, rows), words=2, percent=75, bins=64, block_texts=32).collect()
+    assert sizes == [75] and {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == linked_texts(rows, 2, 75)
