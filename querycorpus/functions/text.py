@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def squeeze(c: Column) -> Column:
@@ -31,28 +33,24 @@ def edit_similarity(a: Column, b: Column) -> Column:
     return F.when(longer == 0, F.lit(1.0)).otherwise(1.0 - F.levenshtein(a, b) / longer)
 
 
-def common_subsequence(a: Column, b: Column) -> Column:
-    """Length of the longest common subsequence of two short texts (a row-by-row fold)."""
-    chars = F.split(b, "")
-    width = F.size(chars)
-    zero = F.array_repeat(F.lit(0), width + 1)
-
-    def add_row(prev: Column, ch: Column) -> Column:
-        return F.aggregate(
-            F.sequence(F.lit(1), width),
-            F.array(F.lit(0)),
-            lambda row, j: F.concat(
-                row,
-                F.array(
-                    F.when(F.element_at(chars, j) == ch, F.element_at(prev, j) + 1).otherwise(
-                        F.greatest(F.element_at(prev, j + 1), F.element_at(row, j))
-                    )
-                ),
-            ),
-        )
-
-    filled = F.aggregate(F.split(a, ""), zero, add_row)
-    return F.when((F.length(a) == 0) | (F.length(b) == 0), F.lit(0)).otherwise(F.element_at(filled, -1))
+@F.pandas_udf(T.IntegerType())
+def common_subsequence(a: pd.Series, b: pd.Series) -> pd.Series:
+    """Length of the longest common subsequence, a row of its table at a time as the bits of one number."""
+
+    def length(one: str | None, two: str | None) -> int | None:
+        if one is None or two is None:
+            return None
+        places: dict[str, int] = {}
+        for i, letter in enumerate(one):
+            places[letter] = places.get(letter, 0) | 1 << i
+        full = (1 << len(one)) - 1
+        row = full
+        for letter in two:
+            met = row & places.get(letter, 0)
+            row = (row + met | row - met) & full
+        return len(one) - row.bit_count()
+
+    return pd.Series([length(one, two) for one, two in zip(a, b)], dtype="Int32")
 
 
 def indel_similarity(a: Column, b: Column) -> Column:

@@ -1,20 +1,18 @@
 """Link question words to stored values, and score such links.
 
-Matching is a similarity join. Distinct spans of words meet distinct values through shared pieces: a
-value of length L that may differ in d letters is cut into d + 1 pieces, and any span within that
-distance holds one of them unchanged, near its place. The join is therefore an equi-join on (first
-letter, length, piece number, piece) that misses nothing; only its candidates are scored.
+Matching is a similarity join. The text of a question from each of its words on meets distinct values through an inverted index
+of positional q-grams (``gramindex``); only for candidates are spans cut, of the lengths that the value allows, and scored. Nothing
+within the threshold is missed.
 """
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from querycorpus.functions.scale import top_k
+from querycorpus.functions.scale import cut_lineage, top_k
 from querycorpus.functions.text import edit_similarity, indel_similarity
+from querycorpus.operators.gramindex import gram_index
 
 # English words that are no values, words that need a perfect
 # score, and names too common to link.
@@ -49,29 +47,12 @@ def _linkable(c: Column) -> Column:
     return (F.length(c) > 1) & ~c.rlike(NUMBER) & ~c.isin(*STOP_WORDS, *COMMON_NAMES)
 
 
-def question_spans(questions: DataFrame, max_words: int) -> DataFrame:
-    """All runs of 1 to ``max_words`` words of every question: ``question_id, span``."""
+def question_tails(questions: DataFrame) -> DataFrame:
+    """The words of a question from each of its words on, joined by blanks: ``question_id, text``."""
     words = F.filter(F.split(F.lower("question"), SEPARATORS), lambda w: w != "")
-    listed = questions.select("question_id", F.explode(F.array(words)).alias("_w"))
-    starts = listed.select("question_id", "_w", F.explode(F.sequence(F.lit(1), F.size("_w"))).alias("_s")).where(F.size("_w") > 0)
-    lengths = F.sequence(F.lit(1), F.least(F.lit(max_words), F.size("_w") - F.col("_s") + 1))
-    return (
-        starts.select("question_id", "_w", "_s", F.explode(lengths).alias("_n"))
-        .select("question_id", F.array_join(F.slice("_w", F.col("_s"), F.col("_n")), " ").alias("span"))
-        .distinct()
-    )
-
-
-def _budget(length: Column, theta: float, measure: str) -> Column:
-    """Most letters in which a value of this length can differ and still reach the threshold."""
-    if measure == "levenshtein":
-        return F.floor(F.lit(1 - theta) * F.floor(length / theta + 1e-9) + 1e-9).cast("int")
-    return F.floor(F.lit(2 * (1 - theta) / theta) * length + 1e-9).cast("int")
-
-
-def _piece_bounds(i: Column, length: Column, pieces: Column) -> tuple[Column, Column]:
-    start = F.floor(i * length / pieces).cast("int")
-    return start, (F.floor((i + 1) * length / pieces) - start).cast("int")
+    listed = questions.select("question_id", F.explode(F.array(words)).alias("_w")).where(F.size("_w") > 0)
+    starts = listed.select("question_id", "_w", F.explode(F.sequence(F.lit(1), F.size("_w"))).alias("_s"))
+    return starts.select("question_id", F.array_join(F.slice("_w", F.col("_s"), F.size("_w")), " ").alias("text")).distinct()
 
 
 def similar_pairs(
@@ -87,40 +68,11 @@ def similar_pairs(
     ``within`` are columns both sides must share (a database, say); ``same_first`` asks for the same
     first letter.
     """
-    score, within = MEASURES[measure], list(within)
-
-    def first(c: str) -> Column:
-        return (F.substring(c, 1, 1) if same_first else F.lit("")).alias("_first")
-
-    sized = values.select(*within, "norm", F.length("norm").alias("_l")).distinct().where("_l > 0")
-    sized = sized.withColumn("_d", _budget(F.col("_l"), theta, measure))
-    parts = sized.select(*within, "norm", "_l", "_d", F.explode(F.sequence(F.lit(0), F.col("_d"))).alias("_i"))
-    start, size = _piece_bounds(F.col("_i"), F.col("_l"), F.col("_d") + 1)
-    value_keys = parts.select(
-        *within, "norm", first("norm"), "_l", "_i", F.substring("norm", start + 1, size).alias("_piece")
-    )
-    ratio = theta if measure == "levenshtein" else theta / (2 - theta)
-    length = F.length("span")
-    span_lengths = F.sequence(
-        F.greatest(F.lit(1), F.floor(length * ratio - 1e-9).cast("int")), F.ceil(length / F.lit(ratio) + 1e-9).cast("int")
-    )
-    asked = spans.select(*within, "span").distinct().where(F.length("span") > 0)
-    grown = asked.select(*within, "span", F.explode(span_lengths).alias("_l")).withColumn(
-        "_d", _budget(F.col("_l"), theta, measure)
-    )
-    grown = grown.where(F.abs(F.length("span") - F.col("_l")) <= F.col("_d"))
-    grown = grown.select(*within, "span", "_l", "_d", F.explode(F.sequence(F.lit(0), F.col("_d"))).alias("_i"))
-    start, size = _piece_bounds(F.col("_i"), F.col("_l"), F.col("_d") + 1)
-    grown = grown.withColumn("_at", start).withColumn("_size", size)
-    # The letters before a kept piece shift by s and those after it by (gap - s), together within the budget.
-    gap = F.length("span") - F.col("_l")
-    nearby = F.explode(F.sequence(F.col("_at") + F.ceil((gap - F.col("_d")) / 2).cast("int"), F.col("_at") + F.floor((gap + F.col("_d")) / 2).cast("int")))
-    grown = grown.select(*within, "span", "_l", "_i", "_size", nearby.alias("_at"))
-    span_keys = grown.where((F.col("_at") >= 0) & (F.col("_at") + F.col("_size") <= F.length("span"))).select(
-        *within, "span", first("span"), "_l", "_i", F.substring("span", F.col("_at") + 1, F.col("_size")).alias("_piece")
-    ).distinct()
-    candidates = span_keys.join(value_keys, [*within, "_first", "_l", "_i", "_piece"]).select(*within, "span", "norm").distinct()
-    return candidates.withColumn("score", score(F.col("norm"), F.col("span"))).where(F.col("score") >= theta - 1e-9)
+    within = list(within)
+    index = gram_index(values, theta, measure, same_first, within)
+    found = index.candidates(index.wholes(spans.select(*within, F.col("span").alias("text")).distinct()))
+    pairs = found.select(*within, F.col("piece").alias("span"), "norm")
+    return pairs.withColumn("score", MEASURES[measure](F.col("norm"), F.col("span"))).where(F.col("score") >= theta - 1e-9)
 
 
 def value_matches(
@@ -133,18 +85,25 @@ def value_matches(
     """
     normal = F.lower(F.trim("value"))
     named = values.withColumn("norm", normal).where(_linkable(F.col("norm")))
-    words = named.agg(F.max(F.size(F.split("norm", " ")))).first()[0] or 1
-    spans = question_spans(questions, int(math.ceil(words / theta)) + 1).where(_linkable(F.col("span")))
-    pairs = similar_pairs(spans, named.select("norm").distinct(), theta, measure)
+    index = gram_index(named.select("norm"), theta, measure)
+    tails = cut_lineage(index.tails(question_tails(questions)))
+    low, high = index.lengths("norm")
+    # Ends of whole words at a length that the value allows; the span runs from the start of the piece.
+    ends = F.sequence(low, F.least(high, F.length("piece")))
+    at_end = F.filter(ends, lambda n: F.substring(F.concat("piece", F.lit(" ")), n + 1, F.lit(1)) == " ")
+    cut = index.candidates(tails).where(low <= F.length("piece")).select("piece", "norm", F.explode(at_end).alias("_n"))
+    pairs = cut.select("piece", "norm", F.substring("piece", F.lit(1), F.col("_n")).alias("span")).where(_linkable(F.col("span")))
+    pairs = pairs.withColumn("score", MEASURES[measure](F.col("norm"), F.col("span"))).where(F.col("score") >= theta - 1e-9)
     strict = F.col("span").isin(*COMMON_WORDS) | F.col("norm").isin(*COMMON_WORDS)
     pairs = pairs.where(~strict | (F.col("score") >= 1))
     capital = (F.col("value") == F.upper("value")) & (F.col("value") != F.lower("value"))
-    found = pairs.join(named, "norm").where(~capital | (F.col("score") >= 1))
     best = F.max(F.struct("score", F.length("span").alias("size"))).alias("_b")
+    kept = pairs.groupBy("piece", "norm").agg(best)
+    found = kept.join(named, "norm").where(~capital | (F.col("_b.score") >= 1))
     return (
-        found.join(spans, "span")
+        found.join(tails.select("question_id", "piece").distinct(), "piece")
         .groupBy("question_id", "table_name", "column", "value")
-        .agg(best)
+        .agg(F.max("_b").alias("_b"))
         .select("question_id", "table_name", "column", "value", "_b.score", "_b.size")
     )
 

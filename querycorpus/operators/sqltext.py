@@ -12,7 +12,6 @@ from pyspark.sql import functions as F
 
 from querycorpus.functions.arrays import held
 from querycorpus.functions.scale import cut_lineage
-from querycorpus.functions.text import edit_similarity
 from querycorpus.operators.linking import similar_pairs
 from querycorpus.operators.sqltokens import (
     is_alias,
@@ -40,7 +39,8 @@ COMPARISONS = {">": "gt", ">=": "gte", "<": "lt", "<=": "lte", "=": "eq", "==":
 ARITHMETIC = {"-": "sub", "+": "add", "*": "mul", "/": "div"}
 UNARY_FUNCTIONS = ["length", "any", "all", "exists"]
 BINARY_FUNCTIONS = ["date_part", "date_sub", "string_to_array"]
-NEAR_NAME = 0.7
+#: Similarities at which unknown names are sought, one after the other.
+NAME_RADII = [0.7, 0.4, 0.2, 0.1]
 FILTER_OPERATORS = ["=", "!=", "<>", "<", "<=", ">", ">=", "like"]
 
 
@@ -693,12 +693,32 @@ def first_valid(questions: DataFrame, columns: DataFrame) -> DataFrame:
     return questions.join(best, "question_id", "left")
 
 
+def _most_similar(unknown: DataFrame, known: DataFrame, scope: list[str]) -> DataFrame:
+    """Known names like each unknown one, with a score; the best ones are among them.
+
+    A similarity join finds all known names within a radius. Names with a match are done; the others go on to the next radius, at last
+    to one that any common letter meets. What has no letter in common with any name gets the smallest one.
+    """
+    columns = [*scope, "name", "known", "score"]
+    longest = unknown.agg(F.max(F.length("span"))).unionByName(known.agg(F.max(F.length("norm"))).toDF("max(length(span))"))
+    longest = max([1, *(r[0] for r in longest.collect() if r[0])])
+    out = None
+    for radius in [*[r for r in NAME_RADII if r * longest > 1], 1 / longest]:
+        near = similar_pairs(unknown, known, radius, "levenshtein", same_first=False, within=scope)
+        found = cut_lineage(unknown.join(near, [*scope, "span"]).join(known, [*scope, "norm"]).select(*columns))
+        out = found if out is None else out.unionByName(found)
+        unknown = cut_lineage(unknown.join(found.select(*scope, "name").distinct(), [*scope, "name"], "left_anti"))
+        if unknown.isEmpty():
+            return out
+    smallest = known.groupBy(*scope).agg(F.min("known").alias("known"))
+    return out.unionByName(unknown.join(smallest, scope).withColumn("score", F.lit(0.0)).select(*columns))
+
+
 def repaired_names(log: DataFrame, columns: DataFrame) -> DataFrame:
     """Replace unknown table and column names by the most similar known name of the database.
 
-    Each distinct unknown name of a database is matched once: first by the similarity join, which
-    finds every known name within ``NEAR_NAME``; only names like none of them meet all names. Equal similarity goes to the smaller
-    name. Whole name parts are replaced; literals and names declared in the query are left alone.
+    Each distinct unknown name of a database is matched once, by similarity joins of growing radius. Equal similarity goes to
+    the smaller name. Whole name parts are replaced; literals and names declared in the query are left alone.
     """
     declared = F.transform(
         F.filter("tokens", lambda t: is_name(t) & ((t["b1"] == "as") | (t["clause"] == "with") & (t["n1"] == "as"))),
@@ -721,11 +741,7 @@ def repaired_names(log: DataFrame, columns: DataFrame) -> DataFrame:
     scope = ["db_id", "kind"]
     names_of = known.select(*scope, "known", F.lower("known").alias("norm"))
     unknown = cut_lineage(unknown.withColumn("span", F.lower("name")))
-    near = similar_pairs(unknown, names_of, NEAR_NAME, "levenshtein", same_first=False, within=scope)
-    close = unknown.join(near, [*scope, "span"]).join(names_of, [*scope, "norm"])
-    far = unknown.join(close.select(*scope, "name"), [*scope, "name"], "left_anti").join(names_of, scope)
-    far = far.withColumn("score", edit_similarity(F.col("span"), F.col("norm")))
-    scored = close.select(*scope, "name", "known", "score").unionByName(far.select(*scope, "name", "known", "score"))
+    scored = _most_similar(unknown, names_of, scope)
     fixes = scored.groupBy("db_id", "kind", "name").agg(
         F.min_by("known", F.struct((-F.col("score")).alias("s"), "known")).alias("fixed")
     )
