@@ -1,10 +1,10 @@
 """Embeddings: encode texts, reduce, keep in tables, find nearest neighbours.
 
-Neighbour search is exact and prunes by the triangle inequality. A bounded number of items serve as
-pivots; every item belongs to the cell of its nearest pivot. A query first meets its own cell, which
-bounds its k-th distance, and then only the cells that can still hold something nearer. Cells and
-query sets are cut into blocks of bounded size, so a cell with a third of all items is many groups,
-and each group returns only k rows per query.
+Neighbour search is exact and prunes by the triangle inequality in a tree of cells. Each filter value has a tree of its own; a cell
+with more than ``LEAF`` items is split by some of its items as pivots, level by level, so the tree grows with the items. A cell knows
+its pivot and its least and largest distance from it. Queries go down all levels together and keep the cells that can still hold one of
+the k nearest: bounds come from the cells' radii first, then from the items of the nearest leaves. Work is cut into blocks of
+bounded size, so a cell with a third of all items is many groups, and each group returns only k rows per query.
 """
 
 from __future__ import annotations
@@ -15,13 +15,15 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from querycorpus.functions.scale import cut_lineage, top_k
 from querycorpus.sources.sinks import append_unique, read_if_complete
 
-MAX_PIVOTS = 256
+LEAF = 2048
+FAN = 64
+MAX_DEPTH = 8
 BLOCK_ITEMS = 8192
 BLOCK_QUERIES = 1024
 SCORE_DIGITS = 9
@@ -145,27 +147,33 @@ def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum(0.0, 2.0 - 2.0 * (a @ b.T)))
 
 
-def _cell_of(pivots: np.ndarray):
-    @F.pandas_udf("struct<cell int, dist double>")
-    def assign(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        for vectors in batches:
-            d = _distances(_unit(vectors), pivots)
-            cell = d.argmin(axis=1)
-            yield pd.DataFrame({"cell": cell.astype("int32"), "dist": d[np.arange(len(d)), cell]})
+def _assigned(fan_out: pd.DataFrame, items: pd.DataFrame) -> pd.DataFrame:
+    """The child cell of each item of a block, with its distance from the pivot."""
+    if items.empty or fan_out.empty:
+        return pd.DataFrame({"item_id": [], "vec": [], "node": [], "dist": []})
+    fan_out = fan_out.sort_values("place")
+    d = _distances(_unit(items["vec"]), _unit(fan_out["vec"]))
+    child = d.argmin(axis=1)
+    return pd.DataFrame(
+        {"item_id": items["item_id"], "vec": items["vec"], "node": fan_out["child"].to_numpy()[child], "dist": d[np.arange(len(d)), child]}
+    )
 
-    return assign
 
+def _renamed(df: DataFrame) -> DataFrame:
+    """The same columns under fresh identities, so that a table can be grouped beside one it comes from."""
+    return df.select(*[F.col(c).alias(f"{c}_") for c in df.columns]).toDF(*df.columns)
 
-def _pivot_distances(pivots: np.ndarray):
-    @F.pandas_udf("array<double>")
-    def measure(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for vectors in batches:
-            yield pd.Series(list(_distances(_unit(vectors), pivots)))
 
-    return measure
+def _measured(cells: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
+    """Distances of the queries of a block from the pivots of a cell's children."""
+    if cells.empty or queries.empty:
+        return pd.DataFrame({"query_id": [], "node": [], "d": [], "n": [], "near": [], "far": []})
+    d = _distances(_unit(queries["vec"]), _unit(cells["vec"])).ravel()
+    known = {c: np.tile(cells[c].to_numpy(), len(queries)) for c in ("node", "n", "near", "far")}
+    return pd.DataFrame({"query_id": np.repeat(queries["query_id"].to_numpy(), len(cells)), "d": d, **known})
 
 
-def _block_top_k(k: int, filters: int, exclude_same: bool):
+def _block_top_k(k: int, exclude_same: bool):
     """Nearest items of one block for the queries of one block."""
     def best(items: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
         empty = pd.DataFrame({"query_id": [], "item_id": [], "similarity": []}).astype(
@@ -176,20 +184,99 @@ def _block_top_k(k: int, filters: int, exclude_same: bool):
         items = items.sort_values("item_id")
         ids = items["item_id"].to_numpy()
         scores = np.round(_unit(queries["vec"]) @ _unit(items["vec"]).T, SCORE_DIGITS)
-        for i in range(filters):
-            scores[queries[f"f{i}"].to_numpy()[:, None] != items[f"f{i}"].to_numpy()[None, :]] = -np.inf
         if exclude_same:
             scores[queries["query_id"].to_numpy()[:, None] == ids[None, :]] = -np.inf
-        found = []
-        for row, query in zip(scores, queries["query_id"].to_numpy()):
-            keep = np.argsort(-row, kind="stable")[:k]
-            keep = keep[np.isfinite(row[keep])]
-            found.append(pd.DataFrame({"query_id": query, "item_id": ids[keep], "similarity": row[keep]}))
-        return pd.concat(found) if found else empty
+        keep = np.argsort(-scores, axis=1, kind="stable")[:, :k]
+        kept = np.take_along_axis(scores, keep, axis=1)
+        found = pd.DataFrame(
+            {"query_id": np.repeat(queries["query_id"].to_numpy(), keep.shape[1]), "item_id": ids[keep].ravel(), "similarity": kept.ravel()}
+        )
+        return found[np.isfinite(found["similarity"])]
 
     return best
 
 
+class CellTree:
+    """Items by leaf cell, and the cells of each level with their parents.
+
+    ``placed``: item_id, vec, node. ``levels``: node (parent), child, vec (pivot), n, near, far. Only the number of levels is known to
+    the driver. ``fan`` pivots of a cell are its items of smallest hash.
+    """
+
+    def __init__(self, items: DataFrame, leaf: int, fan: int) -> None:
+        self.levels: list[DataFrame] = []
+        kind = items.schema["vec"].dataType.simpleString()
+        done, rest = None, items
+        for depth in range(MAX_DEPTH + 1):
+            sizes = cut_lineage(rest.groupBy("node").agg(F.count(F.lit(1)).alias("n")))
+            if depth == 0:
+                self.roots = sizes
+            large = sizes.where(F.col("n") > leaf)
+            if depth == MAX_DEPTH or large.isEmpty():
+                self.placed = rest if done is None else done.unionByName(rest)
+                return
+            settled = rest.join(large, "node", "left_anti")
+            done = settled if done is None else done.unionByName(settled)
+            width = F.greatest(F.lit(2), F.least(F.lit(fan), F.ceil(2 * F.col("n") / leaf))).cast("int")
+            large = large.withColumn("width", width).withColumn("blocks", F.ceil(F.col("n") / BLOCK_ITEMS).cast("int"))
+            inside = rest.join(large, "node")
+            seeds = top_k(inside, ["node"], [F.md5(F.col("item_id").cast("string")), F.col("item_id")], fan).where("rank <= width")
+            pivots = cut_lineage(seeds.select("node", "blocks", "vec", F.col("rank").alias("place"), F.concat_ws("/", "node", "rank").alias("child")))
+            dealt = inside.select("item_id", "vec", "node", F.pmod(F.xxhash64("item_id"), F.col("blocks")).cast("int").alias("block"))
+            spread = pivots.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+            assigned = _renamed(spread).groupBy("node", "block").cogroup(dealt.groupBy("node", "block")).applyInPandas(
+                _assigned, f"item_id long, vec {kind}, node string, dist double"
+            )
+            assigned = cut_lineage(assigned)
+            cells = assigned.groupBy(F.col("node").alias("child")).agg(F.count(F.lit(1)).alias("n"), F.min("dist").alias("near"), F.max("dist").alias("far"))
+            self.levels.append(cut_lineage(pivots.select("node", "child", "vec").join(cells, "child")))
+            rest = assigned.drop("dist")
+
+
+def _wider(distance: Column) -> Column:
+    """A distance bound that also holds what the rounding of similarities makes equal."""
+    return F.sqrt(distance * distance + 4 * 10.0**-SCORE_DIGITS) + SLACK
+
+
+def _frontier(tree: CellTree, asked: DataFrame, k: int, probes: int | None) -> DataFrame:
+    """(query_id, node, d, n, low): leaves that can hold one of the k nearest, or near ones only with ``probes``.
+
+    ``high`` is a distance within which all items of a cell lie: the cells of smallest ``high`` with k items together bound the k-th
+    distance, and cells that begin beyond the bound are left.
+    """
+    unknown = F.lit(None).cast("double")
+    open_cells = asked.join(tree.roots, "node").select("query_id", "node", F.lit(0.0).alias("d"), "n", F.lit(0.0).alias("low"), F.lit(2.0).alias("high"))
+    for level in tree.levels:
+        split = level.select("node").distinct()
+        stay = open_cells.join(split, "node", "left_anti")
+        deeper = open_cells.join(split, "node").select("query_id", "node")
+        q_block = F.pmod(F.xxhash64("query_id"), F.lit(asked_blocks(tree, asked))).cast("int")
+        left = deeper.join(asked.select("query_id", "vec"), "query_id").withColumn("q_block", q_block)
+        right = level.select(F.col("node").alias("parent"), F.col("child").alias("node"), "vec", "n", "near", "far")
+        right = right.join(left.select(F.col("node").alias("parent"), "q_block").distinct(), "parent")
+        measured = _renamed(right).groupBy("parent", "q_block").cogroup(left.groupBy("node", "q_block")).applyInPandas(
+            _measured, "query_id long, node string, d double, n long, near double, far double"
+        )
+        low = F.greatest(F.lit(0.0), F.col("d") - F.col("far"), F.col("near") - F.col("d"))
+        both = stay.unionByName(measured.select("query_id", "node", "d", "n", low.alias("low"), (F.col("d") + F.col("far")).alias("high")))
+        if probes is not None:
+            open_cells = cut_lineage(top_k(both, ["query_id"], [F.col("d"), F.col("node")], probes).drop("rank"))
+            continue
+        order = Window.partitionBy("query_id").orderBy("high", "node").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        enough = both.withColumn("_sum", F.sum("n").over(order))
+        bound = F.min(F.when(F.col("_sum") >= k, F.col("high")).otherwise(unknown)).over(Window.partitionBy("query_id"))
+        kept = enough.withColumn("_bound", bound).where(F.col("_bound").isNull() | (F.col("low") <= _wider(F.col("_bound"))))
+        open_cells = cut_lineage(kept.drop("_sum", "_bound"))
+    return open_cells
+
+
+def asked_blocks(tree: CellTree, asked: DataFrame) -> int:
+    """Number of blocks of queries, counted once per search."""
+    if not hasattr(tree, "q_blocks"):
+        tree.q_blocks = max(1, -(-asked.count() // BLOCK_QUERIES))
+    return tree.q_blocks
+
+
 def nearest(
     items: DataFrame,
     queries: DataFrame,
@@ -200,82 +287,53 @@ def nearest(
     filters: list[str] = (),
     exclude_same: bool = False,
     probes: int | None = None,
+    leaf: int = LEAF,
+    fan: int = FAN,
 ) -> DataFrame:
     """``query_id, item_id, similarity, rank``: the k most similar items of every query by cosine.
 
-    ``filters`` are columns that must be equal on both sides. ``exclude_same`` leaves out the item
-    with the query's own key. Zero vectors are not comparable and take no part. The result is exact;
-    ``probes=n`` searches only the n nearest cells instead. Equal scores go to the smaller key.
+    ``filters`` are columns that must be equal on both sides; each of their values has a tree of its own. ``exclude_same`` leaves out the
+    item with the query's own key. Zero vectors are not comparable and take no part. The result is exact; ``probes=n`` keeps only
+    the n nearest cells of each level instead. Equal scores go to the smaller key.
     """
-    spark = items.sparkSession
     nonzero = F.exists(F.col("vec"), lambda x: x != 0)
-    names = [F.col(f).alias(f"f{i}") for i, f in enumerate(filters)]
-    fs = [f"f{i}" for i in range(len(filters))]
-    mine = items.select(F.col(key).cast("long").alias("item_id"), *names, F.col(embedding).alias("vec")).where(nonzero)
-    asked = queries.select(F.col(query_key).cast("long").alias("query_id"), *names, F.col(embedding).alias("vec")).where(nonzero)
+    root = (F.to_json(F.struct(*[F.col(f).alias(f"f{i}") for i, f in enumerate(filters)])) if filters else F.lit("")).alias("node")
+    mine = items.select(F.col(key).cast("long").alias("item_id"), root, F.col(embedding).alias("vec")).where(nonzero)
+    asked = queries.select(F.col(query_key).cast("long").alias("query_id"), root, F.col(embedding).alias("vec")).where(nonzero)
+    wanted = k + int(exclude_same)
     # Of equal vectors only the k smallest keys can be among the k nearest (one more with exclude_same).
-    mine = top_k(mine, [*fs, "vec"], [F.col("item_id")], k + int(exclude_same)).drop("rank")
-    mine = cut_lineage(mine)
-    n_items = mine.count()
-    result = "query_id long, item_id long, similarity double"
-    if n_items == 0:
-        return spark.createDataFrame([], result + ", rank int")
-    wanted = max(1, min(MAX_PIVOTS, int(np.sqrt(n_items) / 2)))
-    seeds = mine.orderBy(F.md5(F.col("item_id").cast("string")), "item_id").limit(wanted).select("vec").collect()
-    pivots = _unit(pd.Series([list(r["vec"]) for r in seeds]))
-
-    placed = mine.withColumn("_p", _cell_of(pivots)(F.col("vec"))).select(
-        "item_id", *fs, "vec", F.col("_p.cell").alias("cell"), F.col("_p.dist").alias("dist")
-    )
-    placed = cut_lineage(placed)
-    cells = placed.groupBy("cell").agg(
-        F.count(F.lit(1)).alias("n"), F.min("dist").alias("near"), F.max("dist").alias("far")
-    )
-    # At most MAX_PIVOTS rows of four numbers.
-    cells = F.broadcast(spark.createDataFrame(cells.collect(), cells.schema))
-    blocks = F.greatest(F.lit(1), F.ceil(F.col("n") / BLOCK_ITEMS)).cast("int")
-    sized = placed.join(cells.select("cell", blocks.alias("blocks")), "cell").withColumn(
-        "block", F.pmod(F.xxhash64("item_id"), F.col("blocks")).cast("int")
-    )
-    asked = cut_lineage(asked.withColumn("_d", _pivot_distances(pivots)(F.col("vec"))))
-    q_blocks = max(1, -(-asked.count() // BLOCK_QUERIES))
-    q_block = F.pmod(F.xxhash64("query_id"), F.lit(q_blocks)).cast("int")
-    reach = asked.withColumn("q_block", q_block).select(
-        "query_id", "q_block", F.posexplode("_d").alias("cell", "d")
-    ).join(cells, "cell").withColumn(
-        "bound", F.greatest(F.lit(0.0), F.col("d") - F.col("far"), F.col("near") - F.col("d"))
-    )
+    mine = cut_lineage(top_k(mine, ["node", "vec"], [F.col("item_id")], wanted).drop("rank"))
+    asked = cut_lineage(asked)
+    tree = CellTree(mine, leaf, fan)
+    frontier = cut_lineage(_frontier(tree, asked, wanted, probes))
+    q_block = F.pmod(F.xxhash64("query_id"), F.lit(asked_blocks(tree, asked))).cast("int")
+    sizes = tree.placed.groupBy("node").agg(F.ceil(F.count(F.lit(1)) / BLOCK_ITEMS).cast("int").alias("blocks"))
+    leaves = tree.placed.join(cut_lineage(sizes), "node").withColumn("block", F.pmod(F.xxhash64("item_id"), F.col("blocks")).cast("int"))
 
     def search(visits: DataFrame) -> DataFrame:
-        """Score the (query, cell) visits: equi-joined groups of one item block and one query block."""
-        spots = visits.join(cells.select("cell", blocks.alias("blocks")), "cell").select(
-            "query_id", "q_block", "cell", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block")
-        )
-        left = spots.join(asked.select("query_id", *fs, "vec"), "query_id")
-        used = spots.select("cell", "block", "q_block").distinct()
-        right = sized.join(used, ["cell", "block"]).select(
-            "item_id", *fs, "vec", F.col("cell").alias("c"), F.col("block").alias("b"), F.col("q_block").alias("q")
-        )
-        scored = right.groupBy("c", "b", "q").cogroup(left.groupBy("cell", "block", "q_block")).applyInPandas(
-            _block_top_k(k, len(fs), exclude_same), result
+        """Score the (query, leaf) visits: equi-joined groups of one item block and one query block."""
+        spots = visits.select("query_id", "node", q_block.alias("q_block"), F.explode(F.sequence(F.lit(0), F.ceil(F.col("n") / BLOCK_ITEMS).cast("int") - 1)).alias("block"))
+        left = spots.join(asked.select("query_id", "vec"), "query_id")
+        right = leaves.join(spots.select("node", "block", "q_block").distinct(), ["node", "block"]).select("item_id", "vec", "node", "block", "q_block")
+        group = ["node", "block", "q_block"]
+        scored = _renamed(right).groupBy(*group).cogroup(left.groupBy(*group)).applyInPandas(
+            _block_top_k(k, exclude_same), "query_id long, item_id long, similarity double"
         )
         return top_k(scored, ["query_id"], [F.desc("similarity"), F.col("item_id")], k).drop("rank")
 
-    order = [F.col("d"), F.col("cell")]
-    if probes is not None:
-        found = search(top_k(reach, ["query_id"], order, probes).drop("rank"))
-    else:
-        own = cut_lineage(top_k(reach, ["query_id"], order, 1).drop("rank"))
-        first = cut_lineage(search(own))
-        limit = first.groupBy("query_id").agg(
-            F.count(F.lit(1)).alias("_n"), F.sqrt(F.greatest(F.lit(0.0), 2 - 2 * F.min("similarity"))).alias("_far")
-        )
-        others = (
-            reach.join(own.select("query_id", "cell"), ["query_id", "cell"], "left_anti")
-            .join(limit, "query_id", "left")
-            .where((F.coalesce("_n", F.lit(0)) < k) | (F.col("bound") <= F.col("_far") + SLACK))
-        )
-        found = first.unionByName(search(others))
+    if probes is not None or not tree.levels:
+        return top_k(search(frontier), ["query_id"], [F.desc("similarity"), F.col("item_id")], k)
+    before = Window.partitionBy("query_id").orderBy("d", "node").rowsBetween(Window.unboundedPreceding, -1)
+    own = F.coalesce(F.sum("n").over(before), F.lit(0)) < wanted
+    visits = cut_lineage(frontier.withColumn("_own", own))
+    first = cut_lineage(search(visits.where("_own")))
+    limit = first.groupBy("query_id").agg(
+        F.count(F.lit(1)).alias("_n"), F.sqrt(F.greatest(F.lit(0.0), 2 - 2 * F.min("similarity"))).alias("_far")
+    )
+    others = visits.where("NOT _own").join(limit, "query_id", "left").where(
+        (F.coalesce("_n", F.lit(0)) < k) | (F.col("low") <= _wider(F.col("_far")))
+    )
+    found = first.unionByName(search(others.select("query_id", "node", "n")))
     return top_k(found, ["query_id"], [F.desc("similarity"), F.col("item_id")], k)
 
 
