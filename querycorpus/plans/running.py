@@ -36,13 +36,20 @@ def companion_key(spark, sf_dir):
 
 
 def template_audit(spark, sf_dir):
-    """Templates over the parts, filled with types that exist and with one that does not."""
+    """Templates over the parts, filled with types and sizes that exist, with some that do not, and with some that make one filling fail."""
     views(spark, sf_dir, ["part"])
-    types = table(spark, sf_dir, "part").select("p_type").distinct().union(spark.createDataFrame([("NOPE",)], "p_type string"))
-    templates = [(1, "SELECT p_partkey FROM part WHERE p_type = '{type}'"), (2, "SELECT missing FROM part WHERE p_type = '{type}'"), (3, "DROP VIEW {type}")]
+    part = table(spark, sf_dir, "part")
+    types = part.select("p_type").distinct().union(spark.createDataFrame([("NOPE",)], "p_type string"))
+    templates = [
+        (1, "SELECT p_partkey FROM part WHERE p_type = '{type}'"), (2, "SELECT missing FROM part WHERE p_type = '{type}'"), (3, "DROP VIEW {type}"),
+        (4, "SELECT p_partkey FROM part WHERE p_name <> 'x' AND p_size = {size} AND p_brand <> 'y'"), (5, "SELECT p_partkey FROM part WHERE p_size = '{size}'"),
+    ]
     values = types.select(
         F.create_map(F.lit("type"), F.col("p_type")).alias("marks"), F.explode(F.array(F.lit(1), F.lit(2), F.lit(3))).alias("template_id")
     )
+    odd = spark.createDataFrame([("abc",), ("7.5",), ("99999",), ("5 +",), ("p_size",)], "size string")
+    sizes = part.select(F.col("p_size").cast("string").alias("size")).distinct().union(odd)
+    values = values.union(sizes.select(F.create_map(F.lit("size"), F.col("size")), F.explode(F.array(F.lit(4), F.lit(5)))))
     return Q.audit_templates(spark, templates, values).select("filled", "status")
 
 
@@ -100,8 +107,12 @@ ORACLES = {
     "service_cap": f"SELECT * FROM {_TOP.format(100, 60)} UNION ALL SELECT * FROM {_TOP.format(5, 5)}",
     "random_order": "SELECT c_custkey FROM customer",
     "companion_key": "SELECT p_name, p_size, p_partkey FROM part",
-    "template_audit": f"""WITH f AS ({_FILL})
+    "template_audit": f"""WITH f AS ({_FILL}),
+        s AS (SELECT DISTINCT CAST(p_size AS VARCHAR) AS t, 'rows' AS s4, 'rows' AS s5 FROM part
+              UNION ALL VALUES ('abc', 'error', 'error'), ('7.5', 'empty', 'error'), ('99999', 'empty', 'empty'), ('5 +', 'error', 'error'), ('p_size', 'rows', 'error'))
         SELECT 'SELECT p_partkey FROM part WHERE p_type = ''' || t || '''' AS filled,
                CASE WHEN EXISTS (SELECT 1 FROM part WHERE p_type = t) THEN 'rows' ELSE 'empty' END AS status FROM f
+        UNION ALL SELECT 'SELECT p_partkey FROM part WHERE p_name <> ''x'' AND p_size = ' || t || ' AND p_brand <> ''y''', s4 FROM s
+        UNION ALL SELECT 'SELECT p_partkey FROM part WHERE p_size = ''' || t || '''', s5 FROM s
         UNION ALL SELECT 'SELECT missing FROM part WHERE p_type = ''' || t || '''', 'error' FROM f UNION ALL SELECT 'DROP VIEW ' || t, 'error' FROM f""",
 } | {f"construct_{name}": sql for name, sql in CONSTRUCTS.items()}

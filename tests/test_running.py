@@ -77,3 +77,31 @@ def test_templates_run_once_for_all_fillings(spark):
     assert got == {(1, "rows"): 20, (1, "empty"): 11_980, (2, "rows"): 50, (2, "empty"): 11_950, (3, "error"): 1, (4, "error"): 12_000}
     with pytest.raises(ValueError, match="all its fillings at once"):
         Q.audit_templates(spark, [(1, "SELECT id FROM audited ORDER BY id LIMIT {k}")], values)
+
+
+def test_statuses_equal_those_of_single_queries(spark):
+    """Marks of every kind, bare and in quotes: an error belongs to its filling only."""
+    spark.range(50).selectExpr("id", "concat('n', id) AS name", "id / 4.0 AS part", "CAST(id AS DOUBLE) / 8 AS share").createOrReplaceTempView("audited")
+    marks = ["3", "77", "abc", "id", "3.25", ".5", "2e-1", "NULL", "'n4'", "o'brien", "; DROP VIEW audited", ""]
+    templates = [
+        "SELECT id FROM audited WHERE id = {k}", "SELECT id FROM audited WHERE id = '{k}'", "SELECT id FROM audited WHERE name LIKE '{k}' AND 'x' <> 'y'",
+        "SELECT name FROM audited WHERE part = {k} OR share = {k};",
+        "SELECT id FROM audited WHERE concat('id is ', id, '{k}') = 'id is 3{k}' AND id < {k}",
+        "SELECT id FROM audited WHERE 10 % (CAST('{k}' AS INT) - 3) = 0",
+        "WITH w AS (SELECT id FROM audited) SELECT id FROM w WHERE id = {k} -- it's all", "SELECT id FROM audited WHERE id > 48", "INSERT INTO audited VALUES ({k})",
+    ]
+    values = spark.createDataFrame([(i, {"k": m}) for i in range(len(templates)) for m in marks], "template_id int, marks map<string,string>")
+    got = {(r["filled"], r["status"]) for r in Q.audit_templates(spark, list(enumerate(templates)), values).collect()}
+    texts = list(dict.fromkeys(t.replace("{k}", m) for t in templates for m in marks))
+    want = {(r["filled"], r["status"]) for r in Q.audit_queries(spark, texts).collect()}
+    assert got == want
+    assert len({status for _, status in want}) == 3
+
+
+def test_failing_fillings_are_isolated_by_halving(spark):
+    spark.range(50).selectExpr("id").createOrReplaceTempView("audited")
+    values = spark.range(700).selectExpr("1 AS template_id", "map('k', CASE WHEN id IN (5, 333) THEN concat('bad', id) ELSE CAST(id AS STRING) END) AS marks")
+    got = Q.audit_templates(spark, [(1, "SELECT id FROM audited WHERE id = '{k}'")], values).groupBy("status").count().collect()
+    assert {r["status"]: r["count"] for r in got} == {"rows": 49, "empty": 649, "error": 2}
+    lacking = spark.createDataFrame([(1, {"other": "1"}), (1, None)], "template_id int, marks map<string,string>")
+    assert {r["status"] for r in Q.audit_templates(spark, [(1, "SELECT id FROM audited WHERE id = '{k}'")], lacking).collect()} == {"error"}
