@@ -14,9 +14,15 @@ map side; only columns that agree up to the tolerance are ranked, by range parti
 
 from __future__ import annotations
 
+import time
+import uuid
 from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
+from functools import reduce
+from itertools import islice
 
 import pandas as pd
+from pyspark import inheritable_thread_target
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType
@@ -28,6 +34,8 @@ from querycorpus.sources.sinks import ResultStore
 ATOL = 1e-5
 RTOL = 1e-5
 
+#: Results whose cells are written together.
+CELL_GROUP = 16
 CELLS = "pair_id long, side string, row_idx long, col_idx int, num double, str string"
 
 
@@ -194,30 +202,71 @@ def _verified(cells: DataFrame, doubtful: DataFrame, atol: float, rtol: float) -
 
 
 def _pair_prints(cells: DataFrame, edges: DataFrame) -> DataFrame:
-    """Fingerprints of two columns together, row by row: ``pair_id, side, c, d, print``, both ways round.
+    """What two columns hold together, row by row: ``pair_id, side, c, d, print, xy, axy, ax, n``, both ways round.
 
-    Only for pairs of results in which a column has several exact partners and the order does not matter.
+    ``print`` is a fingerprint of the exact values. ``xy`` is the sum of products; with the sums of absolute products (``axy``) and
+    values (``ax``) it shows whether rows can agree within a tolerance, whatever their order. A text counts as a number made of its
+    hash, a null as 0. Only for pairs of results in which a column has several partners and the order does not matter.
     """
-    free = edges.where("exact AND NOT order_matters")
+    free = edges.where("NOT order_matters")
     several = free.groupBy("pair_id", "pc").count().where("count > 1").select("pair_id").distinct()
     free = free.join(several, "pair_id", "left_semi")
     involved = free.select("pair_id", F.lit("pred").alias("side"), F.col("pc").alias("col_idx")).union(free.select("pair_id", F.lit("target"), "tc")).distinct()
+    number = F.coalesce(F.col("num"), F.pmod(F.xxhash64("str"), F.lit(1_000_003)) / 1_000_003.0)
+    number = F.when(F.col("num").isNull() & F.col("str").isNull(), 0.0).otherwise(number)
     rows = (
         cells.join(several, "pair_id", "left_semi")
         .join(involved, ["pair_id", "side", "col_idx"], "left_semi")
         .groupBy("pair_id", "side", "row_idx")
-        .agg(F.collect_list(F.struct("col_idx", F.xxhash64("num", "str").alias("h"))).alias("v"))
+        .agg(F.collect_list(F.struct("col_idx", F.xxhash64("num", "str").alias("h"), number.alias("v"))).alias("v"))
+    )
+    pairs = F.flatten(
+        F.transform(
+            "v",
+            lambda a: F.transform("v", lambda b: F.struct(a["col_idx"].alias("c"), b["col_idx"].alias("d"), a["h"].alias("x"), b["h"].alias("y"), a["v"].alias("v"), b["v"].alias("w"))),
+        )
     )
-    pairs = F.flatten(F.transform("v", lambda a: F.transform("v", lambda b: F.struct(a["col_idx"].alias("c"), b["col_idx"].alias("d"), a["h"].alias("x"), b["h"].alias("y")))))
     both = rows.select("pair_id", "side", F.explode(F.filter(pairs, lambda p: p["c"] != p["d"])).alias("p"))
-    return both.groupBy("pair_id", "side", "p.c", "p.d").agg(_hash_sum(F.col("p.x"), F.col("p.y")).cast("string").alias("print"))
+    product = F.col("p.v") * F.col("p.w")
+    return both.groupBy("pair_id", "side", "p.c", "p.d").agg(
+        _hash_sum(F.col("p.x"), F.col("p.y")).cast("string").alias("print"),
+        F.sum(product).alias("xy"),
+        F.sum(F.abs(product)).alias("axy"),
+        F.sum(F.abs("p.v") + F.abs("p.w")).alias("ax"),
+        F.count(F.lit(1)).alias("n"),
+    )
+
+
+def _products_agree(one: tuple, two: tuple, target: tuple, atol: float, rtol: float) -> bool:
+    """Whether sums of products can belong to rows that agree within the tolerance: each row changes its product by so much at most."""
+    xy, other, (_, axy, ax, n) = one[0], two[0], target
+    room = (atol + atol * rtol) * ax + (2 * rtol + rtol * rtol + 1e-9) * axy + atol * atol * n
+    return not abs(xy - other) > room  # sums that are not finite tell nothing
+
 
+def _matching(options: dict[int, set[int]]) -> dict[int, int] | None:
+    """A partner of its own for every column, by augmenting paths; None if there is no such choice."""
+    owner: dict[int, int] = {}
 
-def _mappings_of(edges: pd.DataFrame, prints: dict[tuple[str, int, int], str]) -> Iterator[tuple[list[int], list[int], bool]]:
-    """All ways to give every column of the narrower side a partner of its own.
+    def placed(column: int, seen: set[int]) -> bool:
+        for b in sorted(options[column]):
+            if b not in seen:
+                seen.add(b)
+                if b not in owner or placed(owner[b], seen):
+                    owner[b] = column
+                    return True
+        return False
 
-    Columns that are equal row by row stand for each other, so only one of their orders is tried. Two columns go only to two
-    partners that have the same values together (``prints``), which leaves few ways even where all columns hold equal values.
+    return {c: b for b, c in owner.items()} if all(placed(c, set()) for c in sorted(options)) else None
+
+
+def _mappings_of(edges: pd.DataFrame, known: dict[tuple[str, int, int], tuple], atol: float = ATOL, rtol: float = RTOL) -> Iterator[tuple[list[int], list[int], int]]:
+    """Ways to give every column of the narrower side a partner of its own, one after another.
+
+    Where the order of rows matters, columns agree place by place, so any matching will do and one is given. Else a choice is
+    carried on to the other columns: two columns go only to two partners that hold the same values together (exact columns), or
+    whose products allow it (columns within the tolerance), and what is left must have a matching. Columns that are equal row
+    by row stand for each other, so only one of their orders is tried.
     """
     first = edges.iloc[0]
     flip = first["pred_cols"] > first["target_cols"]
@@ -225,63 +274,83 @@ def _mappings_of(edges: pd.DataFrame, prints: dict[tuple[str, int, int], str]) -
     near, far = ("tc", "pc") if flip else ("pc", "tc")
     near_same, far_same = ("t_same", "p_same") if flip else ("p_same", "t_same")
     near_side, far_side = ("target", "pred") if flip else ("pred", "target")
-    options: dict[int, list[int]] = {}
+    options: dict[int, set[int]] = {}
     for a, b in zip(edges[near], edges[far]):
-        options.setdefault(int(a), []).append(int(b))
+        options.setdefault(int(a), set()).add(int(b))
     if len(options) < need:
         return
     kind_near = dict(zip(edges[near].astype(int), edges[near_same]))
     kind_far = dict(zip(edges[far].astype(int), edges[far_same]))
-    order = sorted(options, key=lambda c: (len(options[c]), c))
     exact = {(int(a), int(b)): bool(e) for a, b, e in zip(edges[near], edges[far], edges["exact"])}
 
-    def extend(i: int, used: dict[int, int]) -> Iterator[dict[int, int]]:
-        if i == len(order):
+    def fits(a: int, b: int, c: int, d: int) -> bool:
+        mine, other = known.get((near_side, a, c)), known.get((far_side, b, d))
+        if mine is None or other is None:
+            return True
+        if exact[a, b] and exact[c, d]:
+            return mine[0] == other[0]
+        return _products_agree(mine[1:], other[1:], (mine if flip else other)[1:], atol, rtol)
+
+    def extend(left: dict[int, set[int]], used: dict[int, int]) -> Iterator[dict[int, int]]:
+        if not left:
             yield dict(used)
             return
-        taken, tried = set(used.values()), set()
-        for b in sorted(options[order[i]]):
-            if b in taken or kind_far[b] in tried:
-                continue
-            together = (
-                (prints.get((near_side, a, order[i])), prints.get((far_side, used[a], b)))
-                for a in used
-                if exact[a, used[a]] and exact[order[i], b]
-            )
-            if any(x is not None and y is not None and x != y for x, y in together):
+        column = min(left, key=lambda c: (len(left[c]), c))
+        tried = set()
+        for b in sorted(left[column]):
+            twins = [used[a] for a in used if kind_near[a] == kind_near[column]]
+            if kind_far[b] in tried or any(b < o for o in twins) and all(o in options[column] for o in twins):
                 continue
             tried.add(kind_far[b])
-            twin = [used[a] for a in used if kind_near[a] == kind_near[order[i]]]
-            if twin and any(b < other for other in twin) and all(o in options[order[i]] for o in twin):
-                continue
-            used[order[i]] = b
-            yield from extend(i + 1, used)
-            del used[order[i]]
-
-    for found in extend(0, {}):
+            rest = {c: {d for d in ds if d != b and fits(column, b, c, d)} for c, ds in left.items() if c != column}
+            if _matching(rest) is not None:
+                used[column] = b
+                yield from extend(rest, used)
+                del used[column]
+
+    whole = _matching(options)
+    if whole is None:
+        return
+    for found in [whole] if first["order_matters"] else extend(options, {}):
         pairs = sorted(found.items(), key=lambda ab: (not exact[ab], ab))
         n_exact = sum(exact[ab] for ab in pairs)
         a, b = [x for x, _ in pairs], [y for _, y in pairs]
         yield (b, a, n_exact) if flip else (a, b, n_exact)
 
 
-def _enumerate(edges: pd.DataFrame, prints: pd.DataFrame) -> pd.DataFrame:
-    known = {(s, int(c), int(d)): x for s, c, d, x in zip(prints["side"], prints["c"], prints["d"], prints["print"])}
-    rows = [
-        (edges["pair_id"].iloc[0], i, p, t, n, bool(edges["order_matters"].iloc[0]))
-        for i, (p, t, n) in enumerate(_mappings_of(edges, known) if len(edges) else [])
-    ]
-    return pd.DataFrame(rows, columns=["pair_id", "mapping", "p_cols", "t_cols", "n_exact", "order_matters"])
+def _enumerate(skip: int, take: int, atol: float, rtol: float):
+    def some(edges: pd.DataFrame, prints: pd.DataFrame) -> pd.DataFrame:
+        held = zip(prints["side"], prints["c"], prints["d"], zip(prints["print"], prints["xy"], prints["axy"], prints["ax"], prints["n"]))
+        known = {(s, int(c), int(d)): x for s, c, d, x in held}
+        ways = islice(_mappings_of(edges, known, atol, rtol) if len(edges) else [], skip, skip + take + 1)
+        rows = [(edges["pair_id"].iloc[0], i, p, t, n, bool(edges["order_matters"].iloc[0])) for i, (p, t, n) in enumerate(ways)]
+        more = len(rows) > take
+        return pd.DataFrame([(*r, more) for r in rows[:take]], columns=["pair_id", "mapping", "p_cols", "t_cols", "n_exact", "order_matters", "more"])
 
+    return some
 
-def _full_mappings(edges: DataFrame, cells: DataFrame) -> DataFrame:
-    """Mappings of all columns of the narrower side, exact pairs first.
 
-    The groups hold column pairs, not rows: as many as two result widths allow.
+def _wholly_equal(edges: DataFrame, cells: DataFrame, atol: float, rtol: float) -> DataFrame:
+    """Pairs with a mapping of all columns of the narrower side under which the rows agree.
+
+    The rows of the first mapping of each pair are compared; only where they differ and there are others the next ones follow, eight
+    times as many each round. Groups hold column pairs, not rows: as many as two result widths allow.
     """
-    prints = _pair_prints(cells, edges).select(F.col("pair_id").alias("of"), "side", "c", "d", "print")
-    schema = "pair_id long, mapping int, p_cols array<int>, t_cols array<int>, n_exact int, order_matters boolean"
-    return edges.groupBy("pair_id").cogroup(prints.groupBy("of")).applyInPandas(_enumerate, schema)
+    prints = cut_lineage(_pair_prints(cells, edges).withColumnRenamed("pair_id", "of"))
+    schema = "pair_id long, mapping int, p_cols array<int>, t_cols array<int>, n_exact int, order_matters boolean, more boolean"
+    out, skip, take = None, 0, 1
+    while True:
+        full = cut_lineage(edges.groupBy("pair_id").cogroup(prints.groupBy("of")).applyInPandas(_enumerate(skip, take, atol, rtol), schema))
+        found = full.where("order_matters").select("pair_id").union(_jointly_equal(cells, full.where("NOT order_matters"), atol, rtol))
+        undecided = full.where("more").select("pair_id").distinct()
+        if undecided.isEmpty():
+            return found if out is None else out.union(found)
+        found = cut_lineage(found.distinct())
+        out = found if out is None else out.union(found)
+        edges = cut_lineage(edges.join(undecided, "pair_id", "left_semi").join(found, "pair_id", "left_anti"))
+        if edges.isEmpty():
+            return out
+        skip, take = skip + take, take * 8
 
 
 def _jointly_equal(cells: DataFrame, mappings: DataFrame, atol: float, rtol: float) -> DataFrame:
@@ -356,10 +425,7 @@ def compare_results(
         sure = sure.unionByName(doubtful.join(checked, ["pair_id", "pc", "tc"], "left_semi"))
     widths = open_pairs.select("pair_id", "pred_cols", "target_cols")
     edges = cut_lineage(sure.join(widths, "pair_id"))
-    full = cut_lineage(_full_mappings(edges, mine))
-    whole = full.where("order_matters").select("pair_id").union(
-        _jointly_equal(cells, full.where("NOT order_matters"), atol, rtol)
-    )
+    whole = _wholly_equal(edges, mine, atol, rtol)
 
     label = (
         pairs.join(equal.withColumn("_equal", F.lit(True)), "pair_id", "left")
@@ -410,48 +476,56 @@ def pair_shapes(cells: DataFrame) -> DataFrame:
 
 
 def run_pairs(
-    spark: SparkSession, items: list[tuple[int, str, str | None, str]], store: ResultStore, limit: int = 0
+    spark: SparkSession, items: list[tuple[int, str, str | None, str]], store: ResultStore, limit: int = 0, workers: int = 8
 ) -> tuple[DataFrame, DataFrame]:
     """Run the two queries of every ``(pair_id, db_id, prediction, target)``.
 
-    Each distinct query is a Spark job of its own whose result is kept in ``store`` with its row order; the cells of all
-    results go to one table below it, which is read once. Only times, widths and error texts come to the driver.
-    Returns the cells of all results and one row per pair.
+    Each distinct query of a database runs once, ``workers`` of them side by side (shared fairly if the session's scheduler is fair), and its
+    result is kept in ``store`` with its row order. The cells of results are written once per distinct query, ``CELL_GROUP`` results to a
+    write, and meet their pairs in a join. Only times, widths and error texts come to the driver. Times hold what queries wait for
+    each other; ``workers=1`` measures them one after another. Returns the cells of all results and one row per pair.
     """
-    import time
-    import uuid
-
-    from pyspark.errors import PySparkException
-
-    from querycorpus.operators.runsql import run_query
-
-    meta = []
-    path = f"{store.root}/cells-{uuid.uuid4().hex}"
-    spark.createDataFrame([], CELLS).write.parquet(path)
+    from querycorpus.operators.runsql import FAILURES, run_query
+
+    texts = list(dict.fromkeys((db_id, sql) for _, db_id, pred, target in items for sql in (target, pred) if sql is not None))
+
+    @inheritable_thread_target
+    def ran(number: int) -> tuple[float | None, int | None, str | None]:
+        db_id, sql = texts[number]
+        spark.sparkContext.setLocalProperty("spark.scheduler.pool", f"pairs-{number % workers}")
+        started = time.time()
+        try:
+            store.keep(spark, db_id, sql, lambda: run_query(spark, sql, limit))
+            return time.time() - started, len(store.get_placed(spark, db_id, sql).columns) - 1, None
+        except (*FAILURES, ValueError) as failure:
+            return None, None, (str(failure).splitlines() or [type(failure).__name__])[0]
+
+    @inheritable_thread_target
+    def celled(group: list[int]) -> str:
+        parts = [result_cells(store.get_placed(spark, *texts[n]), n, "", store.ROW) for n in group]
+        path = f"{store.root}/cells-{uuid.uuid4().hex}"
+        reduce(DataFrame.unionByName, parts).write.parquet(path)
+        return path
+
+    with ThreadPoolExecutor(workers) as pool:
+        runs = dict(zip(texts, pool.map(ran, range(len(texts)))))
+        good = [n for n, text in enumerate(texts) if runs[text][2] is None and runs[text][1]]
+        paths = list(pool.map(celled, [good[i : i + CELL_GROUP] for i in range(0, len(good), CELL_GROUP)]))
+    number, meta, used = {text: n for n, text in enumerate(texts)}, [], []
     for pair_id, db_id, pred, target in items:
-        times, widths, error = {}, {}, None
-        for side, sql in (("target", target), ("pred", pred)):
-            if sql is None:
-                error = error or "no prediction"
-                continue
-            started = time.time()
-            try:
-                store.keep(spark, db_id, sql, lambda sql=sql: run_query(spark, sql, limit))
-                result = store.get_placed(spark, db_id, sql)
-            except (PySparkException, ValueError) as failure:
-                error = error or f"{side}: {str(failure).splitlines()[0]}"
-                continue
-            times[side] = time.time() - started
-            widths[side] = len(result.columns) - 1
-            result_cells(result, pair_id, side, store.ROW).write.mode("append").parquet(path)
-        meta.append(
-            (pair_id, pred, target, widths.get("pred"), widths.get("target"), times.get("target"), times.get("pred"), error)
-        )
+        got = {side: runs[db_id, sql] if sql is not None else (None, None, "no prediction") for side, sql in (("target", target), ("pred", pred))}
+        errors = [e if e == "no prediction" else f"{side}: {e}" for side, (_, _, e) in got.items() if e]
+        used += [(number[db_id, sql], pair_id, side) for side, sql in (("target", target), ("pred", pred)) if sql is not None]
+        meta.append((pair_id, pred, target, got["pred"][1], got["target"][1], got["target"][0], got["pred"][0], errors[0] if errors else None))
     schema = (
         "pair_id long, prediction string, target string, pred_cols int, target_cols int,"
         " target_exec_time double, pred_exec_time double, exec_error string"
     )
-    return spark.read.schema(CELLS).parquet(path), spark.createDataFrame(meta, schema)
+    stored = spark.read.schema(CELLS).parquet(*paths) if paths else spark.createDataFrame([], CELLS)
+    places = spark.createDataFrame(used, "_number long, pair_id long, side string")
+    numbered = stored.withColumnRenamed("pair_id", "_number").drop("side")
+    cells = numbered.join(places, "_number").select("pair_id", "side", "row_idx", "col_idx", "num", "str")
+    return cells, spark.createDataFrame(meta, schema)
 
 
 def execution_scores(cells: DataFrame, runs: DataFrame, loose: bool = False) -> DataFrame:

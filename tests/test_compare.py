@@ -140,3 +140,58 @@ def test_wide_results_of_equal_values_are_mapped_in_seconds(spark):
     got = {r["pair_id"]: r["verdict"] for r in C.compare_results(spark.createDataFrame(cells, C.CELLS), spark.createDataFrame(pairs, kinds)).collect()}
     assert got == {1: "equal", 2: "columns_intersect"}
     assert time.time() - started < 60
+
+
+def test_twelve_near_columns_a_side(spark):
+    """All columns agree within the tolerance, in any order of columns: one mapping is tried, not 12!."""
+    rng = random.Random(6)
+    base = [rng.random() * 100 for _ in range(40)]
+    wide = [[x + rng.uniform(-1e-7, 1e-7) for _ in range(12)] for x in base]
+    shuffled = [[x + rng.uniform(-1e-7, 1e-7) for _ in range(12)] for x in base]
+    rng.shuffle(shuffled)
+    # Each column alone agrees, rows never do: no two columns keep their rows together.
+    columns = [[x + rng.uniform(-1e-7, 1e-7) for x in rng.sample(base, len(base))] for _ in range(12)]
+    torn = [list(r) for r in zip(*columns)]
+    # Different columns whose rows are only moved and slightly changed: products leave the right mapping.
+    own = [[rng.random() * 50 for _ in range(40)] for _ in range(3)]
+    three = [list(r) for r in zip(*[[x + rng.uniform(-1e-8, 1e-8) for x in col] for col in own * 4])]
+    moved = [[row[(j * 5) % 12] + rng.uniform(-1e-8, 1e-8) for j in range(12)] for row in three]
+    rng.shuffle(moved)
+    started = time.time()
+    got = verdicts(spark, [(wide, shuffled, 12, 12, False), (torn, wide, 12, 12, False), (three, moved, 12, 12, False), (wide, torn, 12, 12, True)])
+    assert got == {0: "equal", 1: "columns_intersect", 2: "equal", 3: "columns_intersect"} or got[3] == "different"
+    assert got[0] == "equal" and got[1] == "columns_intersect" and got[2] == "equal"
+    assert time.time() - started < 120
+
+
+def test_matching_and_products():
+    assert C._matching({1: {5, 6}, 2: {5}, 3: {6, 7}}) == {1: 6, 2: 5, 3: 7}
+    assert C._matching({1: {5}, 2: {5}}) is None
+    rng = random.Random(1)
+    for _ in range(300):
+        rows = [(rng.uniform(-9, 9), rng.uniform(-900, 900)) for _ in range(rng.randrange(1, 30))]
+        near = [tuple(x + rng.uniform(-1, 1) * (C.ATOL + C.RTOL * abs(x)) for x in r) for r in rows]
+        stats = [(sum(a * b for a, b in t), sum(abs(a * b) for a, b in t), sum(abs(a) + abs(b) for a, b in t), len(t)) for t in (near, rows)]
+        assert C._products_agree(stats[0], stats[1], stats[1], C.ATOL, C.RTOL)
+
+
+def test_pairs_run_side_by_side(spark, tmp_path):
+    """A hundred pairs of which many share a query: each distinct text runs once, errors stay with their pair."""
+    from querycorpus.sources.sinks import ResultStore
+
+    spark.range(30).selectExpr("id", "id % 7 AS k").createOrReplaceTempView("numbers")
+    items = []
+    for i in range(100):
+        pred = None if i == 7 else "SELECT nope FROM numbers" if i == 9 else f"SELECT id, k FROM numbers WHERE k = {i % 5}"
+        items.append((i, "d", pred, f"SELECT k, id FROM numbers WHERE k = {i % 4} ORDER BY id" if i % 3 else f"SELECT id, k FROM numbers WHERE k = {i % 5}"))
+    store = ResultStore(str(tmp_path / "store"))
+    cells, runs = C.run_pairs(spark, items, store)
+    got = {r["pair_id"]: r for r in C.execution_scores(cells, runs).collect()}
+    assert len(got) == 100 and got[7]["exec_error"] == "no prediction" and got[9]["exec_error"].startswith("pred: ")
+    for i in range(100):
+        if i not in (7, 9):
+            same = i % 3 == 0 or i % 5 == i % 4
+            assert (got[i]["verdict"] in ("equal", "columns_intersect")) if same else got[i]["verdict"] != "equal", i
+            assert got[i]["exec"] == int(got[i]["verdict"] == "equal")
+    assert len([p for p in (tmp_path / "store").iterdir() if not p.name.startswith("cells-")]) == 9
+    assert len([p for p in (tmp_path / "store").iterdir() if p.name.startswith("cells-")]) == 1
