@@ -52,22 +52,20 @@ def top_k(df: DataFrame, group: list[str], order: list[Column], k: int) -> DataF
 def global_position(df: DataFrame, group: list[str], order: list[Column], name: str = "position") -> DataFrame:
     """Number the rows of each group from 0 without holding a group in one task.
 
-    Rows are range partitioned on (group, order), so a hot group spans many partitions;
-    rows are numbered inside each (partition, group) and shifted by the counts of the
-    earlier partitions. ``order`` must end in a tie-break that is unique in its group.
+    Rows are range partitioned on (group, order), so a hot group spans many partitions, sorted inside each and numbered
+    through by ``monotonically_increasing_id``. A row's place is its number less the first number of its group in the
+    partition, plus the rows of the group in earlier partitions; both come from one row per (partition, group), so the rows themselves
+    are shuffled once. ``order`` must end in a tie-break that is unique in its group.
     """
     keys = [F.col(c) for c in group]
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    placed = df.repartitionByRange(parts, *keys, *order).withColumn("_part", F.spark_partition_id())
-    placed = cut_lineage(placed)
-    sizes = placed.groupBy("_part", *group).agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.partitionBy(*group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    shift = sizes.select("_part", *group, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_shift"))
-    inside = placed.withColumn(
-        "_i", F.row_number().over(Window.partitionBy("_part", *group).orderBy(*order)) - 1
-    )
-    on = [inside[c].eqNullSafe(shift[c]) for c in ["_part", *group]]
-    joined = inside.join(shift, on, "inner")
-    return joined.select(
-        *[inside[c] for c in df.columns], (F.col("_i") + F.col("_shift")).cast("long").alias(name)
-    )
+    placed = df.repartitionByRange(parts, *keys, *order).sortWithinPartitions(*keys, *order)
+    placed = cut_lineage(placed.withColumn("_m", F.monotonically_increasing_id()))
+    part = F.shiftright("_m", 33).alias("_part")
+    sizes = placed.groupBy(part, *keys).agg(F.count(F.lit(1)).alias("_n"), F.min("_m").alias("_least"))
+    before = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    shift = sizes.withColumn("_shift", F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.col("_least"))
+    shift = shift.select(F.col("_part").alias("_of"), *[F.col(c).alias(f"_of_{i}") for i, c in enumerate(group)], "_shift")
+    on = [F.shiftright("_m", 33) == F.col("_of"), *[F.col(c).eqNullSafe(F.col(f"_of_{i}")) for i, c in enumerate(group)]]
+    joined = placed.join(shift, on, "inner")
+    return joined.select(*df.columns, (F.col("_m") + F.col("_shift")).cast("long").alias(name))

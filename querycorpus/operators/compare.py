@@ -489,7 +489,7 @@ def run_pairs(
 
     texts = list(dict.fromkeys((db_id, sql) for _, db_id, pred, target in items for sql in (target, pred) if sql is not None))
 
-    @inheritable_thread_target
+    @inheritable_thread_target(spark)
     def ran(number: int) -> tuple[float | None, int | None, str | None]:
         db_id, sql = texts[number]
         spark.sparkContext.setLocalProperty("spark.scheduler.pool", f"pairs-{number % workers}")
@@ -500,7 +500,7 @@ def run_pairs(
         except (*FAILURES, ValueError) as failure:
             return None, None, (str(failure).splitlines() or [type(failure).__name__])[0]
 
-    @inheritable_thread_target
+    @inheritable_thread_target(spark)
     def celled(group: list[int]) -> str:
         parts = [result_cells(store.get_placed(spark, *texts[n]), n, "", store.ROW) for n in group]
         path = f"{store.root}/cells-{uuid.uuid4().hex}"

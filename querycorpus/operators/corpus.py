@@ -27,13 +27,15 @@ def grouped_by_query(df: DataFrame, keys: list[str], order: list[str]) -> DataFr
     """
     rest = [c for c in df.columns if c not in keys]
     placed = global_position(df, keys, [F.col(c) for c in [*order, *rest]], "place")
-    cells = F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("value")) for c in rest]))
-    cells = placed.select(*keys, "place", cells.alias("_c")).select(*keys, "place", "_c.column", "_c.value")
-    counts = cells.select(*keys, "column", "value").distinct().groupBy(*keys, "column").agg(F.count(F.lit(1)).alias("n_distinct"))
-    counts = counts.select(*[F.col(k).alias(f"_{k}") for k in [*keys, "column"]], "n_distinct")
-    same = reduce(Column.__and__, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in [*keys, "column"]])
-    joined = cells.join(counts, same).where((F.col("n_distinct") > 1) | (F.col("place") == 0))
-    return joined.select(*keys, "column", "n_distinct", "place", "value")
+    cells = F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("value")) for c in rest])
+    values = df.select(*keys, F.explode(cells).alias("c")).groupBy(*keys, "c.column", "c.value").agg(F.lit(1).alias("_one"))
+    counts = values.groupBy(*keys, "column").agg(F.count(F.lit(1)).alias("n"))
+    # One row per group with a number per column meets the rows before they are spread into cells.
+    counts = counts.groupBy(*[F.col(k).alias(f"_{k}") for k in keys]).agg(F.map_from_entries(F.collect_list(F.struct("column", "n"))).alias("_counts"))
+    same = reduce(Column.__and__, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys])
+    kept = F.filter(cells, lambda c: (F.col("place") == 0) | (F.element_at("_counts", c["column"]) > 1))
+    joined = placed.join(counts, same).select(*keys, "place", "_counts", F.explode(kept).alias("c"))
+    return joined.select(*keys, "c.column", F.element_at("_counts", F.col("c.column")).alias("n_distinct"), "place", "c.value")
 
 
 def datapoints(df: DataFrame, question: str, sql: str, db_id: str, order: list[str]) -> DataFrame:
