@@ -2,7 +2,7 @@
 
 Everything that looks at one text works inside its row on the annotated tokens of
 :mod:`sqltokens`. Joins appear only where a catalog is consulted. Not covered, and given as null:
-texts that open with neither SELECT nor WITH, vendor clauses, comments inside a statement.
+texts that open with neither SELECT nor WITH, and vendor clauses. Comments count as blanks.
 """
 
 from __future__ import annotations
@@ -14,6 +14,8 @@ from querycorpus.functions.arrays import held
 from querycorpus.functions.scale import cut_lineage
 from querycorpus.operators.linking import similar_pairs
 from querycorpus.operators.sqltokens import (
+    QUOTED,
+    bare_alias,
     is_alias,
     is_column,
     is_function,
@@ -124,16 +126,21 @@ def _outer(t: Column) -> Column:
 
 def outer_select_items(tokens: Column) -> Column:
     """Texts of the outer SELECT items, cut at commas outside parentheses."""
+    return F.transform(_marked_items(tokens), lambda x: F.replace(x, F.lit("\x02"), F.lit(" ")))
+
+
+def _marked_items(tokens: Column) -> Column:
+    """The same with a mark in place of the blank before an alias without AS."""
     opening = F.try_element_at(F.filter(tokens, lambda t: (t["low"] == "select") & (t["depth"] == 0)), F.lit(1))["i"]
     first_from = F.coalesce(
-        F.try_element_at(F.filter(tokens, lambda t: (t["low"] == "from") & (t["depth"] == 0)), F.lit(1))["i"],
+        F.try_element_at(F.filter(tokens, lambda t: (t["low"] == "from") & (t["depth"] == 0) & (t["plain"] == 0)), F.lit(1))["i"],
         F.size(tokens),
     )
     inside = F.filter(tokens, lambda t: (t["i"] > opening) & (t["i"] < first_from))
     cut = F.transform(
         inside,
         lambda t: F.when((t["tok"] == ",") & (t["depth"] == 0) & (t["plain"] == 0), F.lit("\x01")).otherwise(
-            F.concat(F.when(t["gap"] == "", F.lit("")).otherwise(F.lit(" ")), t["tok"])
+            F.concat(F.when((t["depth"] == 0) & bare_alias(t), F.lit("\x02")).when(t["gap"] == "", F.lit("")).otherwise(F.lit(" ")), t["tok"])
         ),
     )
     items = F.transform(F.split(F.array_join(cut, ""), "\x01"), lambda x: F.trim(x))
@@ -142,13 +149,13 @@ def outer_select_items(tokens: Column) -> Column:
 
 
 def without_select_aliases(tokens: Column) -> Column:
-    """Drop ``AS name`` after plain columns of the outer SELECT list."""
+    """Drop ``AS name``, or a name without AS, after plain columns of the outer SELECT list."""
     def marks(t: Column) -> Column:
         return (t["clause"] == "select") & _outer(t) & (t["plain"] == 0)
 
     def new(t: Column) -> Column:
         opens = marks(t) & (t["low"] == "as") & t["b1"].rlike(r"^[a-z_\"`]")
-        alias = marks(t) & (t["b1"] == "as") & t["b2"].rlike(r"^[a-z_\"`]")
+        alias = marks(t) & ((t["b1"] == "as") & t["b2"].rlike(r"^[a-z_\"`]") | bare_alias(t) & t["b1"].rlike(r"^[a-z_\"`]") & (t["b1"] != "end"))
         return F.when(opens | alias, F.lit(None).cast("string")).otherwise(t["tok"])
 
     return rewritten(tokens, new)
@@ -185,15 +192,15 @@ def with_companion_column(log: DataFrame, table: str, trigger: str, key: str) ->
 
 def select_list(log: DataFrame) -> DataFrame:
     """Items of the outer SELECT list, star forms, and what each alias stands for."""
-    items = tokenized(log).withColumn("items", outer_select_items(F.col("tokens")))
-    named = F.filter("items", lambda x: x.rlike(r"(?i)\s+as\s+\S+$"))
+    items = tokenized(log).withColumn("_marked", _marked_items(F.col("tokens")))
+    items = items.withColumn("items", F.transform("_marked", lambda x: F.replace(x, F.lit("\x02"), F.lit(" "))))
+    ending = rf"(?i)(?:\s+as\s+|\x02)({QUOTED}|\S+)$"
+    named = F.filter("_marked", lambda x: x.rlike(ending))
     pairs = F.transform(
         named,
         lambda x: F.struct(
-            F.regexp_extract(x, r"(\S+)$", 1).alias("alias"),
-            F.regexp_replace(
-                F.regexp_replace(x, r"(?i)\s+as\s+\S+$", ""), r"\b\w+\.(\w+)", "$1"
-            ).alias("stands_for"),
+            F.regexp_extract(x, ending, 1).alias("alias"),
+            F.regexp_replace(F.regexp_replace(x, ending, ""), r"\b\w+\.(\w+)", "$1").alias("stands_for"),
         ),
     )
     shown = F.transform(
@@ -543,7 +550,7 @@ def variables(log: DataFrame) -> DataFrame:
         ),
     )
     aliases = F.transform(
-        F.filter("tokens", lambda t: is_name(t) & is_alias(t) & (t["n1"] != "(")),
+        F.filter("tokens", lambda t: is_name(t) & (is_alias(t) | bare_alias(t)) & (t["n1"] != "(")),
         lambda t: F.struct(
             t["depth"].alias("depth"), t["path"].alias("scope"), F.lit("aliases").alias("kind"),
             F.lit(None).cast("string").alias("table_name"), unquoted(t["tok"]).alias("name"),

@@ -301,10 +301,10 @@ def owner_of(prefix: Column, path: Column, tables: Column) -> Column:
 def is_column(t: Column) -> Column:
     """A name in a place where a column may stand."""
     in_list = t["clause"].isin("select", "where", "groupby", "having", "orderby", "on")
-    return is_name(t) & in_list & ~is_function(t) & (t["b1"] != "as") & ~_bare_alias(t) & ~t["tok"].endswith(".*") & ~_type_word(t)
+    return is_name(t) & in_list & ~is_function(t) & (t["b1"] != "as") & ~bare_alias(t) & ~t["tok"].endswith(".*") & ~_type_word(t)
 
 
-def _bare_alias(t: Column) -> Column:
-    """A second name in a row in the SELECT list is an alias without AS."""
-    operand = t["b1"].rlike("^[a-z_\"`0-9'.:]|^\\)$") & ~t["b1"].isin(*KEYWORDS)
-    return (t["clause"] == "select") & (t["plain"] == 0) & operand
+def bare_alias(t: Column) -> Column:
+    """A second name in a row in the SELECT list is an alias without AS, also after CASE .. END."""
+    operand = t["b1"].rlike("^[a-z_\"`0-9'.:]|^\\)$") & ~t["b1"].isin(*KEYWORDS) | (t["b1"] == "end")
+    return is_name(t) & (t["clause"] == "select") & (t["plain"] == 0) & (t["n1"] != "(") & operand & ~_type_word(t)

@@ -104,3 +104,33 @@ def test_companion_column(spark):
     ]
     got = [r["with_key"] for r in X.with_companion_column(log(spark, *texts), "result", "title", "id").orderBy("query_id").collect()]
     assert got == ["SELECT title, id FROM result", "SELECT r.title, x, r.id FROM result r JOIN t ON r.a = t.a", *texts[2:6], None, texts[7]]
+
+
+def test_select_lists_of_real_logs(spark):
+    """FROM inside of parentheses, aliases without AS, CASE, windows, casts, quoted aliases."""
+    texts = [
+        "SELECT EXTRACT(YEAR FROM d) FROM t",
+        "SELECT TRIM(BOTH ' ' FROM a) b, SUBSTRING(c FROM 2 FOR 3) AS d FROM t",
+        "SELECT a b, t.c, count(*) n, CASE WHEN a > 1 THEN 'x' ELSE 'y' END label FROM t",
+        'SELECT DISTINCT a::int "my a", sum(x) OVER (PARTITION BY g) w, INTERVAL \'1\' day FROM t',
+        "SELECT a, /* FROM u */ b -- x FROM v\n FROM t",
+        "(SELECT a z FROM t) UNION (SELECT b FROM u)",
+    ]
+    rows = X.select_list(log(spark, *texts)).orderBy("query_id").collect()
+    assert [r["items"] for r in rows[:5]] == [
+        ["EXTRACT(YEAR FROM d)"], ["TRIM(BOTH ' ' FROM a) b", "SUBSTRING(c FROM 2 FOR 3) AS d"],
+        ["a b", "t.c", "count(*) n", "CASE WHEN a > 1 THEN 'x' ELSE 'y' END label"],
+        ['a::int "my a"', "sum(x) OVER (PARTITION BY g) w", "INTERVAL '1' day"], ["a", "b"],
+    ]
+    aliases = [{(a["alias"], a["stands_for"]) for a in r["aliases"]} for r in rows]
+    assert aliases == [
+        set(), {("b", "trim"), ("d", "substring")}, {("b", "a"), ("n", "count"), ("label", "CASE WHEN a > 1 THEN 'x' ELSE 'y' END")},
+        {('"my a"', "a::int"), ("w", "sum")}, set(), {("z", "a")},
+    ]
+    got = {}
+    for r in X.variables(log(spark, *texts)).where("kind = 'aliases'").collect():
+        got.setdefault(r["query_id"], set()).add(r["name"])
+    assert got == {1: {"b", "d"}, 2: {"b", "n", "label"}, 3: {"my a", "w"}, 5: {"z"}}
+    edited = tokenized(log(spark, *texts)).select("query_id", X.without_select_aliases(F.col("tokens")).alias("t"), X.with_select_column(F.col("tokens"), "k").alias("k"))
+    edited = edited.orderBy("query_id").collect()
+    assert edited[2]["t"].startswith("SELECT a, t.c, count(*) n,") and edited[0]["k"] == "SELECT EXTRACT(YEAR FROM d), k FROM t"
