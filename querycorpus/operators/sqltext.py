@@ -154,8 +154,8 @@ def without_select_aliases(tokens: Column) -> Column:
         return (t["clause"] == "select") & _outer(t) & (t["plain"] == 0)
 
     def new(t: Column) -> Column:
-        opens = marks(t) & (t["low"] == "as") & t["b1"].rlike(r"^[a-z_\"`]")
-        alias = marks(t) & ((t["b1"] == "as") & t["b2"].rlike(r"^[a-z_\"`]") | bare_alias(t) & t["b1"].rlike(r"^[a-z_\"`]") & (t["b1"] != "end"))
+        opens = marks(t) & (t["low"] == "as") & t["b1"].rlike(r"^[a-z_\"`]") & (t["b1"] != "end")
+        alias = marks(t) & ((t["b1"] == "as") & t["b2"].rlike(r"^[a-z_\"`]") & (t["b2"] != "end") | bare_alias(t) & t["b1"].rlike(r"^[a-z_\"`]") & (t["b1"] != "end"))
         return F.when(opens | alias, F.lit(None).cast("string")).otherwise(t["tok"])
 
     return rewritten(tokens, new)

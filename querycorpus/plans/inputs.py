@@ -88,6 +88,11 @@ TEMPLATES = [
     "WITH big AS (SELECT p_partkey, p_name FROM part WHERE p_size >= {size}) SELECT big.p_name FROM big ORDER BY big.p_name LIMIT 5",
     "SELECT p_nam FROM parts WHERE p_sizes = {size}",
     "select p_brand, sum(p_size) from part group by p_brand order by p_brand asc",
+    "SELECT p_type label, CASE WHEN p_size > {size} THEN ~big~ ELSE ~small~ END AS kind, p_retailprice::int FROM part /* FROM nation */"
+    " WHERE p_retailprice > 15e2",
+    "SELECT EXTRACT(YEAR FROM l_shipdate) AS y, sum(l_quantity) OVER (PARTITION BY l_partkey ORDER BY l_linenumber) AS total FROM lineitem"
+    " WHERE l_quantity > -1",
+    "(SELECT n_name FROM nation WHERE n_name <> ~{name}~ ORDER BY n_name LIMIT 3) UNION (SELECT r_name FROM region)",
 ]
 _CASES = " ".join(f"WHEN {i} THEN '{t}'" for i, t in enumerate(TEMPLATES))
 INPUTS["query_log"] = f"""

@@ -194,14 +194,19 @@ LISTS = [
     (0, "p_name", False, ""), (1, "p.p_name AS name;count(*)", False, "name=p_name"), (2, "p_name", False, ""), (3, "n_name", False, ""),
     (4, "*", True, ""), (5, "max(p_retailprice) - min(p_retailprice) AS spread", False, "spread=max"), (6, "", None, ""),
     (7, "s.s_name", False, ""), (8, "big.p_name", False, ""), (9, "p_nam", False, ""), (10, "p_brand;sum(p_size)", False, ""),
+    (11, "p_type label;CASE WHEN p_size > {size} THEN ~big~ ELSE ~small~ END AS kind;p_retailprice::int", False, "label=p_type;kind=CASE WHEN p_size > {size} THEN ~big~ ELSE ~small~ END"),
+    (12, "EXTRACT(YEAR FROM l_shipdate) AS y;sum(l_quantity) OVER (PARTITION BY l_partkey ORDER BY l_linenumber) AS total", False, "y=extract;total=sum"),
+    (13, "n_name", False, ""),
 ]
 FEATURES = [
     (0, False, False), (1, True, True), (2, False, False), (3, False, False), (4, False, False), (5, False, True), (6, None, None),
     (7, False, False), (8, False, True), (9, False, False), (10, True, True),
+    (11, False, False), (12, False, False), (13, False, False),
 ]
 OUTER = [
     (0, "part", True), (1, "part p,lineitem l", True), (2, "part", True), (3, "nation", False), (4, "part,supplier", True), (5, "part", True),
     (6, "", None), (7, "supplier s,nation n", False), (8, "big", False), (9, "parts", False), (10, "part", True),
+    (11, "part", True), (12, "lineitem", False), (13, "nation", False),
 ]
 STRUCTURE = [
     (0, 0, 0, "select from where"),
@@ -214,8 +219,9 @@ STRUCTURE = [
     (8, 0, 0, "select from orderby_asc limit nesting_with"), (8, 1, 0, "select from where"),
     (9, 0, 0, "select from where"),
     (10, 0, 0, "select from groupby orderby_asc"),
+    (11, 0, 0, "select from where"), (12, 0, 0, "select from where"), (13, 0, 0, "select from where orderby_asc limit select_1 from_1 union"),
 ]
-NESTING = [(0, 0, 0), (1, 0, 0), (2, 1, 1), (3, 0, 0), (4, 0, 0), (5, 0, 0), (6, None, None), (7, 2, 2), (8, 1, 1), (9, 0, 0), (10, 0, 0)]
+NESTING = [(0, 0, 0), (1, 0, 0), (2, 1, 1), (3, 0, 0), (4, 0, 0), (5, 0, 0), (6, None, None), (7, 2, 2), (8, 1, 1), (9, 0, 0), (10, 0, 0), (11, 0, 0), (12, 0, 0), (13, 0, 0)]
 OPERATORS = [
     (0, "where", "C", "eq", 1),
     (1, "select", "Ag", "count", 1), (1, "from", "J", "join", 1), (1, "from", "C", "eq", 1), (1, "where", "C", "eq", 1), (1, "where", "Lo", "and", 1),
@@ -227,6 +233,7 @@ OPERATORS = [
     (7, "from", "J", "left join", 1), (7, "from", "C", "eq", 1), (7, "where", "UnOp", "exists", 1), (7, "where", "C", "eq", 1), (7, "where", "Lo", "and", 2),
     (7, "where", "C", "gt", 1), (7, "select", "Ag", "avg", 1), (7, "where", "Li", "not_like", 1),
     (8, "where", "C", "gte", 1), (9, "where", "C", "eq", 1), (10, "select", "Ag", "sum", 1),
+    (11, "select", "C", "gt", 1), (11, "where", "C", "gt", 1), (12, "select", "Ag", "sum", 1), (12, "where", "C", "gt", 1), (13, "where", "C", "neq", 1),
 ]
 VARIABLES = [
     (0, 0, "tables", "part", 1), (0, 0, "columns", "part.p_name", 1), (0, 0, "columns", "part.p_size", 1),
@@ -247,10 +254,16 @@ VARIABLES = [
     (8, 1, "columns", "part.p_size", 1), (8, 0, "columns", "big.p_name", 2),
     (9, 0, "tables", "parts", 1), (9, 0, "columns", "parts.p_nam", 1), (9, 0, "columns", "parts.p_sizes", 1),
     (10, 0, "tables", "part", 1), (10, 0, "columns", "part.p_brand", 3), (10, 0, "columns", "part.p_size", 1),
+    (11, 0, "tables", "part", 1), (11, 0, "aliases", "label", 1), (11, 0, "aliases", "kind", 1), (11, 0, "columns", "part.p_type", 1),
+    (11, 0, "columns", "part.p_size", 1), (11, 0, "columns", "part.p_retailprice", 2),
+    (12, 0, "tables", "lineitem", 1), (12, 0, "aliases", "y", 1), (12, 0, "aliases", "total", 1), (12, 0, "columns", "lineitem.l_shipdate", 1),
+    (12, 0, "columns", "lineitem.l_quantity", 2), (12, 0, "columns", "lineitem.l_partkey", 1), (12, 0, "columns", "lineitem.l_linenumber", 1),
+    (13, 0, "tables", "nation", 1), (13, 0, "tables", "region", 1), (13, 0, "columns", "nation.n_name", 3), (13, 0, "columns", "region.r_name", 1),
 ]
 VALUES = [
     (0, 0, "{size}"), (1, 0, "{brand}"), (1, 0, "{size}"), (1, 0, "2"), (2, 1, "1"), (2, 1, "{size}"), (2, 0, "%{name}%"), (4, 0, "{size}"), (4, 0, "7"),
     (4, 0, "10"), (5, 0, "FROM {name}"), (7, 0, "NATION_{size}"), (8, 1, "{size}"), (9, 0, "{size}"),
+    (11, 0, "{size}"), (11, 0, "big"), (11, 0, "small"), (11, 0, "15e2"), (12, 0, "-1"), (13, 0, "{name}"),
 ]
 EQUAL = [
     (1, "part.p_partkey", "lineitem.l_partkey"), (1, "lineitem.l_partkey", "part.p_partkey"),
@@ -269,19 +282,24 @@ CATEGORIES = [
     (8, "S-F-W-O-L-N", "2.2.1.0.0.1.1.0.1", "C", "0.0.1.0.0.0.0.0.0.0"),
     (9, "S-F-W", "1.1.1.0.0.0.0.0.0", "C", "0.0.1.0.0.0.0.0.0.0"),
     (10, "S-F-G-O", "1.1.0.1.0.1.0.0.0", "Ag", "0.1.0.0.0.0.0.0.0.0"),
+    (11, "S-F-W", "1.1.1.0.0.0.0.0.0", "C", "0.0.2.0.0.0.0.0.0.0"),
+    (12, "S-F-W", "1.1.1.0.0.0.0.0.0", "Ag-C", "0.1.1.0.0.0.0.0.0.0"),
+    (13, "S-F-W-O-L-SO", "2.2.1.0.0.1.1.1.0", "C", "0.0.1.0.0.0.0.0.0.0"),
 ]
-SIZES = [(0, 1, 1), (1, 2, 3), (2, 1, 3), (3, 1, 0), (4, None, 4), (5, 1, 1), (6, None, None), (7, 1, 3), (8, 1, 0), (9, 1, 1), (10, 2, 0)]
+SIZES = [(0, 1, 1), (1, 2, 3), (2, 1, 3), (3, 1, 0), (4, None, 4), (5, 1, 1), (6, None, None), (7, 1, 3), (8, 1, 0), (9, 1, 1), (10, 2, 0), (11, 3, 1), (12, 2, 1), (13, 1, 1)]
 FILTERS = [
     (0, "part", "p_size", "=", "{size}"), (1, "part", "p_brand", "=", "{brand}"), (1, "lineitem", "l_quantity", ">", "{size}"),
     (2, "part", "p_name", "like", "%{name}%"), (4, "part", "p_size", "not in", "{size}"), (4, "part", "p_size", "not in", "7"),
     (4, "supplier", "s_acctbal", "<", "10"), (5, "part", "p_name", "=", "FROM {name}"), (7, "nation", "n_name", "not like", "NATION_{size}"),
     (8, "part", "p_size", ">=", "{size}"), (9, "parts", "p_sizes", "=", "{size}"),
+    (11, "part", "p_size", ">", "{size}"), (11, "part", "p_retailprice", ">", "15e2"), (12, "lineitem", "l_quantity", ">", "-1"),
+    (13, "nation", "n_name", "<>", "{name}"),
 ]
 INVALID = "(6, 8, 9)"
 
 
 def _filled(column: str) -> str:
-    return f"replace(replace(replace({column}, '{{name}}', p_name), '{{brand}}', p_brand), '{{size}}', CAST(p_size AS VARCHAR))"
+    return f"replace(replace(replace(replace({column}, '{{name}}', p_name), '{{brand}}', p_brand), '{{size}}', CAST(p_size AS VARCHAR)), '~', chr(39))"
 
 
 def _binary(column: str) -> str:
@@ -291,18 +309,19 @@ def _binary(column: str) -> str:
 _PLAIN = _by_template({i: t for i, t in enumerate(TEMPLATES)})
 _ASC = _all(
     t1=TEMPLATES[1].replace("p.p_name LIMIT", "p.p_name asc LIMIT"), t5=TEMPLATES[5] + " asc",
-    t8=TEMPLATES[8].replace("big.p_name LIMIT", "big.p_name asc LIMIT"),
+    t8=TEMPLATES[8].replace("big.p_name LIMIT", "big.p_name asc LIMIT"), t13=TEMPLATES[13].replace("n_name LIMIT", "n_name asc LIMIT"),
 )
 _NO_TABLE_ALIAS = _all(
     t1=TEMPLATES[1].replace("part AS p", "part").replace("lineitem AS l", "lineitem").replace("p.p_", "part.p_").replace("l.l_", "lineitem.l_"),
     t7=TEMPLATES[7].replace("supplier s", "supplier").replace("nation n ", "nation ").replace("s.s_", "supplier.s_").replace("n.n_", "nation.n_"),
 )
-_NO_SELECT_ALIAS = _all(t1=TEMPLATES[1].replace(" AS name", ""))
+_NO_SELECT_ALIAS = _all(t1=TEMPLATES[1].replace(" AS name", ""), t11=TEMPLATES[11].replace(" label", ""))
 _REPAIRED = {i: t for i, t in enumerate(TEMPLATES)} | {9: "SELECT p_name FROM part WHERE p_size = {size}"}
 
 
 def _extra(t: str) -> str:
-    at = t.index(") SELECT") if t.startswith("WITH") else 0
+    # The FROM of a named query or of EXTRACT is not the outer one.
+    at = t.index(") SELECT") if t.startswith("WITH") else t.index(" AS y") if "EXTRACT" in t else 0
     word = " FROM " if " FROM " in t else " from "
     cut = t.index(word, at)
     return t[:cut] + ", extra_id" + t[cut:]
@@ -323,7 +342,7 @@ ORACLES = {
              WHEN 0 THEN replace(sql, ' FROM part', ', p_partkey FROM part') WHEN 2 THEN replace(sql, ' FROM part', ', p_partkey FROM part') ELSE sql END AS with_key
            FROM query_log""",
     ),
-    "sql_select_list": _join(LISTS, "items, has_star, aliases", "items, has_star, aliases"),
+    "sql_select_list": _join(LISTS, "items, has_star, aliases", f"{_filled('items')} AS items, has_star, {_filled('aliases')} AS aliases"),
     "sql_outer_features": _join(
         FEATURES, "g, o", f"g AS has_group_by, o AS has_order_by, CASE WHEN t = 1 THEN CAST(p_size AS BIGINT) WHEN t = 8 THEN 5 END AS limit_value"
     ),
