@@ -28,17 +28,23 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return drop_toxic(docs, labels(spark, sf_dir))
 
 
+def _packed(docs: DataFrame) -> DataFrame:
+    """The rows as one column beside doc_id and text, so that other columns may have any name."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), "doc_id", "text")
+
+
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the lines that an earlier document holds; n_chars follows the text."""
-    out = dedup_lines(docs)
+    out = dedup_lines(_packed(docs))
     changed = {"text": F.col("kept_text"), "n_chars": F.length("kept_text").cast("long")}
-    return out.select(*[changed.get(c, F.col(f"`{c}`")).alias(c) for c in docs.columns])
+    return out.select(*[changed.get(c, F.col("_row")[c]).alias(c) for c in docs.columns])
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, that of the smallest doc_id, of each group linked by five-word shingles at a similarity of 0.8 or more."""
     dropped = near_duplicates(docs, words=5, percent=80).where(~F.col("kept")).select(F.col("doc_id").alias("_dropped")).distinct()
-    return docs.join(dropped, docs["doc_id"].cast("long") == F.col("_dropped"), "left_anti")
+    kept = _packed(docs).join(dropped, F.col("doc_id").cast("long") == F.col("_dropped"), "left_anti")
+    return kept.select("_row.*")
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

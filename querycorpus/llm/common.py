@@ -26,8 +26,13 @@ def written(df: DataFrame, name: str, partition_by: list[str] | None = None) ->
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Longer words are rarely met again: texts in scripts without blanks, encoded data. They are not held.
+LONGEST_HELD = 64
+
+
 class Memo(dict):
-    """Per-worker memo of a pure function of a word; emptied when it holds ``limit`` words."""
+    """Per-worker memo of a pure function of a word; emptied when it holds ``limit`` words. Only words of up to ``LONGEST_HELD``
+    letters or bytes are held, so that its size in memory has a bound as well."""
 
     def __init__(self, function: Callable, limit: int = 400_000) -> None:
         super().__init__()
@@ -35,6 +40,8 @@ class Memo(dict):
 
     def __missing__(self, word):
         value = self.function(word)
+        if len(word) > LONGEST_HELD:
+            return value
         if len(self) >= self.limit:
             self.clear()
         self[word] = value

@@ -115,9 +115,11 @@ def dedup_lines(docs: DataFrame, shortest: int = 10, batches: int = 4, fanout: i
     """
     ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     drops = _drops(ids, batches, fanout, shortest).select(F.col("doc_id").alias("_d"), F.col("th").alias("_t"), F.col("drops").alias("_drops"))
-    rest = docs.drop("n_lines", "n_dropped", "kept_text")
-    joined = rest.join(drops, rest["doc_id"].cast("long").eqNullSafe(F.col("_d")) & (F.xxhash64(rest["text"].cast("string")) == F.col("_t")), "left")
-    joined = joined.withColumn("_lines", lines_of(F.col("text")))
+    # In one struct, columns of any name stay apart from those of this join.
+    rest = [F.col(f"`{c}`") for c in docs.columns if c not in ("n_lines", "n_dropped", "kept_text")]
+    packed = docs.select(F.struct(*rest).alias("_row"), F.col("doc_id").cast("long").alias("_i"), F.col("text").cast("string").alias("_x"))
+    joined = packed.join(drops, F.col("_i").eqNullSafe(F.col("_d")) & (F.xxhash64("_x") == F.col("_t")), "left")
+    joined = joined.withColumn("_lines", lines_of(F.col("_x")))
     lines, dropped = F.col("_lines"), F.coalesce("_drops", F.array().cast("array<int>"))
     # The kept lines are the slices between the dropped places: linear in the lines of a document.
     bounds = F.concat(F.array(F.lit(-1)), dropped, F.array(F.size(lines)))
@@ -127,9 +129,9 @@ def dedup_lines(docs: DataFrame, shortest: int = 10, batches: int = 4, fanout: i
             lambda x: F.slice(lines, x["a"] + 2, x["b"] - x["a"] - 1),
         )
     )
-    text = F.when(F.size(dropped) == 0, F.coalesce(F.col("text").cast("string"), F.lit(""))).otherwise(F.array_join(kept, "\n"))
+    text = F.when(F.size(dropped) == 0, F.coalesce("_x", F.lit(""))).otherwise(F.array_join(kept, "\n"))
     return joined.select(
-        *[rest[c] for c in rest.columns],
+        "_row.*",
         F.size(lines).cast("long").alias("n_lines"),
         F.size(dropped).cast("long").alias("n_dropped"),
         text.alias("kept_text"),

@@ -200,13 +200,29 @@ class ToxicityModel:
 
 
 def _fit_line(z: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """Logistic line through (vote in log odds, label), with a little ridge on the slope."""
-    w = np.array([0.0, 1.0])
-    x = np.stack([np.ones_like(z), z], 1)
-    for _ in range(40):
+    """Logistic line through (vote in log odds, label), with a little ridge towards the vote itself.
+
+    Labels are smoothed to (n + 1) / (n + 2) of their class and steps are halved until they gain, so the line stays finite where
+    votes separate the classes or are all alike; then the score is about the base rate.
+    """
+    toxic = y.sum()
+    target = np.where(y > 0, (toxic + 1) / (toxic + 2), 1 / (len(y) - toxic + 2))
+    x, start = np.stack([np.ones_like(z), z], 1), np.array([0.0, 1.0])
+
+    def loss(w: np.ndarray) -> float:
+        line = x @ w
+        return float((np.logaddexp(0, line) - target * line).sum() + 0.05 * ((w - start) ** 2).sum())
+
+    w, now = start, loss(start)
+    for _ in range(100):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        slope = x.T @ (y - p) - 0.1 * (w - [0, 1])
-        w = w + np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + 0.1 * np.eye(2), slope)
+        slope = x.T @ (target - p) - 0.1 * (w - start)
+        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + 0.1 * np.eye(2), slope)
+        while (better := loss(w + step)) > now and np.abs(step).max() > 1e-9:
+            step = step / 2
+        if not better < now - 1e-9:
+            break
+        w, now = w + step, better
     return float(w[0]), max(float(w[1]), 0.0)
 
 

@@ -7,7 +7,7 @@ from test_near import linked_texts
 from test_scores_and_licenses import marked_rows
 
 import corpus_pipeline
-from querycorpus.llm.common import written
+from querycorpus.llm.common import Memo, written
 
 
 @pytest.fixture(scope="module")
@@ -54,3 +54,22 @@ def test_stages_on_no_rows_and_other_columns(spark, tables):
         some = stage(spark, cases.frame(spark, [*cases.texts(n=8), (None, None), (1, "x"), (1, "x")]), tables[0])
         assert name == "packing" or some.columns == cases.empty(spark).columns
         assert some.count() > 0 or name in ("quality", "toxicity")
+
+
+def test_stages_keep_columns_of_any_name(spark, tables):
+    """Names that the stages use themselves, names with a dot or a blank."""
+    names = ["_lines", "_d", "_t", "_i", "_x", "_drops", "_dropped", "_row", "a.b", "doc id", "n_lines", "n_dropped", "kept_text", "kept", "component_id", "score"]
+    rows = [*cases.texts(n=12), (None, None), (7, "x y z"), (7, "x y z")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", *[f"concat('{n}', doc_id) AS `{n}`" for n in names])
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, tables[0])
+        assert out.columns == docs.columns
+        assert all(r[n] == (None if r["doc_id"] is None else f"{n}{r['doc_id']}") for r in out.collect() for n in names), name
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, tables[0]).count() > 0
+
+
+def test_memos_hold_short_words_only():
+    calls = []
+    memo = Memo(lambda w: calls.append(w) or len(w), 3)
+    assert [memo[w] for w in ["ab", "ab", "x" * 5000, "x" * 5000, b"y" * 65, b"y" * 65]] == [2, 2, 5000, 5000, 65, 65]
+    assert len(calls) == 5 and len(memo) == 1

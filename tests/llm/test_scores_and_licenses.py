@@ -166,3 +166,30 @@ def test_licenses_within_lines_and_across_them(spark):
         (1, "mit-grant"): (1.0, 1, 4), (2, "all-rights-reserved"): (1.0, 1, 0), (3, "mit-notice"): (1.0, 1, 0), (4, "apache-2.0-header"): (1.0, 1, 0),
         (6, "mit-notice"): (1.0, 2, 0), (7, "all-rights-reserved"): (1.0, 2, 0), (8, "all-rights-reserved"): (1.0, 1, 1),
     }
+
+
+def test_calibration_stays_finite():
+    """Votes that are all alike give the base rate; votes that part the classes give scores on their sides."""
+    for share in (0.168, 0.02, 0.5):
+        y = (np.arange(1000) < 1000 * share).astype(float)
+        line = toxicity._fit_line(np.full(1000, -2.2), y)
+        score = 1 / (1 + np.exp(-(line[0] + line[1] * -2.2)))
+        assert abs(score - share) < 0.01 and np.abs(line).max() < 20
+    z, y = np.r_[np.full(900, -3.0), np.full(100, 2.0)], np.r_[np.zeros(900), np.ones(100)]
+    line = toxicity._fit_line(z, y)
+    scores = 1 / (1 + np.exp(-(line[0] + line[1] * z)))
+    assert scores[0] < 0.05 and scores[-1] > 0.9 and abs(scores.mean() - 0.1) < 0.01
+    rng = np.random.default_rng(3)
+    z = rng.normal(size=3000)
+    y = (rng.random(3000) < 1 / (1 + np.exp(-(0.5 + 1.5 * z)))).astype(float)
+    line = toxicity._fit_line(z, y)
+    assert abs(line[0] - 0.5) < 0.2 and abs(line[1] - 1.5) < 0.3
+
+
+def test_few_toxic_labels_give_the_base_rate(spark):
+    """No word tells the five toxic texts from the rest: every score is about their share."""
+    rows = [(i, f"common words here {'abcdefghij'[i % 10]}") for i in range(100)]
+    marks = [(i, 1, int(i % 20 == 1)) for i in range(100)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    scores = [r["score"] for r in toxicity.score_toxicity(docs, spark.createDataFrame(marks, "doc_id long, quality int, toxic int")).collect()]
+    assert len(scores) == 100 and all(0.01 < s < 0.12 for s in scores)
