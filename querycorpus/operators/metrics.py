@@ -7,10 +7,14 @@ sets followed by small averages.
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from querycorpus.functions.arrays import pinned
 from querycorpus.functions.scale import cut_lineage
 from querycorpus.operators import sqltext as X
 from querycorpus.operators.sqltokens import tokenized
@@ -147,55 +151,62 @@ def match_means(scores: DataFrame, by: list[str] = ()) -> DataFrame:
 # --- BLEU ------------------------------------------------------------------------------
 
 
-def _ngrams(words: Column, max_n: int) -> Column:
-    """``array<struct<n, g, h>>`` of all n-grams up to ``max_n``, as two independent 64-bit hashes of their words."""
-    def grams(n: int) -> Column:
-        last = F.size(words) - n + 1
-        starts = F.when(last >= 1, F.sequence(F.lit(1), last)).otherwise(F.array().cast("array<int>"))
-        return F.transform(
-            starts,
-            lambda i: F.struct(
-                F.lit(n).alias("n"), F.xxhash64(F.slice(words, i, F.lit(n))).alias("g"), F.xxhash64(F.lit(7), F.slice(words, i, F.lit(n))).alias("h")
-            ),
-        )
+_WORD = re.compile(r"[^ \t\n\x0b\f\r]+")
+
+
+def _clipped_matches(texts: list[list[str]], max_n: int) -> Iterator[tuple[int, int]]:
+    """For n = 1, 2, ..: n-grams of the first text that another one holds too, each at most as often as there; and all n-grams of it.
 
-    return F.concat(*[grams(n) for n in range(1, max_n + 1)])
+    The n-grams of all texts are numbered exactly: one of n words is the pair of one of n - 1 words and the word after it.
+    """
+    number: dict[str, int] = {}
+    words = np.array([number.setdefault(w, len(number)) for t in texts for w in t], np.int64)
+    owner = np.repeat(np.arange(len(texts)), [len(t) for t in texts])
+    grams = words
+    for n in range(1, max_n + 1):
+        if len(words) < n:
+            yield 0, 0
+            continue
+        if n > 1:
+            grams = np.unique(grams[:-1] * len(number) + words[n - 1 :], return_inverse=True)[1]
+        # A gram that runs from one text into the next is none.
+        inside = owner[: len(grams)] == owner[n - 1 :]
+        kinds = int(grams.max()) + 1
+        counts = np.bincount(owner[: len(grams)][inside] * kinds + grams[inside], minlength=len(texts) * kinds).reshape(len(texts), kinds)
+        yield int(np.minimum(counts[0], counts[1:].max(axis=0, initial=0)).sum()), int(counts[0].sum())
+
+
+def _matched(max_n: int):
+    """Sums of a partition: (n, hit, all) per n; for n = 0 the lengths of closest references and of predictions."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = np.zeros((max_n + 1, 2), np.int64)
+        for batch in batches:
+            for prediction, refs in zip(batch["prediction"].to_pylist(), batch["refs"].to_pylist()):
+                texts = [_WORD.findall(t) for t in [prediction or "", *(r for r in refs or [] if r is not None)]]
+                sums[0] += min(((abs(len(r) - len(texts[0])), len(r)) for r in texts[1:]), default=(0, 0))[1], len(texts[0])
+                for n, found in enumerate(_clipped_matches(texts, max_n), 1):
+                    sums[n] += found
+        yield pa.RecordBatch.from_arrays([pa.array(range(max_n + 1), pa.int32()), pa.array(sums[:, 0]), pa.array(sums[:, 1])], ["n", "hit", "all"])
+
+    return run
 
 
 def corpus_bleu(df: DataFrame, max_n: int = 4) -> DataFrame:
-    """Corpus BLEU of ``id, prediction, refs``: one row with the score and its parts.
+    """Corpus BLEU of ``prediction, refs``: one row with the score and its parts.
 
-    Words are split at spaces, there is no smoothing, and the closest reference length counts (the
-    shorter on a tie). Only the texts are shuffled, by ``id``: all groupings after that lie inside
-    this partitioning, so the n-grams never travel.
+    Words are split at spaces, there is no smoothing, and the closest reference length counts (the shorter on a tie). A null
+    prediction is an empty text, a null reference none. All that is counted lies in one row of ``df``, so nothing is shuffled
+    but ``max_n + 1`` sums per partition.
     """
-    def words(c: Column) -> Column:
-        return F.filter(F.split(F.trim(c), r"\s+"), lambda w: w != "")
-
-    texts = F.concat(F.array("prediction"), F.coalesce("refs", F.array().cast("array<string>")))
-    # A stated number of partitions keeps the small text shuffle from being merged into few tasks.
-    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    spread = df.select("id", F.posexplode(texts).alias("r", "text")).repartition(parts, "id")
-    split = pinned(spread.select("id", "r", "text"), "w", words(F.col("text")))
-    grams = split.select("id", "r", F.explode(_ngrams(F.col("w"), max_n)).alias("x"))
-    counts = grams.groupBy("id", "r", "x.n", "x.g", "x.h").agg(F.count(F.lit(1)).alias("c"))
-    clipped = counts.groupBy("id", "n", "g", "h").agg(
-        F.max(F.when(F.col("r") == 0, F.col("c"))).alias("mine"), F.max(F.when(F.col("r") > 0, F.col("c"))).alias("most")
-    )
-    sums = clipped.where("mine IS NOT NULL").groupBy("n").agg(
-        F.sum(F.least("mine", F.coalesce("most", F.lit(0)))).alias("hit"), F.sum("mine").alias("all")
-    )
-    n_pred = F.size(words(F.col("prediction")))
-    closest = F.array_min(
-        F.transform("refs", lambda t: F.struct(F.abs(F.size(words(t)) - F.col("_n")).alias("gap"), F.size(words(t)).alias("len")))
-    )["len"]
-    lengths = pinned(df, "_n", n_pred).agg(F.lit(0).alias("n"), F.sum(closest).alias("hit"), F.sum("_n").alias("all"))
+    texts = df.select(F.col("prediction").cast("string").alias("prediction"), F.col("refs").cast("array<string>").alias("refs"))
+    sums = texts.mapInArrow(_matched(max_n), "n int, hit long, all long").groupBy("n").agg(F.sum("hit").alias("hit"), F.sum("all").alias("all"))
 
     def of(n: int, c: Column) -> Column:
         return F.max(F.when(F.col("n") == n, c))
 
     share = F.col("hit") / F.nullif(F.col("all"), F.lit(0))
-    both = sums.unionByName(lengths).agg(
+    both = sums.agg(
         of(0, F.col("all")).alias("pred_len"),
         of(0, F.col("hit")).alias("ref_len"),
         *[F.coalesce(of(n, share), F.lit(0.0)).alias(f"precision_{n}") for n in range(1, max_n + 1)],
@@ -206,7 +217,7 @@ def corpus_bleu(df: DataFrame, max_n: int = 4) -> DataFrame:
     )
     mean_log = sum(F.log(p) for p in precisions) / max_n
     return both.select(
-        F.when(F.least(*precisions) > 0, penalty * F.exp(mean_log)).otherwise(0.0).alias("bleu"),
+        F.when(F.array_min(F.array(*precisions)) > 0, penalty * F.exp(mean_log)).otherwise(0.0).alias("bleu"),
         penalty.alias("brevity_penalty"),
         "pred_len",
         "ref_len",
