@@ -86,29 +86,67 @@ def centred_plan(rows: int, equal: list[np.ndarray], similarity: float, miss: fl
     return -width, count
 
 
-def _table_keys(centre: np.ndarray, rotations: list[np.ndarray], bits: int, tables: int):
-    turned = np.hstack(rotations)[:, : bits * tables]
-    powers = 1 << np.arange(bits, dtype=np.int64)
+#: What codes the vectors of one length: centre, rotations side by side, bits of a key, tables.
+Plan = tuple[np.ndarray, np.ndarray, int, int]
+
+
+def _scaled(x: np.ndarray) -> np.ndarray:
+    """Rows whose squares would leave the range of doubles are divided by their greatest component; others stay as they are."""
+    top = np.abs(x).max(1, keepdims=True, initial=0.0)
+    return np.where((top > 1e100) | (top < 1e-100), x / top, x)
+
+
+def _table_keys(plans: dict[int, Plan]):
+    """Add the length ``d`` of each vector and its key in every table of the plan of that length; without a plan all share key 0."""
+
+    def coded(x: np.ndarray) -> np.ndarray:
+        if x.shape[1] not in plans:
+            return np.zeros((len(x), 1), np.int64)
+        centre, turned, bits, tables = plans[x.shape[1]]
+        x = _scaled(x)
+        signs = ((x / np.linalg.norm(x, axis=1, keepdims=True) - centre) @ turned >= 0).reshape(len(x), tables, bits)
+        return signs @ (1 << np.arange(bits, dtype=np.int64)) + (np.arange(tables, dtype=np.int64) << 40)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n = batch.num_rows
-            x = np.asarray(batch["embedding"].flatten().to_numpy(zero_copy_only=False), np.float64).reshape(n, -1)
-            signs = ((x / np.linalg.norm(x, axis=1, keepdims=True) - centre) @ turned >= 0).reshape(n, tables, bits)
-            keys = signs @ powers + (np.arange(tables, dtype=np.int64) << 40)
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * tables, pa.int32()), pa.array(keys.ravel()))
-            yield pa.RecordBatch.from_arrays([*batch.columns, lists], [*batch.schema.names, "keys"])
+            if not batch.num_rows:
+                continue
+            values = np.asarray(batch["embedding"].flatten().to_numpy(zero_copy_only=False), np.float64)
+            sizes = batch["embedding"].value_lengths().to_numpy().astype(np.int64)
+            ends, counts = np.cumsum(sizes), np.array([plans[d][3] if d in plans else 1 for d in sizes.tolist()], np.int64)
+            key_ends = np.cumsum(counts)
+            keys = np.empty(key_ends[-1], np.int64)
+            for d in np.unique(sizes):
+                own = np.flatnonzero(sizes == d)
+                found = coded(values[(ends[own] - d)[:, None] + np.arange(d)])
+                keys[(key_ends[own] - found.shape[1])[:, None] + np.arange(found.shape[1])] = found
+            lists = pa.ListArray.from_arrays(pa.array(np.r_[0, key_ends], pa.int32()), pa.array(keys))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(sizes, pa.int32()), lists], [*batch.schema.names, "d", "keys"])
 
     return run
 
 
+def _plans(usable: DataFrame, similarity: float, miss: float, sample_rows: int, plain_rows: int) -> dict[int, Plan]:
+    """A plan for each length that more than ``plain_rows`` vectors have, learned on its share of ``sample_rows`` vectors."""
+    lengths = usable.groupBy(F.size("embedding").alias("d")).count().where(F.col("count") > plain_rows).orderBy("d").collect()
+    plans = {}
+    for d, count in lengths:
+        own = usable.where(F.size("embedding") == d).select("vec_id", "label", "embedding")
+        sample = own.orderBy(F.xxhash64("vec_id"), "vec_id").limit(max(sample_rows // len(lengths), 256)).collect()
+        known = _scaled(np.array([r["embedding"] for r in sample], np.float64))
+        bits, tables = centred_plan(count, equal_bits(known, np.array([r["label"] for r in sample]), similarity), similarity, miss)
+        centre, rotations = learn_rotations(known, max(1, math.ceil(bits * tables / d)))
+        plans[d] = centre, np.hstack(rotations)[:, : bits * tables], bits, tables
+    return plans
+
+
 def _compared(similarity: float):
     """Rows come sorted by bucket and block pair. For each, compare all vectors of the two blocks at once; give a row for each
     vector with links: how many it has that are first met in this table, and the root of its links here. Never pairs."""
 
     def block(rows: dict[str, np.ndarray]) -> list[tuple]:
         n = len(rows["rep"])
-        x = np.stack(rows["embedding"]).astype(np.float64)
+        x = _scaled(np.stack(rows["embedding"]).astype(np.float64))
         norms = np.linalg.norm(x, axis=1)
         i, j = rows["i"][0], rows["j"][0]
         across = np.ones(n, bool) if i == j else rows["block"] == i
@@ -139,7 +177,7 @@ def _compared(similarity: float):
         for batch in batches:
             if not batch.num_rows:
                 continue
-            names = np.stack([batch[c].to_numpy() for c in ("label", "key", "i", "j")], 1)
+            names = np.stack([batch[c].to_numpy() for c in ("label", "d", "key", "i", "j")], 1)
             edges = np.flatnonzero((names[1:] != names[:-1]).any(1)) + 1
             starts = [0, *edges.tolist(), batch.num_rows]
             found: list[tuple] = []
@@ -170,39 +208,35 @@ def near_vectors(vectors: DataFrame, similarity: float = 0.98, miss: float = 0.0
 
     1. Equal vectors of a label become one node with a number of copies.
     2. Rotations are learned on at most ``sample_rows`` vectors, the only bounded step; every vector is coded and entered in every table.
-    3. A bucket holds the vectors of a label with equal key in one table. Buckets of two or more are compared exactly, in block pairs of at
+       Each length of vectors has its own plan; vectors of a length that at most ``block_rows`` have are all compared.
+    3. A bucket holds the vectors of a label and length with equal key in one table. Buckets of two or more are compared exactly, in block pairs of at
        most about 2 x ``block_rows`` vectors; a link is counted in the first table where its ends meet. Only counts and roots leave a task.
     4. Roots are closed to components.
 
     A link at exactly the similarity is missed with a chance of about ``miss``; closer ones less. Centring widens the angles of vectors with a
     common direction, so bits and tables are planned by the angles of sample pairs after it, for the label with the worst.
 
-    * Label null, vector null, empty or zero, with null, NaN or infinite components, or of another length than most: linked with
-      nothing, its own component. A row without vec_id has a null component and is kept.
+    * Label null, vector null, empty or zero, with null, NaN or infinite components: linked with nothing, its own
+      component. Vectors of different lengths have no cosine, so no link. Floats are read as they are, other numbers as doubles. A row without vec_id has a null component and is kept.
     * Rows with one vec_id count separately in n_links and share a component. Other columns are not read; no rows give none.
     """
-    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label").cast("long").alias("label"), F.col("embedding").cast("array<float>").alias("embedding"))
+    kind = "array<float>" if vectors.schema["embedding"].dataType.simpleString() == "array<float>" else "array<double>"
+    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label").cast("long").alias("label"), F.col("embedding").cast(kind).alias("embedding"))
     finite = F.forall("embedding", lambda x: F.coalesce(F.abs(x) < F.lit(float("inf")), F.lit(False)))
     usable = rows.where("label is not null and vec_id is not null and size(embedding) > 0").where(finite).where(F.exists("embedding", lambda x: x != 0))
-    lengths = usable.groupBy(F.size("embedding").alias("d")).count().orderBy(F.desc("count"), "d").limit(1).collect()
-    if not lengths:
-        return rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
-    usable = usable.where(F.size("embedding") == lengths[0]["d"]).withColumn("h", F.xxhash64("embedding"))
+    usable = usable.withColumn("h", F.xxhash64("embedding"))
     nodes = usable.groupBy("label", "h", "embedding").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("copies"))
-    sample = usable.select("vec_id", "label", "embedding").orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample_rows).collect()
-    known = np.array([r["embedding"] for r in sample], np.float64)
-    bits, tables = centred_plan(lengths[0]["count"], equal_bits(known, np.array([r["label"] for r in sample]), similarity), similarity, miss)
-    centre, rotations = learn_rotations(known, max(1, math.ceil(bits * tables / lengths[0]["d"])))
-    schema = "label long, h long, embedding array<float>, rep long, copies long, keys array<long>"
-    coded = written(nodes.mapInArrow(_table_keys(centre, rotations, bits, tables), schema), "vector_codes")
-
-    entries = coded.select(*NODE, F.explode("keys").alias("key"))
-    sizes = entries.groupBy("label", "key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-    full = entries.join(sizes, ["label", "key"]).withColumn("blocks", F.ceil(F.col("size") / block_rows).cast("long"))
+    plans = _plans(usable, similarity, miss, sample_rows, block_rows)
+    schema = f"label long, h long, embedding {kind}, rep long, copies long, d int, keys array<long>"
+    coded = written(nodes.mapInArrow(_table_keys(plans), schema), "vector_codes")
+
+    entries = coded.select(*NODE, "d", F.explode("keys").alias("key"))
+    sizes = entries.groupBy("label", "d", "key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+    full = entries.join(sizes, ["label", "d", "key"]).withColumn("blocks", F.ceil(F.col("size") / block_rows).cast("long"))
     full = full.withColumn("block", F.pmod(F.xxhash64("rep", "h"), F.col("blocks")))
     full = full.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    full = full.withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other")).join(coded, NODE)
-    group = ["label", "key", "i", "j"]
+    full = full.withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other")).join(coded.drop("d"), NODE)
+    group = ["label", "d", "key", "i", "j"]
     full = full.select(*group, "rep", "h", "copies", "block", "embedding", "keys").repartition(*group).sortWithinPartitions(*group)
     parts = written(full.mapInArrow(_compared(similarity), "label long, rep long, h long, links long, root long"), "vector_links")
 
@@ -214,7 +248,7 @@ def near_vectors(vectors: DataFrame, similarity: float = 0.98, miss: float = 0.0
     twice = marked.where("vec_id <> rep").join(marked.where("vec_id = rep").select("vec_id"), "vec_id", "left_semi").select(F.col("vec_id").alias("a"), F.col("rep").alias("b"))
     found = components(links.unionByName(twice)).withColumnRenamed("node", "rep")
     linked = marked.join(found, "rep", "left").select("vec_id", "n_links", F.coalesce("component", "rep").alias("component_id"))
-    whole = F.coalesce(F.size("embedding") == lengths[0]["d"], F.lit(False)) & F.coalesce(finite & F.exists("embedding", lambda x: x != 0), F.lit(False))
+    whole = F.coalesce(F.size("embedding") > 0, F.lit(False)) & F.coalesce(finite & F.exists("embedding", lambda x: x != 0), F.lit(False))
     rest = rows.where(~(F.col("label").isNotNull() & F.col("vec_id").isNotNull() & whole)).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     return linked.unionByName(rest).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))
 

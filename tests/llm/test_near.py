@@ -110,6 +110,35 @@ def test_vectors_of_odd_tables(spark):
     assert sorted((str(r["vec_id"]), r["n_links"], str(r["component_id"]), r["kept"]) for r in got) == [("1", 2, "1", True), ("1", 2, "1", True), ("4", 2, "1", False), ("None", 0, "None", True)]
 
 
+@pytest.mark.parametrize("block_rows", [1024, 7])
+def test_vectors_of_every_length_in_doubles(spark, block_rows):
+    """Lengths are linked each by itself; doubles keep what floats lose, at the threshold and beyond their range."""
+    rng, vectors = np.random.default_rng(3), []
+    for d in (3, 3, 8, 20):
+        for _ in range(8):
+            base = rng.normal(size=d)
+            vectors += [base + rng.normal(size=d) * 0.01 for _ in range(3)]
+    vectors += [np.ones(5)] * 5
+    angle = np.arccos(0.98)
+    turns = (1, 1 - 1e-12, 1 + 1e-9)
+    vectors += [np.array([1.0, 0.0])] + [np.array([np.cos(angle * t), np.sin(angle * t)]) for t in turns]
+    vectors += [1e200 * np.ones(4), 1e-200 * np.ones(4)]
+    df = cases.frame(spark, [(i, v.tolist(), 0) for i, v in enumerate(vectors)], "vec_id long, embedding array<double>, label int")
+    got = {r["vec_id"]: r for r in embedding_dedup.near_vectors(df, block_rows=block_rows).collect()}
+
+    def near(i, j):
+        a, b = (v / np.abs(v).max() for v in (vectors[i], vectors[j]))
+        return i != j and len(a) == len(b) and a @ b / np.sqrt(a @ a) / np.sqrt(b @ b) >= 0.98
+
+    n = len(vectors)
+    links = [sum(near(i, j) for j in range(n)) for i in range(n)]
+    want = cases.groups(list(range(n)), near)
+    found = [got[i]["n_links"] for i in range(n)]
+    assert all(f <= w for f, w in zip(found, links, strict=True)) and sum(found) >= 0.98 * sum(links)
+    assert sum(got[i]["component_id"] == want[i] for i in range(n)) >= 0.98 * n
+    assert found[96:101] == [4] * 5 and found[-2:] == [1, 1] and not near(101, 104) and near(101, 103)
+
+
 @pytest.mark.parametrize("common", [0.0, 0.5, 0.9])
 def test_vectors_with_a_common_direction(spark, common):
     """Pairs at the threshold are found whatever the mean: sqrt(common) is its length."""
