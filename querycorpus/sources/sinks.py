@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from querycorpus.functions.scale import cut_lineage
+from querycorpus.sources.keyruns import KeyRuns
 
 
 def read_if_complete(spark: SparkSession, path: str) -> DataFrame | None:
@@ -18,6 +19,13 @@ def read_if_complete(spark: SparkSession, path: str) -> DataFrame | None:
     return spark.read.parquet(path) if there else None
 
 
+def stored_rows(spark: SparkSession, path: str) -> DataFrame | None:
+    """The rows at ``path``, finished appends or not, or None if there are no files yet."""
+    pattern = spark._jvm.org.apache.hadoop.fs.Path(path, "*.parquet")
+    files = pattern.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(pattern)
+    return spark.read.parquet(path) if files else None
+
+
 def cached_splits(spark: SparkSession, path: str, build: Callable[[], DataFrame]) -> DataFrame:
     """Processed rows, written once by split and read back on later calls."""
     kept = read_if_complete(spark, path)
@@ -38,26 +46,45 @@ def write_report(config: DataFrame, rows: DataFrame, totals: DataFrame, path: st
     totals.write.mode("overwrite").json(f"{path}/totals")
 
 
-def append_unique(rows: DataFrame, path: str, key: str, stored_keys: str = "error") -> None:
-    """Append rows with a unique key to a Parquet table of the same column set.
+def append_unique(rows: DataFrame, path: str, key: str, stored_keys: str = "error", step: tuple[str, int] | None = None) -> int:
+    """Append rows with a unique key to a Parquet table of the same column set; gives the number of key buckets opened.
+
+    A key given twice is an error. A key that is stored already is an error too, or with ``stored_keys="skip"`` its row is left out.
+    Null keys equal nothing. Stored keys are found by ``KeyRuns``, not in the table. ``step``, a stream's name and a number that rises,
+    marks a repeated step: one that is done adds nothing, one that broke off adds what is missing.
 
-    A key given twice is an error. A key that is stored already is an error too, or with
-    ``stored_keys="skip"`` its row is left out.
+    The keys are noted as pending before the rows are written and as stored after that, so an append that broke off is known to the next one.
+    One writer at a time; a second one fails.
     """
     spark = rows.sparkSession
     rows = cut_lineage(rows)  # checked, compared and written from one computation
-    if not rows.groupBy(key).count().where("count > 1").limit(1).isEmpty():
+    if not rows.groupBy(key).count().where(F.col(key).isNotNull() & (F.col("count") > 1)).limit(1).isEmpty():
         raise ValueError(f"column {key} must be unique in the rows to append")
-    stored = read_if_complete(spark, path)
-    if stored is None:
-        rows.write.mode("append").parquet(path)
-        return
-    if set(stored.columns) != set(rows.columns):
+    stored = stored_rows(spark, path)
+    if stored is not None and set(stored.columns) != set(rows.columns):
         raise ValueError(f"columns differ: stored {sorted(stored.columns)}, given {sorted(rows.columns)}")
-    keys = stored.select(key)
-    if stored_keys == "error" and not rows.join(keys, key, "left_semi").limit(1).isEmpty():
-        raise ValueError(f"some values of {key} are stored already")
-    rows.join(keys, key, "left_anti").select(*stored.columns).write.mode("append").parquet(path)
+    runs = KeyRuns(spark, path, key)
+    repeated = False
+    if runs.manifest:
+        done, pending = runs.manifest["steps"], runs.manifest["pending"]
+        if step and done.get(step[0], -1) >= step[1]:
+            return 0
+        repeated = bool(step and pending and pending["step"] == list(step))
+    runs.start(stored, rows.schema[key].dataType.simpleString())
+    found, opened = runs.stored(rows.select(key))
+    if found is not None:
+        found = cut_lineage(found)
+        if stored_keys == "error" and not repeated and not found.limit(1).isEmpty():
+            raise ValueError(f"some values of {key} are stored already")
+        rows = cut_lineage(rows.join(found, key, "left_anti"))
+    if stored is not None:
+        rows = rows.select(*[F.col(f.name).cast(f.dataType) for f in stored.schema])
+    run = runs.new_run(rows.select(key))
+    runs.write(pending={"run": run, "step": list(step) if step else None})
+    rows.write.mode("append").parquet(path)
+    steps = {**runs.manifest["steps"], **({step[0]: step[1]} if step else {})}
+    runs.write(runs=runs.with_run(run), pending=None, steps=steps)
+    return opened
 
 
 class ResultStore:

@@ -4,6 +4,8 @@ from pyspark.sql import functions as F
 from querycorpus.operators import runsql as Q
 from querycorpus.sources import corpora as S
 from querycorpus.sources import sinks as W
+from querycorpus.sources.keyruns import KeyRuns
+from querycorpus.streaming.chunks import append_available, stream_jsonl
 
 
 @pytest.mark.parametrize(
@@ -60,6 +62,67 @@ def test_unknown_corpus_and_appends(spark, tmp_path):
     assert spark.read.parquet(path).count() == 7
 
 
+def test_appends_open_few_buckets(spark, tmp_path):
+    """A batch of new keys opens next to no bucket, a few stored keys only theirs; runs are merged; every append equals a join with all keys."""
+    path, seen = str(tmp_path / "t"), set()
+    for i in range(6):
+        batch = [f"k{j}" for j in range(i * 3000, i * 3000 + 4000)] + [None]
+        W.append_unique(spark.createDataFrame([(k, i) for k in batch], "id string, v int"), path, "id", "skip")
+        seen |= {k for k in batch if k}
+    rows = spark.read.parquet(path)
+    assert rows.where("id is not null").count() == len(seen) == rows.select("id").distinct().count() - 1 and rows.where("id is null").count() == 6
+    assert {(r["id"], r["v"]) for r in rows.where("id in ('k3500', 'k4100', 'k18999')").collect()} == {("k3500", 0), ("k4100", 1), ("k18999", 5)}
+    runs = KeyRuns(spark, path, "id")
+    assert len(runs.manifest["runs"]) < 6 and sum(r["n"] for r in runs.manifest["runs"]) == len(seen)
+    fresh = spark.range(200).select(F.concat(F.lit("new"), "id").alias("id"))
+    assert runs.stored(fresh)[1] <= 8
+    found, opened = runs.stored(fresh.union(spark.createDataFrame([("k5",), ("k18000",), (None,)], "id string")))
+    assert {r["id"] for r in found.collect()} == {"k5", "k18000"} and opened <= 10
+
+
+@pytest.mark.parametrize("part", ["nothing", "some", "all"])
+def test_broken_append_is_taken_up(spark, tmp_path, part):
+    """An append that broke off between its notes: the repeated step adds what is missing, whatever part of its rows was written."""
+    path = str(tmp_path / "t")
+    rows = spark.range(10).withColumn("v", F.lit(1))
+    W.append_unique(rows, path, "id", step=("s", 0))
+    more = spark.range(10, 20).withColumn("v", F.lit(2))
+    runs = KeyRuns(spark, path, "id")
+    runs.write(pending={"run": runs.new_run(more.select("id")), "step": ["s", 1]})
+    if part != "nothing":
+        more.where("id < 14" if part == "some" else "true").write.mode("append").parquet(path)
+    W.append_unique(more, path, "id", step=("s", 1))
+    assert sorted(r["id"] for r in spark.read.parquet(path).collect()) == list(range(20))
+    W.append_unique(more, path, "id", step=("s", 1))
+    assert spark.read.parquet(path).count() == 20
+    with pytest.raises(ValueError, match="stored already"):
+        W.append_unique(more, path, "id", step=("s", 2))
+
+
+def test_tables_without_runs_and_second_writers(spark, tmp_path):
+    path = str(tmp_path / "t")
+    spark.range(5).withColumn("v", F.lit(0)).write.parquet(path)
+    first, second = KeyRuns(spark, path, "id"), KeyRuns(spark, path, "id")
+    first.start(spark.read.parquet(path), "bigint")
+    with pytest.raises(RuntimeError, match="another append"):
+        second.start(spark.read.parquet(path), "bigint")
+    W.append_unique(spark.range(8).select(F.col("id").cast("int"), F.lit(1).alias("v")), path, "id", "skip")
+    assert {(r["id"], r["v"]) for r in spark.read.parquet(path).collect()} == {(i, int(i > 4)) for i in range(8)}
+
+
+def test_streamed_appends_are_idempotent(spark, tmp_path):
+    source, path = str(tmp_path / "in"), str(tmp_path / "t")
+    for i in range(3):
+        spark.range(i * 4, i * 4 + 8).selectExpr("id", f"{i} AS v").union(spark.range(i, i + 1).selectExpr("id", "9 AS v")).coalesce(1).write.mode("append").json(source)
+    stream = stream_jsonl(spark, source, "id long, v int", 1)
+    append_available(stream, path, str(tmp_path / "p1"), "id", "a")
+    once = sorted(map(tuple, spark.read.parquet(path).collect()))
+    assert [r[0] for r in once] == list(range(16))
+    append_available(stream, path, str(tmp_path / "p2"), "id", "a")
+    append_available(stream, path, str(tmp_path / "p3"), "id", "b")
+    assert sorted(map(tuple, spark.read.parquet(path).collect())) == once
+
+
 def test_errors_are_never_kept(spark, tmp_path):
     store = W.ResultStore(str(tmp_path))
     with pytest.raises(Exception):
