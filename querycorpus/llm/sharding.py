@@ -20,7 +20,7 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int32()), pa.array([rows], pa.int64())], ["part", "n"])
 
 
-def communication_matrix(counts: np.ndarray, capacities: np.ndarray, seed: int) -> np.ndarray:
+def communication_matrix(counts: np.ndarray, capacities: np.ndarray, seed: int | list[int]) -> np.ndarray:
     """How many rows each partition sends to each shard, as a uniform shuffle would: row p is drawn without
     replacement from the places that are still free. Row sums are ``counts``, column sums ``capacities``."""
     rng, free = np.random.default_rng(seed), capacities.copy()
@@ -37,6 +37,24 @@ def communication_matrix(counts: np.ndarray, capacities: np.ndarray, seed: int)
     return matrix
 
 
+def partition_row(ends: np.ndarray, capacities: np.ndarray, seed: int, part: int, fan: int = 32) -> np.ndarray:
+    """The row of one partition of the communication matrix, without the other rows. ``ends`` are the running sums of the rows by partition.
+
+    The partitions are split into ``fan`` ranges, those again, down to single ones. A small matrix deals the places of a range to its
+    parts; its seed is named by the range, so all partitions of a range draw the same one. Only the ranges of ``part`` are drawn: some
+    ``fan`` x shards numbers for each factor ``fan`` of partitions. Sums of a hypergeometric deal are dealt alike, so the rows together are uniform.
+    """
+    low, high, free = 0, len(ends), capacities
+    before = np.r_[0, ends]
+    while high - low > 1:
+        step = -(-(high - low) // fan)
+        bounds = np.append(np.arange(low, high, step), high)
+        dealt = communication_matrix(np.diff(before[bounds]), free, [seed, low, high])
+        own = (part - low) // step
+        low, high, free = int(bounds[own]), int(bounds[own + 1]), dealt[own]
+    return free
+
+
 def _hypergeometric(rng: np.random.Generator, good: int, bad: int, drawn: int) -> int:
     """A draw of any size. Beyond the generator's range of 10^9 places it is drawn in parts of 10^6 rows, each binomial:
     a part is at most about a thousandth of the places, the sums stay exact."""
@@ -52,13 +70,15 @@ def _hypergeometric(rng: np.random.Generator, good: int, bad: int, drawn: int) -
     return total
 
 
-def _dealt(matrix: np.ndarray, seed: int):
+def _dealt(ends: np.ndarray, capacities: np.ndarray, seed: int):
     """Give each row of a partition a shard: the partition's row of the matrix in random order. A second number orders the shard."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
         rng = np.random.default_rng([seed, part])
-        shards = rng.permutation(np.repeat(np.arange(matrix.shape[1], dtype=np.int32), matrix[part]))
+        # A partition without rows may lie beyond those that were counted.
+        own_row = partition_row(ends, capacities, seed, part) if part < len(ends) else np.zeros_like(capacities)
+        shards = rng.permutation(np.repeat(np.arange(len(capacities), dtype=np.int32), own_row))
         done = 0
         for batch in batches:
             n = batch.num_rows
@@ -74,8 +94,8 @@ def shuffle_into_shards(df: DataFrame, shards: int = 40, seed: int = 7) -> DataF
     """Deal all rows into ``shards`` shards whose row counts differ by one at most; add ``shard`` and ``slot``.
 
     1. The rows are checkpointed, which fixes what each partition holds, and counted by partition.
-    2. The driver draws the communication matrix (partitions x shards, no data).
-    3. Each partition permutes its row of the matrix over its rows, then rows are exchanged.
+    2. Each partition draws its own row of the communication matrix (partitions x shards) from the counts: eight bytes a partition.
+    3. It permutes that over its rows, then rows are exchanged.
     4. Each shard is permuted by a second random number; ``slot`` counts from 0 without gaps. A shard is range
        partitioned over as many tasks as its rows need.
 
@@ -91,9 +111,8 @@ def shuffle_into_shards(df: DataFrame, shards: int = 40, seed: int = 7) -> DataF
     total = int(counts.sum())
     capacities = np.full(shards, total // shards, np.int64)
     capacities[np.random.default_rng([seed, 1]).permutation(shards)[: total % shards]] += 1
-    matrix = communication_matrix(counts, capacities, seed)
     schema = T.StructType([*fixed.schema.fields, T.StructField("_shard", T.IntegerType()), T.StructField("_order", T.LongType())])
-    dealt = fixed.mapInArrow(_dealt(matrix, seed), schema)
+    dealt = fixed.mapInArrow(_dealt(np.cumsum(counts), capacities, seed), schema)
     placed = global_position(dealt, ["_shard"], [F.col("_order")], "_slot")
     return placed.select("_row.*", F.col("_shard").alias("shard"), F.col("_slot").alias("slot"))
 

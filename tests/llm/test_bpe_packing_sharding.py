@@ -117,3 +117,20 @@ def test_communication_matrix_is_uniform():
 
     for k in range(1, 5):
         assert abs(draws[k] / 4000 - comb(4, k) * comb(5, 6 - k) / comb(9, 6)) < 0.03
+
+
+@pytest.mark.parametrize("fan", [2, 3, 32])
+def test_rows_of_the_matrix_drawn_one_by_one(fan):
+    """Rows that partitions draw alone fit together, and each number has the mean and the variance of a uniform shuffle."""
+    counts, capacities = np.array([5, 0, 17, 40, 8, 30, 0]), np.array([34, 33, 33])
+    ends, drawn = np.cumsum(counts), []
+    for seed in range(1500):
+        m = np.stack([sharding.partition_row(ends, capacities, seed, p, fan) for p in range(len(counts))])
+        assert (m.sum(1) == counts).all() and (m.sum(0) == capacities).all() and (m >= 0).all()
+        drawn.append(m)
+    n = counts.sum()
+    share = capacities[None] / n
+    variance = counts[:, None] * share * (1 - share) * (n - counts[:, None]) / (n - 1)
+    assert np.allclose(np.mean(drawn, 0), counts[:, None] * share, atol=0.4)
+    assert np.allclose(np.var(drawn, 0), variance, rtol=0.2, atol=1e-9)
+    assert (sharding.partition_row(np.array([100]), capacities, 1, 0) == capacities).all()
