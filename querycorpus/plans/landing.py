@@ -9,7 +9,7 @@ from querycorpus.operators import compare as C
 from querycorpus.plans.inputs import given, table, with_inputs
 from querycorpus.sources import corpora as S
 from querycorpus.sources import sinks as W
-from querycorpus.streaming.chunks import land_available, stream_jsonl
+from querycorpus.streaming.chunks import append_available, land_available, stream_jsonl
 
 TURN = "conv_id long, turn long, role string, text string"
 
@@ -110,6 +110,17 @@ def unique_appends(spark, sf_dir):
     return spark.read.parquet(path)
 
 
+def streamed_appends(spark, sf_dir):
+    """Files of events, whose views come twice, appended by a stream; then all of it again by a stream that lost its progress."""
+    folder, target = scratch_path(spark, "in"), scratch_path(spark, "events")
+    events = table(spark, sf_dir, "events").select("event_id", "event_type", "value")
+    events.repartition(2, "event_id").write.json(folder)
+    events.where("event_type = 'view'").coalesce(1).write.mode("append").json(folder)
+    for name in ("first", "again"):
+        append_available(stream_jsonl(spark, folder, events.schema, 2), target, scratch_path(spark, "progress"), "event_id", name)
+    return spark.read.parquet(target)
+
+
 def result_keys(spark, sf_dir):
     return W.result_keys(given(spark, sf_dir, "query_log")).select("query_id", "result_key")
 
@@ -135,7 +146,7 @@ QUERIES = {
     f.__name__: f
     for f in [
         json_array_corpus, jsonl_corpus, gzipped_jsonl, streamed_jsonl, csv_tables, pooled_corpora, cached_splits, written_report, json_outputs,
-        unique_appends, result_keys, kept_results, result_cells,
+        unique_appends, streamed_appends, result_keys, kept_results, result_cells,
     ]
 }
 
@@ -155,6 +166,7 @@ ORACLES = {
     "json_outputs": """SELECT l_orderkey, string_agg(CAST(l_partkey AS VARCHAR), '|' ORDER BY l_partkey) AS parts
         FROM (SELECT DISTINCT l_orderkey, l_partkey FROM lineitem) GROUP BY l_orderkey""",
     "unique_appends": "SELECT event_id, event_type, value FROM events",
+    "streamed_appends": "SELECT event_id, event_type, value FROM events",
     "result_keys": with_inputs(["query_log"], "SELECT query_id, sha256('star' || chr(10) || sql) AS result_key FROM query_log"),
     "kept_results": "SELECT o_orderstatus, round(sum(o_totalprice), 2) AS total, max(o_orderdate) AS last FROM orders GROUP BY o_orderstatus",
     "result_cells": " UNION ALL ".join(
