@@ -128,7 +128,7 @@ def _tokenized(model, window: int, end: int, keep_ids: bool):
 
 
 def unpacked(data: bytes, length: int) -> np.ndarray:
-    return np.frombuffer(data, "<u2" if len(data) == 2 * length else "<u4").astype(np.int64)
+    return np.frombuffer(data, "<u2" if len(data) == 2 * length else "<u4").astype(np.int32)
 
 
 def _document_frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -144,36 +144,62 @@ def _document_frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Reco
 
 
 class Index:
-    """BM25 inverted index of a block of tails: postings of each token with their finished weights."""
+    """BM25 inverted index of a block of tails. Postings hold finished weights; a token that more than one in eight tails has is kept as a
+    dense row of weights instead, so that a query over all of its tokens stays cheap."""
 
-    def __init__(self, tails: list[np.ndarray], idf: np.ndarray, average: float, end: int, terms: int, k1: float = 1.2, b: float = 0.75) -> None:
+    def __init__(self, tails: list[np.ndarray], idf: np.ndarray, average: float, end: int, k1: float = 1.2, b: float = 0.75) -> None:
         lengths = np.array([len(t) for t in tails], np.int64)
-        width = len(idf)
-        keys, counts = np.unique(np.repeat(np.arange(len(tails)) * width, lengths) + np.concatenate(tails), return_counts=True)
-        self.owner, self.token = keys // width, keys % width
-        inside = self.token != end
-        self.owner, self.token, counts = self.owner[inside], self.token[inside], counts[inside]
-        weight = idf[self.token] * counts * (k1 + 1) / (counts + k1 * (1 - b + b * lengths[self.owner] / average))
-        self.rows = np.searchsorted(self.owner, np.arange(len(tails) + 1))
-        order = np.argsort(self.token, kind="stable")
-        self.post, self.weight = self.owner[order], weight[order]
-        self.starts = np.searchsorted(self.token[order], np.arange(width + 1))
-        self.idf, self.terms, self.size = idf, terms, len(tails)
-
-    def neighbours(self, tail: int, unused: np.ndarray) -> np.ndarray:
-        """Unused tails sharing one of the query tail's ``terms`` rarest tokens, best first."""
-        query = self.token[self.rows[tail] : self.rows[tail + 1]]
-        if len(query) > self.terms:
-            query = query[np.argpartition(-self.idf[query], self.terms)[: self.terms]]
-        runs = [slice(self.starts[t], self.starts[t + 1]) for t in query.tolist()]
-        if not runs:
-            return np.zeros(0, np.int64)
-        scores = np.bincount(np.concatenate([self.post[r] for r in runs]), np.concatenate([self.weight[r] for r in runs]), self.size) * unused
+        width, self.size = len(idf), len(tails)
+        kind = np.int32 if self.size * width < 2**31 else np.int64
+        keys = np.concatenate(tails, dtype=kind, casting="unsafe")
+        keys += np.repeat((np.arange(self.size) * width).astype(kind), lengths)
+        keys.sort()
+        first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
+        counts = np.diff(np.append(first, len(keys))).astype(np.int32)
+        keys = keys[first]
+        owner, token = (keys // width).astype(np.int32), (keys % width).astype(np.int32)
+        inside = token != end
+        owner, token, counts = owner[inside], token[inside], counts[inside]
+        del keys, first, inside
+        weight = idf[token] * counts * (k1 + 1) / (counts + k1 * (1 - b + b * lengths[owner] / average))
+        order = np.argsort(token, kind="stable")
+        held = np.bincount(token, minlength=width)
+        common = np.flatnonzero(held > self.size // 8)
+        place = np.full(width, -1, np.int32)
+        place[common] = np.arange(len(common))
+        self.dense = np.zeros((len(common), self.size), np.float32)
+        often = place[token] >= 0
+        self.dense[place[token[often]], owner[often]] = weight[often]
+        # The tokens of each tail: rows of ``dense``, and tokens that have postings.
+        self.rows, self.row_starts = place[token[often]], np.searchsorted(owner[often], np.arange(self.size + 1))
+        self.token, self.token_starts = token[~often], np.searchsorted(owner[~often], np.arange(self.size + 1))
+        order = order[~often[order]]
+        self.post, self.weight = owner[order], weight[order]
+        self.starts = np.searchsorted(token[order], np.arange(width + 1))
+
+    def scores(self, tail: int) -> np.ndarray:
+        """BM25 of every tail of the block for all tokens of the query tail."""
+        query = self.token[self.token_starts[tail] : self.token_starts[tail + 1]]
+        runs = [slice(a, b) for a, b in zip(self.starts[query].tolist(), self.starts[query + 1].tolist(), strict=True)]
+        found = self.dense[self.rows[self.row_starts[tail] : self.row_starts[tail + 1]]].sum(axis=0, dtype=np.float32)
+        if runs:
+            found = found + np.bincount(np.concatenate([self.post[r] for r in runs]), np.concatenate([self.weight[r] for r in runs]), self.size)
+        return found
+
+    def neighbours(self, tail: int, unused: np.ndarray, first: int = 64) -> Iterator[int]:
+        """Unused tails that share a token with the query tail, best first. A window rarely takes more than the ``first`` ones (and those tied
+        with them), so the others are sorted only when they are asked for."""
+        scores = self.scores(tail) * unused
         found = np.flatnonzero(scores)
-        return found[np.lexsort((found, -scores[found]))]
+        negative = -scores[found]
+        if len(found) > first:
+            early = negative <= np.partition(negative, first)[first]
+            yield from found[early][np.argsort(negative[early], kind="stable")].tolist()
+            found, negative = found[~early], negative[~early]
+        yield from found[np.argsort(negative, kind="stable")].tolist()
 
 
-def _packed(frequencies, count: int, average: float, window: int, end: int, terms: int, block_tails: int, keep_ids: bool):
+def _packed(frequencies, count: int, average: float, window: int, end: int, block_tails: int, keep_ids: bool):
     """Pack one shard: blocks of tails one after another; an unfilled window goes on into the next block."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -190,7 +216,7 @@ def _packed(frequencies, count: int, average: float, window: int, end: int, term
 
         def block(rows: list[tuple], tails: list[np.ndarray]) -> None:
             nonlocal sequence, room
-            index, unused = Index(tails, idf, average, end, terms), np.ones(len(tails), bool)
+            index, unused = Index(tails, idf, average, end), np.ones(len(tails), bool)
             taken, following = np.zeros(len(tails), np.int64), 0
 
             def take(k: int) -> None:
@@ -217,7 +243,7 @@ def _packed(frequencies, count: int, average: float, window: int, end: int, term
                     take(seed)
                 opened = sequence
                 last = seed
-                for k in index.neighbours(seed, unused).tolist():
+                for k in index.neighbours(seed, unused):
                     if sequence != opened:
                         break
                     take(k)
@@ -258,17 +284,17 @@ def pack_documents(
     path: str | None = None,
     window: int = 2048,
     end: int = 1,
-    terms: int = 16,
-    block_tails: int = 1024,
-    shard_tails: int = 8192,
+    block_tails: int = 8192,
+    shard_tails: int = 6144,
     keep_ids: bool = True,
 ) -> DataFrame:
     """Pack all texts into windows of ``window`` tokens: per piece doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset and,
     with ``keep_ids``, ids (little-endian unsigned 32-bit).
 
     Whole windows of a long text stay together; its tail is packed with its lexical neighbours. Tails are range partitioned by their rarest
-    tokens into shards; each shard holds a BM25 index (document frequencies over all tails, block by block). The seed of a window is the next
-    unused tail; its unused neighbours fill the window in the order of their scores. The last one is cut and its rest seeds the next window.
+    tokens into shards. As a rule a shard is one BM25 index (document frequencies over all tails); one that came out larger has several, of at
+    most ``block_tails`` tails. The seed of a window is the next unused tail; it is scored against the whole index by all of its tokens, and
+    its unused neighbours fill the window in the order of their scores. The last one is cut and its rest seeds the next window.
     Only the last window of a shard is padded.
 
     * Null or empty text: only the end token. Without common tokens a window is filled by the next unused tail.
@@ -289,7 +315,7 @@ def pack_documents(
     shards = max(1, min(MAX_SHARDS, math.ceil(count / shard_tails)))
     order = ["rare", "second", "doc_id", "start"]
     placed = tokens.repartitionByRange(shards, *order).sortWithinPartitions(*order)
-    pack = _packed(spark.sparkContext.broadcast(table), count, (total or 1) / max(count, 1), window, end, terms, block_tails, keep_ids)
+    pack = _packed(spark.sparkContext.broadcast(table), count, (total or 1) / max(count, 1), window, end, block_tails, keep_ids)
     out = placed.mapInArrow(pack, PIECE)
     return out if keep_ids else out.drop("ids")
 

@@ -83,9 +83,31 @@ def test_packing_keeps_every_id_once(spark, settings):
 
 def test_packing_takes_the_nearest_tail_first():
     tails = [np.array(t) for t in ([5, 6, 7, 1], [90, 91, 92, 1], [5, 6, 8, 1], [5, 90, 93, 1], [1])]
-    index = packing.Index(tails, np.ones(100), 4.0, 1, 16)
-    assert index.neighbours(0, np.ones(5, bool) & (np.arange(5) != 0)).tolist() == [2, 3]
-    assert index.neighbours(4, np.ones(5, bool)).tolist() == []
+    index = packing.Index(tails, np.ones(100), 4.0, 1)
+    assert list(index.neighbours(0, np.ones(5, bool) & (np.arange(5) != 0))) == [2, 3]
+    assert list(index.neighbours(4, np.ones(5, bool))) == []
+
+
+def test_index_scores_all_tokens_as_brute_force():
+    """Every tail of a block against every other one: the index gives the BM25 over all tokens, frequent and rare ones, so its ten best are the true ones."""
+    draw = np.random.default_rng(5)
+    tails = [np.append(np.minimum(draw.zipf(1.3, draw.integers(0, 60)) + 1, 399), 1) for _ in range(300)]
+    sets = [set(t.tolist()) - {1} for t in tails]
+    df = np.array([sum(t in s for s in sets) for t in range(400)])
+    idf, average = np.log(1 + (len(tails) - df + 0.5) / (df + 0.5)), float(np.mean([len(t) for t in tails]))
+    index = packing.Index(tails, idf, average, 1)
+    assert len(index.dense) and len(index.post)
+    for q in range(len(tails)):
+        want = np.zeros(len(tails))
+        for d, tail in enumerate(tails):
+            for t in sets[q] & sets[d]:
+                n = int((tail == t).sum())
+                want[d] += idf[t] * n * 2.2 / (n + 1.2 * (0.25 + 0.75 * len(tail) / average))
+        assert np.allclose(index.scores(q), want, rtol=1e-5, atol=1e-5)
+        unused = np.arange(len(tails)) % 3 != q % 3
+        best = list(index.neighbours(q, unused, 5))
+        assert sorted(best) == np.flatnonzero((want > 0) & unused).tolist()
+        assert np.all(np.diff(want[best]) <= 1e-5)
 
 
 def test_packing_of_odd_tables(spark):
