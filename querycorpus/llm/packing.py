@@ -135,10 +135,10 @@ def _document_frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Reco
     counts = np.zeros(1, np.int64)
     for batch in batches:
         for data, length in zip(batch["ids"].to_pylist(), batch["length"].to_pylist(), strict=True):
-            found = np.unique(unpacked(data, length))
-            if found[-1] >= len(counts):
-                counts = np.append(counts, np.zeros(found[-1] + 1 - len(counts), np.int64))
-            counts[found] += 1
+            found = unpacked(data, length)
+            if found.max() >= len(counts):
+                counts = np.append(counts, np.zeros(found.max() + 1 - len(counts), np.int64))
+            counts[found] += 1  # a token that the tail repeats is set to the same number, so it counts once
     used = np.flatnonzero(counts)
     yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(counts[used])], ["token", "n"])
 
@@ -284,7 +284,7 @@ def pack_documents(
     path: str | None = None,
     window: int = 2048,
     end: int = 1,
-    block_tails: int = 8192,
+    block_tails: int = 1536,
     shard_tails: int = 6144,
     keep_ids: bool = True,
 ) -> DataFrame:
@@ -292,9 +292,9 @@ def pack_documents(
     with ``keep_ids``, ids (little-endian unsigned 32-bit).
 
     Whole windows of a long text stay together; its tail is packed with its lexical neighbours. Tails are range partitioned by their rarest
-    tokens into shards. As a rule a shard is one BM25 index (document frequencies over all tails); one that came out larger has several, of at
-    most ``block_tails`` tails. The seed of a window is the next unused tail; it is scored against the whole index by all of its tokens, and
-    its unused neighbours fill the window in the order of their scores. The last one is cut and its rest seeds the next window.
+    tokens into shards, and a shard holds a BM25 index of every ``block_tails`` tails (document frequencies over all tails). The seed of a window
+    is the next unused tail; it is scored against the whole index by all of its tokens, and its unused neighbours fill the window in the order
+    of their scores. The last one is cut and its rest seeds the next window.
     Only the last window of a shard is padded.
 
     * Null or empty text: only the end token. Without common tokens a window is filled by the next unused tail.
