@@ -88,14 +88,16 @@ class Words:
     def _flushed(self, group: list[list[str] | str]) -> Iterator[np.ndarray]:
         if len(self.pieces) > self.limit:
             self.pieces.clear()
-        known = [None if isinstance(entry, str) else list(map(self.pieces.get, entry)) for entry in group]
-        missing = {p for entry, ids in zip(group, known, strict=True) if ids and None in ids for p, x in zip(entry, ids, strict=True) if x is None}
-        self._learn(list(missing))
-        for entry, ids in zip(group, known, strict=True):
-            if ids is None:
+        used: set[str] = set()
+        for entry in group:
+            if not isinstance(entry, str):
+                used.update(entry)
+        self._learn([p for p in used if p not in self.pieces])
+        for entry in group:
+            if isinstance(entry, str):
                 ids = map(self.words.__getitem__, entry.replace("\n", " ").split(" "))
-            elif None in ids:
-                ids = [self.pieces[p] if x is None else x for p, x in zip(entry, ids, strict=True)]
+            else:
+                ids = map(self.pieces.__getitem__, entry)
             yield np.frombuffer(b"".join(ids), "<u4")
 
 
@@ -144,8 +146,8 @@ def _document_frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Reco
 
 
 class Index:
-    """BM25 inverted index of a block of tails. Postings hold finished weights; a token that more than one in eight tails has is kept as a
-    dense row of weights instead, so that a query over all of its tokens stays cheap."""
+    """BM25 inverted index of a block of tails. Postings hold finished weights; a token that more than one in 50 tails has is kept as a
+    dense row of weights instead (adding up a row costs about a fiftieth of as many postings), so that a query over all of its tokens stays cheap."""
 
     def __init__(self, tails: list[np.ndarray], idf: np.ndarray, average: float, end: int, k1: float = 1.2, b: float = 0.75) -> None:
         lengths = np.array([len(t) for t in tails], np.int64)
@@ -162,9 +164,8 @@ class Index:
         owner, token, counts = owner[inside], token[inside], counts[inside]
         del keys, first, inside
         weight = idf[token] * counts * (k1 + 1) / (counts + k1 * (1 - b + b * lengths[owner] / average))
-        order = np.argsort(token, kind="stable")
         held = np.bincount(token, minlength=width)
-        common = np.flatnonzero(held > self.size // 8)
+        common = np.flatnonzero(held > self.size / 50)
         place = np.full(width, -1, np.int32)
         place[common] = np.arange(len(common))
         self.dense = np.zeros((len(common), self.size), np.float32)
@@ -172,10 +173,11 @@ class Index:
         self.dense[place[token[often]], owner[often]] = weight[often]
         # The tokens of each tail: rows of ``dense``, and tokens that have postings.
         self.rows, self.row_starts = place[token[often]], np.searchsorted(owner[often], np.arange(self.size + 1))
-        self.token, self.token_starts = token[~often], np.searchsorted(owner[~often], np.arange(self.size + 1))
-        order = order[~often[order]]
-        self.post, self.weight = owner[order], weight[order]
-        self.starts = np.searchsorted(token[order], np.arange(width + 1))
+        token, owner, weight = token[~often], owner[~often], weight[~often]
+        self.token, self.token_starts = token, np.searchsorted(owner, np.arange(self.size + 1))
+        order = np.argsort(token.astype(np.uint16) if width <= 65_536 else token, kind="stable")
+        self.post, self.weight = owner[order].astype(np.int64), weight[order]
+        self.starts = np.append(0, np.cumsum(np.where(place < 0, held, 0)))
 
     def scores(self, tail: int) -> np.ndarray:
         """BM25 of every tail of the block for all tokens of the query tail."""
@@ -190,13 +192,12 @@ class Index:
         """Unused tails that share a token with the query tail, best first. A window rarely takes more than the ``first`` ones (and those tied
         with them), so the others are sorted only when they are asked for."""
         scores = self.scores(tail) * unused
+        if len(scores) > first:
+            early = np.flatnonzero(scores >= max(np.partition(scores, -first)[-first], np.finfo(np.float32).tiny))
+            yield from early[np.argsort(-scores[early], kind="stable")].tolist()
+            scores[early] = 0
         found = np.flatnonzero(scores)
-        negative = -scores[found]
-        if len(found) > first:
-            early = negative <= np.partition(negative, first)[first]
-            yield from found[early][np.argsort(negative[early], kind="stable")].tolist()
-            found, negative = found[~early], negative[~early]
-        yield from found[np.argsort(negative, kind="stable")].tolist()
+        yield from found[np.argsort(-scores[found], kind="stable")].tolist()
 
 
 def _packed(frequencies, count: int, average: float, window: int, end: int, block_tails: int, keep_ids: bool):
@@ -284,8 +285,8 @@ def pack_documents(
     path: str | None = None,
     window: int = 2048,
     end: int = 1,
-    block_tails: int = 1536,
-    shard_tails: int = 6144,
+    block_tails: int = 1024,
+    shard_tails: int = 8192,
     keep_ids: bool = True,
 ) -> DataFrame:
     """Pack all texts into windows of ``window`` tokens: per piece doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset and,
