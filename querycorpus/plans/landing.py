@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from querycorpus.functions.scale import scratch_path
+from querycorpus.functions.scale import global_position, scratch_path
 from querycorpus.operators import compare as C
 from querycorpus.plans.inputs import given, table, with_inputs
 from querycorpus.sources import corpora as S
 from querycorpus.sources import sinks as W
+from querycorpus.sources.resulttable import ResultTable
 from querycorpus.streaming.chunks import append_available, land_available, stream_jsonl
 
 TURN = "conv_id long, turn long, role string, text string"
@@ -133,6 +134,24 @@ def kept_results(spark, sf_dir):
     return store.get_or_run(spark, "star", "q", lambda: orders.limit(0))
 
 
+def kept_result_table(spark, sf_dir):
+    """The ranked customers of each market segment as results of one table, kept in two writes with a settling between, and read back with their places."""
+    store = ResultTable(scratch_path(spark, "results"), settle_after=1)
+    customers = table(spark, sf_dir, "customer")
+    segments = sorted(r[0] for r in customers.select("c_mktsegment").distinct().collect())
+
+    def ranked(segment):
+        return customers.where(F.col("c_mktsegment") == segment).select("c_custkey", "c_acctbal").orderBy(F.desc("c_acctbal"), "c_custkey")
+
+    for some in (segments[:3], segments[2:]):
+        store.keep_all(spark, [("star", s, lambda s=s: ranked(s)) for s in some])
+    kept = [store.get(spark, "star", s).select(F.lit(s).alias("segment"), F.monotonically_increasing_id().alias("row"), "c_custkey", "c_acctbal") for s in segments]
+    together = kept[0]
+    for one in kept[1:]:
+        together = together.union(one)
+    return global_position(together, ["segment"], [F.col("row")], "place").drop("row")
+
+
 def result_cells(spark, sf_dir):
     """The customers as cells with a row number, summed up per column."""
     cells = C.result_cells(table(spark, sf_dir, "customer"), 7, "pred")
@@ -146,7 +165,7 @@ QUERIES = {
     f.__name__: f
     for f in [
         json_array_corpus, jsonl_corpus, gzipped_jsonl, streamed_jsonl, csv_tables, pooled_corpora, cached_splits, written_report, json_outputs,
-        unique_appends, streamed_appends, result_keys, kept_results, result_cells,
+        unique_appends, streamed_appends, result_keys, kept_results, kept_result_table, result_cells,
     ]
 }
 
@@ -169,6 +188,8 @@ ORACLES = {
     "streamed_appends": "SELECT event_id, event_type, value FROM events",
     "result_keys": with_inputs(["query_log"], "SELECT query_id, sha256('star' || chr(10) || sql) AS result_key FROM query_log"),
     "kept_results": "SELECT o_orderstatus, round(sum(o_totalprice), 2) AS total, max(o_orderdate) AS last FROM orders GROUP BY o_orderstatus",
+    "kept_result_table": """SELECT c_mktsegment AS segment, row_number() OVER (PARTITION BY c_mktsegment ORDER BY c_acctbal DESC, c_custkey) - 1 AS place,
+        c_custkey, c_acctbal FROM customer""",
     "result_cells": " UNION ALL ".join(
         f"""SELECT 7 AS pair_id, 'pred' AS side, {i} AS col_idx, count(*) AS n, {'count(*)' if num else '0'} AS numbers, {'0' if num else 'count(*)'} AS texts,
         count(*) AS rows, count(*) - 1 AS last, {f'round(CAST(sum({c}) AS DOUBLE), 2)' if num else 'CAST(NULL AS DOUBLE)'} AS total FROM customer"""
