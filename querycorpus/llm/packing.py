@@ -146,12 +146,15 @@ def _document_frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Reco
 
 
 class Index:
-    """BM25 inverted index of a block of tails. Postings hold finished weights; a token that more than one in 50 tails has is kept as a
-    dense row of weights instead (adding up a row costs about a fiftieth of as many postings), so that a query over all of its tokens stays cheap."""
+    """BM25 inverted index of a shard of tails. Postings hold finished weights; a token that more than one in 50 tails has is kept as a
+    dense row of weights instead (adding up a row costs about a fiftieth of as many postings), so that a query over all of its tokens stays cheap.
+    Dense rows lie in strips of ``strip`` tails, so that the rows of a query are added up in the cache. Tails that are used up leave the
+    index from time to time (``narrow``); the scores of the others don't change."""
 
-    def __init__(self, tails: list[np.ndarray], idf: np.ndarray, average: float, end: int, k1: float = 1.2, b: float = 0.75) -> None:
+    def __init__(self, tails: list[np.ndarray], idf: np.ndarray, average: float, end: int, k1: float = 1.2, b: float = 0.75, strip: int = 512) -> None:
         lengths = np.array([len(t) for t in tails], np.int64)
-        width, self.size = len(idf), len(tails)
+        width, self.size, self.strip = len(idf), len(tails), strip
+        self.members = np.arange(self.size)
         kind = np.int32 if self.size * width < 2**31 else np.int64
         keys = np.concatenate(tails, dtype=kind, casting="unsafe")
         keys += np.repeat((np.arange(self.size) * width).astype(kind), lengths)
@@ -168,9 +171,9 @@ class Index:
         common = np.flatnonzero(held > self.size / 50)
         place = np.full(width, -1, np.int32)
         place[common] = np.arange(len(common))
-        self.dense = np.zeros((len(common), self.size), np.float32)
+        self.dense = np.zeros((-(-self.size // strip), len(common), strip), np.float32)
         often = place[token] >= 0
-        self.dense[place[token[often]], owner[often]] = weight[often]
+        self.dense[owner[often] // strip, place[token[often]], owner[often] % strip] = weight[often]
         # The tokens of each tail: rows of ``dense``, and tokens that have postings.
         self.rows, self.row_starts = place[token[often]], np.searchsorted(owner[often], np.arange(self.size + 1))
         token, owner, weight = token[~often], owner[~often], weight[~often]
@@ -179,25 +182,48 @@ class Index:
         self.post, self.weight = owner[order].astype(np.int64), weight[order]
         self.starts = np.append(0, np.cumsum(np.where(place < 0, held, 0)))
 
+    def narrow(self, unused: np.ndarray) -> None:
+        """Take the used tails out of dense rows and postings."""
+        left = np.flatnonzero(unused[self.members])
+        number = np.full(len(self.members), -1)
+        number[left] = np.arange(len(left))
+        strips = -(-len(left) // self.strip)
+        dense = np.zeros((strips, self.dense.shape[1], self.strip), np.float32)
+        for k in range(strips):
+            some = left[k * self.strip : (k + 1) * self.strip]
+            dense[k, :, : len(some)] = self.dense[some // self.strip, :, some % self.strip].T
+        post = number[self.post]
+        kept = post >= 0
+        self.starts = np.append(0, np.cumsum(kept))[self.starts]
+        self.dense, self.post, self.weight, self.members = dense, post[kept], self.weight[kept], self.members[left]
+
     def scores(self, tail: int) -> np.ndarray:
-        """BM25 of every tail of the block for all tokens of the query tail."""
+        """BM25 of every member of the index for all tokens of the query tail."""
         query = self.token[self.token_starts[tail] : self.token_starts[tail + 1]]
-        runs = [slice(a, b) for a, b in zip(self.starts[query].tolist(), self.starts[query + 1].tolist(), strict=True)]
-        found = self.dense[self.rows[self.row_starts[tail] : self.row_starts[tail + 1]]].sum(axis=0, dtype=np.float32)
+        runs = [slice(a, b) for a, b in zip(self.starts[query].tolist(), self.starts[query + 1].tolist(), strict=True) if a < b]
+        rows = self.rows[self.row_starts[tail] : self.row_starts[tail + 1]]
+        found = np.zeros((len(self.dense), self.strip), np.float32)
+        for k, part in enumerate(self.dense):
+            np.add.reduce(part.take(rows, axis=0), axis=0, out=found[k])
+        found = found.ravel()[: len(self.members)]
         if runs:
-            found = found + np.bincount(np.concatenate([self.post[r] for r in runs]), np.concatenate([self.weight[r] for r in runs]), self.size)
+            found = found + np.bincount(np.concatenate([self.post[r] for r in runs]), np.concatenate([self.weight[r] for r in runs]), len(self.members))
         return found
 
     def neighbours(self, tail: int, unused: np.ndarray, first: int = 64) -> Iterator[int]:
         """Unused tails that share a token with the query tail, best first. A window rarely takes more than the ``first`` ones (and those tied
-        with them), so the others are sorted only when they are asked for."""
-        scores = self.scores(tail) * unused
+        with them), so the others are sorted only when they are asked for. A tail that is used stays so."""
+        free = unused[self.members]
+        if free.sum() < 0.8 * len(free):
+            self.narrow(unused)
+            free = unused[self.members]
+        members, scores = self.members, self.scores(tail) * free
         if len(scores) > first:
             early = np.flatnonzero(scores >= max(np.partition(scores, -first)[-first], np.finfo(np.float32).tiny))
-            yield from early[np.argsort(-scores[early], kind="stable")].tolist()
+            yield from members[early[np.argsort(-scores[early], kind="stable")]].tolist()
             scores[early] = 0
         found = np.flatnonzero(scores)
-        yield from found[np.argsort(-scores[found], kind="stable")].tolist()
+        yield from members[found[np.argsort(-scores[found], kind="stable")]].tolist()
 
 
 def _packed(frequencies, count: int, average: float, window: int, end: int, block_tails: int, keep_ids: bool):
@@ -285,17 +311,17 @@ def pack_documents(
     path: str | None = None,
     window: int = 2048,
     end: int = 1,
-    block_tails: int = 1024,
-    shard_tails: int = 8192,
+    block_tails: int = 8192,
+    shard_tails: int = 6144,
     keep_ids: bool = True,
 ) -> DataFrame:
     """Pack all texts into windows of ``window`` tokens: per piece doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset and,
     with ``keep_ids``, ids (little-endian unsigned 32-bit).
 
     Whole windows of a long text stay together; its tail is packed with its lexical neighbours. Tails are range partitioned by their rarest
-    tokens into shards, and a shard holds a BM25 index of every ``block_tails`` tails (document frequencies over all tails). The seed of a window
-    is the next unused tail; it is scored against the whole index by all of its tokens, and its unused neighbours fill the window in the order
-    of their scores. The last one is cut and its rest seeds the next window.
+    tokens into shards. As a rule a shard is one BM25 index (document frequencies over all tails); one that came out larger has several, of at
+    most ``block_tails`` tails. The seed of a window is the next unused tail; it is scored against the whole index by all of its tokens, and
+    its unused neighbours fill the window in the order of their scores. The last one is cut and its rest seeds the next window.
     Only the last window of a shard is padded.
 
     * Null or empty text: only the end token. Without common tokens a window is filled by the next unused tail.
