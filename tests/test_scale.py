@@ -3,6 +3,7 @@ import random
 from pyspark.sql import functions as F
 
 from querycorpus.functions import scale
+from querycorpus.operators import compare as C
 
 
 def plan(df):
@@ -26,3 +27,23 @@ def test_top_k_limits_before_the_shuffle(spark):
     top = scale.top_k(df, ["g"], [F.desc("id")], 2)
     assert "WindowGroupLimit" in plan(top)
     assert {(r["g"], r["id"]) for r in top.collect()} == {(0, 99), (0, 96), (1, 97), (1, 94), (2, 98), (2, 95)}
+
+
+def broadcast_joins(df):
+    return [line for line in plan(df).splitlines() if "BroadcastHashJoin" in line]
+
+
+def test_cells_are_joined_by_shuffles(spark):
+    """Cells come exploded from a few rows, so Catalyst takes them for the smaller side."""
+    cells = spark.range(5).selectExpr("id", "explode(array('pred', 'target')) AS side").selectExpr("*", "explode(array(0, 1)) AS col_idx").selectExpr(
+        "1L AS pair_id", "side", "id AS row_idx", "col_idx", "id + if(side = 'pred', 1e-9D, 0D) AS num", "CAST(NULL AS STRING) AS str"
+    )
+    doubtful = spark.createDataFrame([(1, True, 0, 0), (1, True, 1, 1)], "pair_id long, order_matters boolean, pc int, tc int")
+    checked = C._verified(cells, doubtful, C.ATOL, C.RTOL)
+    # Only the numbers that shift the ranks of a partition may be broadcast.
+    assert all("_of#" in line for line in broadcast_joins(checked)), broadcast_joins(checked)
+    assert {(r["pc"], r["tc"]) for r in checked.collect()} == {(0, 0), (1, 1)}
+    mappings = spark.createDataFrame([(1, 0, [0], [0], 0)], "pair_id long, mapping int, p_cols array<int>, t_cols array<int>, n_exact int")
+    joint = C._jointly_equal(cells, mappings, C.ATOL, C.RTOL)
+    assert [r["pair_id"] for r in joint.collect()] == [1]
+    assert not [line for line in broadcast_joins(joint) if "place#" in line]
