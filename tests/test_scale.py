@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from querycorpus.functions import scale
 from querycorpus.operators import compare as C
+from querycorpus.operators import linking as K
 
 
 def plan(df):
@@ -47,3 +48,11 @@ def test_cells_are_joined_by_shuffles(spark):
     joint = C._jointly_equal(cells, mappings, C.ATOL, C.RTOL)
     assert [r["pair_id"] for r in joint.collect()] == [1]
     assert not [line for line in broadcast_joins(joint) if "place#" in line]
+
+
+def test_links_are_joined_by_shuffles(spark):
+    questions = spark.sql("VALUES (1L, 'parts of hot bolts'), (2L, 'no such') AS t(question_id, question)")
+    values = spark.sql("VALUES ('part', 'p_label', 'hot bolt') AS t(table_name, column, value)")
+    found = K.value_matches(questions, values)
+    assert all("_counter#" in line for line in broadcast_joins(found)), broadcast_joins(found)
+    assert [(r["question_id"], r["value"]) for r in found.collect()] == [(1, "hot bolt")]
