@@ -154,7 +154,8 @@ def kept_result_table(spark, sf_dir):
 
 def result_cells(spark, sf_dir):
     """The customers as cells with a row number, summed up per column."""
-    cells = C.result_cells(table(spark, sf_dir, "customer"), 7, "pred")
+    # Spread by rows: the row numbers of a table in one file would be counted in one task.
+    cells = C.result_cells(table(spark, sf_dir, "customer"), 7, "pred").repartition("row_idx")
     return cells.groupBy("pair_id", "side", "col_idx").agg(
         F.count(F.lit(1)).alias("n"), F.count("num").alias("numbers"), F.count("str").alias("texts"),
         F.count_distinct("row_idx").alias("rows"), F.max("row_idx").alias("last"), F.round(F.sum("num"), 2).alias("total"),

@@ -1,10 +1,12 @@
 import random
+import re
 
 from pyspark.sql import functions as F
 
 from querycorpus.functions import scale
 from querycorpus.operators import compare as C
 from querycorpus.operators import linking as K
+from querycorpus.plans import landing
 
 
 def plan(df):
@@ -56,3 +58,14 @@ def test_links_are_joined_by_shuffles(spark):
     found = K.value_matches(questions, values)
     assert all("_counter#" in line for line in broadcast_joins(found)), broadcast_joins(found)
     assert [(r["question_id"], r["value"]) for r in found.collect()] == [(1, "hot bolt")]
+
+
+def test_cells_of_a_single_file_are_counted_in_many_tasks(spark, tmp_path):
+    rows = [(i, f"n{i}", i % 3, i / 4, None if i % 5 else "m") for i in range(20)]
+    spark.createDataFrame(rows, "c_custkey long, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string").coalesce(1).write.parquet(
+        f"{tmp_path}/customer.parquet"
+    )
+    summed = landing.result_cells(spark, str(tmp_path))
+    assert re.search(r"hashpartitioning\(row_idx#\d+L?, \d", plan(summed))
+    got = {r["col_idx"]: (r["n"], r["numbers"], r["texts"], r["rows"], r["last"], r["total"]) for r in summed.collect()}
+    assert got == {0: (20, 20, 0, 20, 19, 190.0), 1: (20, 0, 20, 20, 19, None), 2: (20, 20, 0, 20, 19, 19.0), 3: (20, 20, 0, 20, 19, 47.5), 4: (20, 0, 4, 20, 19, None)}
