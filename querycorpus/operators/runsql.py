@@ -195,6 +195,22 @@ def _status_of(spark: SparkSession, sql: str) -> str:
         return "error"
 
 
+def _without_repeats(spark: SparkSession, body: str, view: str) -> str:
+    """The query as one that brings each value that the fillings are compared with once, so that its rows are neither broadcast nor
+    shuffled; as it is, where that would take one more join with the marks (they are not compared by plain equality)."""
+    if f"{view}." not in body:
+        return body
+    shorter = f"SELECT DISTINCT 1 FROM ({body}\n) _rows"
+
+    def joins(query: str) -> int:
+        return len(re.findall("Join|CartesianProduct", spark.sql(f"EXPLAIN SELECT filled FROM {view} WHERE EXISTS ({query})").first()[0]))
+
+    try:
+        return shorter if joins(shorter) <= joins(body) else body
+    except PySparkException:
+        return body
+
+
 def _statuses(spark: SparkSession, fillings: DataFrame, body: str, view: str, depth: int = 0) -> DataFrame:
     """``filled, status`` of fillings that share one query. If it fails for all at once, halves are tried, down to single fillings,
     whose own text decides; so e failing ones among n cost about e * log2(n) more jobs."""
@@ -260,7 +276,7 @@ def audit_templates(spark: SparkSession, templates: list[tuple[int, str]], value
                 spark.sql(f"SELECT filled FROM {view} WHERE EXISTS ({body})")
             except PySparkException as error:
                 raise ValueError(f"template {template_id} can't run for all its fillings at once: {str(error).splitlines()[0]}") from error
-            found.append(_statuses(spark, same, body, view))
+            found.append(_statuses(spark, same, _without_repeats(spark, body, view), view))
         out += [rows.select(F.lit(template_id).alias("template_id"), "filled", "status") for rows in found]
     return reduce(DataFrame.unionByName, out)
 

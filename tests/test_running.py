@@ -168,3 +168,25 @@ def test_failing_fillings_are_isolated_by_halving(spark):
     assert {r["status"]: r["count"] for r in got} == {"rows": 49, "empty": 649, "error": 2}
     lacking = spark.createDataFrame([(1, {"other": "1"}), (1, None)], "template_id int, marks map<string,string>")
     assert {r["status"] for r in Q.audit_templates(spark, [(1, "SELECT id FROM audited WHERE id = '{k}'")], lacking).collect()} == {"error"}
+
+
+def test_audit_joins_fillings_with_values_once(spark, monkeypatch):
+    """Rows that the marks are compared with are made distinct before they are broadcast or shuffled."""
+    spark.range(1000).selectExpr("id AS k", "concat('t', id % 3) AS kind", "id % 5 AS size").createOrReplaceTempView("many_rows")
+    values = spark.createDataFrame([(n, {"kind": f"t{i}", "size": str(i)}) for n in (1, 2) for i in range(7)], "template_id int, marks map<string,string>")
+    plans = []
+    statuses = Q._statuses
+
+    def seen(spark, fillings, body, view, depth=0):
+        fillings.createOrReplaceTempView(view)
+        plans.append(spark.sql(f"SELECT filled FROM {view} WHERE EXISTS ({body})")._jdf.queryExecution().toString())
+        return statuses(spark, fillings, body, view, depth)
+
+    monkeypatch.setattr(Q, "_statuses", seen)
+    templates = [(1, "SELECT k FROM many_rows WHERE kind = '{kind}' -- a note"), (2, "SELECT k FROM many_rows WHERE size > {size}")]
+    got = {r["filled"]: r["status"] for r in Q.audit_templates(spark, templates, values).collect()}
+    # A comparison other than equality keeps its form: it would need a join of all rows with all marks first.
+    assert ["HashAggregate(keys=[" in p for p in plans] == [True, False]
+    assert got == {f"SELECT k FROM many_rows WHERE kind = 't{i}' -- a note": "rows" if i < 3 else "empty" for i in range(7)} | {
+        f"SELECT k FROM many_rows WHERE size > {i}": "rows" if i < 4 else "empty" for i in range(7)
+    }
