@@ -60,3 +60,23 @@ def test_probes_trade_recall(spark):
     exact = V.nearest(df, asked, 5, exclude_same=True, leaf=40, fan=8)
     few = V.nearest(df, asked, 5, exclude_same=True, leaf=40, fan=8, probes=4)
     assert few.join(exact, ["query_id", "item_id"]).count() >= 0.8 * exact.count()
+
+
+def test_no_table_has_a_row_per_query_and_leaf(spark, monkeypatch):
+    """Vectors without clusters, where every query visits nearly every leaf: tables grow with the vectors, not with vectors times leaves."""
+    data = np.random.default_rng(11).normal(size=(300, 16)).tolist()
+    df = spark.createDataFrame(list(enumerate(data)), "vec_id long, embedding array<double>")
+    sizes, cut = [], V.cut_lineage
+
+    def counted(rows):
+        kept = cut(rows)
+        sizes.append(kept.count())
+        return kept
+
+    monkeypatch.setattr(V, "cut_lineage", counted)
+    found = V.nearest(df, df, 3, "vec_id", "vec_id", exclude_same=True, leaf=10, fan=8)
+    got = {}
+    for r in found.orderBy("query_id", "rank").collect():
+        got.setdefault(r["query_id"], []).append(r["item_id"])
+    assert all(got[q] == brute(data, q, 3) for q in range(len(data)))
+    assert max(sizes) <= 2 * len(data)
