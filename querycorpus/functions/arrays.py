@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -22,3 +24,8 @@ def held(array: Column, result: Column) -> Column:
     ``result``, which would compute it once per element.
     """
     return F.when(F.size(array) >= 0, result)
+
+
+def once(value: Column, result: Callable[[Column], Column]) -> Column:
+    """``result`` of a value that is computed once, also inside of a lambda, where naming it twice would compute it twice."""
+    return F.get(F.transform(F.array(value), result), F.lit(0))

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from querycorpus.functions.arrays import held
+from querycorpus.functions.arrays import held, once, pinned
 from querycorpus.functions.scale import cut_lineage
 from querycorpus.operators.linking import similar_pairs
 from querycorpus.operators.sqltokens import (
@@ -136,7 +136,8 @@ def _marked_items(tokens: Column) -> Column:
         F.try_element_at(F.filter(tokens, lambda t: (t["low"] == "from") & (t["depth"] == 0) & (t["plain"] == 0)), F.lit(1))["i"],
         F.size(tokens),
     )
-    inside = F.filter(tokens, lambda t: (t["i"] > opening) & (t["i"] < first_from))
+    ends = F.struct(opening.alias("after"), first_from.alias("before"))
+    inside = once(ends, lambda e: F.filter(tokens, lambda t: (t["i"] > e["after"]) & (t["i"] < e["before"])))
     cut = F.transform(
         inside,
         lambda t: F.when((t["tok"] == ",") & (t["depth"] == 0) & (t["plain"] == 0), F.lit("\x01")).otherwise(
@@ -192,8 +193,8 @@ def with_companion_column(log: DataFrame, table: str, trigger: str, key: str) ->
 
 def select_list(log: DataFrame) -> DataFrame:
     """Items of the outer SELECT list, star forms, and what each alias stands for."""
-    items = tokenized(log).withColumn("_marked", _marked_items(F.col("tokens")))
-    items = items.withColumn("items", F.transform("_marked", lambda x: F.replace(x, F.lit("\x02"), F.lit(" "))))
+    items = pinned(tokenized(log), "_marked", _marked_items(F.col("tokens")))
+    items = pinned(items, "items", F.transform("_marked", lambda x: F.replace(x, F.lit("\x02"), F.lit(" "))))
     ending = rf"(?i)(?:\s+as\s+|\x02)({QUOTED}|\S+)$"
     named = F.filter("_marked", lambda x: x.rlike(ending))
     pairs = F.transform(

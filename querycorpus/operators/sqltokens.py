@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from querycorpus.functions.arrays import held, pinned
+from querycorpus.functions.arrays import held, once, pinned
 
 # Token forms, and the words that are not names.
 LITERAL = r"'[^']*+(?:''[^']*+)*+'"
@@ -55,15 +55,10 @@ SET_OPERATORS = ["union", "intersect", "except"]
 def cut(sql: Column) -> Column:
     """``array<struct<gap, tok, low>>``: tokens with the whitespace before them, without semicolons."""
     found = F.regexp_extract_all(sql, F.lit(PIECE), F.lit(0))
-    split = F.transform(
-        found,
-        lambda p: F.struct(
-            F.regexp_extract(p, f"^{GAP}", 0).alias("gap"),
-            F.regexp_replace(p, f"^{GAP}", "").alias("tok"),
-            F.lower(F.regexp_replace(p, f"^{GAP}", "")).alias("low"),
-        ),
-    )
-    return F.filter(split, lambda p: ~p["tok"].isin(";", ""))
+    gaps = F.transform(found, lambda p: F.struct(p.alias("piece"), F.regexp_extract(p, f"^{GAP}", 0).alias("gap")))
+    split = F.transform(gaps, lambda g: F.struct(g["gap"].alias("gap"), F.substr(g["piece"], F.length(g["gap"]) + 1).alias("tok")))
+    lowered = F.transform(split, lambda p: F.struct(p["gap"].alias("gap"), p["tok"].alias("tok"), F.lower(p["tok"]).alias("low")))
+    return F.filter(lowered, lambda p: ~p["tok"].isin(";", ""))
 
 
 def with_neighbours(pieces: Column) -> Column:
@@ -93,10 +88,7 @@ def _place(path, depth, arm, clause, plain, opener, between) -> Column:
 
 
 _PLACE_TYPE = "struct<path:string,depth:int,arm:int,clause:string,plain:int,opener:int,between:boolean>"
-_TOKEN_TYPE = (
-    "struct<i:int,gap:string,tok:string,low:string,path:string,depth:int,arm:int,clause:string,plain:int,opener:int,"
-    "range_and:boolean,b2:string,b1:string,n1:string,n2:string,n3:string>"
-)
+_PLACED_TYPE = f"struct<place:{_PLACE_TYPE},range_and:boolean>"
 _SCOPE_TYPE = "struct<path:string,depth:int,clause:string,parent:string>"
 
 
@@ -113,8 +105,6 @@ def _step():
 
         top = now["plain"] == 0
         clause = now["clause"]
-        for word, name in CLAUSES.items():
-            clause = F.when(top & (low == word), F.lit(name)).otherwise(clause)
         clause = (
             F.when(top & low.isin(*SET_OPERATORS), F.lit("setop"))
             .when(top & (low == "with"), F.lit("with"))
@@ -123,44 +113,25 @@ def _step():
                 (now["clause"] == "on") & low.isin("join", "inner", "left", "right", "cross", "full", "natural"),
                 F.lit("from"),
             )
-            .otherwise(clause)
         )
+        for word, name in CLAUSES.items():
+            clause = clause.when(top & (low == word), F.lit(name))
+        clause = clause.otherwise(now["clause"])
         arm = F.when(top & low.isin(*SET_OPERATORS), now["arm"] + 1).otherwise(now["arm"])
         range_and = now["between"] & (low == "and")
         between = F.when(low == "between", F.lit(True)).when(low == "and", F.lit(False)).otherwise(now["between"])
 
-        moved = _place(now["path"], now["depth"], arm, clause, now["plain"], now["opener"], between)
         entered = F.when(
             scope_opens,
             _place(inner_path, now["depth"] + 1, F.lit(0), F.lit("select"), F.lit(0), i, F.lit(False)),
         ).otherwise(
             _place(now["path"], now["depth"], now["arm"], now["clause"], now["plain"] + F.when(around, 0).otherwise(1), i, F.lit(False))
         )
-        left = _place(
-            popped["path"], popped["depth"], F.when(popped["path"] == now["path"], now["arm"]).otherwise(popped["arm"]), popped["clause"],
-            popped["plain"], popped["opener"], popped["between"],
-        )
-        after = F.when(opens, entered).when(closes, left).otherwise(moved)
-        # A closing parenthesis belongs to the place outside it, like the opening one.
-        shown = F.when(closes, popped).when(opens, now).otherwise(moved)
-        emitted = F.struct(
-            i.alias("i"),
-            piece["gap"].alias("gap"),
-            piece["tok"].alias("tok"),
-            low.alias("low"),
-            shown["path"].alias("path"),
-            shown["depth"].alias("depth"),
-            shown["arm"].alias("arm"),
-            shown["clause"].alias("clause"),
-            shown["plain"].alias("plain"),
-            shown["opener"].alias("opener"),
-            range_and.alias("range_and"),
-            piece["b2"].alias("b2"),
-            piece["b1"].alias("b1"),
-            nxt.alias("n1"),
-            piece["n2"].alias("n2"),
-            piece["n3"].alias("n3"),
-        )
+
+        def left(outer: Column) -> Column:
+            arm_left = F.when(outer["path"] == now["path"], now["arm"]).otherwise(outer["arm"])
+            return _place(outer["path"], outer["depth"], arm_left, outer["clause"], outer["plain"], outer["opener"], outer["between"])
+
         scope = F.struct(
             inner_path.alias("path"),
             (now["depth"] + 1).cast("int").alias("depth"),
@@ -168,24 +139,42 @@ def _step():
             now["path"].alias("parent"),
         )
         empty_scopes = F.array().cast(f"array<{_SCOPE_TYPE}>")
-        return F.struct(
-            after.cast(_PLACE_TYPE).alias("now"),
-            F.when(opens, F.concat(stack, F.array(now)))
-            .when(closes, F.slice(stack, F.lit(1), F.greatest(F.size(stack) - 1, F.lit(0))))
-            .otherwise(stack)
-            .cast(f"array<{_PLACE_TYPE}>")
-            .alias("stack"),
-            (state["next"] + F.when(scope_opens, 1).otherwise(0)).cast("int").alias("next"),
-            (state["bad"] | (closes & (F.size(stack) == 0))).alias("bad"),
-            F.concat(state["out"], F.array(emitted.cast(_TOKEN_TYPE))).alias("out"),
-            F.concat(state["scopes"], F.when(scope_opens, F.array(scope.cast(_SCOPE_TYPE))).otherwise(empty_scopes)).alias(
-                "scopes"
-            ),
-        )
+
+        def stepped(moved: Column) -> Column:
+            after = F.when(opens, entered).when(closes, once(popped, left)).otherwise(moved)
+            # A closing parenthesis belongs to the place outside it, like the opening one.
+            shown = F.when(closes, popped).when(opens, now).otherwise(moved)
+            placed = F.struct(shown.cast(_PLACE_TYPE).alias("place"), range_and.alias("range_and"))
+            return F.struct(
+                after.cast(_PLACE_TYPE).alias("now"),
+                F.when(opens, F.concat(stack, F.array(now)))
+                .when(closes, F.slice(stack, F.lit(1), F.greatest(F.size(stack) - 1, F.lit(0))))
+                .otherwise(stack)
+                .cast(f"array<{_PLACE_TYPE}>")
+                .alias("stack"),
+                (state["next"] + F.when(scope_opens, 1).otherwise(0)).cast("int").alias("next"),
+                (state["bad"] | (closes & (F.size(stack) == 0))).alias("bad"),
+                F.concat(state["out"], F.array(placed.cast(_PLACED_TYPE))).alias("out"),
+                F.when(scope_opens, F.concat(state["scopes"], F.array(scope.cast(_SCOPE_TYPE)))).otherwise(
+                    F.concat(state["scopes"], empty_scopes)
+                ).alias("scopes"),
+            )
+
+        return once(_place(now["path"], now["depth"], arm, clause, now["plain"], now["opener"], between), stepped)
 
     return step
 
 
+def _token(piece: Column, placed: Column) -> Column:
+    place = placed["place"]
+    return F.struct(
+        *[piece[c].alias(c) for c in ("i", "gap", "tok", "low")],
+        *[place[c].alias(c) for c in ("path", "depth", "arm", "clause", "plain", "opener")],
+        placed["range_and"].alias("range_and"),
+        *[piece[c].alias(c) for c in ("b2", "b1", "n1", "n2", "n3")],
+    )
+
+
 def tokenized(log: DataFrame, sql: str = "sql") -> DataFrame:
     """Add ``tokens`` and ``scopes`` (root first); both null where the text is not readable.
 
@@ -198,7 +187,7 @@ def tokenized(log: DataFrame, sql: str = "sql") -> DataFrame:
         F.array().cast(f"array<{_PLACE_TYPE}>").alias("stack"),
         F.lit(1).cast("int").alias("next"),
         F.lit(False).alias("bad"),
-        F.array().cast(f"array<{_TOKEN_TYPE}>").alias("out"),
+        F.array().cast(f"array<{_PLACED_TYPE}>").alias("out"),
         F.array(
             F.struct(
                 F.lit("/0/").alias("path"),
@@ -215,11 +204,8 @@ def tokenized(log: DataFrame, sql: str = "sql") -> DataFrame:
     could = F.col(sql).isNotNull() & F.coalesce(first, F.lit("")).isin("select", "with") & ~stray
     folded = pinned(pieces, "_f", F.when(could, F.aggregate("_near", start, _step())))
     whole = ~F.col("_f.bad") & (F.size("_f.stack") == 0)
-    return (
-        folded.withColumn("tokens", F.when(whole, F.col("_f.out")))
-        .withColumn("scopes", F.when(whole, F.col("_f.scopes")))
-        .drop("_f", "_cut", "_near")
-    )
+    found = pinned(folded, "tokens", F.when(whole, F.zip_with("_near", "_f.out", _token)))
+    return found.withColumn("scopes", F.when(whole, F.col("_f.scopes"))).drop("_f", "_cut", "_near")
 
 
 def own_columns(log: DataFrame) -> list[str]:

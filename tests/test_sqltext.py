@@ -134,3 +134,13 @@ def test_select_lists_of_real_logs(spark):
     edited = tokenized(log(spark, *texts)).select("query_id", X.without_select_aliases(F.col("tokens")).alias("t"), X.with_select_column(F.col("tokens"), "k").alias("k"))
     edited = edited.orderBy("query_id").collect()
     assert edited[2]["t"].startswith("SELECT a, t.c, count(*) n,") and edited[0]["k"] == "SELECT EXTRACT(YEAR FROM d), k FROM t"
+
+
+def test_place_of_a_token_is_decided_once(spark):
+    """The rules of clauses stand in the fold once, not once for each of its uses."""
+    found = tokenized(log(spark, "SELECT (a) x, b FROM t, (SELECT c FROM u) v WHERE a BETWEEN 1 AND 2 /* x */ ;"))
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("THEN setop") == 1
+    tokens = found.first()["tokens"]
+    assert [t["tok"] for t in tokens if t["range_and"]] == ["AND"]
+    inner = [(t["tok"], t["clause"], t["depth"], t["n1"]) for t in tokens if t["tok"] in ("c", "u")]
+    assert inner == [("c", "select", 1, "from"), ("u", "from", 1, ")")]
