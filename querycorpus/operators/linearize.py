@@ -12,7 +12,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from querycorpus.functions.arrays import held, pinned
+from querycorpus.functions.arrays import held, once, pinned
 from querycorpus.sources.corpora import csv_fields, csv_records
 
 # Forms of numbers and of dates in cells.
@@ -172,24 +172,21 @@ def csv_result_text(df: DataFrame, use_query: bool = False) -> DataFrame:
     base = pinned(base, "_numeric", numeric)
 
     def shown(value: Column, c: Column) -> Column:
-        number = value.try_cast("double")
-        whole = F.when(number == F.floor(number), number.cast("decimal(38,0)").cast("string")).otherwise(number.cast("string"))
-        as_number = F.get("_numeric", c) & number.isNotNull()
-        return F.when(as_number, whole).when(F.get("_numeric", c), F.lit("nan")).otherwise(value)
+        def number_text(number: Column) -> Column:
+            whole = F.when(number == F.floor(number), number.cast("decimal(38,0)").cast("string")).otherwise(number.cast("string"))
+            return F.when(number.isNotNull(), whole).otherwise(F.lit("nan"))
+
+        return F.when(F.get("_numeric", c), once(value.try_cast("double"), number_text)).otherwise(value)
 
     cells = F.flatten(
         F.transform(
             "_rows",
-            lambda r: F.slice(
-                F.transform(
-                    r,
-                    lambda v, c: F.concat(
-                        F.lit("<cell> "), shown(v, c), F.lit(" <col_header> "),
-                        F.get(F.try_element_at(F.col("_lines"), F.lit(1)), c), F.lit(" </col_header> </cell> "),
-                    ),
+            lambda r: F.transform(
+                F.slice(r, F.lit(2), F.greatest(F.size(r) - 1, F.lit(0))),
+                lambda v, c: F.concat(
+                    F.lit("<cell> "), shown(v, c + 1), F.lit(" <col_header> "),
+                    F.get(F.try_element_at(F.col("_lines"), F.lit(1)), c + 1), F.lit(" </col_header> </cell> "),
                 ),
-                F.lit(2),
-                F.greatest(F.size(r) - 1, F.lit(0)),
             ),
         )
     )
@@ -218,7 +215,10 @@ def compact_text(text: Column) -> Column:
     def one(cell: Column, i: Column) -> Column:
         value = F.when(cell.contains(" <col_header>"), F.regexp_extract(cell, r"(.*) <col_header>", 1)).otherwise(cell)
         name = F.regexp_extract(cell, r"<col_header> (.*) </col_header>", 1)
-        return F.concat(F.lit("<col"), i.cast("string"), F.lit("> "), name, F.lit(" | "), cell_type(value), F.lit(" | "), value, F.lit(" "))
+        return F.concat(
+            F.lit("<col"), i.cast("string"), F.lit("> "), name, F.lit(" | "),
+            once(value, lambda v: F.concat(cell_type(v), F.lit(" | "), v)), F.lit(" "),
+        )
 
     return F.concat(
         F.lit("<query> "), section, F.lit(" <table> "), page, F.lit(" "), F.array_join(F.transform(cells, one), "")

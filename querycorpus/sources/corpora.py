@@ -66,7 +66,7 @@ def csv_fields(record: Column) -> Column:
         raw,
         lambda f: F.when(
             f.startswith('"'), F.replace(F.substring(f, F.lit(2), F.length(f) - 2), F.lit('""'), F.lit('"'))
-        ).otherwise(F.regexp_replace(f, r"\r$", "")),
+        ).when(f.contains("\r"), F.regexp_replace(f, r"\r$", "")).otherwise(f),
     )
 
 

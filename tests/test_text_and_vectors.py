@@ -226,3 +226,14 @@ def test_equivalent_columns_close_over_chains(spark):
     log = M.paired_log(spark.createDataFrame([(1, target.replace("SELECT a.x", "SELECT c.x"), target)], "pair_id long, prediction string, target string"))
     names = {r["element"].rsplit("/", 1)[0] for r in M.variable_elements(log, M.scopes_of(log)).collect() if r["element"].startswith("columns")}
     assert names == {"columns/a.x"}
+
+
+def test_compact_text_takes_the_value_of_a_cell_once(spark):
+    """Types and date forms are sought in the value of a cell, which is cut out of the cell one time."""
+    df = spark.createDataFrame([(1, ',n,d,t\n0,3.0,05/11/2020,"a, ""b"""\n1,2.5,x,\r\n', "T", "Q")], "id int, result string, table_name string, query_description string")
+    out = L.csv_result_text(df, use_query=True).select(L.compact_text(F.col("text")).alias("text"))
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("(.*) <col_header>") == 1
+    assert out.first()["text"] == (
+        '<query> Q <table> T <col0> n | NUMERIC | 3 <col1> d | DATE | 05/11/2020 <col2> t | STRING | a, "b" '
+        "<col3> n | NUMERIC | 2.5 <col4> d | STRING | x <col5> t | STRING |  "
+    )
