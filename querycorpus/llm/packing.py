@@ -8,6 +8,8 @@ import os
 import re
 import zlib
 from collections.abc import Iterator
+from functools import cached_property
+from itertools import repeat
 
 import numpy as np
 import public_tokenizers
@@ -15,90 +17,151 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from tokenizers import Tokenizer
+from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
 from querycorpus.llm.bpe import vocabulary_text
-from querycorpus.llm.common import Memo, documents, per_worker, written
-
-#: The vocabulary's splitter for texts of Latin-1 letters: \xaa \xb5 \xba and \xc0 on are letters, \xb2 \xb3 \xb9 \xbc-\xbe numbers.
-_LETTER, _NUMBER, _SPACE = "a-z\xaa\xb5\xba\xdf-\xf6\xf8-\xff", "0-9\xb2\xb3\xb9\xbc-\xbe", "\t-\r \x85\xa0"
-PIECES = re.compile(f"[{_LETTER}]+|[{_NUMBER}]|'(?:[stmd]|re|ve|ll)|[^{_SPACE}{_LETTER}{_NUMBER}]+")
-
-
-def plain(text: str) -> bool:
-    """Whether the text has Latin-1 letters only and nothing that could be a special token."""
+from querycorpus.llm.common import Memo, documents, per_worker, release, written
+
+#: The vocabulary's splitter for Latin-1 letters (\xaa \xb5 \xba and \xc0 on are letters, \xb2 \xb3 \xb9 \xbc-\xbe numbers): the kind of each
+#: letter. A piece is a run of letters, one number, a shortened word such as 's, or a run of others.
+_SPACE, _LETTER, _NUMBER, _OTHER = range(4)
+_LOWER = np.array([ord(chr(i).lower()) for i in range(256)], np.uint8)
+_KIND = np.full(256, _OTHER, np.uint8)
+for _kind, _letters in (
+    (_SPACE, "[\t-\r \x85\xa0]"),
+    (_LETTER, "[a-z\xaa\xb5\xba\xdf-\xf6\xf8-\xff]"),
+    (_NUMBER, "[0-9\xb2\xb3\xb9\xbc-\xbe]"),
+):
+    _KIND[[i for i in range(256) if re.match(_letters, chr(i))]] = _kind
+
+
+def plain(text: str) -> bytes | None:
+    """The text if it has Latin-1 letters only and nothing that could be a special token, a byte a letter."""
     try:
-        text.encode("latin-1")
+        data = text.encode("latin-1")
     except UnicodeEncodeError:
-        return False
-    return "<|" not in text
+        return None
+    return None if b"<|" in data else data
+
+
+def pieces_of(data: np.ndarray) -> tuple[np.ndarray, pa.Array]:
+    """Where the pieces of lower-case Latin-1 letters begin, and the pieces."""
+    data = np.append(data, np.full(3, ord(" "), np.uint8))
+    kind = _KIND[data]
+    new = np.append(True, (kind[1:] != kind[:-1]) | (kind[1:] == _NUMBER))
+    quotes = np.flatnonzero((data[:-3] == ord("'")) & new[:-3])
+    one, two = data[quotes + 1], data[quotes + 2]
+    short = np.isin(one, np.frombuffer(b"stmd", np.uint8))
+    long = np.isin(one * np.int64(256) + two, [256 * a + b for a, b in (b"re", b"ve", b"ll")])
+    new[quotes[short | long] + 1] = False
+    new[quotes[short] + 2] = new[quotes[long] + 3] = True
+    bounds = np.flatnonzero(new)
+    lengths, inside = np.diff(bounds, append=len(data)), kind[bounds] != _SPACE
+    ends = np.append(0, np.cumsum(lengths[inside])).astype(np.int32)
+    return bounds[inside], pa.Array.from_buffers(pa.binary(), len(ends) - 1, [None, pa.py_buffer(ends), pa.py_buffer(data[kind != _SPACE])])
 
 
 MAX_SHARDS = 20_000
+#: Texts taken together; a batch of Spark's with all of its ids would be several times as much memory.
+TEXTS = 2_048
 PLACED = "doc_id long, start long, length long, crc long, doc_tokens long, rare long, second long, ids binary"
 PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids binary"
 
 
 class Words:
     """Ids of whole texts by the tokenizer. This kind of vocabulary drops white space and no token spans it, so texts are cut into pieces
-    and each distinct piece is tokenized once per worker, many in one call: every piece ends with a token that closes a word.
+    and each distinct piece is tokenized once per worker, many in one call: every piece ends with a token that closes a word. A piece
+    has a number, by which its ids are found in one array, so that a text costs a few array operations and no look-up of each piece.
     Texts of other letters, or with special tokens, are cut at blanks only and their words tokenized whole."""
 
     def __init__(self, model: str, limit: int = 350_000) -> None:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
-        self.tokenizer = Tokenizer.from_str(model)
-        self.tokenizer.no_truncation()
-        self.tokenizer.no_padding()
-        self.limit = limit
-        self.pieces: dict[str, bytes] = {}
+        # Pieces are lower-case and cut already: the same vocabulary without the normalizer and the splitter.
+        self.merging = self._whole(model)
+        self.merging.normalizer = normalizers.Sequence([])
+        self.merging.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        self.model, self.limit = model, limit
         self.words = Memo(self._ids, 50_000)
         spec = json.loads(model)["model"]
-        self.closing = np.zeros(self.tokenizer.get_vocab_size(with_added_tokens=True) + 1, bool)
+        self.closing = np.zeros(self.merging.get_vocab_size(with_added_tokens=True) + 1, bool)
         suffix = spec.get("end_of_word_suffix") or "\0"
         self.closing[[i for name, i in spec["vocab"].items() if name.endswith(suffix)]] = True
+        self._forget()
+
+    @staticmethod
+    def _whole(model: str) -> Tokenizer:
+        out = Tokenizer.from_str(model)
+        out.no_truncation()
+        out.no_padding()
+        return out
+
+    @cached_property
+    def tokenizer(self) -> Tokenizer:
+        return self._whole(self.model)
+
+    def _forget(self) -> None:
+        self.numbers: dict[bytes, int] = {}
+        self.ids, self.ends = np.zeros(0, "<u4"), np.zeros(1, np.int64)
 
     def _ids(self, piece: str) -> bytes:
         return np.array(self.tokenizer.encode(piece, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def _learn(self, missing: list[str], line: int = 500) -> None:
-        for start in range(0, len(missing), 40 * line):
-            some = missing[start : start + 40 * line]
+    def _learn(self, missing: list[bytes], line: int = 100) -> None:
+        found, sizes = [self.ids], []
+        for start in range(0, len(missing), 200 * line):
+            some = b" ".join(missing[start : start + 200 * line]).decode("latin-1").split(" ")
             lines = [" ".join(some[k : k + line]) for k in range(0, len(some), line)]
-            ids = np.array([i for e in self.tokenizer.encode_batch_fast(lines, add_special_tokens=False) for i in e.ids], "<u4")
-            ends = (np.flatnonzero(self.closing[ids]) + 1) * 4
-            if len(ends) == len(some) and ends[-1] == 4 * len(ids):
-                data, ends = ids.tobytes(), ends.tolist()
-                self.pieces.update(zip(some, (data[a:b] for a, b in zip([0, *ends], ends, strict=False)), strict=True))
-            else:
-                self.pieces.update((p, self._ids(p)) for p in some)
+            ids = np.array([i for e in self.merging.encode_batch_fast(lines, add_special_tokens=False) for i in e.ids], "<u4")
+            ends = np.flatnonzero(self.closing[ids]) + 1
+            if len(ends) != len(some) or ends[-1] != len(ids):
+                each = [np.frombuffer(self._ids(p), "<u4") for p in some]
+                ids, ends = np.concatenate(each), np.cumsum([len(x) for x in each])
+            found.append(ids)
+            sizes.append(np.diff(ends, prepend=0))
+        self.numbers.update(zip(missing, range(len(self.numbers), len(self.numbers) + len(missing)), strict=True))
+        self.ids, self.ends = np.concatenate(found), np.append(self.ends, self.ends[-1] + np.cumsum(np.concatenate(sizes)))
 
     def many(self, texts: list[str | None]) -> Iterator[np.ndarray]:
         """The ids of each text, in groups of a few million letters."""
-        group: list[list[str] | str] = []
+        group: list[bytes | str] = []
         held = 0
         for text in texts:
-            text = text or ""
-            group.append(PIECES.findall(text.lower()) if plain(text) else text)
-            held += len(text)
+            data = plain(text or "")
+            group.append(text if data is None else data)
+            held += len(group[-1])
             if held > 2_000_000:
                 yield from self._flushed(group)
                 group, held = [], 0
         yield from self._flushed(group)
 
-    def _flushed(self, group: list[list[str] | str]) -> Iterator[np.ndarray]:
-        if len(self.pieces) > self.limit:
-            self.pieces.clear()
-        used: set[str] = set()
-        for entry in group:
-            if not isinstance(entry, str):
-                used.update(entry)
-        self._learn([p for p in used if p not in self.pieces])
+    def _flushed(self, group: list[bytes | str]) -> Iterator[np.ndarray]:
+        # Long pieces have many ids, so what is held is bounded by ids as well.
+        if len(self.numbers) > self.limit or len(self.ids) > 16 * self.limit:
+            self._forget()
+        simple = [x for x in group if isinstance(x, bytes)]
+        starts, pieces = pieces_of(_LOWER[np.frombuffer(b"\n".join(simple), np.uint8)])
+        coded = pieces.dictionary_encode()
+        used = coded.dictionary.to_pylist()
+        number = np.fromiter(map(self.numbers.get, used, repeat(-1)), np.int64, len(used))
+        if len(new := np.flatnonzero(number < 0)):
+            number[new] = len(self.numbers) + np.arange(len(new))
+            self._learn([used[i] for i in new.tolist()])
+        number = number[coded.indices.to_numpy()]
+        ends = self.ends[number + 1]
+        sizes = ends - self.ends[number]
+        upto = np.append(0, np.cumsum(sizes))
+        place = np.repeat((ends - upto[1:]).astype(np.int32), sizes)
+        place += np.arange(upto[-1], dtype=np.int32)
+        ids = self.ids[place]
+        lengths = np.array([len(x) + 1 for x in simple], np.int64)
+        bounds = upto[np.searchsorted(starts, np.append(0, np.cumsum(lengths)))].tolist()
+        n = 0
         for entry in group:
             if isinstance(entry, str):
-                ids = map(self.words.__getitem__, entry.replace("\n", " ").split(" "))
+                yield np.frombuffer(b"".join(map(self.words.__getitem__, entry.replace("\n", " ").split(" "))), "<u4")
             else:
-                ids = map(self.pieces.__getitem__, entry)
-            yield np.frombuffer(b"".join(ids), "<u4")
+                yield ids[bounds[n] : bounds[n + 1]]
+                n += 1
 
 
 def crc32(ids: np.ndarray) -> int:
@@ -111,7 +174,7 @@ def _tokenized(model, window: int, end: int, keep_ids: bool):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = per_worker(f"words {hash(model.value)}", lambda: Words(model.value))
-        for batch in batches:
+        for batch in (whole.slice(at, TEXTS) for whole in batches for at in range(0, whole.num_rows, TEXTS)):
             out: list[tuple] = []
             for doc_id, found in zip(batch["doc_id"].to_pylist(), words.many(batch["text"].to_pylist()), strict=True):
                 ids = np.append(found, np.uint32(end)).astype("<u4")
@@ -230,6 +293,7 @@ def _packed(frequencies, count: int, average: float, window: int, end: int, bloc
     """Pack one shard: blocks of tails one after another; an unfilled window goes on into the next block."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()  # the words of the stage before
         df = frequencies.value
         idf = np.log(1 + (count - df + 0.5) / (df + 0.5))
         sequence = TaskContext.get().partitionId() << 40

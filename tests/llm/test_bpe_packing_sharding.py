@@ -81,6 +81,25 @@ def test_packing_keeps_every_id_once(spark, settings):
     assert open_windows <= -(-tails // settings.get("shard_tails", 8192))
 
 
+def test_word_ids_by_arrays_equal_the_library():
+    """Pieces cut and coded a group at a time: shortened words, numbers, letters beyond ASCII, texts that go to the library whole, and a memo
+    that is emptied between groups. What is held has a bound in ids, so long pieces count as well."""
+    path = public_tokenizers.path("word_bpe_49k.json")
+    with open(path, encoding="utf-8") as file:
+        words, library = packing.Words(file.read(), limit=50), Tokenizer.from_file(path)
+    rng = random.Random(7)
+    letters = "abstrvemldSTRVEMLD''''  \n\t19.,!²¼½µªºßÀéÿ÷×\x85\xa0\x1c\x00-<|漢"
+    texts = ["".join(rng.choice(letters) for _ in range(rng.randrange(40))) for _ in range(3000)]
+    texts += ["", None, "'", "''s", "it'll've't'", "x'r", "ab" * 400, "<|endoftext|>"]
+    for group in (texts[:1000], texts[1000:], texts):
+        for text, ids in zip(group, words.many(group), strict=True):
+            assert ids.tolist() == library.encode(text or "", add_special_tokens=False).ids, text
+    one = packing.Words(library.to_str(), limit=50)
+    for k in range(20):
+        list(one.many(["xqz" * 500 + "a" * k]))
+        assert len(one.ids) <= 16 * one.limit + 1500
+
+
 def test_packing_takes_the_nearest_tail_first():
     tails = [np.array(t) for t in ([5, 6, 7, 1], [90, 91, 92, 1], [5, 6, 8, 1], [5, 90, 93, 1], [1])]
     index = packing.Index(tails, np.ones(100), 4.0, 1)
