@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType
 
-from querycorpus.functions.scale import by_shuffle, cut_lineage, global_position
+from querycorpus.functions.scale import by_shuffle, cut_lineage, dealt_join, global_position
 from querycorpus.sources.sinks import ResultStore
 
 # Absolute and relative tolerance of the comparison.
@@ -180,7 +180,7 @@ def _verified(cells: DataFrame, doubtful: DataFrame, atol: float, rtol: float) -
         .union(doubtful.select("pair_id", "order_matters", F.lit("target"), "tc"))
         .distinct()
     )
-    mine = by_shuffle(cells).join(involved, ["pair_id", "side", "col_idx"])
+    mine = dealt_join(cells, involved, ["pair_id", "side", "col_idx"], ["row_idx"])
     ordered = mine.where("order_matters").withColumn("place", F.col("row_idx"))
     free = global_position(
         mine.where("NOT order_matters"),
@@ -191,7 +191,7 @@ def _verified(cells: DataFrame, doubtful: DataFrame, atol: float, rtol: float) -
     placed = ordered.unionByName(free).select("pair_id", "side", "col_idx", "place", F.struct("num", "str").alias("v"))
     p = placed.where("side = 'pred'").select("pair_id", F.col("col_idx").alias("pc"), "place", F.col("v").alias("p"))
     t = placed.where("side = 'target'").select("pair_id", F.col("col_idx").alias("tc"), "place", F.col("v").alias("t"))
-    both = by_shuffle(p).join(doubtful.select("pair_id", "pc", "tc"), ["pair_id", "pc"]).join(by_shuffle(t), ["pair_id", "tc", "place"], "left")
+    both = dealt_join(p, doubtful.select("pair_id", "pc", "tc"), ["pair_id", "pc"], ["place"]).join(by_shuffle(t), ["pair_id", "tc", "place"], "left")
     ok = F.coalesce(same_cell(F.col("p"), F.col("t"), atol, rtol), F.lit(False))
     return (
         both.groupBy("pair_id", "pc", "tc")
@@ -361,7 +361,7 @@ def _jointly_equal(cells: DataFrame, mappings: DataFrame, atol: float, rtol: flo
         .agg(F.map_from_entries(F.collect_list(F.struct("col_idx", F.struct("num", "str")))).alias("_vals"))
     )
     cols = F.when(F.col("side") == "pred", F.col("p_cols")).otherwise(F.col("t_cols"))
-    picked = by_shuffle(rows).join(mappings, "pair_id").select(
+    picked = dealt_join(rows, mappings, ["pair_id"], ["row_idx"]).select(
         "pair_id",
         "mapping",
         "side",
@@ -524,7 +524,8 @@ def run_pairs(
     stored = spark.read.schema(CELLS).parquet(*paths) if paths else spark.createDataFrame([], CELLS)
     places = spark.createDataFrame(used, "_number long, pair_id long, side string")
     numbered = stored.withColumnRenamed("pair_id", "_number").drop("side")
-    cells = by_shuffle(numbered).join(places, "_number").select("pair_id", "side", "row_idx", "col_idx", "num", "str")
+    # ``places`` comes from the driver and has two rows a pair; by its few numbers the cells of a result would meet in one task.
+    cells = numbered.join(F.broadcast(places), "_number").select("pair_id", "side", "row_idx", "col_idx", "num", "str")
     return cells, spark.createDataFrame(meta, schema)
 
 

@@ -69,3 +69,20 @@ def test_cells_of_a_single_file_are_counted_in_many_tasks(spark, tmp_path):
     assert re.search(r"hashpartitioning\(row_idx#\d+L?, \d", plan(summed))
     got = {r["col_idx"]: (r["n"], r["numbers"], r["texts"], r["rows"], r["last"], r["total"]) for r in summed.collect()}
     assert got == {0: (20, 20, 0, 20, 19, 190.0), 1: (20, 0, 20, 20, 19, None), 2: (20, 20, 0, 20, 19, 19.0), 3: (20, 20, 0, 20, 19, 47.5), 4: (20, 0, 4, 20, 19, None)}
+
+
+def test_rows_of_one_key_are_joined_in_many_tasks(spark):
+    """One key holds nearly all rows: its rows are joined in many tasks, each with all of the key's few partners; a row without a place stays."""
+    rows = spark.range(2000).select(F.when(F.col("id") < 1990, 1).otherwise(2).alias("k"), F.when(F.col("id") > 0, F.col("id")).alias("at"))
+    few = spark.createDataFrame([(1, "a"), (1, "b"), (2, "c"), (3, "d")], "k int, v string")
+    adaptive, parts = (spark.conf.get(c) for c in ("spark.sql.adaptive.enabled", "spark.sql.shuffle.partitions"))
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", "16")
+    try:
+        got = scale.dealt_join(rows, few, ["k"], ["at"]).withColumn("task", F.spark_partition_id()).collect()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+    plain = rows.join(few, "k").collect()
+    assert sorted((r["k"], r["at"] or -1, r["v"]) for r in got) == sorted((r["k"], r["at"] or -1, r["v"]) for r in plain)
+    assert len({r["task"] for r in got if r["k"] == 1}) > 8
