@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from querycorpus.functions.scale import cut_lineage
+from querycorpus.functions.scale import by_shuffle, cut_lineage
 from querycorpus.operators import sqltext as X
 from querycorpus.operators.sqltokens import tokenized
 
@@ -66,7 +66,7 @@ def operator_elements(log: DataFrame, scopes: DataFrame) -> DataFrame:
     base = tokenized(log).where("tokens IS NOT NULL")
     rows = base.select("pair_id", "side", F.explode(X.operator_entries(F.col("tokens"), move_on=True)).alias("o"))
     rows = rows.select("pair_id", "side", F.col("o.path").alias("scope"), F.concat_ws("_", "o.member", "o.clause").alias("element"))
-    placed = rows.join(scopes, ["pair_id", "side", "scope"])
+    placed = rows.join(by_shuffle(scopes), ["pair_id", "side", "scope"])
     return _numbered(placed.select("pair_id", "side", "depth", "sibling", "element"))
 
 
@@ -89,9 +89,9 @@ def variable_elements(log: DataFrame, scopes: DataFrame) -> DataFrame:
     classes = pairs.select("pair_id", F.explode(merged_classes).alias("_class")).select(
         "pair_id", F.array_min("_class").alias("_least"), F.explode("_class").alias("name"), F.lit("columns").alias("kind")
     )
-    merged = named.join(classes, ["pair_id", "kind", "name"], "left")
+    merged = named.join(by_shuffle(classes), ["pair_id", "kind", "name"], "left")
     merged = merged.withColumn("name", F.least("name", F.coalesce("_least", "name")))
-    placed = merged.join(scopes, ["pair_id", "side", "scope"])
+    placed = merged.join(by_shuffle(scopes), ["pair_id", "side", "scope"])
     return _numbered(placed.select("pair_id", "side", "depth", "sibling", F.concat_ws("/", "kind", "name").alias("element")))
 
 
@@ -107,7 +107,7 @@ def component_scores(elements: DataFrame, spots: DataFrame, name: str) -> DataFr
     counts = _sides(elements).groupBy(*SPOT).agg(
         F.count(F.when((F.col("in_pred") == 1) & (F.col("in_target") == 1), True)).alias("_both"), F.count(F.lit(1)).alias("_any")
     )
-    scored = spots.join(counts, SPOT, "left").withColumn(
+    scored = spots.join(by_shuffle(counts), SPOT, "left").withColumn(
         "_s", F.when(F.coalesce("_any", F.lit(0)) == 0, 1.0).otherwise(F.col("_both") / F.col("_any"))
     )
     per_depth = scored.groupBy("pair_id", "depth").agg(F.avg("_s").alias("_s"))
@@ -119,7 +119,7 @@ def partial_match(pairs: DataFrame) -> DataFrame:
     log = paired_log(pairs)
     scopes = scopes_of(log)
     readable = scopes.groupBy("pair_id").agg(F.count_distinct("side").alias("_n")).where("_n = 2").select("pair_id")
-    spots = scopes.select(*SPOT).distinct().join(readable, "pair_id", "left_semi")
+    spots = scopes.select(*SPOT).distinct().join(by_shuffle(readable), "pair_id", "left_semi")
     scores = pairs.select("pair_id")
     parts = {
         "structural_match": structural_elements(log),
@@ -127,7 +127,7 @@ def partial_match(pairs: DataFrame) -> DataFrame:
         "variables_match": variable_elements(log, scopes),
     }
     for name, elements in parts.items():
-        scores = scores.join(component_scores(elements, spots, name), "pair_id", "left")
+        scores = scores.join(by_shuffle(component_scores(elements, spots, name)), "pair_id", "left")
     scores = scores.fillna(0.0, list(parts))
     total = sum(F.col(n) for n in parts) / len(parts)
     return scores.withColumn("partial_match", total)

@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 from querycorpus.functions import scale
 from querycorpus.operators import compare as C
 from querycorpus.operators import linking as K
+from querycorpus.operators import metrics as M
+from querycorpus.operators import sqltext as X
 from querycorpus.plans import landing
 
 
@@ -60,6 +62,17 @@ def test_links_are_joined_by_shuffles(spark):
     assert [(r["question_id"], r["value"]) for r in found.collect()] == [(1, "hot bolt")]
 
 
+def test_parts_of_queries_are_joined_by_shuffles(spark):
+    """Scopes, elements and scores come from checkpointed tokens, so Catalyst takes them for small; a null pair_id has no score."""
+    one, other = "SELECT a FROM t WHERE a = 1", "SELECT a FROM t WHERE b IN (SELECT c FROM u)"
+    pairs = spark.sql(f"VALUES (1L, '{one}', '{one}'), (2L, '{one}', '{other}'), (2L, '{one}', '{other}'), (NULL, '{one}', '{one}') AS t(pair_id, prediction, target)")
+    scores = M.partial_match(pairs)
+    assert not broadcast_joins(scores)
+    got = sorted((r["pair_id"] or 0, round(r["partial_match"], 6)) for r in scores.collect())
+    assert [k for k, _ in got] == [0, 1, 2, 2] and [v for _, v in got[:2]] == [0.0, 1.0] and got[2] == got[3] and 0 < got[2][1] < 1
+    assert not broadcast_joins(M.variable_errors(pairs))
+
+
 def test_cells_of_a_single_file_are_counted_in_many_tasks(spark, tmp_path):
     rows = [(i, f"n{i}", i % 3, i / 4, None if i % 5 else "m") for i in range(20)]
     spark.createDataFrame(rows, "c_custkey long, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string").coalesce(1).write.parquet(
