@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from querycorpus.functions.arrays import held, once, pinned
-from querycorpus.functions.scale import cut_lineage
+from querycorpus.functions.scale import by_shuffle, cut_lineage, dealt_join
 from querycorpus.operators.linking import similar_pairs
 from querycorpus.operators.sqltokens import (
     QUOTED,
@@ -660,32 +660,27 @@ def references(log: DataFrame) -> DataFrame:
 def validity(log: DataFrame, columns: DataFrame) -> DataFrame:
     """``is_valid``: every table and column of the query exists in its database.
 
-    Distinct references are looked up once; a text that is not readable is not valid. Names given
-    by AS in the query count as known columns.
+    A text that is not readable is not valid; without a ``db_id`` nothing is missing. Names given by AS in the query count as known columns.
     """
     refs = cut_lineage(references(log))
     known_tables = columns.select("db_id", F.lower("table_name").alias("table_name")).distinct()
     known = columns.select("db_id", F.lower("table_name").alias("table_name"), F.lower("column").alias("column")).distinct()
-    tables = refs.where("column IS NULL")
-    named = refs.where("column IS NOT NULL AND table_name IS NOT NULL")
-    bare = refs.where("column IS NOT NULL AND table_name IS NULL")
-    # A name that thousands of queries use is looked up once; only what is missing meets the queries again.
-    no_table = tables.select("db_id", "table_name").distinct().join(known_tables, ["db_id", "table_name"], "left_anti")
-    no_column = named.select("db_id", "table_name", "column").distinct().join(known, ["db_id", "table_name", "column"], "left_anti")
-    asked = bare.select("db_id", "used", "column").distinct()
-    spread = asked.withColumn("table_name", F.explode("used")).join(known, ["db_id", "table_name", "column"], "left_semi")
-    nowhere = asked.join(spread.select("db_id", "used", "column").distinct(), ["db_id", "used", "column"], "left_anti")
-    unnamed = ~F.array_contains("outputs", F.col("column"))
-    missing = (
-        tables.join(no_table, ["db_id", "table_name"], "left_semi").select("query_id")
-        .unionByName(named.where(unnamed).join(no_column, ["db_id", "table_name", "column"], "left_semi").select("query_id"))
-        .unionByName(bare.where(unnamed).join(nowhere, ["db_id", "used", "column"], "left_semi").select("query_id"))
-    )
+    tables = refs.where("db_id IS NOT NULL AND column IS NULL AND table_name IS NOT NULL")
+    asked = refs.where("db_id IS NOT NULL AND column IS NOT NULL").where(~F.array_contains("outputs", F.col("column")))
+    named = asked.where("table_name IS NOT NULL")
+    bare = asked.where("table_name IS NULL").select("query_id", "db_id", "used", "column")
+    # Nearly all queries may use one name, or miss one, so references are dealt and meet the rows of the catalog.
+    no_table = dealt_join(tables, known_tables, ["db_id", "table_name"], ["query_id"], "left_anti")
+    no_column = dealt_join(named, known, ["db_id", "table_name", "column"], ["query_id"], "left_anti")
+    spread = bare.withColumn("table_name", F.explode("used"))
+    found = dealt_join(spread, known, ["db_id", "table_name", "column"], ["query_id"], "left_semi").select(*bare.columns).distinct()
+    nowhere = bare.join(by_shuffle(found), bare.columns, "left_anti")
+    missing = no_table.select("query_id").unionByName(no_column.select("query_id")).unionByName(nowhere.select("query_id"))
     checked = (
         refs.select("query_id", F.lit(True).alias("_ok")).unionByName(missing.withColumn("_ok", F.lit(False)))
         .groupBy("query_id").agg(F.bool_and("_ok").alias("is_valid"))
     )
-    return log.select(*own_columns(log)).join(checked, "query_id", "left").withColumn("is_valid", F.coalesce("is_valid", F.lit(False)))
+    return log.select(*own_columns(log)).join(by_shuffle(checked), "query_id", "left").withColumn("is_valid", F.coalesce("is_valid", F.lit(False)))
 
 
 def first_valid(questions: DataFrame, columns: DataFrame) -> DataFrame:
@@ -698,7 +693,7 @@ def first_valid(questions: DataFrame, columns: DataFrame) -> DataFrame:
         .groupBy("question_id")
         .agg(F.min_by("sql", "place").alias("prediction"))
     )
-    return questions.join(best, "question_id", "left")
+    return questions.join(by_shuffle(best), "question_id", "left")
 
 
 def _most_similar(unknown: DataFrame, known: DataFrame, scope: list[str]) -> DataFrame:

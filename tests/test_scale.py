@@ -73,6 +73,18 @@ def test_parts_of_queries_are_joined_by_shuffles(spark):
     assert not broadcast_joins(M.variable_errors(pairs))
 
 
+def test_first_valid_texts_are_joined_by_shuffles(spark):
+    """What is known of all candidates grows with the questions, so the driver must not collect it; null and repeated keys keep their rows."""
+    columns = spark.createDataFrame([("d", "t", "a"), ("d", "u", "b")], "db_id string, table_name string, column string")
+    questions = spark.sql("""SELECT id, IF(id = 3, NULL, id DIV 2) AS question_id, IF(id = 6, NULL, 'd') AS db_id,
+        array('SELECT nope FROM t', IF(id < 4, 'SELECT x FROM t, u', 'SELECT b FROM t, u'), IF(id = 0, 'SELECT a FROM v', 'SELECT a FROM t')) AS candidates FROM range(7)""")
+    questions = questions.where("id <> 1").drop("id")
+    found = X.first_valid(questions, columns)
+    got = sorted(((-1 if r["question_id"] is None else r["question_id"], r["prediction"]) for r in found.collect()), key=str)
+    assert got == [(-1, None), (0, None), (1, "SELECT a FROM t"), (2, "SELECT b FROM t, u"), (2, "SELECT b FROM t, u"), (3, "SELECT nope FROM t")]
+    assert not broadcast_joins(found)
+
+
 def test_cells_of_a_single_file_are_counted_in_many_tasks(spark, tmp_path):
     rows = [(i, f"n{i}", i % 3, i / 4, None if i % 5 else "m") for i in range(20)]
     spark.createDataFrame(rows, "c_custkey long, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string").coalesce(1).write.parquet(
