@@ -81,6 +81,33 @@ def test_question_links_equal_brute_force(spark, measure):
     assert {(r["question_id"], r["value"]): (round(r["score"], 9), r["size"]) for r in got.collect()} == want and len(want) > 25
 
 
+@pytest.mark.parametrize("measure", ["levenshtein", "indel"])
+def test_values_with_separators_are_linked(spark, measure):
+    """A value links where it stands word for word, whatever separates its words; its first letter is sought after separators."""
+    values = ["p.o. box", "(new) bolt & nut", "st. ives", "o'neil street", "U.S.-A", "hot  ring", "hot ring", "'n' or (m), again", "cold bolt"]
+    questions = ["Is the P.O. box full?", "a (NEW) bolt & nut, or none", "in St. Ives.", "o'neil street!", "the U.S.-A is", "one hot  ring", "hot ring's price", "say 'n' or (m), again",
+                 "it. (old bolt).", "", None, "...", "hot, ring"]
+    got = K.value_matches(
+        spark.createDataFrame([*enumerate(questions)], "question_id long, question string"), spark.createDataFrame([("t", "c", v) for v in values], "table_name string, column string, value string"), measure=measure,
+    )
+
+    def first(x):
+        return re.sub(f"^{K.SEPARATORS}", "", x)[0]
+
+    want = {}
+    for i, q in enumerate(questions):
+        q = re.sub(" +", " ", q or "")
+        words = [(m.start(), m.end()) for m in re.finditer(r"""[^'"()`,.?! ]+""", q.lower())]
+        for a, b in ((a, b) for a in range(len(words)) for b in range(a, len(words))):
+            for span in {q.lower()[words[a][0] : words[b][1]], " ".join(q.lower()[x:y] for x, y in words[a : b + 1])}:
+                for v in values:
+                    score = similarity(span, v.lower(), measure)
+                    if len(span) > 1 and first(v.lower()) == span[0] and score >= (1 if v.isupper() else 0.85) - 1e-9:
+                        want[i, v] = max(want.get((i, v), (0, 0)), (round(score, 9), len(span)))
+    assert {(r["question_id"], r["value"]): (round(r["score"], 9), r["size"]) for r in got.collect()} == want
+    assert {(i, v) for i, v in enumerate(values[:7])} <= want.keys() and (7, values[7]) in want and want[0, "p.o. box"] == (1, 8) and (8, "cold bolt") not in want
+
+
 def test_nothing_to_index(spark):
     values = spark.createDataFrame([("t", "c", None)], "table_name string, column string, value string")
     assert K.value_matches(spark.createDataFrame([(1, "some words")], "question_id long, question string"), values).count() == 0
